@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("packing", "token_files")
+MODULES = ("url_filter", "packing", "token_files", "language", "telephony", "pieces")
 
 
 def queries() -> dict:
