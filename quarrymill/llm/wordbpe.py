@@ -9,14 +9,15 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
 
-#: One run of Latin letters, then perhaps one mark: known to give one or two pre-tokens.
-_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+([.,;:!?]?)")
-_END = "</w>"
+#: One run of Latin letters, then perhaps one mark: a pre-token of letters and one of the mark.
+_LETTERS, _MARKS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿß", ".,;:!?|"
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]?)")
 
 
 class ChunkEncoder:
@@ -25,15 +26,14 @@ class ChunkEncoder:
     ``capacity`` bounds the memo's entries; beyond it only the chunks of the batch at hand stay.
     """
 
-    def __init__(self, path: str, capacity: int = 500_000, joined: int = 2000):
+    def __init__(self, path: str, capacity: int = 800_000, joined: int = 2000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.ends = np.zeros(size, bool)
-        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
-            self.ends[i] = token.endswith(_END)
+        as_bytes = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.byte_level = {ord(c): as_bytes(c)[0][0] for c in _LETTERS}
+        self.marks = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in ("", *_MARKS)}
         self.capacity, self.joined = capacity, joined
         self.memo: dict[str, bytes] = {"": b""}
 
@@ -42,19 +42,17 @@ class ChunkEncoder:
         return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
     def learn(self, missing: Iterable[str]) -> None:
-        plain, other = [], []
+        """Plain chunks go straight to the library's BPE model, as the text that its normalizer and
+        pre-tokenizer make of them; all others through the whole of the library."""
+        other, tokenize = [], self.tokenizer.model.tokenize
         for chunk in missing:
-            (plain if _PLAIN.fullmatch(chunk) else other).append(chunk)
-        for i in range(0, len(plain), self.joined):
-            part = plain[i : i + self.joined]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            last = np.cumsum([1 if chunk[-1].isalpha() else 2 for chunk in part]) - 1
-            if last[-1] + 1 != len(stops):  # not what the pattern promises: ask for each chunk
-                other += part
+            plain = _PLAIN.fullmatch(chunk)
+            if plain is None:
+                other.append(chunk)
                 continue
-            stops, raw = stops[last] * 4, ids.tobytes()
-            self.memo.update(zip(part, (raw[a:b] for a, b in zip(np.r_[0, stops[:-1]].tolist(), stops.tolist()))))
+            word, mark = plain.groups()
+            ids = array("I", [t.id for t in tokenize(word.lower().translate(self.byte_level))])
+            self.memo[chunk] = ids.tobytes() + self.marks[mark]
         for i in range(0, len(other), self.joined):
             part = other[i : i + self.joined]
             for chunk, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
