@@ -62,7 +62,10 @@ class FileWriter:
         system, path = _open(uri)
         self.out, self.width = system.open_output_stream(path), width
         self.at = self.out.write(MAGIC + bytes([width]) + hashlib.sha256(dictionary).digest())
-        self.pack = zstandard.ZstdCompressor(level=level, dict_data=_zdict(dictionary), write_content_size=True)
+        shared = _zdict(dictionary)
+        if shared is not None:
+            shared.precompute_compress(level=level)
+        self.pack = zstandard.ZstdCompressor(level=level, dict_data=shared, write_content_size=True)
         self.offsets, self.ids, self.counts = [self.at], [], []
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
@@ -202,8 +205,9 @@ def _read_files(batches: Iterator[pa.RecordBatch], folder: str, rows: int = 4096
 
 
 def read_token_digests(manifest: DataFrame, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, read back from the files."""
-    spread = manifest.repartition(F.xxhash64("name"))
+    """doc_id, start, n_tokens and ids_crc32 of every document, read back from the files, a task for each
+    few of them."""
+    spread = manifest.repartition(max(1, min(manifest.count(), 20_000)))
     return spread.mapInArrow(partial(_read_files, folder=folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
