@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("url_filter", "packing", "token_files", "language", "telephony", "pieces")
+MODULES = ("quality", "packing", "url_filter", "token_files", "language", "telephony", "pieces")
 
 
 def queries() -> dict:
