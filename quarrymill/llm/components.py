@@ -1,0 +1,29 @@
+"""Connected components of a graph that lies in a DataFrame."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quarrymill.llm.common import stored
+
+
+def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """node and component (its smallest node) of every node that has a link.
+
+    Each round gives a node the smallest label around it, then the label of that label, which halves long
+    chains; rounds end when no label changes. Labels are stored between rounds, so that lost executors cost no lineage;
+    only a count comes to the driver. Null ends and links of a node to itself are left out.
+    """
+    both = links.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x <> y")
+    edges = stored(both.union(both.select("y", "x")).distinct(), "edges")
+    labels = stored(edges.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.col("x")).alias("label")), "labels")
+    while True:
+        around = edges.join(labels, edges["y"] == labels["node"]).groupBy(F.col("x").alias("node")).agg(F.min("label").alias("near"))
+        own = labels.join(around, "node").select("node", "label", F.least("label", "near").alias("new"))
+        of = labels.select(F.col("node").alias("new"), F.col("label").alias("further"))
+        step = stored(own.join(of, "new").select("node", "label", F.least("new", "further").alias("new")), "labels")
+        changed = step.where("label <> new").count()
+        labels = step.select("node", F.col("new").alias("label"))
+        if not changed:
+            return labels.select("node", F.col("label").alias("component"))
