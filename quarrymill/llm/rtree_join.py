@@ -34,7 +34,7 @@ U = np.uint64
 GROUPS = 32
 
 
-def _parts(batches: Iterator[pa.RecordBatch], limit: int = 8_000_000) -> Iterator[tuple[list, list[bytes]]]:
+def _parts(batches: Iterator[pa.RecordBatch], limit: int = 1_000_000) -> Iterator[tuple[list, list[bytes]]]:
     """Ids and UTF-8 texts, some millions of bytes at a time."""
     ids, texts, size = [], [], 0
     for batch in batches:
