@@ -66,20 +66,22 @@ def repeated_words(words: Column) -> Column:
 
 
 def base_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with __words (an array) and __n_words, __word_chars, __n_symbols, __n_dup_lines, __n_repeat_words, __base_failed."""
+    """``docs`` with __n_words, __word_chars, __n_symbols, __n_dup_lines, __n_repeat_words, __base_failed."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    own = docs.withColumn("__words", words_of(text)).withColumns(
+    # words are bound within one expression: a filter that is pushed down must not split the text for every window
+    counts = _let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("repeated")))
+    own = docs.withColumn("__counts", counts).withColumns(
         {
-            "__n_words": F.size("__words").cast("long"),
+            "__n_words": F.col("__counts.n"),
             "__word_chars": (F.length(text) - F.regexp_count(text, F.lit(BLANK))).cast("long"),
             "__n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"),
             "__n_dup_lines": _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-            "__n_repeat_words": repeated_words(F.col("__words")),
+            "__n_repeat_words": F.col("__counts.repeated"),
         }
     )
     failed = (F.col("__n_words") < 50) | (100 * F.col("__n_repeat_words") > 50 * F.col("__n_words"))
-    return own.withColumn("__base_failed", failed)
+    return own.withColumn("__base_failed", failed).drop("__counts")
 
 
 def document_key(host_col: str, text_col: str) -> list[Column]:
@@ -156,7 +158,9 @@ def keep_good(docs: DataFrame, host_col: str = "source", text_col: str = "text",
     """The rows of ``docs`` that judge_quality keeps, with the columns of ``docs``. No document is shuffled unless the
     depleted ones are too many to broadcast."""
     depleted = depleted_documents(docs, host_col, text_col, **limits).select(*KEY)
-    own = base_rules(docs.select("*", *document_key(host_col, text_col)), text_col).where(~F.col("__base_failed"))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    good = _let(words_of(text), lambda w: (F.size(w) >= 50) & (100 * repeated_words(w) <= 50 * F.size(w)))
+    own = docs.where(good).select("*", *document_key(host_col, text_col))
     return own.join(depleted, KEY, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
