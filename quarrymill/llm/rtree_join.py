@@ -10,7 +10,7 @@ tree of its own. Work goes in these steps, none of which brings more than counts
 
 1. digest: each text becomes a shingle set, and equal sets one node from here on;
 2. cells: nodes that share a key;
-3. seeds: each member of a cell is compared with one centre of it, which links most groups of copies;
+3. seeds: each member of a cell is compared with a centre of it, in some rounds, which links most groups of copies;
 4. trees: in cells that still hold nodes of several components, an R-tree join finds the pairs of different components that may
    link; cells beyond a size are joined block by block;
 5. components of all links, handed back to every document.
@@ -200,17 +200,34 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield rest
 
 
-def _tree_pairs(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of nodes of different components, for each cell, that survive its R-tree."""
+def _tree_pairs(batches: Iterator[pa.RecordBatch], num: int, den: int, flush: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Pairs of nodes of different components, for each cell, that survive its R-tree. Cells of one family have mostly the same
+    members and follow each other: a pair goes out once for all of them."""
     routing = Routing(num, den)
+    family, gathered, size = None, [], 0
+
+    def out() -> pa.RecordBatch:
+        pairs = np.concatenate(gathered)
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        pairs = pairs[np.r_[True, (pairs[1:] != pairs[:-1]).any(1)]]
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+
     for cell in _runs(batches, "cell"):
+        now = cell["family"][0].as_py()
+        if gathered and (now != family or size >= flush):
+            yield out()
+            gathered, size = [], 0
+        family = now
         node, component = cell["node"].to_numpy(), cell["component"].to_numpy()
         counts = cell["counts"].combine_chunks().flatten().to_numpy().reshape(-1, GROUPS)
         for i, j in RTree(cell["n"].to_numpy(), counts).pairs(routing):
             apart = component[i] != component[j]
-            a, b = node[i[apart]], node[j[apart]]
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            x, y = node[i[apart]], node[j[apart]]
+            if len(x):
+                gathered.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+                size += len(x)
+    if gathered:
+        yield out()
 
 
 # --- verification
@@ -247,9 +264,9 @@ class JaccardJoin:
     ``broadcast_rows``: the most wanted ids that are broadcast to filter the texts; beyond it they are joined by shuffle.
     """
 
-    def __init__(self, docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", hot: int = 64, cell_rows: int = 2048, broadcast_rows: int = 500_000):
+    def __init__(self, docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", hot: int = 64, cell_rows: int = 2048, broadcast_rows: int = 500_000, rounds: int = 3):
         self.docs, self.width, self.num, self.den = documents(docs, id_col, text_col), width, num, den
-        self.cell_rows, self.broadcast_rows, self.hot = cell_rows, broadcast_rows, hot
+        self.cell_rows, self.broadcast_rows, self.hot, self.rounds = cell_rows, broadcast_rows, hot, rounds
         self.spark = docs.sparkSession
         self.routing = Routing(num, den)
         self.rows = stored(self.docs.mapInArrow(partial(_digest, width=width), "doc_id long, node long, n long, counts array<int>"), "digests")
@@ -269,15 +286,16 @@ class JaccardJoin:
         enough = bound * (self.num + self.den) >= self.num * (F.col("na") + F.col("nb"))
         return pairs.join(left, "a").join(right, "b").where(enough).select("a", "b")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose shingle sets link; pairs are distinct (a, b). Stored."""
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        wanted = stored(self.nodes.join(ends, "node", "left_semi").select("node", F.col("doc_id").alias("wanted_id")), "wanted")
+    def sets_of(self, nodes: DataFrame) -> DataFrame:
+        """(node, shingles) of the nodes, from one text of each. Stored."""
+        wanted = stored(self.nodes.join(nodes, "node", "left_semi").select("node", F.col("doc_id").alias("wanted_id")), "wanted")
         if wanted.count() <= self.broadcast_rows:
             wanted = F.broadcast(wanted)
         texts = self.docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("doc_id", "text", "node")
-        sets = texts.mapInArrow(partial(_sets, width=self.width), "node long, shingles binary")
-        sets = stored(sets, "sets")
+        return stored(texts.mapInArrow(partial(_sets, width=self.width), "node long, shingles binary"), "sets")
+
+    def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The pairs whose shingle sets link; pairs are distinct (a, b). Stored."""
         # rows that repeat an id and a text give a set twice: distinct links are what counts
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")
         both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b").select("a", "b", "left", "right")
@@ -285,37 +303,60 @@ class JaccardJoin:
         return stored(links.distinct(), "links")
 
     def links(self) -> tuple[DataFrame, DataFrame]:
-        """Verified links that join all components, and (node, component) of the nodes in them."""
+        """Verified links that join all components, and (node, component) of the nodes in them.
+
+        Rounds of seeds, each with another centre for every cell, try the members whose component isn't their centre's.
+        The trees then find what is left.
+        """
         members = self.cells()
-        turn = F.pmod("key", F.lit(4))
-        centre = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", turn).alias("h"), F.col("node").alias("centre"))).alias("c")).select("key", "c.centre")
-        pairs = members.join(centre, "key").where("node <> centre")
-        pairs = pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        tried = stored(self.bounded(pairs), "seeds")
-        links = self.verified(tried)
-        components = connected_components(links)
+        sets = self.sets_of(members.select("node").distinct())
+        links = components = tried = None
+        for turn in range(self.rounds):
+            pairs = self.seeds(members, components, turn)
+            if tried is not None:
+                pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            pairs = stored(self.bounded(pairs), "seeds")
+            if turn and pairs.isEmpty():
+                continue
+            tried = pairs if tried is None else tried.union(pairs)
+            found = self.verified(pairs, sets)
+            links = found if links is None else links.union(found)
+            if turn == 0 or not found.isEmpty():
+                components = connected_components(links)
         rest = stored(self.tree_pairs(members, components).join(tried, ["a", "b"], "left_anti"), "tree-pairs")
         if rest.isEmpty():
             return links, components
-        links = links.union(self.verified(rest))
+        links = links.union(self.verified(rest, sets))
         return links, connected_components(links)
 
+    @staticmethod
+    def seeds(members: DataFrame, components: DataFrame | None, turn: int) -> DataFrame:
+        """Distinct pairs of a node and the centre of a cell of it, of different components."""
+        centre = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("centre"))).alias("c"))
+        pairs = members.join(centre.select("key", "c.centre"), "key").where("node <> centre").select("node", "centre").distinct()
+        if components is not None:
+            of = lambda name: components.select(F.col("node").alias(name), F.col("component").alias(f"{name}_component"))
+            pairs = pairs.join(of("node"), "node", "left").join(of("centre"), "centre", "left")
+            pairs = pairs.where(~F.col("node_component").eqNullSafe(F.col("centre_component")) | F.col("node_component").isNull())
+        return pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+
     def tree_pairs(self, members: DataFrame, components: DataFrame) -> DataFrame:
         own = members.join(components, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
         own = stored(own, "members")
         open_keys = own.groupBy("key").agg(
             F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high"),
-            F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("digest"),
+            F.min("node").alias("first"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("digest"),
         )
         # a cell of two has been tried; cells with the same members need one tree
-        open_keys = open_keys.where("low <> high and members > 2").groupBy("members", "digest").agg(F.min("key").alias("key"))
+        open_keys = open_keys.where("low <> high and members > 2").groupBy("members", "digest").agg(F.min("key").alias("key"), F.min("first").alias("first"))
         blocks = F.ceil(F.col("members") / self.cell_rows).cast("int")
-        own = own.join(stored(open_keys.select("key", blocks.alias("blocks")), "open-cells"), "key")
+        own = own.join(stored(open_keys.select("key", "first", blocks.alias("blocks")), "open-cells"), "key")
         own = own.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        cell = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
-        own = own.select("node", "component", cell.alias("cell")).join(self.nodes.select("node", "n", "counts"), "node")
-        own = own.repartition("cell").sortWithinPartitions("cell")
+        at = [F.least("block", "other"), F.greatest("block", "other")]
+        own = own.select("node", "component", F.xxhash64("first", *at).alias("family"), F.xxhash64("key", *at).alias("cell"))
+        own = own.join(self.nodes.select("node", "n", "counts"), "node")
+        own = own.repartition("family").sortWithinPartitions("family", "cell")
         return own.mapInArrow(partial(_tree_pairs, num=self.num, den=self.den), "a long, b long").distinct()
 
     def documents(self) -> DataFrame:

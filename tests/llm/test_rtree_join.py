@@ -100,8 +100,8 @@ def test_tree_loses_no_link():
 def test_components_equal_brute_force(spark, seed, width, num):
     rows = corpus(seed) + [(1, None), (4, ""), (None, "a b c d e f"), (7, "a b c d e f"), (10, "A b c d e f"), (13, " "), (None, "only null"), (13, " ")]
     docs = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, node int, n string")
-    for hot, cell_rows in ((64, 2048), (2, 4)):
-        got = JaccardJoin(docs, width, num, 100, hot=hot, cell_rows=cell_rows, broadcast_rows=0 if hot == 2 else 1000).documents().collect()
+    for hot, cell_rows, rounds in ((64, 2048, 3), (2, 4, 1)):
+        got = JaccardJoin(docs, width, num, 100, hot=hot, cell_rows=cell_rows, rounds=rounds, broadcast_rows=0 if hot == 2 else 1000).documents().collect()
         assert sorted((tuple(r) for r in got), key=str) == plain_components(rows, width, num, 100)
 
 
