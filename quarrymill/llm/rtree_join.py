@@ -31,7 +31,22 @@ from quarrymill.llm.components import connected_components
 from quarrymill.llm.shingles import Routing, count_vector, mix, set_digest, shingle_sets
 
 U = np.uint64
-GROUPS = 32
+#: Groups of the count vectors, and how many of them are summed for the coarser points of tree nodes and seeds.
+GROUPS, FOLD = 256, 8
+
+
+def fold(counts: np.ndarray) -> np.ndarray:
+    """Counts of groups of groups: shorter vectors, whose bound is looser."""
+    return counts.reshape(len(counts), GROUPS // FOLD, FOLD).sum(2, dtype=np.int32)
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    """A count vector in one byte a group, or in four where a count is larger."""
+    return counts.astype(np.uint8 if counts.max(initial=0) < 256 else "<u4").tobytes()
+
+
+def unpack_counts(packed: list[bytes]) -> np.ndarray:
+    return np.array([np.frombuffer(p, np.uint8 if len(p) == GROUPS else "<u4") for p in packed], np.int32).reshape(-1, GROUPS)
 
 
 def _parts(batches: Iterator[pa.RecordBatch], limit: int = 1_000_000) -> Iterator[tuple[list, list[bytes]]]:
@@ -52,13 +67,15 @@ def _parts(batches: Iterator[pa.RecordBatch], limit: int = 1_000_000) -> Iterato
 def _digest(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for ids, texts in _parts(batches):
         sets = shingle_sets(texts, width)
+        counts = np.array([count_vector(s, GROUPS) for s in sets])
         cols = [
             pa.array(ids, pa.int64()),
             pa.array([set_digest(s) if len(s) else None for s in sets], pa.int64()),
             pa.array([len(s) for s in sets], pa.int64()),
-            pa.array([count_vector(s, GROUPS) for s in sets], pa.list_(pa.int32())),
+            pa.array(list(fold(counts)), pa.list_(pa.int32())),
+            pa.array([pack_counts(c) for c in counts], pa.binary()),
         ]
-        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "node", "n", "counts"])
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "node", "n", "coarse", "counts"])
 
 
 def _blobs(keys: np.ndarray, nodes: np.ndarray, parts: int, hot: int) -> Iterator[tuple[int, bool, bytes, bytes]]:
@@ -81,7 +98,7 @@ def _blobs(keys: np.ndarray, nodes: np.ndarray, parts: int, hot: int) -> Iterato
             yield p, is_hot, keys[at].tobytes(), nodes[at].tobytes()
 
 
-def _route(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int, parts: int, hot: int, flush: int = 1_500_000) -> Iterator[pa.RecordBatch]:
+def _route(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int, parts: int, hot: int, flush: int = 600_000) -> Iterator[pa.RecordBatch]:
     routing = Routing(num, den)
     keys: list[np.ndarray] = []
     nodes: list[int] = []
@@ -137,13 +154,14 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 class RTree:
     """A packed R-tree: points sorted by size and counts, ``fan`` to a leaf and leaves to a node. A node keeps its upper
-    corner and its least size."""
+    corner (of folded counts), its least and its largest size."""
 
     def __init__(self, sizes: np.ndarray, counts: np.ndarray, fan: int = 24):
-        self.order = np.lexsort((*counts.T[::-1], sizes))
-        self.sizes, self.counts, self.fan = sizes[self.order], counts[self.order], fan
+        coarse = fold(counts)
+        self.order = np.lexsort((*coarse.T[::-1], sizes))
+        self.sizes, self.counts, self.coarse, self.fan = sizes[self.order], counts[self.order], coarse[self.order], fan
         self.levels = []
-        low, high, corner = self.sizes, self.sizes, self.counts
+        low, high, corner = self.sizes, self.sizes, self.coarse
         while True:
             at = np.arange(0, len(low), fan)
             low, high, corner = np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(corner, at)
@@ -153,14 +171,16 @@ class RTree:
 
     def _survive(self, i: np.ndarray, j: np.ndarray, level: int, routing: Routing) -> np.ndarray:
         """Which pairs of nodes (of points at level -1) may have linked points below them."""
-        low, high, corner = (self.sizes, self.sizes, self.counts) if level < 0 else self.levels[level]
+        low, high, corner = (self.sizes, self.sizes, self.coarse) if level < 0 else self.levels[level]
         ok = (low[i] * routing.num <= high[j] * routing.den) & (low[j] * routing.num <= high[i] * routing.den)
         i, j = i[ok], j[ok]
-        bound = np.minimum(corner[i], corner[j]).sum(1)
-        ok[ok] = bound >= routing.needed(low[i] + low[j])
+        for points in (corner, self.counts) if level < 0 else (corner,):  # points: first folded, then in full
+            fits = np.minimum(points[i], points[j]).sum(1) >= routing.needed(low[i] + low[j])
+            ok[ok] = fits
+            i, j = i[fits], j[fits]
         return ok
 
-    def pairs(self, routing: Routing, block: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(self, routing: Routing, block: int = 40_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of points that survive the bound, going down from the root with itself, some nodes at a time."""
         todo = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
         while todo:
@@ -219,7 +239,7 @@ def _tree_pairs(batches: Iterator[pa.RecordBatch], num: int, den: int, flush: in
             gathered, size = [], 0
         family = now
         node, component = cell["node"].to_numpy(), cell["component"].to_numpy()
-        counts = cell["counts"].combine_chunks().flatten().to_numpy().reshape(-1, GROUPS)
+        counts = unpack_counts(cell["counts"].to_pylist())
         for i, j in RTree(cell["n"].to_numpy(), counts).pairs(routing):
             apart = component[i] != component[j]
             x, y = node[i[apart]], node[j[apart]]
@@ -269,8 +289,8 @@ class JaccardJoin:
         self.cell_rows, self.broadcast_rows, self.hot, self.rounds = cell_rows, broadcast_rows, hot, rounds
         self.spark = docs.sparkSession
         self.routing = Routing(num, den)
-        self.rows = stored(self.docs.mapInArrow(partial(_digest, width=width), "doc_id long, node long, n long, counts array<int>"), "digests")
-        self.nodes = stored(self.rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("counts").alias("counts")), "nodes")
+        self.rows = stored(self.docs.mapInArrow(partial(_digest, width=width), "doc_id long, node long, n long, coarse array<int>, counts binary"), "digests")
+        self.nodes = stored(self.rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("coarse").alias("coarse"), F.first("counts").alias("counts")), "nodes")
 
     def cells(self) -> DataFrame:
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
@@ -280,8 +300,8 @@ class JaccardJoin:
 
     def bounded(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose summed smaller counts reach the overlap that a link needs."""
-        left = self.nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca"))
-        right = self.nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb"))
+        left = self.nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("coarse").alias("ca"))
+        right = self.nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("coarse").alias("cb"))
         bound = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
         enough = bound * (self.num + self.den) >= self.num * (F.col("na") + F.col("nb"))
         return pairs.join(left, "a").join(right, "b").where(enough).select("a", "b")
