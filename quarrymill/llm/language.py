@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import documents, table
+from quarrymill.llm.common import small_batches, documents, table
 
 UNDETERMINED = "und"
 #: Symbols: 0 fills up, 1 stands for anything but letters, 2 for letters without a symbol.
@@ -145,7 +145,7 @@ class CrossParser:
         return out
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def parser(labelled: tuple[tuple[str, str], ...]) -> CrossParser:
     return CrossParser(labelled)
 
@@ -174,7 +174,7 @@ def _mix(x: int) -> int:
     return (x * 0x9E3779B97F4A7C15) & (1 << 64) - 1
 
 
-def _judge(batches: Iterator[pa.RecordBatch], labelled: tuple[tuple[str, str], ...], chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def _judge(batches: Iterator[pa.RecordBatch], labelled: tuple[tuple[str, str], ...], chars: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     names = ["lang_pred", "score", "phrase_cost"]
     for batch in batches:
         judge, rows, part, size = parser(labelled).judge, [], [], 0
@@ -199,6 +199,7 @@ def identify_languages(
     Columns of these names that ``docs`` has are replaced. A null text, an empty one and one without letters are ``und``
     with score 0. Repeated rows are all judged. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     new = {"lang_pred", "score", "phrase_cost"}
     keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
     own = docs.select(F.col(f"`{text_col}`").cast("string").alias("__text"), *[F.col(f"`{c}`") for c in keep])

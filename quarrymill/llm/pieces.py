@@ -39,7 +39,7 @@ codecs.register_error("quarrymill_each_byte", _each_byte)
 class PieceModel:
     """The vocabulary of a SentencePiece BPE model with byte fallback and its coder."""
 
-    def __init__(self, path: str, capacity: int = 500_000):
+    def __init__(self, path: str, capacity: int = 400_000):
         import ahocorasick
         import sentencepiece
 

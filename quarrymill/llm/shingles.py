@@ -28,15 +28,19 @@ def _bytes() -> tuple[np.ndarray, np.ndarray]:
     return mix(low.astype(U), 1), blank
 
 
-@lru_cache(maxsize=4)
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_P to the powers 0 to n - 1, and their inverses, modulo 2 ** 64."""
-    out = []
-    for base in (_P, pow(_P, -1, 1 << 64)):
-        x = np.full(n, base, U)
-        x[0] = 1
-        out.append(np.multiply.accumulate(x))
-    return out[0], out[1]
+    """_P to the powers 0 to n - 1 at least, and their inverses, modulo 2 ** 64. The longest tables so far are kept."""
+    if not _POWERS or len(_POWERS[0][0]) < n:
+        out = []
+        for base in (_P, pow(_P, -1, 1 << 64)):
+            x = np.full(n, base, U)
+            x[0] = 1
+            out.append(np.multiply.accumulate(x))
+        _POWERS[:] = [(out[0], out[1])]
+    return _POWERS[0]
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -26,7 +26,7 @@ class ChunkEncoder:
     ``capacity`` bounds the memo's entries; beyond it only the chunks of the batch at hand stay.
     """
 
-    def __init__(self, path: str, capacity: int = 800_000, joined: int = 2000):
+    def __init__(self, path: str, capacity: int = 300_000, joined: int = 2000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
