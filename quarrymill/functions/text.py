@@ -23,7 +23,7 @@ def col(x: Column | str) -> Column:
 def let(value: Column | str, body) -> Column:
     """body(v) with v bound to ``value``: the expression is computed once and stands in the plan once, however often
     the body uses it."""
-    return F.transform(F.array(col(value)), body)[0]
+    return F.transform(F.array(col(value)), lambda v: body(v))[0]
 
 
 def blank_to_null(x: Column | str) -> Column:
@@ -73,7 +73,7 @@ def strip_accents(x: Column | str) -> Column:
     several = "[" + "".join(many) + "]"
 
     def expanded(v: Column) -> Column:
-        table = F.create_map(*[F.lit(p) for kv in many.items() for p in kv])
+        table = F.str_to_map(F.lit("\x02".join(f"{k}\x01{to}" for k, to in many.items())), F.lit("\x02"), F.lit("\x01"))
         return F.array_join(F.transform(F.split(v, ""), lambda c: F.coalesce(F.element_at(table, c), c)), "")
 
     folded = lambda v: let(F.translate(v, single, to), lambda f: F.when(f.rlike(several), expanded(f)).otherwise(f))

@@ -140,19 +140,22 @@ def social_network(x: Column | str) -> Column:
     return let(url_domain(x), of)
 
 
-def normalize_social(x: Column | str, network: str) -> Column:
-    """A profile URL from a handle or a URL of ``network``; null for other networks, share links and bare hosts."""
+def normalize_social(x: Column | str, network: Column | str) -> Column:
+    """A profile URL from a handle or a URL of ``network`` (a name, or a column of names); null for other networks, share
+    links and bare hosts."""
+    network = F.lit(network) if isinstance(network, str) else network
+    start = F.lit("https://")
+    for name, url in PROFILE_STARTS.items():
+        start = F.when(network == name, F.lit(url)).otherwise(start)
 
     def profile(url: Column) -> Column:
         path = _part(url, 3)
         good = (social_network(url) == network) & ~url.rlike(f"(?i)/({'|'.join(NO_PROFILE)})") & ~path.isin("", "/")
-        if network == "linkedin":
-            good = good & path.rlike("^/(company|in|school|showcase)/[^/]+")
-        return F.when(good, url)
+        return F.when(good & ((network != "linkedin") | path.rlike("^/(company|in|school|showcase)/[^/]+")), url)
 
     def of(t: Column) -> Column:
         is_url = t.contains(".") & (t.contains("/") | F.lower(t).startswith("http") | F.lower(t).startswith("www"))
-        handle = F.when(t.rlike(r"^[A-Za-z0-9._\-]+$"), F.concat(F.lit(PROFILE_STARTS.get(network, "https://")), t))
+        handle = F.when(t.rlike(r"^[A-Za-z0-9._\-]+$"), F.concat(start, t))
         return F.when(is_url, let(normalize_url(t), profile)).otherwise(handle)
 
     return let(strip_chars(clean_text(x), "@ "), of)
