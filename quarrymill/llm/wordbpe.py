@@ -12,6 +12,7 @@ import re
 from array import array
 from collections.abc import Iterable
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 
@@ -23,10 +24,11 @@ _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]?)")
 class ChunkEncoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes.
 
-    ``capacity`` bounds the memo's entries; beyond it only the chunks of the batch at hand stay.
+    ``capacity`` bounds the memo's entries; beyond it the third that was learnt first stays, which holds the frequent
+    words.
     """
 
-    def __init__(self, path: str, capacity: int = 300_000, joined: int = 2000):
+    def __init__(self, path: str, capacity: int = 400_000, joined: int = 2000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -62,12 +64,18 @@ class ChunkEncoder:
         out = []
         for text in texts:
             chunks = self.chunks(text or "")
-            own = set(chunks)
-            if missing := own.difference(self.memo):
+            parts = list(map(self.memo.get, chunks))
+            try:
+                out.append(b"".join(parts))
+            except TypeError:  # some aren't known yet
+                unknown = [i for i, p in enumerate(parts) if p is None]
+                missing = {chunks[i] for i in unknown}
                 if len(self.memo) + len(missing) > self.capacity:
-                    self.memo = {c: self.memo[c] for c in own.difference(missing)} | {"": b""}
+                    self.memo = dict(islice(self.memo.items(), self.capacity // 3))
                 self.learn(missing)
-            out.append(b"".join(map(self.memo.__getitem__, chunks)))
+                for i in unknown:
+                    parts[i] = self.memo[chunks[i]]
+                out.append(b"".join(parts))
         return out
 
 
