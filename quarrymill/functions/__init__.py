@@ -1,0 +1 @@
+"""Column expressions: text, web addresses, codes, numbers, similarities."""

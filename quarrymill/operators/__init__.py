@@ -1,0 +1 @@
+"""Operators on record tables, pages, reports and workspace tables."""

@@ -1,0 +1 @@
+"""Sources of records: delimited lists, landed JSON answers, and their registry."""

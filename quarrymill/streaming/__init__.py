@@ -1,0 +1 @@
+"""Nothing here yet: all sources are finite lists and landed tables, and no operator keeps state between batches."""
