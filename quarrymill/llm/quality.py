@@ -1,7 +1,7 @@
 """Quality rules by cross-document line frequency (operator 1), in DataFrame operations only.
 
 Lines are normalised and hashed. For each host the distinct documents that hold a line are counted (exact copies
-count once); lines above the limits are removed, and documents of which too little is left are rejected. A
+count once); lines above the limits are removed from the texts, and documents of which too little is left are rejected. A
 frequent line whose documents consist mostly of frequent lines isn't boilerplate but part of a document that was
 copied as a whole: it stays, as copies are the near-duplicate operator's to thin out.
 """
@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from quarrymill.llm.common import stored, table
 
 BLANK = r"[\x20\x09-\x0D]"
+#: The most removed lines that are broadcast, as hashes per host (8 bytes each); with more, each document's own are
+#: joined to it by shuffle.
+BROADCAST_LINES = 500_000
 #: Windows are told apart by the upper bits of a hash; the lower ones hold the position.
 _BITS = 20
 
@@ -94,17 +97,20 @@ def document_key(host_col: str, text_col: str) -> list[Column]:
 KEY = ["__host", "__text_hash", "__text_length"]
 
 
+def normal_line(line: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(line), BLANK + "+", " "))
+
+
 def document_lines(docs: DataFrame, host_col: str, text_col: str) -> DataFrame:
     """A row for each line with a word: its document's key, the hash of the normalised line and its words."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = docs.select(*document_key(host_col, text_col), F.explode(F.split(text, "\n")).alias("line"))
-    normal = F.trim(F.regexp_replace(F.lower("line"), BLANK + "+", " "))
-    rows = rows.select(*KEY, normal.alias("line")).where("line != ''")
+    rows = rows.select(*KEY, normal_line(F.col("line")).alias("line")).where("line != ''")
     n = F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1
     return rows.select(*KEY, F.xxhash64("line").alias("__line"), n.cast("long").alias("__line_words"))
 
 
-def depleted_documents(
+def frequent_lines(
     docs: DataFrame,
     host_col: str = "source",
     text_col: str = "text",
@@ -112,13 +118,14 @@ def depleted_documents(
     min_share: float = 0.05,
     whole_share: float = 0.7,
     keep_share: float = 0.4,
-) -> DataFrame:
-    """Keys of the documents that lines above the limits deplete, with __removed_words and __line_total.
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The lines to remove (__host, __line), where they stand (key and __line) and the keys of the documents that they
+    deplete, with __removed_share.
 
     A line is frequent if more than ``min_documents`` distinct documents of its host hold it and more
     than ``min_share`` of them. Of the frequent lines, those are removed whose documents have on average less than
     ``whole_share`` of their words in frequent lines. A document is depleted if less than ``keep_share`` of its
-    words is left. The result is stored, so that its size is known to joins.
+    words is left. The results are stored, so that their size is known to joins.
     """
     lines = document_lines(docs, host_col, text_col)
     total = F.sum("__line_words").alias("words")
@@ -134,34 +141,66 @@ def depleted_documents(
     held = stored(held.join(sizes, KEY).select(*KEY, "frequent_words", F.col("words").alias("all_words")), "held-words")
     share = found.join(held, KEY).groupBy("__host", "__line").agg(F.avg(F.col("frequent_words") / F.col("all_words")).alias("share"))
     removed = stored(share.where(F.col("share") < whole_share).select("__host", "__line"), "removed-lines")
-    gone = found.join(removed, ["__host", "__line"]).groupBy(*KEY).agg(F.sum("words").alias("gone"))
+    places = found.join(removed, ["__host", "__line"])
+    gone = places.groupBy(*KEY).agg(F.sum("words").alias("gone"))
     out = gone.join(held, KEY).where(F.col("all_words") - F.col("gone") < F.col("all_words") * keep_share)
-    return stored(out.select(*KEY, (F.col("gone") / F.col("all_words")).alias("__removed_share")), "depleted")
+    depleted = stored(out.select(*KEY, (F.col("gone") / F.col("all_words")).alias("__removed_share")), "depleted")
+    return removed, places.select(*KEY, "__line"), depleted
+
+
+def with_clean_text(keyed: DataFrame, removed: DataFrame, places: DataFrame, text_col: str = "text") -> DataFrame:
+    """``keyed`` (rows with document_key) with __clean: the text without its removed lines, null where it holds none.
+
+    The other lines, blank ones included, stay as they are and in order.
+    """
+    if removed.count() <= BROADCAST_LINES:
+        chosen = F.broadcast(removed.groupBy("__host").agg(F.collect_list("__line").alias("__removed")))
+        rows = keyed.join(chosen, "__host", "left")
+    else:
+        rows = keyed.join(stored(places.groupBy(*KEY).agg(F.collect_list("__line").alias("__removed")), "places"), KEY, "left")
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+
+    def clean(z: Column) -> Column:
+        # blank lines have no hash, as document_lines leaves them out
+        hashes = F.transform(z["lines"], lambda x: _let(normal_line(x), lambda n: F.when(n != "", F.xxhash64(n))))
+        return _let(hashes, lambda h: _let(F.array_intersect(h, z["removed"]), lambda hit: F.when(F.size(hit) > 0, F.concat_ws("\n", F.filter(z["lines"], lambda x, i: ~F.coalesce(F.array_contains(hit, F.get(h, i)), F.lit(False)))))))
+
+    own = _let(F.struct(F.split(text, "\n").alias("lines"), F.col("__removed").alias("removed")), clean)
+    return rows.withColumn("__clean", F.when(F.col("__removed").isNotNull(), own)).drop("__removed")
+
+
 
 
 def judge_quality(docs: DataFrame, host_col: str = "source", text_col: str = "text", **limits) -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_share and kept.
+    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_share, kept and
+    clean_text (the text without its removed lines).
 
     Columns of these names in ``docs`` are replaced. A null text counts as empty (no words: base_failed); a null
     host counts as the empty one; repeated rows get the same verdict; an empty table gives no rows.
     """
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    depleted = depleted_documents(docs, host_col, text_col, **limits)
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in {*names, "removed_share", "kept"}]
+    removed, places, depleted = frequent_lines(docs, host_col, text_col, **limits)
+    keep = [F.col(f"`{c}`") for c in docs.columns if c not in {*names, "removed_share", "kept", "clean_text"}]
     own = base_rules(docs.select(*keep, *document_key(host_col, text_col)), text_col)
     own = own.select(*keep, *KEY, *[F.col(f"__{c}").alias(c) for c in names])
     own = own.join(depleted, KEY, "left").withColumn("removed_share", F.coalesce("__removed_share", F.lit(0.0)))
+    own = with_clean_text(own, removed, places, text_col).withColumn("clean_text", F.coalesce("__clean", F.col(f"`{text_col}`").cast("string"))).drop("__clean")
     return own.withColumn("kept", ~F.col("base_failed") & F.col("__removed_share").isNull()).drop(*KEY, "__removed_share")
 
 
-def keep_good(docs: DataFrame, host_col: str = "source", text_col: str = "text", **limits) -> DataFrame:
-    """The rows of ``docs`` that judge_quality keeps, with the columns of ``docs``. No document is shuffled unless the
-    depleted ones are too many to broadcast."""
-    depleted = depleted_documents(docs, host_col, text_col, **limits).select(*KEY)
+def keep_good(docs: DataFrame, host_col: str = "source", text_col: str = "text", length_col: str = "n_chars", **limits) -> DataFrame:
+    """The rows of ``docs`` that judge_quality keeps, with the columns of ``docs``: texts without their removed lines,
+    and their length where ``docs`` has ``length_col``. No document is shuffled unless the depleted ones or the removed
+    lines are too many to broadcast."""
+    removed, places, depleted = frequent_lines(docs, host_col, text_col, **limits)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     good = _let(words_of(text), lambda w: (F.size(w) >= 50) & (100 * repeated_words(w) <= 50 * F.size(w)))
     own = docs.where(good).select("*", *document_key(host_col, text_col))
-    return own.join(depleted, KEY, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = with_clean_text(own.join(depleted.select(*KEY), KEY, "left_anti"), removed, places, text_col)
+    new = {text_col: F.col("__clean"), length_col: F.length("__clean")}
+    types = dict(docs.dtypes)
+    changed = {c: F.when(F.col("__clean").isNotNull(), v.cast(types[c])).otherwise(F.col(f"`{c}`")).alias(c) for c, v in new.items() if c in types}
+    return own.select(*[changed.get(c, F.col(f"`{c}`")) for c in docs.columns])
 
 
 def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,6 +94,23 @@ def test_frequent_lines(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [i for i, k in enumerate(want) if k]
 
 
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_removed_lines_leave_the_texts(spark, monkeypatch, most):
+    from quarrymill.llm import quality
+
+    monkeypatch.setattr(quality, "BROADCAST_LINES", most)
+    own = [" ".join(f"w{k}x{i}" for i in range(60)) for k in range(20)]
+    rows = [("a", f"Menu  HOME\n\n{own[k]}\n menu home ") for k in range(12)] + [("b", f"menu home\n{own[k]}") for k in range(12, 14)]
+    rows += [("a", own[k]) for k in range(14, 18)] + [("a", rows[0][1])]
+    docs = spark.createDataFrame([(i, h, t, len(t)) for i, (h, t) in enumerate(rows)], "doc_id int, source string, text string, n_chars long")
+    want = {i: f"\n{own[i]}" if i < 12 else t for i, (_, t) in enumerate(rows)} | {18: f"\n{own[0]}"}
+    limits = {"min_documents": 5, "min_share": 0.05}
+    kept = keep_good(docs, **limits)
+    assert kept.schema == docs.schema
+    assert {r.doc_id: (r.text, r.n_chars) for r in kept.collect()} == {i: (t, len(t)) for i, t in want.items()}
+    assert {r.doc_id: r.clean_text for r in judge_quality(docs, **limits).collect()} == want
+
+
 def test_nulls_and_empty(spark):
     docs = spark.createDataFrame([(None, None, None), (1, None, "w " * 60), (1, None, "w " * 60)], "doc_id long, source string, text string")
     assert sorted((str(r.doc_id), r.kept) for r in judge_quality(docs).collect()) == [("1", False), ("1", False), ("None", False)]
