@@ -63,9 +63,10 @@ def suffix_automaton(text: str) -> list[dict[str, int]]:
 
 
 class CrossParser:
-    """Parses texts with one automaton per language; labelled: language -> folded text."""
+    """Parses texts with one automaton per language; labelled: language -> folded text. Every letter of the labelled
+    texts has a symbol. Transitions lie in one sparse row per language, so that wide alphabets take no more room."""
 
-    def __init__(self, labelled: tuple[tuple[str, str], ...], block: int = 128, symbols: int = 252):
+    def __init__(self, labelled: tuple[tuple[str, str], ...], block: int = 128):
         self.names = [name for name, text in labelled if text]
         texts = [text for _, text in labelled if text]
         self.weights = np.array([np.log2(len(t) + 1) for t in texts])
@@ -75,28 +76,48 @@ class CrossParser:
             for c in t:
                 counts[c] = counts.get(c, 0) + 1
         counts.pop(" ", None)
-        known = sorted(counts, key=lambda c: (-counts[c], c))[:symbols]
+        known = sorted(counts, key=lambda c: (-counts[c], c))
         self.width = FIRST + len(known)
-        self.symbol = np.where(_letters(), OTHER, GAP).astype(np.uint8)
+        self.symbol = np.where(_letters(), OTHER, GAP).astype(np.int32)
         for k, c in enumerate(known):
             self.symbol[ord(c)] = FIRST + k
         number = {c: FIRST + k for k, c in enumerate(known)} | {" ": GAP}
         self.tables = [self._table(suffix_automaton(t), number) for t in texts]
 
-    def _table(self, follow: list[dict[str, int]], number: dict[str, int]) -> np.ndarray:
-        """Entry (state, symbol): the next state's row times two, plus one if a phrase begins with this symbol."""
+    def _table(self, follow: list[dict[str, int]], number: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """owner, target, start. A state is its base; its transition by symbol c stands at base + c, where ``owner`` is that
+        base. Base 0 owns nothing: it's the start, and states without transitions. Without a transition
+        a phrase begins, and ``start`` has the next state by symbol, times two, plus one (but for FILL)."""
         w = self.width
-        start = np.ones(w, np.int32)  # from the start any symbol begins a phrase; one that it lacks is a phrase itself
-        for c, to in follow[0].items():
-            if c in number:
-                start[number[c]] = to * w * 2 + 1
+        base, bases, used = [0] * len(follow), {0}, set()
+        free = end = w + 1
+        for s in sorted(range(1, len(follow)), key=lambda s: -len(follow[s])):
+            own = sorted(number[c] for c in follow[s])
+            if not own:
+                break
+            while free in used:
+                free += 1
+            for at in range(free - own[0], free - own[0] + 50):
+                if at not in bases and not any(at + c in used for c in own):
+                    break
+            else:
+                at = end - own[0]
+                while at in bases:
+                    at += 1
+                free += 50
+            base[s] = at
+            bases.add(at)
+            used.update(at + c for c in own)
+            end = max(end, at + own[-1] + 1)
+        owner, target = np.full(max(bases) + w, -1, np.int32), np.zeros(max(bases) + w, np.int32)
+        start = np.ones(w, np.int32)
         start[FILL] = 0
-        out = np.tile(start, (len(follow), 1))
-        for s, own in enumerate(follow[1:], 1):
-            for c, to in own.items():
-                if c in number:
-                    out[s, number[c]] = to * w * 2
-        return out.reshape(-1)
+        for c, to in follow[0].items():
+            start[number[c]] = base[to] * 2 + 1
+        for s, moves in enumerate(follow[1:], 1):
+            for c, to in moves.items():
+                owner[base[s] + number[c]], target[base[s] + number[c]] = base[s], base[to] * 2
+        return owner, target, start
 
     def fold(self, text: str) -> np.ndarray:
         """Symbols of the folded text."""
@@ -110,21 +131,21 @@ class CrossParser:
         """Phrases (texts x languages). Texts are parsed in blocks side by side; a phrase ends with its block."""
         blocks = np.array([-(-len(t) // self.block) for t in texts], np.int64)
         total = int(blocks.sum())
-        flat = np.zeros(total * self.block, np.uint8)
+        flat = np.zeros(total * self.block, np.int32)
         at = np.r_[0, np.cumsum(blocks)] * self.block
         for t, a in zip(texts, at.tolist()):
             flat[a : a + len(t)] = t
-        lanes = np.ascontiguousarray(flat.reshape(total, self.block).T).astype(np.int32)
+        lanes = np.ascontiguousarray(flat.reshape(total, self.block).T)
         out = np.zeros((len(texts), len(self.names)), np.int64)
-        owner = np.repeat(np.arange(len(texts)), blocks)
-        for k, step in enumerate(self.tables):
+        owner_text = np.repeat(np.arange(len(texts)), blocks)
+        for k, (owner, target, start) in enumerate(self.tables):
             state, count = np.zeros(total, np.int32), np.zeros(total, np.int32)
             for row in lanes:
-                state += row
-                got = step.take(state)
+                place = state + row
+                got = np.where(owner.take(place) == state, target.take(place), start.take(row))
                 count += got & 1
                 state = got >> 1
-            out[:, k] = np.bincount(owner, count, len(texts))
+            out[:, k] = np.bincount(owner_text, count, len(texts))
         return out
 
     def judge(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
@@ -150,26 +171,46 @@ def parser(labelled: tuple[tuple[str, str], ...]) -> CrossParser:
     return CrossParser(labelled)
 
 
-def labelled_text(docs: DataFrame, docs_per_language: int, chars_per_language: int, max_languages: int, id_col: str, text_col: str, lang_col: str, train=None) -> tuple[tuple[str, str], ...]:
-    """Folded text of each language, by name: of its documents, in hash order of their ids, whole ones up to
-    ``chars_per_language`` letters and spaces, of which the last may be cut. The driver sees at most
-    ``max_languages * docs_per_language`` texts."""
+def _chosen(own: DataFrame, docs_per_language: int) -> DataFrame:
+    """The rows (doc_id, lang, text) of the first documents of each language in hash order of their ids, each once."""
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    ids = own.select("doc_id", "lang", rank.alias("rank")).where(F.col("rank") <= docs_per_language).select("lang", "doc_id").distinct()
+    return own.join(F.broadcast(ids), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+
+
+def _labelled(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    own = own.where("lang is not null and doc_id is not null")
+    return own.where("lang is not null and doc_id is not null")
+
+
+def labelled_text(docs: DataFrame, docs_per_language: int, chars_per_language: int, max_languages: int | None, id_col: str, text_col: str, lang_col: str, train=None) -> tuple[tuple[str, str], ...]:
+    """Folded text of each language, by name: of its documents, in hash order of their ids, whole ones up to
+    ``chars_per_language`` letters and spaces, of which the last may be cut. Only the ``max_languages`` with the most
+    documents, unless that is None. The driver sees at most ``docs_per_language`` texts of each language."""
+    own = _labelled(docs, id_col, text_col, lang_col)
     own = own.where(train) if train is not None else own
-    often = [r[0] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = [r[0] for r in own.where(F.col("lang").isin(often)).select("doc_id", "lang", rank.alias("rank")).where(F.col("rank") <= docs_per_language).select("doc_id").collect()]
-    if not ids:
-        return ()
-    rows = own.where(F.col("doc_id").isin(ids)).select("lang", "doc_id", "text").limit(max_languages * docs_per_language).collect()
+    if max_languages is not None:
+        own = own.where(F.col("lang").isin([r[0] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]))
     texts: dict[str, str] = {}
-    for r in sorted(rows, key=lambda r: (r.lang, _mix(r.doc_id), r.text or "")):
+    for r in sorted(_chosen(own, docs_per_language).collect(), key=lambda r: (r.lang, _mix(r.doc_id))):
         if len(texts.get(r.lang, "")) < chars_per_language and r.text:
             texts[r.lang] = (texts.get(r.lang, "") + " " + fold(r.text))[:chars_per_language].strip()
     return tuple(sorted(texts.items()))
 
 
+def cost_limits(docs: DataFrame, docs_per_language: int, chars_per_language: int, least_chars: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """lang_pred and cost_limit of each language: halfway from what 90 % of its held-out documents (a fifth, of at least
+    ``least_chars`` characters) need at most to what letters cost that are phrases of their own. Languages without
+    such documents have none."""
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    labelled = labelled_text(docs, docs_per_language, chars_per_language, None, id_col, text_col, lang_col, ~held)
+    own = _chosen(_labelled(docs, id_col, text_col, lang_col).where(held & (F.length("text") >= least_chars)), docs_per_language)
+    judged = identify_languages(own, labelled, ["lang"]).where("lang_pred = lang")
+    rows = judged.groupBy("lang").agg(F.percentile("phrase_cost", 0.9).alias("cost")).collect()
+    most = {name: float(np.log2(len(text) + 1)) for name, text in labelled}
+    return docs.sparkSession.createDataFrame([(r.lang, (r.cost + most[r.lang]) / 2) for r in rows], "lang_pred string, cost_limit double")
+
+
 def _mix(x: int) -> int:
     return (x * 0x9E3779B97F4A7C15) & (1 << 64) - 1
 
@@ -210,7 +251,7 @@ def identify_languages(
 def op6_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    labelled = labelled_text(docs, 64, 24_000, 64, "doc_id", "text", "lang", ~held_out)
+    labelled = labelled_text(docs, 64, 24_000, None, "doc_id", "text", "lang", ~held_out)
     rows = documents(docs).withColumn("held_out", held_out)
     return identify_languages(rows, labelled, ["doc_id", "held_out"])
 

@@ -147,6 +147,16 @@ def test_stages(spark, docs):
     assert all(r[1] <= 2048 for r in fourth)
 
 
+def test_language_stage_keeps_wide_alphabets(spark):
+    rng = random.Random(7)
+    words = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(rng.randint(1, 2))) for _ in range(2500)]
+    rows = [(k, "，".join(rng.choice(words) for _ in range(200)), "zh") for k in range(40)]
+    rows += [(k, " ".join(rng.choice(["the", "of", "and", "to", "in", "that", "was"]) for _ in range(120)), "en") for k in range(40, 80)]
+    rows += [(80, " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(7)) for _ in range(80)), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()) == list(range(80))
+
+
 def test_run(spark):
     assert len(corpus_pipeline.STAGES) == 4
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")

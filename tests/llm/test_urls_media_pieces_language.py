@@ -196,6 +196,22 @@ def test_cross_parsing_equals_brute_force():
         assert row.tolist() == [plain_phrases(t, own, 16) for _, own in labelled], t
 
 
+def test_cross_parsing_knows_every_letter():
+    rng = random.Random(8)
+    labelled = tuple((name, " ".join("".join(chr(first + rng.randrange(900)) for _ in range(rng.randint(1, 6))) for _ in range(900))) for name, first in (("xx", 0x4E00), ("yy", 0x5400)))
+    parser = language.CrossParser(labelled, block=16)
+    texts = [own[k : k + 60].strip() for _, own in labelled for k in range(0, 900, 90)]
+    got = parser.phrases([parser.fold(t) for t in texts])
+    for t, row in zip(texts, got):
+        assert row.tolist() == [plain_phrases(t, own, 16) for _, own in labelled], t
+    assert [r[0] for r in parser.judge(texts)] == ["xx"] * 10 + ["yy"] * 10
+
+
+def test_every_language_is_labelled(spark):
+    docs = spark.createDataFrame([(k, "abc def", f"l{k:03}") for k in range(70)], "doc_id long, text string, lang string")
+    assert len(language.labelled_text(docs, 10, 1000, None, "doc_id", "text", "lang")) == 70
+
+
 def test_languages(spark):
     docs = spark.createDataFrame(
         [(1, "the cat and the dog and the bird", "en", "q"), (2, "le chat et le chien et la souris", "fr", "q"), (3, "the bird and the cat", None, None), (4, None, None, None), (5, "12 !!", "en", None), (6, "", None, None), (None, "la souris et le chat", None, None)],
