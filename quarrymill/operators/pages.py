@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quarrymill.functions import codes, web
 from quarrymill.functions.similarity import partial_ratio
 from quarrymill.functions.text import let, name_key
+from quarrymill.storage import stored
 
 #: Mailboxes of a company rather than a person, and what marks links to contact pages.
 GENERIC_MAILBOXES = ("info", "contact", "hello", "hallo", "welkom", "office", "mail", "admin", "sales", "reservatie", "reservaties", "reservations", "booking")
@@ -192,8 +193,6 @@ def html_items(pages: DataFrame, item_selector: str | None, fields: Mapping[str,
 def follow_pages(pages: DataFrame, start_url: str, next_selector: str, max_pages: int = 10) -> DataFrame:
     """The pages reached from ``start_url`` by next links, with page_no: until there is none, one was seen, or isn't landed."""
     links = html_items(pages, None, {"next_url": {"selector": next_selector, "attr": "href", "absolute": True}}).select(F.col("page_url").alias("url"), "next_url")
-    from quarrymill.storage import stored
-
     links = stored(links.dropDuplicates(["url"]), "next-links")
     at = links.where(F.col("url") == start_url).select("url", "next_url", F.lit(1).alias("page_no"))
     out = at
@@ -271,9 +270,9 @@ def emails(text: Column, direct: Column) -> Column:
 
 
 def phones(text: Column, direct: Column, region: str = "BE") -> Column:
-    """Numbers of telephone links, then valid ones of the first 200,000 characters of the text."""
+    """Numbers of telephone links, then valid ones of the text."""
     linked = F.transform(F.filter(direct, lambda h: F.lower(h).startswith("tel:")), lambda h: codes.normalize_phone(F.substr(h, F.lit(5)), region))
-    told = F.transform(F.regexp_extract_all(F.substring(text, 1, 200_000), F.lit(f"({PHONE_IN_TEXT})"), F.lit(1)), lambda t: let(codes.phone_info(t, region), lambda i: F.when(i["valid"], i["e164"])))
+    told = F.transform(F.regexp_extract_all(text, F.lit(f"({PHONE_IN_TEXT})"), F.lit(1)), lambda t: let(codes.phone_info(t, region), lambda i: F.when(i["valid"], i["e164"])))
     return F.array_distinct(F.array_compact(F.concat(linked, told)))
 
 
@@ -314,12 +313,25 @@ def rank_emails(found: Column, domain: Column) -> Column:
 
 
 def site_contacts(content: DataFrame, region: str = "BE") -> DataFrame:
-    """One row per ``site`` of page contents (with site and page_ord): title and description of the first page, and emails, phones,
-    VAT numbers and social links of all pages in order, each once."""
-    rows = content.select("site", "page_ord", "url", "title", "description", "text", emails(F.col("text"), F.col("direct")).alias("emails"), phones(F.col("text"), F.col("direct"), region).alias("phones"), vat_numbers(F.col("text"), region).alias("vat_numbers"), socials(F.col("hrefs")).alias("socials"))
+    """One row per ``site`` of page contents (with site and page_ord): url, title and description of the first page, the length
+    of all texts with a space between pages, and emails, phones, VAT numbers and social links of all pages in order, each once.
+
+    Texts stay in their pages' rows; only a site's distinct contacts meet in one.
+    """
+    found = {"emails": emails(F.col("text"), F.col("direct")), "phones": phones(F.col("text"), F.col("direct"), region), "vat_numbers": vat_numbers(F.col("text"), region), "socials": socials(F.col("hrefs"))}
+    rows = stored(content.select("site", "page_ord", "url", "title", "description", F.length("text").cast("long").alias("size"), *[v.alias(k) for k, v in found.items()]), "page-contacts")
     first = lambda c: F.min_by(c, "page_ord").alias(c)
-    whole = lambda c: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("page_ord", c))), lambda x: x[c]))).alias(c)
-    out = rows.groupBy("site").agg(first("url"), first("title"), first("description"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_ord", "text"))), lambda x: x["text"]), " ").alias("text"), whole("emails"), whole("phones"), whole("vat_numbers"), whole("socials"))
+    length = F.greatest(F.coalesce(F.sum("size"), F.lit(0)) + F.count("size") - 1, F.lit(0)).cast("int")
+    sites = rows.groupBy("site").agg(first("url"), first("title"), first("description"), length.alias("text_length"))
+    told = lambda k: F.transform(k, lambda x, i: F.struct(F.lit(k).alias("kind"), i.alias("pos"), (x["network"] if k == "socials" else F.lit(None).cast("string")).alias("network"), (x["url"] if k == "socials" else x).alias("value")))
+    each = rows.select("site", "page_ord", F.explode(F.concat(*[told(k) for k in found])).alias("x")).select("site", "page_ord", "x.*")
+    once = each.groupBy("site", "kind", "network", "value").agg(F.min(F.struct("page_ord", "pos")).alias("place"))
+    item = F.struct("place", "value", "network")
+    lists = once.groupBy(F.col("site").alias("__site")).agg(*[F.array_sort(F.collect_list(F.when(F.col("kind") == k, item))).alias(k) for k in found])
+    out = sites.join(lists, F.col("site").eqNullSafe(F.col("__site")), "left")
+    shown = {k: F.transform(k, (lambda x: F.struct(x["network"].alias("network"), x["value"].alias("url"))) if k == "socials" else (lambda x: x["value"])) for k in found}
+    empty = lambda k: F.array().cast("array<struct<network:string,url:string>>" if k == "socials" else "array<string>")
+    out = out.select("site", "url", "title", "description", "text_length", *[F.coalesce(v, empty(k)).alias(k) for k, v in shown.items()])
     return out.withColumn("emails", rank_emails(F.col("emails"), web.url_domain("url")))
 
 

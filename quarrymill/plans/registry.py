@@ -254,7 +254,7 @@ def a18_e7_contact_links(spark, sf_dir):
 @query()
 def g13_w4_site_contacts(spark, sf_dir):
     own = read(spark, sf_dir, "pages").select("url", "html", web.url_domain("url").alias("site"), F.col("page_id").alias("page_ord"))
-    return pages.site_contacts(pages.page_content(own, "site", "page_ord")).select("site", "title", "emails", "phones", "vat_numbers", F.length("text").alias("text_length"))
+    return pages.site_contacts(pages.page_content(own, "site", "page_ord")).select("site", "title", "emails", "phones", "vat_numbers", "text_length")
 
 
 # --- matching

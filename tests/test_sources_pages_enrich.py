@@ -86,6 +86,21 @@ def test_pages(spark):
     assert names[0] == 100 and names[1] < 90
 
 
+def test_phones_of_whole_texts(spark):
+    text = "word " * 50_000 + "tel 0498 12 34 56"
+    df = spark.createDataFrame([(text,)], "text string").select(pages.phones(F.col("text"), F.array().cast("array<string>")).alias("p"))
+    assert list(df.first().p) == ["+32498123456"]
+
+
+def test_sites_keep_texts_in_their_rows(spark):
+    rows = [("https://acme.be/", "<p>one</p>", "acme.be", 0), ("https://acme.be/b", "<p>two b@acme.be a@acme.be</p>", "acme.be", 1), ("https://acme.be/c", "<p>a@acme.be</p>", "acme.be", 2), ("x", "<p>four</p>", None, 3)]
+    content = pages.page_content(spark.createDataFrame(rows, "url string, html string, site string, page_ord int"), "site", "page_ord")
+    texts = {r.page_ord: r.text for r in content.collect()}
+    got = {r.site: r for r in pages.site_contacts(content).collect()}
+    assert "text" not in got[None] and got["acme.be"].text_length == len(" ".join(texts[k] for k in range(3))) and got[None].text_length == len(texts[3])
+    assert sorted(got["acme.be"].emails) == ["a@acme.be", "b@acme.be"] and list(got[None].emails) == list(got[None].socials) == []
+
+
 def test_listing(spark):
     page = '<article class="pod"><h3><a title="T{0}" href="../i{0}.html">x</a></h3><p class="star Three"></p><p class="price">£5{0}.10</p></article>'
     rows = [("http://b.com/c/1", "<ol>" + page.format(1) + page.format(2) + '</ol><li class="next"><a href="2">n</a></li>'), ("http://b.com/c/2", page.format(3)), ("http://b.com/i1.html", "<table><tr><th>UPC</th><td>abc</td></tr></table>")]
