@@ -2,27 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.storage import stored
 
 
-def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
-    """node and component (the smallest node reached) of all linked nodes.
+def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """node and component (the smallest node reached) of all nodes with a link to another one.
 
-    Labels spread over links, and each label is then replaced by its own label, so that long chains shorten by halves. Each
-    round's labels are stored; the driver sees a count per round.
+    In each round every node joins the neighbour that comes first in an order by hash, new each round, and the links
+    shrink to those between the nodes that were joined: a star is gone after one round, a chain loses a share of its
+    nodes. Links and labels are stored; the driver learns whether any link is left. Null ends are left out.
     """
-    pairs = links.select(F.col(a).alias("src"), F.col(b).alias("dst")).where("src <> dst")
-    edges = stored(pairs.union(pairs.select("dst", "src")).distinct(), "graph-edges")
-    labels = stored(edges.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("component")), "graph-labels")
-    moved = 1
-    while moved:
-        seen = edges.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("seen"))
-        near = labels.join(seen, "node").select("node", F.col("component").alias("old"), F.least("component", "seen").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("component").alias("next"))
-        step = stored(near.join(jump, "label").select("node", "old", F.least("label", "next").alias("component")), "graph-labels")
-        moved = step.where("old <> component").count()
-        labels = step.select("node", "component")
-    return labels
+    x, y = F.col(a), F.col(b)
+    alive = stored(links.where(x != y).select(F.least(x, y).alias("src"), F.greatest(x, y).alias("dst")).distinct(), "graph-edges")
+    trail: list[DataFrame] = []
+    while not trail or not alive.isEmpty():
+
+        def ranked(c: str, turn: int = len(trail)) -> Column:
+            return F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("id"))
+
+        both = alive.union(alive.select("dst", "src"))
+        first = both.groupBy("src").agg(F.min(ranked("dst")).alias("near"))
+        labels = stored(first.select(F.col("src").alias("node"), F.least("near", ranked("src"))["id"].alias("label")), "graph-labels")
+        trail.append(labels)
+        of = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"{name}_label"))
+        ends = alive.join(of("src"), "src").join(of("dst"), "dst").where("src_label <> dst_label")
+        alive = stored(ends.select(F.least("src_label", "dst_label").alias("src"), F.greatest("src_label", "dst_label").alias("dst")).distinct(), "graph-edges")
+    roots = trail.pop()
+    for labels in reversed(trail):
+        further = roots.select(F.col("node").alias("label"), F.col("label").alias("root"))
+        roots = labels.join(further, "label", "left").select("node", F.coalesce("root", "label").alias("label"))
+    roots = stored(roots, "graph-roots") if trail else roots
+    least = roots.groupBy("label").agg(F.min("node").alias("component"))
+    return roots.join(least, "label").select("node", "component")
