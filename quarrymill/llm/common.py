@@ -2,41 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
-import tempfile
-import uuid
+from collections.abc import Iterator
+from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word is a run of anything but ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see (``spark.checkpoint.dir``).
+from quarrymill.storage import fresh_path, shared_dir, stored
 
-    Where a session sets none, as in tests, a temporary folder is made and set for it.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="quarrymill-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+__all__ = ["WORD", "documents", "fresh_path", "freed", "map_arrow", "shared_dir", "small_batches", "stored", "table", "tokenizer_path"]
 
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new place under the shared folder; no two calls give the same one."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later jobs don't compute it again,
-    and lost executors lose none of it."""
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: A word is a run of anything but ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 #: Rows of an Arrow batch, where a session leaves Spark's number for short rows: texts are long.
@@ -56,6 +37,28 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's batches, after the last of which the worker's free memory goes back: workers live on, and share an executor."""
+    try:
+        yield from batches
+    finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not a GNU system
+            pass
+
+
+def _run(batches: Iterator[pa.RecordBatch], task, args: dict) -> Iterator[pa.RecordBatch]:
+    yield from freed(task(batches, **args))
+
+
+def map_arrow(df: DataFrame, task, schema: str, **args) -> DataFrame:
+    """``mapInArrow`` of task(batches, **args), see freed()."""
+    return df.mapInArrow(partial(_run, task=task, args=args), schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

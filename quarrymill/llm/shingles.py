@@ -28,19 +28,22 @@ def _bytes() -> tuple[np.ndarray, np.ndarray]:
     return mix(low.astype(U), 1), blank
 
 
-_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
+#: Bytes that are hashed at a time: the tables of powers stay this small, but for longer words.
+PIECE = 1 << 18
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_P to the powers 0 to n - 1 at least, and their inverses, modulo 2 ** 64. The longest tables so far are kept."""
-    if not _POWERS or len(_POWERS[0][0]) < n:
-        out = []
-        for base in (_P, pow(_P, -1, 1 << 64)):
-            x = np.full(n, base, U)
-            x[0] = 1
-            out.append(np.multiply.accumulate(x))
-        _POWERS[:] = [(out[0], out[1])]
-    return _POWERS[0]
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (_P, pow(_P, -1, 1 << 64)):
+        x = np.full(n, base, U)
+        x[0] = 1
+        out.append(np.multiply.accumulate(x))
+    return out[0], out[1]
+
+
+@lru_cache(maxsize=1)
+def _short_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _power_tables(2 * PIECE)
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -51,11 +54,15 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     space = blank[raw]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     starts, stops = edge[::2], edge[1::2]
-    size = 1 << max(16, int(len(raw) - 1).bit_length())
-    power, inverse = _powers(size)
-    total = np.zeros(len(raw) + 1, U)
-    np.cumsum(number[raw] * power[: len(raw)], out=total[1:])
-    hashes = mix((total[stops] - total[starts]) * inverse[starts] + (stops - starts).astype(U))
+    hashes = np.empty(len(starts), U)
+    cuts = [0, *(np.flatnonzero(np.diff(starts // PIECE)) + 1).tolist(), len(starts)] if len(starts) else []
+    for a, b in zip(cuts, cuts[1:]):
+        low, high = int(starts[a]), int(stops[b - 1])
+        power, inverse = _short_powers() if high - low <= 2 * PIECE else _power_tables(high - low)
+        total = np.zeros(high - low + 1, U)
+        np.cumsum(number[raw[low:high]] * power[: high - low], out=total[1:])
+        s, e = starts[a:b] - low, stops[a:b] - low
+        hashes[a:b] = mix((total[e] - total[s]) * inverse[s] + (e - s).astype(U))
     ends = np.cumsum([len(t) + 1 for t in texts]) + 1 if texts else np.zeros(0, np.int64)
     counts = np.diff(np.searchsorted(starts, ends), prepend=0)
     return hashes, counts
@@ -116,6 +123,10 @@ class Routing:
         """The least overlap of linked sets whose sizes add up to ``total`` (an int or an array)."""
         return -(-self.num * total // (self.num + self.den))
 
+    def key_count(self, n):
+        """About how many keys sets of ``n`` shingles have (a number or a Column)."""
+        return 2 * ((self.den - self.num) * (n + n * self.den / self.num) / (self.den + self.num) + 1)
+
     def groups(self, band: int) -> int:
         return -(-14 * (self.apart((2 << band) - 1) + 1) // 10)
 

@@ -5,9 +5,8 @@ import numpy as np
 import pytest
 
 from quarrymill.llm import rtree_join
-from quarrymill.llm.components import connected_components
 from quarrymill.llm.rtree_join import JaccardJoin, RTree, near_duplicates
-from quarrymill.llm.shingles import Routing, count_vector, shingle_sets
+from quarrymill.llm.shingles import Routing, count_vector, shingle_sets, word_hashes
 
 
 def plain_set(text, width):
@@ -86,8 +85,9 @@ def test_tree_loses_no_link():
     sets = [s for s in sets if len(s)]
     counts = np.array([count_vector(s, rtree_join.GROUPS) for s in sets])
     found = set()
-    for i, j in RTree(np.array([len(s) for s in sets]), counts, fan=5).pairs(routing):
-        found |= {frozenset(p) for p in zip(i.tolist(), j.tolist())}
+    tree = RTree(np.array([len(s) for s in sets]), counts, fan=5)
+    for i, j in tree.pairs(routing):
+        found |= {frozenset(p) for p in zip(tree.order[i].tolist(), tree.order[j].tolist())}
     for i in range(len(sets)):
         for j in range(i):
             common = len(np.intersect1d(sets[i], sets[j]))
@@ -100,29 +100,50 @@ def test_tree_loses_no_link():
 def test_components_equal_brute_force(spark, seed, width, num):
     rows = corpus(seed) + [(1, None), (4, ""), (None, "a b c d e f"), (7, "a b c d e f"), (10, "A b c d e f"), (13, " "), (None, "only null"), (13, " ")]
     docs = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, node int, n string")
-    for hot, cell_rows, rounds in ((64, 2048, 3), (2, 4, 1)):
-        got = JaccardJoin(docs, width, num, 100, hot=hot, cell_rows=cell_rows, rounds=rounds, broadcast_rows=0 if hot == 2 else 1000).documents().collect()
+    for hot, cell_rows, shared in ((64, 512, 24), (2, 4, 1)):
+        got = JaccardJoin(docs, width, num, 100, hot=hot, cell_rows=cell_rows, shared=shared, broadcast_rows=0 if hot == 2 else 1000).documents().collect()
         assert sorted((tuple(r) for r in got), key=str) == plain_components(rows, width, num, 100)
 
 
-def test_trees_find_what_seeds_miss(spark):
-    """Near copies whose cell centre links with few of them."""
-    rng = random.Random(5)
+@pytest.mark.parametrize("cell_rows", [512, 6])
+def test_links_are_counted(spark, cell_rows):
+    rows = corpus(4) + [(2, "a b c d e f"), (5, "a b c d e f"), (8, None)]
+    sets = [plain_set(t, 3) for _, t in rows]
+    plain = []
+    for i, (d, _) in enumerate(rows):
+        common = [len(sets[i] & t) for t in sets]
+        plain.append((d, sum(j != i and bool(sets[i]) and bool(t) and 100 * c >= 70 * (len(sets[i]) + len(t) - c) for j, (t, c) in enumerate(zip(sets, common)))))
+    got = JaccardJoin(spark.createDataFrame(rows, "doc_id long, text string"), 3, 70, 100, cell_rows=cell_rows).link_counts().collect()
+    assert sorted(tuple(r) for r in got) == sorted(plain)
+    assert sum(n for _, n in plain) > 100
+
+
+def near_copies(count, changed, seed=5):
+    rng = random.Random(seed)
     base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
     rows = []
-    for k in range(40):
+    for k in range(count):
         own = list(base)
-        for at in rng.sample(range(60), 2):
+        for at in rng.sample(range(60), changed):
             own[at] = f"v{k}x{at}"
         rows.append((k, " ".join(own)))
-    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1, 94, 100).collect()
-    assert sorted((tuple(r) for r in got), key=str) == plain_components(rows, 1, 94, 100)
+    return rows
+
+
+@pytest.mark.parametrize(("num", "shared"), [(94, 24), (94, 0), (97, 2)])
+def test_large_family_in_blocks(spark, num, shared):
+    """Near copies of which few link, or none, in blocks of 8."""
+    rows = near_copies(70, 2)
+    got = JaccardJoin(spark.createDataFrame(rows, "doc_id long, text string"), 1, num, 100, cell_rows=8, shared=shared).documents().collect()
+    assert sorted((tuple(r) for r in got), key=str) == plain_components(rows, 1, num, 100)
 
 
-def test_long_chain(spark):
-    links = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (5, 5), (None, 3)], "a long, b long")
-    got = {r.node: r.component for r in connected_components(links).collect()}
-    assert got == {k: 0 for k in range(61)} | {100: 100, 101: 100}
+def test_words_longer_than_a_piece(monkeypatch):
+    texts = [b"a" * 50 + b" bc " + b"d" * 7, b"", b"bc " * 40, b" bc"]
+    plain = word_hashes(texts)
+    monkeypatch.setattr("quarrymill.llm.shingles.PIECE", 8)
+    cut = word_hashes(texts)
+    assert (plain[0] == cut[0]).all() and (plain[1] == cut[1]).all()
 
 
 def test_empty(spark):
