@@ -127,27 +127,63 @@ class CrossParser:
         s = s[keep]
         return s[int(len(s) > 0 and s[0] == GAP) : len(s) - int(len(s) > 1 and s[-1] == GAP)]
 
-    def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Phrases (texts x languages). Texts are parsed in blocks side by side; a phrase ends with its block."""
+    def phrases(self, texts: list[np.ndarray], chunk: int = 1 << 14) -> np.ndarray:
+        """Phrases (texts x languages).
+
+        Texts are parsed in blocks side by side, each as if a phrase began with it. Then the blocks for which the block before
+        ends within a phrase are parsed again from there, until they come to a state that they had at this letter before, as
+        all that follows is then the same; and so on while ends of blocks change. ``chunk`` blocks are at work at a time.
+        """
         blocks = np.array([-(-len(t) // self.block) for t in texts], np.int64)
         total = int(blocks.sum())
         flat = np.zeros(total * self.block, np.int32)
         at = np.r_[0, np.cumsum(blocks)] * self.block
         for t, a in zip(texts, at.tolist()):
             flat[a : a + len(t)] = t
-        lanes = np.ascontiguousarray(flat.reshape(total, self.block).T)
-        out = np.zeros((len(texts), len(self.names)), np.int64)
+        lanes = flat.reshape(total, self.block)
         owner_text = np.repeat(np.arange(len(texts)), blocks)
-        for k, (owner, target, start) in enumerate(self.tables):
-            state, count = np.zeros(total, np.int32), np.zeros(total, np.int32)
-            for row in lanes:
-                place = state + row
-                got = np.where(owner.take(place) == state, target.take(place), start.take(row))
-                count += got & 1
-                state = got >> 1
-            out[:, k] = np.bincount(owner_text, count, len(texts))
+        follows = np.r_[False, owner_text[1:] == owner_text[:-1]][:total]
+        out = np.zeros((len(texts), len(self.names)), np.int64)
+        for k, table in enumerate(self.tables):
+            last = 0
+            for first in range(0, total, chunk):
+                part = slice(first, first + chunk)
+                count, last = self._parse(np.ascontiguousarray(lanes[part].T), follows[part], last, *table)
+                out[:, k] += np.bincount(owner_text[part], count, len(texts)).astype(np.int64)
         return out
 
+    @staticmethod
+    def _parse(lanes: np.ndarray, follows: np.ndarray, before: int, owner: np.ndarray, target: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, int]:
+        """Phrases that begin in each lane, and the state after the last. ``before``: the state before the first."""
+        steps, count = lanes.shape
+        got = np.empty((steps, count), np.int32)
+        state = np.zeros(count, np.int32)
+        for r, row in enumerate(lanes):
+            place = state + row
+            got[r] = np.where(owner.take(place) == state, target.take(place), start.take(row))
+            state = got[r] >> 1
+        ends, used = state, np.zeros(count, np.int32)
+        todo = np.flatnonzero(follows)
+        while len(todo):
+            came = np.where(todo > 0, ends[todo - 1], before)
+            new = came != used[todo]
+            own, state = todo[new], came[new]
+            used[own] = state
+            for r in range(steps):
+                row = lanes[r, own]
+                place = state + row
+                now = np.where(owner.take(place) == state, target.take(place), start.take(row))
+                apart = now >> 1 != got[r, own] >> 1
+                got[r, own] = now
+                own, state = own[apart], now[apart] >> 1
+                if not len(own):
+                    break
+            ends[own] = state
+            todo = own + 1
+            todo = todo[todo < count]
+            todo = todo[follows[todo]]
+        return (got & 1).sum(0), int(ends[-1])
+
     def judge(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
         """(language, score, normalised phrases a letter) of each text. The score is how much cheaper the best
         language is than the next, as a share; without letters, or without labelled text, it's ``und`` and 0."""

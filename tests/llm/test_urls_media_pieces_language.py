@@ -174,15 +174,13 @@ def test_piece_columns(spark):
 # --- Language
 
 
-def plain_phrases(text, labelled, block):
-    n = 0
-    for at in range(0, len(text), block):
-        part = text[at : at + block]
-        while part:
-            k = 1
-            while k < len(part) and part[: k + 1] in labelled:
-                k += 1
-            n, part = n + 1, part[k:]
+def plain_phrases(text, labelled):
+    n = at = 0
+    while at < len(text):
+        k = 1
+        while at + k < len(text) and text[at : at + k + 1] in labelled:
+            k += 1
+        n, at = n + 1, at + k
     return n
 
 
@@ -191,19 +189,22 @@ def test_cross_parsing_equals_brute_force():
     labelled = tuple((name, " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 5))) for _ in range(60))) for name, letters in (("xx", "abcde"), ("yy", "cdefg")))
     parser = language.CrossParser(labelled, block=16)
     texts = [language.fold("".join(rng.choice("abcdefg h!Z") for _ in range(rng.randint(0, 70)))) for _ in range(60)]
-    got = parser.phrases([parser.fold(t) for t in texts])
-    for t, row in zip(texts, got):
-        assert row.tolist() == [plain_phrases(t, own, 16) for _, own in labelled], t
+    texts += [own[a:b].strip() for _, own in labelled for a, b in ((0, len(own)), (3, 150), (40, 41))] + [labelled[0][1] * 2]
+    texts += [language.fold("".join(rng.choice("abcdefg h") for _ in range(12_000))), ""]
+    for chunk in (1 << 14, 3):
+        got = parser.phrases([parser.fold(t) for t in texts], chunk)
+        for t, row in zip(texts, got):
+            assert row.tolist() == [plain_phrases(t, own) for _, own in labelled], t
 
 
 def test_cross_parsing_knows_every_letter():
     rng = random.Random(8)
     labelled = tuple((name, " ".join("".join(chr(first + rng.randrange(900)) for _ in range(rng.randint(1, 6))) for _ in range(900))) for name, first in (("xx", 0x4E00), ("yy", 0x5400)))
     parser = language.CrossParser(labelled, block=16)
-    texts = [own[k : k + 60].strip() for _, own in labelled for k in range(0, 900, 90)]
+    texts = [own[k : k + 300].strip() for _, own in labelled for k in range(0, 900, 90)]
     got = parser.phrases([parser.fold(t) for t in texts])
     for t, row in zip(texts, got):
-        assert row.tolist() == [plain_phrases(t, own, 16) for _, own in labelled], t
+        assert row.tolist() == [plain_phrases(t, own) for _, own in labelled], t
     assert [r[0] for r in parser.judge(texts)] == ["xx"] * 10 + ["yy"] * 10
 
 
