@@ -8,14 +8,14 @@ each weighted by log2 of the length of its labelled text (the cost of pointing i
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import small_batches, documents, table
+from quarrymill.llm.common import documents, map_arrow, small_batches, table
 
 UNDETERMINED = "und"
 #: Symbols: 0 fills up, 1 stands for anything but letters, 2 for letters without a symbol.
@@ -281,7 +281,7 @@ def identify_languages(
     keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
     own = docs.select(F.col(f"`{text_col}`").cast("string").alias("__text"), *[F.col(f"`{c}`") for c in keep])
     schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add("lang_pred", "string").add("score", "double").add("phrase_cost", "double")
-    return own.mapInArrow(partial(_judge, labelled=labelled), schema)
+    return map_arrow(own, _judge, schema, labelled=labelled)
 
 
 def op6_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import documents, table, tokenizer_path
+from quarrymill.llm.common import documents, map_arrow, table, tokenizer_path
 from quarrymill.llm.wordbpe import encoder
 
 SCHEMA = (
@@ -106,8 +105,8 @@ def pack_documents(
     stays null; repeated rows are packed as often as they occur; an empty table gives no rows. Columns
     besides id and text are not read. ``sequence_id`` is unique over all tasks.
     """
-    run = partial(_pack_partition, path=tokenizer or tokenizer_path("word_bpe_49k.json"), limit=limit, window=window_tokens, end_id=end_id, linear=linear, quadratic=quadratic)
-    return documents(docs, id_col, text_col).mapInArrow(run, SCHEMA)
+    args = dict(path=tokenizer or tokenizer_path("word_bpe_49k.json"), limit=limit, window=window_tokens, end_id=end_id, linear=linear, quadratic=quadratic)
+    return map_arrow(documents(docs, id_col, text_col), _pack_partition, SCHEMA, **args)
 
 
 def op2_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,13 +17,14 @@ import re
 from array import array
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrymill.llm.common import documents, table, tokenizer_path
+from quarrymill.llm.common import documents, map_arrow, table, tokenizer_path
 
 SPACE = "▁"
 _CHUNK = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
@@ -89,6 +90,29 @@ class PieceModel:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
+    def merged_long(self, text: str) -> list[str]:
+        """As merged(), with the pairs in a heap and the parts linked to their neighbours: n log n steps."""
+        n = len(text)
+        parts: list[str | None] = list(text)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        rank = self.rank.get
+        heap = [(r, k, 2) for k in range(n - 1) if (r := rank(text[k : k + 2])) is not None]
+        heapify(heap)
+        while heap:
+            _, k, size = heappop(heap)
+            j = after[k]
+            if parts[k] is None or j >= n or len(parts[k]) + len(parts[j]) != size:
+                continue  # one of the two has been merged since
+            parts[k], parts[j] = parts[k] + parts[j], None
+            after[k] = i = after[j]
+            if i < n:
+                before[i] = k
+                if (r := rank(parts[k] + parts[i])) is not None:
+                    heappush(heap, (r, k, len(parts[k]) + len(parts[i])))
+            if (i := before[k]) >= 0 and (r := rank(parts[i] + parts[k])) is not None:
+                heappush(heap, (r, i, len(parts[i]) + len(parts[k])))
+        return [p for p in parts if p is not None]
+
     def compatible(self, left: str, right: str) -> bool:
         """Would the merges of the joint text end in just these two?"""
         if len(self.pairs) >= self.capacity:
@@ -98,9 +122,9 @@ class PieceModel:
 
     def tokenize(self, chunk: str) -> list[str]:
         """Tokens of a chunk by the prefix table. Characters that aren't in the vocabulary stand alone: no merge
-        crosses them. Runs of spaces, whose pieces share a rank, are merged plainly."""
+        crosses them. Runs of spaces, whose pieces share a rank, are merged pair by pair."""
         if SPACE + SPACE in chunk and self.tied:
-            return self.merged(chunk)
+            return self.merged(chunk) if len(chunk) < 32 else self.merged_long(chunk)
         last: list[str | None] = [None] * (len(chunk) + 1)
         pairs = self.pairs
         for end, token in self.find.iter(chunk):  # at each end, the longest first
@@ -190,10 +214,9 @@ def encode_pieces(docs: DataFrame, model_path: str | None = None, id_col: str =
     """doc_id and ids (with the end id) of every whole text, as the sentencepiece library gives them.
 
     A null or empty text gives the end id alone; null ids stay null; repeated rows give repeated rows; an
-    empty table gives none. Other columns are not read.
+    empty table gives none; a run of n spaces takes n log n steps. Other columns are not read.
     """
-    run = partial(_encode, path=model_path or tokenizer_path("piece_bpe_32k.model"))
-    return documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
+    return map_arrow(documents(docs, id_col, text_col), _encode, "doc_id long, ids array<int>", path=model_path or tokenizer_path("piece_bpe_32k.model"))
 
 
 def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -206,7 +229,7 @@ def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
 def decode_pieces(coded: DataFrame, model_path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """doc_id and text of ids; null ids give a null text."""
     own = coded.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"cast(`{ids_col}` as array<int>) as ids")
-    return own.mapInArrow(partial(_decode, path=model_path or tokenizer_path("piece_bpe_32k.model")), "doc_id long, text string")
+    return map_arrow(own, _decode, "doc_id long, text string", path=model_path or tokenizer_path("piece_bpe_32k.model"))
 
 
 def _digests(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -222,9 +245,8 @@ def _digests(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoding and decoding in one pass, so that ids don't travel between processes."""
-    run = partial(_digests, path=tokenizer_path("piece_bpe_32k.model"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return documents(table(spark, sf_dir, "documents")).mapInArrow(run, schema)
+    return map_arrow(documents(table(spark, sf_dir, "documents")), _digests, schema, path=tokenizer_path("piece_bpe_32k.model"))
 
 
 QUERIES = {"op9_sentencepiece": op9_sentencepiece}

@@ -110,19 +110,45 @@ def test_resample_keeps_a_tone():
     assert len(telephony.resample(x[:0], 8000, 16000)) == 0
 
 
+@pytest.mark.parametrize("native", [8000, 16_000, 11_025])
+def test_packed_pcm_is_lossless(native):
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 577, 1000):
+        own = rng.integers(-32768, 32768, n).astype(np.int16)
+        x = telephony.resample(own, native, 16_000)
+        packed = telephony.pack_pcm(x, 16_000, native)
+        rate, back = telephony.unpack_pcm(packed)
+        assert rate == 16_000 and (back == x).all()
+        if native == 8000:
+            assert (x[::2] == own).all() and not any(packed[12 + 2 * n :])
+        other = rng.integers(-32768, 32768, n).astype(np.int16)  # not resampled at all
+        assert (telephony.unpack_pcm(telephony.pack_pcm(other, 16_000, native))[1] == other).all()
+
+
 def test_media(spark):
-    texts = ["abc", "", None, "ä" * 288, "x" * 577, "abc"]
+    texts = ["abc", "", None, "ä" * 288, "x" * 577, "abc", *[f"text {k} " * 90 for k in range(60)]]
     docs = spark.createDataFrame([(i, t, b"z") for i, t in enumerate(texts)], "doc_id long, text string, media binary")
-    rows = telephony.op8_telephony_audio.__globals__["stored"](telephony.text_media(docs), "m")
-    got = {r.doc_id: r for r in rows.mapInArrow(telephony._features, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").collect()}
+    got = {r.doc_id: r for r in telephony.store_text_audio(docs).collect()}
+    media = {r.doc_id: bytes(r.media) for r in telephony.text_media(docs).collect()}
+    tags = set()
     for i, t in enumerate(texts):
         raw = (t or "").encode()
         want = raw + b"\xff" * (576 * max(1, -(-len(raw) // 576)) - len(raw))
-        r = got[i]
+        r, parsed = got[i], telephony.parse_wav(media[i])
         assert (r.n_bytes, r.payload_bytes) == (len(raw), len(want))
         assert r.payload_sha256 == hashlib.sha256(want).hexdigest() and r.tail_crc32 == zlib.crc32(want[-32:])
-        assert r.media_bytes == len(want) + 58 and r.media_sha256 == hashlib.sha256(telephony.wav(want, telephony.MU_LAW)).hexdigest()
+        assert r.media_bytes == len(media[i]) and r.media_sha256 == hashlib.sha256(media[i]).hexdigest()
+        pcm = telephony.to_pcm([parsed])[0]
+        if parsed["tag"] in telephony.TABLES:
+            assert pcm.tolist() == telephony.TABLES[parsed["tag"]][list(want)].tolist()
+        else:
+            blocks = [b"\0" * 4 + want[k : k + 288] for k in range(0, len(want), 288)]
+            assert pcm.tolist() == sum(map(scalar_ima, blocks), [])
+        rate, back = telephony.unpack_pcm(bytes(r.pcm))
+        assert rate == 16_000 and (back == telephony.resample(pcm, 8000, 16_000)).all() and r.feature == telephony.describe(back)
+        tags.add(parsed["tag"])
     assert got[0][1:] == got[5][1:] and got[0].feature != got[4].feature
+    assert tags == {telephony.MU_LAW, telephony.A_LAW, telephony.IMA_ADPCM}
 
 
 def test_decode_media(spark):
@@ -149,6 +175,16 @@ def coder():
     return PieceModel(tokenizer_path("piece_bpe_32k.model"), capacity=2000)
 
 
+def test_long_runs_of_spaces(coder):
+    import sentencepiece
+
+    library, rng = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model")), random.Random(3)
+    texts = ["x" + " " * n + "the end" for n in (30, 31, 1000, 50_000)] + [" " * 77, "\n" + " " * 40 + "\n▁▁ a"]
+    texts += ["".join(rng.choice(["a", "the", "\n", "▁", "é", "日", " " * rng.randint(1, 60)]) for _ in range(20)) for _ in range(200)]
+    for t in texts:
+        assert coder.encode(t)[0].tolist()[:-1] == library.encode(t), t[:50]
+
+
 def test_pieces_equal_library(coder):
     import sentencepiece
 
