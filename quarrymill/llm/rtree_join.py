@@ -337,7 +337,7 @@ class JaccardJoin:
         first = members.groupBy("key").agg(F.min("node").alias("first"))
         star = members.join(first, "key").where("node <> first").select("node", "first").distinct()
         family = connected_components(star, "node", "first").withColumnRenamed("component", "family")
-        own = stored(family.join(self.nodes.drop("doc_id"), "node"), "families")
+        own = family.join(self.nodes.drop("doc_id"), "node")
         size = own.groupBy("family").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
         blocks = F.ceil(F.greatest(F.col("members") / self.cell_rows, F.col("shingles") / self.cell_shingles)).cast("int")
         return stored(own.join(size.select("family", "members", blocks.alias("blocks")), "family"), "families")
