@@ -1,9 +1,9 @@
 """Quality rules by cross-document line frequency (operator 1), in DataFrame operations only.
 
 Lines are normalised and hashed. For each host the distinct documents that hold a line are counted (exact copies
-count once); lines above the limits are removed from the texts, and documents of which too little is left are rejected. A
-frequent line whose documents consist mostly of frequent lines isn't boilerplate but part of a document that was
-copied as a whole: it stays, as copies are the near-duplicate operator's to thin out.
+count once); lines above the limit are removed from the texts, and documents of which too little is left are rejected. One
+document keeps such a line: the first of its documents by hash of the text. So of near copies, which share most lines and
+would all be depleted, one stays whole.
 """
 
 from __future__ import annotations
@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from quarrymill.llm.common import stored, table
 
 BLANK = r"[\x20\x09-\x0D]"
-#: The most removed lines that are broadcast, as hashes per host (8 bytes each); with more, each document's own are
-#: joined to it by shuffle.
-BROADCAST_LINES = 500_000
+#: The most removed lines that are broadcast, as two hashes each by host; with more, each document's own are joined to
+#: it by shuffle.
+BROADCAST_LINES = 10_000
 #: Windows are told apart by the upper bits of a hash; the lower ones hold the position.
 _BITS = 20
 
@@ -39,8 +39,9 @@ def _windows(words: Column, key) -> Column:
 def repeated_words(words: Column) -> Column:
     """Words that lie in windows of three words that occur twice or more, the first occurrence included.
 
-    Keys of windows are sorted; equal neighbours are compared word by word. Texts with more words than the
-    position bits can hold are sorted by hash and position apart.
+    Keys of windows are sorted, and equal ones no more than two places apart compared word by word: windows that share a
+    key, but no words, would have to be three to hide one. Texts with more words than the position bits can hold are
+    sorted by hash and position apart.
     """
 
     def same(p: Column, q: Column) -> Column:
@@ -51,7 +52,7 @@ def repeated_words(words: Column) -> Column:
         def near(x: Column, y: Column) -> Column:
             return F.coalesce(high(x) == high(y), F.lit(False)) & same(place(x), place(y))
 
-        found = F.filter(keys, lambda x, k: near(x, F.get(keys, k - 1)) | near(x, F.get(keys, k + 1)))
+        found = F.filter(keys, lambda x, k: near(x, F.get(keys, k - 1)) | near(x, F.get(keys, k + 1)) | near(x, F.get(keys, k - 2)) | near(x, F.get(keys, k + 2)))
         return F.sort_array(F.transform(found, place))
 
     def packed(i: Column) -> Column:
@@ -88,10 +89,10 @@ def base_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def document_key(host_col: str, text_col: str) -> list[Column]:
-    """Host (empty for null), and hash and length of the text: equal for exact copies on one host."""
+    """Host (empty for null), and hash (the upper 60 bits of MD5) and length of the text: equal for exact copies on one host."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     host = F.coalesce(F.col(f"`{host_col}`").cast("string"), F.lit(""))
-    return [host.alias("__host"), F.xxhash64(text).alias("__text_hash"), F.length(text).alias("__text_length")]
+    return [host.alias("__host"), F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long").alias("__text_hash"), F.length(text).alias("__text_length")]
 
 
 KEY = ["__host", "__text_hash", "__text_length"]
@@ -102,102 +103,83 @@ def normal_line(line: Column) -> Column:
 
 
 def document_lines(docs: DataFrame, host_col: str, text_col: str) -> DataFrame:
-    """A row for each line with a word: its document's key, the hash of the normalised line and its words."""
+    """A row for each line with a word: its document's key and the hash of the normalised line."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = docs.select(*document_key(host_col, text_col), F.explode(F.split(text, "\n")).alias("line"))
     rows = rows.select(*KEY, normal_line(F.col("line")).alias("line")).where("line != ''")
-    n = F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1
-    return rows.select(*KEY, F.xxhash64("line").alias("__line"), n.cast("long").alias("__line_words"))
-
-
-def frequent_lines(
-    docs: DataFrame,
-    host_col: str = "source",
-    text_col: str = "text",
-    min_documents: int = 100,
-    min_share: float = 0.05,
-    whole_share: float = 0.7,
-    keep_share: float = 0.4,
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The lines to remove (__host, __line), where they stand (key and __line) and the keys of the documents that they
-    deplete, with __removed_share.
-
-    A line is frequent if more than ``min_documents`` distinct documents of its host hold it and more
-    than ``min_share`` of them. Of the frequent lines, those are removed whose documents have on average less than
-    ``whole_share`` of their words in frequent lines. A document is depleted if less than ``keep_share`` of its
-    words is left. The results are stored, so that their size is known to joins.
-    """
-    lines = document_lines(docs, host_col, text_col)
-    total = F.sum("__line_words").alias("words")
-    # exact copies on one host count once
-    once = lines.groupBy(*KEY, "__line").agg(F.count("*").alias("times"), total)
-    often = once.groupBy("__host", "__line").agg(F.count("*").alias("documents")).where(F.col("documents") > min_documents)
-    hosts = docs.select(*document_key(host_col, text_col)).groupBy(*KEY).agg(F.count("*").alias("copies")).groupBy("__host").agg(F.count("*").alias("host_documents"))
-    frequent = stored(often.join(hosts, "__host").where(F.col("documents") > F.col("host_documents") * min_share).select("__host", "__line"), "frequent-lines")
-    # a copied document's words count as often as it was copied; shares are the same
-    sizes = lines.groupBy(*KEY).agg(total)
-    found = stored(lines.join(frequent, ["__host", "__line"]).groupBy(*KEY, "__line").agg(total), "found-lines")
-    held = found.groupBy(*KEY).agg(F.sum("words").alias("frequent_words"))
-    held = stored(held.join(sizes, KEY).select(*KEY, "frequent_words", F.col("words").alias("all_words")), "held-words")
-    share = found.join(held, KEY).groupBy("__host", "__line").agg(F.avg(F.col("frequent_words") / F.col("all_words")).alias("share"))
-    removed = stored(share.where(F.col("share") < whole_share).select("__host", "__line"), "removed-lines")
-    places = found.join(removed, ["__host", "__line"])
-    gone = places.groupBy(*KEY).agg(F.sum("words").alias("gone"))
-    out = gone.join(held, KEY).where(F.col("all_words") - F.col("gone") < F.col("all_words") * keep_share)
-    depleted = stored(out.select(*KEY, (F.col("gone") / F.col("all_words")).alias("__removed_share")), "depleted")
-    return removed, places.select(*KEY, "__line"), depleted
-
-
-def with_clean_text(keyed: DataFrame, removed: DataFrame, places: DataFrame, text_col: str = "text") -> DataFrame:
-    """``keyed`` (rows with document_key) with __clean: the text without its removed lines, null where it holds none.
+    return rows.select(*KEY, F.xxhash64("line").alias("__line"))
+
+
+def frequent_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", floor: float = 3.0, slope: float = 0.5) -> DataFrame:
+    """__host, __line, and __first, the text hash of the document that keeps the line, of the lines above the limit: lines that
+    more than ``floor`` + ``slope`` * sqrt(n) distinct documents hold of a host with n of them. Stored."""
+    held = document_lines(docs, host_col, text_col).distinct()  # exact copies on one host count once
+    often = held.groupBy("__host", "__line").agg(F.count("*").alias("documents"), F.min("__text_hash").alias("__first")).where(F.col("documents") > floor)
+    hosts = docs.select(*document_key(host_col, text_col)).distinct().groupBy("__host").agg(F.count("*").alias("host_documents"))
+    limit = F.lit(floor) + F.lit(slope) * F.sqrt(F.col("host_documents").cast("double"))
+    return stored(often.join(hosts, "__host").where(F.col("documents") > limit).select("__host", "__line", "__first"), "frequent-lines")
+
+
+def with_clean_text(docs: DataFrame, removed: DataFrame, host_col: str, text_col: str) -> DataFrame:
+    """``docs`` with KEY and __clean: a struct of the text without its removed lines and the words that are left of it; null
+    where the text holds none.
 
     The other lines, blank ones included, stay as they are and in order.
     """
+    keyed = docs.select("*", *document_key(host_col, text_col))
     if removed.count() <= BROADCAST_LINES:
-        chosen = F.broadcast(removed.groupBy("__host").agg(F.collect_list("__line").alias("__removed")))
+        chosen = F.broadcast(removed.groupBy("__host").agg(F.collect_list(F.struct("__line", "__first")).alias("__removed")))
         rows = keyed.join(chosen, "__host", "left")
+        mine = F.transform(F.filter("__removed", lambda r: r["__first"] != F.col("__text_hash")), lambda r: r["__line"])
     else:
-        rows = keyed.join(stored(places.groupBy(*KEY).agg(F.collect_list("__line").alias("__removed")), "places"), KEY, "left")
+        places = document_lines(docs, host_col, text_col).join(removed, ["__host", "__line"]).where("__text_hash != __first")
+        rows = keyed.join(places.groupBy(*KEY).agg(F.collect_set("__line").alias("__removed")), KEY, "left")
+        mine = F.col("__removed")
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
 
     def clean(z: Column) -> Column:
         # blank lines have no hash, as document_lines leaves them out
         hashes = F.transform(z["lines"], lambda x: _let(normal_line(x), lambda n: F.when(n != "", F.xxhash64(n))))
-        return _let(hashes, lambda h: _let(F.array_intersect(h, z["removed"]), lambda hit: F.when(F.size(hit) > 0, F.concat_ws("\n", F.filter(z["lines"], lambda x, i: ~F.coalesce(F.array_contains(hit, F.get(h, i)), F.lit(False)))))))
+        rest = lambda h, hit: F.concat_ws("\n", F.filter(z["lines"], lambda x, i: ~F.coalesce(F.array_contains(hit, F.get(h, i)), F.lit(False))))
+        sized = lambda t: F.struct(t.alias("text"), F.size(words_of(t)).cast("long").alias("words"))
+        return _let(hashes, lambda h: _let(F.array_intersect(h, z["mine"]), lambda hit: F.when(F.size(hit) > 0, _let(rest(h, hit), sized))))
 
-    own = _let(F.struct(F.split(text, "\n").alias("lines"), F.col("__removed").alias("removed")), clean)
+    own = _let(F.struct(F.split(text, "\n").alias("lines"), mine.alias("mine")), clean)
     return rows.withColumn("__clean", F.when(F.col("__removed").isNotNull(), own)).drop("__removed")
 
 
-
-
-def judge_quality(docs: DataFrame, host_col: str = "source", text_col: str = "text", **limits) -> DataFrame:
+def judge_quality(docs: DataFrame, host_col: str = "source", text_col: str = "text", keep_share: float = 0.4, **limits) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_share, kept and
-    clean_text (the text without its removed lines).
+    clean_text (the text without its removed lines). A document is depleted, and not kept, if less than ``keep_share`` of its
+    words is left; ``limits``: see frequent_lines().
 
     Columns of these names in ``docs`` are replaced. A null text counts as empty (no words: base_failed); a null
-    host counts as the empty one; repeated rows get the same verdict; an empty table gives no rows.
+    host counts as the empty one; repeated rows get the same verdict; ties of the hash by which a line is kept, and lines of
+    any length, are told by hashes alone; an empty table gives no rows.
     """
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    removed, places, depleted = frequent_lines(docs, host_col, text_col, **limits)
+    removed = frequent_lines(docs, host_col, text_col, **limits)
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in {*names, "removed_share", "kept", "clean_text"}]
-    own = base_rules(docs.select(*keep, *document_key(host_col, text_col)), text_col)
-    own = own.select(*keep, *KEY, *[F.col(f"__{c}").alias(c) for c in names])
-    own = own.join(depleted, KEY, "left").withColumn("removed_share", F.coalesce("__removed_share", F.lit(0.0)))
-    own = with_clean_text(own, removed, places, text_col).withColumn("clean_text", F.coalesce("__clean", F.col(f"`{text_col}`").cast("string"))).drop("__clean")
-    return own.withColumn("kept", ~F.col("base_failed") & F.col("__removed_share").isNull()).drop(*KEY, "__removed_share")
+    own = base_rules(with_clean_text(docs.select(*keep), removed, host_col, text_col), text_col)
+    own = own.select(*keep, "__clean", *[F.col(f"__{c}").alias(c) for c in names])
+    left = F.coalesce("__clean.words", "n_words")
+    own = own.withColumn("removed_share", F.when(F.col("n_words") > 0, (F.col("n_words") - left) / F.col("n_words")).otherwise(F.lit(0.0)))
+    own = own.withColumn("kept", ~F.col("base_failed") & (left >= F.col("n_words") * F.lit(keep_share)))
+    return own.withColumn("clean_text", F.coalesce("__clean.text", F.col(f"`{text_col}`").cast("string"))).drop("__clean")
 
 
-def keep_good(docs: DataFrame, host_col: str = "source", text_col: str = "text", length_col: str = "n_chars", **limits) -> DataFrame:
+def keep_good(docs: DataFrame, host_col: str = "source", text_col: str = "text", length_col: str = "n_chars", keep_share: float = 0.4, **limits) -> DataFrame:
     """The rows of ``docs`` that judge_quality keeps, with the columns of ``docs``: texts without their removed lines,
-    and their length where ``docs`` has ``length_col``. No document is shuffled unless the depleted ones or the removed
-    lines are too many to broadcast."""
-    removed, places, depleted = frequent_lines(docs, host_col, text_col, **limits)
+    and their length where ``docs`` has ``length_col``. No document is shuffled unless the removed lines are too many to
+    broadcast. Nulls, ties and repeated rows as in judge_quality()."""
+    removed = frequent_lines(docs, host_col, text_col, **limits)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     good = _let(words_of(text), lambda w: (F.size(w) >= 50) & (100 * repeated_words(w) <= 50 * F.size(w)))
-    own = docs.where(good).select("*", *document_key(host_col, text_col))
-    own = with_clean_text(own.join(depleted.select(*KEY), KEY, "left_anti"), removed, places, text_col)
-    new = {text_col: F.col("__clean"), length_col: F.length("__clean")}
+    own = with_clean_text(docs.where(good), removed, host_col, text_col)
+    # a row is kept by exploding an array of one item or none: a filter would compute the clean text a second time
+    enough = lambda c: c["words"].isNull() | (c["words"] >= F.size(words_of(text)) * F.lit(keep_share))
+    own = own.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.filter(F.array("__clean"), enough)).alias("__clean"))
+    new = {text_col: F.col("__clean.text"), length_col: F.length("__clean.text")}
     types = dict(docs.dtypes)
     changed = {c: F.when(F.col("__clean").isNotNull(), v.cast(types[c])).otherwise(F.col(f"`{c}`")).alias(c) for c, v in new.items() if c in types}
     return own.select(*[changed.get(c, F.col(f"`{c}`")) for c in docs.columns])
@@ -224,26 +206,19 @@ raw AS (SELECT doc_id, host, text, unnest(l) AS line FROM base),
 lines AS (SELECT doc_id, host, text, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM raw),
 sized AS (SELECT *, len(string_split(line, ' ')) AS words FROM lines),
 hosts AS (SELECT host, count(DISTINCT text) AS total FROM docs GROUP BY host),
-often AS (SELECT host, line, count(DISTINCT text) AS n FROM lines GROUP BY host, line),
-frequent AS (SELECT host, line FROM often JOIN hosts USING (host) WHERE n > 100 AND n > total * 0.05),
-found AS (SELECT host, text, line, sum(words) AS words FROM sized JOIN frequent USING (host, line) GROUP BY ALL),
-held AS (SELECT host, text, f.words AS frequent_words, s.words AS all_words
-         FROM (SELECT host, text, sum(words) AS words FROM found GROUP BY ALL) f
-         JOIN (SELECT host, text, sum(words) AS words FROM sized GROUP BY ALL) s USING (host, text)),
-removed AS (SELECT host, line FROM found JOIN held USING (host, text) GROUP BY host, line
-            HAVING avg(frequent_words / all_words) < 0.7),
-gone AS (SELECT host, text, sum(words) AS gone FROM found JOIN removed USING (host, line) GROUP BY ALL),
-depleted AS (SELECT host, text, gone / all_words AS removed_share FROM gone JOIN held USING (host, text)
-             WHERE all_words - gone < all_words * 0.4),
+often AS (SELECT host, line, count(DISTINCT text) AS n, min(md5(text)) AS first FROM lines GROUP BY host, line),
+frequent AS (SELECT host, line, first FROM often JOIN hosts USING (host) WHERE n > 3.0::DOUBLE + 0.5::DOUBLE * sqrt(total)),
+gone AS (SELECT doc_id, sum(words) AS words FROM sized JOIN frequent USING (host, line) WHERE md5(text) <> first GROUP BY doc_id),
 judged AS (SELECT doc_id, n_words, word_chars, n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, n_repeat_words,
-             n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, removed_share
-           FROM base LEFT JOIN depleted USING (host, text))
+             n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(words, 0) AS gone
+           FROM base LEFT JOIN gone USING (doc_id))
 """
 
 SQL_JUDGED = _SQL_BASE + """
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
   n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-  NOT base_failed AND removed_share IS NULL AS kept, coalesce(removed_share, 0.0)::DOUBLE AS removed_share
+  NOT base_failed AND n_words - gone >= n_words * 0.4::DOUBLE AS kept,
+  CASE WHEN n_words > 0 THEN gone::DOUBLE / n_words ELSE 0.0 END::DOUBLE AS removed_share
 FROM judged"""
 
 QUERIES = {"op1_line_frequency": op1_line_frequency}
