@@ -1,4 +1,5 @@
-"""String similarities as Column expressions: array functions, with an LCS by nested aggregates."""
+"""String similarities as Column expressions: what containment decides stays in the JVM, only other pairs reach Python,
+in Arrow batches."""
 
 from __future__ import annotations
 
@@ -9,54 +10,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrymill.functions.text import let
-
-
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence: one row of the table after the other."""
-
-    def of(pair: Column) -> Column:
-        right = pair["b"]
-
-        def row(before: Column, c: Column) -> Column:
-            def cell(now: Column, j: Column) -> Column:
-                same = F.get(right, j - 1) == c
-                best = F.when(same, F.get(before, j - 1) + 1).otherwise(F.greatest(F.get(before, j), F.element_at(now, -1)))
-                return F.concat(now, F.array(best))
-
-            return F.aggregate(F.sequence(F.lit(1), F.size(right)), F.array(F.lit(0)), cell)
-
-        return F.element_at(F.aggregate(pair["a"], F.array_repeat(F.lit(0), F.size(right) + 1), row), -1)
-
-    split = lambda x: F.filter(F.split(x, ""), lambda c: c != "")
-    both = let(F.struct(split(a).alias("a"), split(b).alias("b")), of)
-    return F.when((a == "") | (b == ""), F.lit(0)).when(a == b, F.length(a)).otherwise(both)
-
-
-def _ratio(distance: Column, total: Column) -> Column:
-    return F.when(total > 0, 100.0 * (1.0 - distance / total)).otherwise(F.lit(100.0))
-
-
-def token_set_ratio(a: Column, b: Column) -> Column:
-    """0 to 100: the best similarity of the common words and of either side's words. A side without words gives 0."""
-    words = lambda x: F.array_sort(F.array_distinct(F.filter(F.split(x, r"\s+"), lambda w: w != "")))
-
-    def of(s: Column) -> Column:
-        shared = F.array_join(F.array_intersect(s["a"], s["b"]), " ")
-        left, right = F.array_join(F.array_except(s["a"], s["b"]), " "), F.array_join(F.array_except(s["b"], s["a"]), " ")
-        return let(F.struct(shared.alias("i"), left.alias("l"), right.alias("r"), F.size(s["a"]).alias("na"), F.size(s["b"]).alias("nb")), score)
-
-    def score(s: Column) -> Column:
-        i, l, r = F.length(s["i"]), F.length(s["l"]), F.length(s["r"])
-        gap = F.when(i > 0, 1).otherwise(0)
-        full_l, full_r = i + gap + l, i + gap + r
-        rest = _ratio(l + r - 2 * lcs_length(s["l"], s["r"]), full_l + full_r)
-        with_l, with_r = _ratio(gap + l, i + full_l), _ratio(gap + r, i + full_r)
-        partly = F.when(i == 0, rest).otherwise(F.greatest(rest, with_l, with_r))
-        return F.when((s["na"] == 0) | (s["nb"] == 0), F.lit(0.0)).when((i > 0) & ((l == 0) | (r == 0)), F.lit(100.0)).otherwise(partly)
-
-    return F.coalesce(let(F.struct(words(a).alias("a"), words(b).alias("b")), of), F.lit(0.0))
-
 
 def _lcs(a: str, b: str) -> int:
     """Longest common subsequence by bit rows."""
@@ -90,6 +43,33 @@ def partial_score(a: str, b: str) -> float:
     return best
 
 
+def token_set_score(a: str, b: str) -> float:
+    """The best similarity of the common words and of either side's words."""
+    x, y = set(a.split()), set(b.split())
+    if not x or not y:
+        return 0.0
+    shared = " ".join(sorted(x & y))
+    left, right = " ".join(sorted(x - y)), " ".join(sorted(y - x))
+    if shared and (not left or not right):
+        return 100.0
+    i, l, r, gap = len(shared), len(left), len(right), int(bool(shared))
+    ratio = lambda distance, total: 100.0 * (1.0 - distance / total) if total else 100.0
+    best = ratio(l + r - 2 * _lcs(left, right), 2 * (i + gap) + l + r)
+    return best if not shared else max(best, ratio(gap + l, 2 * i + gap + l), ratio(gap + r, 2 * i + gap + r))
+
+
+@F.pandas_udf(T.DoubleType())
+def _token_set(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for a, b in parts:
+        yield pd.Series([None if x is None or y is None else token_set_score(x, y) for x, y in zip(a, b)], dtype="float64")
+
+
+def token_set_ratio(a: Column, b: Column) -> Column:
+    """0 to 100, 0 where a side has no words. Equal texts are decided without Python."""
+    same = (a == b) & (F.btrim(a) != "")
+    return F.when(same, F.lit(100.0)).otherwise(F.coalesce(_token_set(F.when(~same, a), F.when(~same, b)), F.lit(0.0)))
+
+
 @F.pandas_udf(T.DoubleType())
 def _partial(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in parts:

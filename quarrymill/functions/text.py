@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
-from functools import lru_cache
+from functools import lru_cache, wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +17,21 @@ LEGAL_FORMS = (
 )
 
 
+def once_a_session(build):
+    """Keeps what ``build`` makes of its (hashable) arguments: expressions don't depend on tables, and making long ones
+    takes longer than running them over a short list."""
+    made: dict = {}
+
+    @wraps(build)
+    def of(*args):
+        key = (id(SparkContext._gateway), args)
+        if key not in made:
+            made[key] = build(*args)
+        return made[key]
+
+    return of
+
+
 def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 

@@ -44,19 +44,33 @@ def features(records: DataFrame, schema: Schema) -> DataFrame:
     )
 
 
-def block_pairs(rows: DataFrame, pair_budget: int | None = None) -> DataFrame:
+#: Members of a block that meet in one place; larger blocks are split into parts of about so many, and parts meet parts.
+PART = 512
+
+
+def block_pairs(rows: DataFrame, pair_budget: int | None = None, part: int = PART) -> DataFrame:
     """(a_ord, b_ord, edge_ord) of the records that share an identifier, a postcode or the first six letters of the name; each
-    pair once, with the order in which blocks and records give it. With a budget, more pairs raise an error."""
+    pair once, with the order in which blocks and records give it.
+
+    More pairs than the budget raise an error before any is made; the default is 250,000, or 50 a record where that is
+    more: a block that many records share (a mailbox, a dummy postcode) has pairs by the square of its size. The pairs of a large
+    block are made part by part, in as many tasks as there are pairs of parts.
+    """
     kinds = F.transform("ids", lambda x: F.concat(x["kind"], F.lit(":"), x["id"]))
     others = strings(F.concat(F.lit("pc:"), F.col("postcode")), F.when(F.col("name") != "", F.concat(F.lit("name:"), F.substring("name", 1, 6))))
-    keyed = rows.select("ord", F.posexplode(F.concat(kinds, others)).alias("pos", "key"))
-    if pair_budget is not None:
-        total = keyed.groupBy("key").count().agg(F.sum(F.expr("count * (count - 1) / 2"))).first()[0] or 0
-        if total > pair_budget:
-            raise ValueError(f"{total:.0f} pairs to compare, but the budget is {pair_budget}: split the input")
-    first = keyed.groupBy("key").agg(F.min(F.struct("ord", "pos")).alias("block"), F.count("*").alias("members")).where("members > 1").select("key", "block")
-    left = keyed.join(first, "key").select("key", "block", F.col("ord").alias("a_ord"))
-    pairs = left.join(keyed.select("key", F.col("ord").alias("b_ord")), "key").where("a_ord < b_ord")
+    keyed = stored(rows.select("ord", F.posexplode(F.concat(kinds, others)).alias("pos", "key")), "block-keys")
+    first = keyed.groupBy("key").agg(F.min(F.struct("ord", "pos")).alias("block"), F.count("*").alias("members")).where("members > 1")
+    first = stored(first.withColumn("parts", F.ceil(F.col("members") / part).cast("int")), "blocks")
+    total = first.agg(F.sum(F.expr("members * (members - 1) / 2"))).first()[0] or 0
+    budget = max(250_000, 50 * rows.count()) if pair_budget is None else pair_budget
+    if total > budget:
+        worst = [f"{r.key} ({r.members})" for r in first.orderBy(F.desc("members"), "key").limit(3).collect()]
+        raise ValueError(f"{total:.0f} pairs to compare, but the budget is {budget}: split the input or mend the most shared values, {', '.join(worst)}")
+    own = keyed.join(first, "key").withColumn("mine", F.pmod(F.xxhash64("ord"), F.col("parts")).cast("int"))
+    left = own.select("key", "block", F.col("ord").alias("a"), F.col("mine").alias("p"), F.explode(F.sequence("mine", F.col("parts") - 1)).alias("q"))
+    right = own.select("key", F.col("ord").alias("b"), F.col("mine").alias("q"), F.explode(F.sequence(F.lit(0), "mine")).alias("p"))
+    met = left.join(right, ["key", "p", "q"]).where("(p < q and a <> b) or (p = q and a < b)")
+    pairs = met.select(F.least("a", "b").alias("a_ord"), F.greatest("a", "b").alias("b_ord"), "block").where("a_ord < b_ord")
     return pairs.groupBy("a_ord", "b_ord").agg(F.min(F.struct("block", "a_ord", "b_ord")).alias("edge_ord"))
 
 

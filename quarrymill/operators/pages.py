@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Mapping
-from functools import partial
+from functools import lru_cache, partial
 from html.parser import HTMLParser
+from itertools import islice
 from urllib.parse import unquote, urljoin
 
 import pyarrow as pa
@@ -26,6 +27,8 @@ CONTACT_WORDS = (
 #: Patterns of addresses, of what only looks like one, and of company numbers in context.
 ADDRESS = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,24}"
 HIDDEN = r"(?i)([A-Za-z0-9._%+\-]+)\s*(?:\[at\]|\(at\)|\{at\}|\s@\s|&#64;)\s*([A-Za-z0-9.\-]+)\s*(?:\[dot\]|\(dot\)|\.)\s*([A-Za-z]{2,24})"
+#: What any match of HIDDEN holds.
+HIDDEN_SIGN = r"(?i)[\[({]at[\])}]|\s@\s|&#64;"
 JUNK = (
     r"(?i)\.(png|jpe?g|gif|svg|webp|css|js|pdf)$|example\.|@sentry|wixpress|@2x|@3x|^\d+x\d*@|noreply|no-reply|"
     r"@(domain|email|mail|yourdomain|company|site)\.(com|be|nl)$|@[0-9.]+$|^(email|mail|name|user|info)@(domain|example|email)\b"
@@ -38,6 +41,8 @@ COMPANY_NUMBER = (
 PHONE_IN_TEXT = r"(?:\+|00|\(?0)[\d][\d\s().\-/]{6,18}\d"
 SHARE_LINK = r"(?i)sharer|/share|intent/|/dialog/|plugins/|/tr\?"
 SILENT = ("script", "style", "noscript", "svg", "template")
+#: Elements whose start ends an open one of these, as its end may be left out.
+ENDS = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr")}
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 
 
@@ -48,10 +53,13 @@ class Node:
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
 
     def walk(self) -> Iterator[Node]:
-        for c in self.children:
-            if isinstance(c, Node):
-                yield c
-                yield from c.walk()
+        """All nodes below, in the order of the page; pages of any depth."""
+        todo = self.children[::-1]
+        while todo:
+            at = todo.pop()
+            if isinstance(at, Node):
+                yield at
+                todo += at.children[::-1]
 
     def text(self) -> str:
         parts, todo = [], [self]
@@ -71,6 +79,8 @@ class _Tree(HTMLParser):
         self.root = self.at = Node("", {}, None)
 
     def handle_starttag(self, tag, attrs):
+        while self.at.tag in ENDS.get(tag, ()):
+            self.at = self.at.parent
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.children.append(node)
         if tag not in VOID:
@@ -118,19 +128,31 @@ def _fits(node: Node, step: str) -> bool:
                 return False
         if part[0] == ":":
             place = int(re.search(r"\d+", part)[0]) if "(" in part else 1
-            same = [c for c in node.parent.children if isinstance(c, Node) and c.tag == node.tag]
-            if same.index(node) + 1 != place:
+            same = (c for c in node.parent.children if isinstance(c, Node) and c.tag == node.tag)
+            if next(islice(same, place - 1, None), None) is not node:
                 return False
     return True
 
 
+@lru_cache(maxsize=256)
+def _steps(selector: str) -> list[list[str]]:
+    """Steps and combinators of each part of a selector; ValueError for what isn't supported."""
+    out = []
+    for one in selector.split(","):
+        steps = [x for x in re.findall(r"[>+~]|[^\s>+~\[]*(?:\[[^\]]*\][^\s>+~\[]*)*", one.strip()) if x]
+        whole = re.sub(r"\s", "", one) == re.sub(r"\s", "", "".join(steps))
+        if not whole or not steps or steps[-1] in ">+~" or any(x not in ">+~" and not _STEP.fullmatch(x) for x in steps):
+            raise ValueError(f"selector {selector!r}: only tags, classes, ids, attributes, :nth-of-type(), descendants, >, + and ~ are read")
+        out.append(steps)
+    return out
+
+
 def select(root: Node, selector: str) -> list[Node]:
     """Nodes below ``root`` for tags, classes, ids, attributes, :nth-of-type(), descendants, ``>``, ``+``, ``~`` and commas."""
-    out: list[Node] = []
-    for one in selector.split(","):
-        steps = re.findall(r"[>+~]|[^\s>+~\[]*(?:\[[^\]]*\][^\s>+~\[]*)*", one.strip())
+    out: dict[int, Node] = {}
+    for steps in _steps(selector):
         found, how = [root], " "
-        for step in filter(None, steps):
+        for step in steps:
             if step in ">+~":
                 how = step
                 continue
@@ -141,9 +163,16 @@ def select(root: Node, selector: str) -> list[Node]:
                 pool = {" ": n.walk, ">": lambda n=n: (c for c in n.children if isinstance(c, Node)), "+": lambda a=after: a[:1], "~": lambda a=after: a}[how]()
                 seen |= {id(c): c for c in pool if _fits(c, step)}
             found, how = list(seen.values()), " "
-        out += [n for n in found if n not in out]
-    order = {id(n): k for k, n in enumerate(root.walk())}
-    return sorted(out, key=lambda n: order[id(n)])
+        out |= {id(n): n for n in found}
+    if len(out) < 2:
+        return list(out.values())
+    return [n for n in root.walk() if id(n) in out] if root.parent is None else sorted(out.values(), key={id(n): k for k, n in enumerate(_top(root).walk())}.get)
+
+
+def _top(node: Node) -> Node:
+    while node.parent is not None:
+        node = node.parent
+    return node
 
 
 def raw_field(node: Node, spec: Mapping, base: str) -> str | None:
@@ -185,6 +214,8 @@ def html_items(pages: DataFrame, item_selector: str | None, fields: Mapping[str,
     """A row per item of every listing page: page_url, item (place on the page) and the declared fields. Without an item selector a page
     is one item. Null pages give no items."""
     specs = {n: {"selector": s} if isinstance(s, str) else dict(s) for n, s in fields.items()}
+    for selector in filter(None, [item_selector, *(s.get("selector") for s in specs.values())]):
+        _steps(selector)  # an unsupported one fails here, not in a task
     schema = "page_url string, item int, " + ", ".join(f"`{n}` string" for n in specs)
     rows = pages.select(F.col(url_col).cast("string"), F.col(html_col).cast("string")).where(F.col(html_col).isNotNull()).mapInArrow(partial(_items, item=item_selector, fields=specs), schema)
     return rows.select("page_url", "item", *[finished_field(F.col(n), s).alias(n) for n, s in specs.items()], *[F.lit(v).alias(k) for k, v in (constants or {}).items()])
@@ -260,15 +291,22 @@ def page_content(pages: DataFrame, *others: str) -> DataFrame:
 
 
 def emails(text: Column, direct: Column) -> Column:
-    """Addresses of mail links, then plain and spelled-out ones of the text, without junk, first seen first."""
+    """Addresses of mail links, then plain and spelled-out ones of the text, without junk, first seen first. Texts without a
+    sign of an address are not searched."""
     linked = F.flatten(F.transform(F.filter(direct, lambda h: F.lower(h).startswith("mailto:")), lambda h: F.transform(F.split(F.substr(h, F.lit(8)), ","), web.normalize_email)))
-    plain = F.transform(F.regexp_extract_all(text, F.lit(f"({ADDRESS})"), F.lit(1)), F.lower)
-    parts = [F.regexp_extract_all(text, F.lit(HIDDEN), F.lit(k)) for k in (1, 2, 3)]
-    hidden = F.transform(F.arrays_zip(*[p.alias(f"p{k}") for k, p in enumerate(parts)]), lambda z: F.lower(F.concat(z["p0"], F.lit("@"), z["p1"], F.lit("."), z["p2"])))
+    none = F.array().cast("array<string>")
+    plain = F.when(text.contains("@"), F.transform(F.regexp_extract_all(text, F.lit(f"({ADDRESS})"), F.lit(1)), F.lower)).otherwise(none)
+    part = lambda m, k: F.regexp_extract(m, HIDDEN, k)
+    hidden = F.when(text.rlike(HIDDEN_SIGN), F.transform(F.regexp_extract_all(text, F.lit(HIDDEN), F.lit(0)), lambda m: F.lower(F.concat(part(m, 1), F.lit("@"), part(m, 2), F.lit("."), part(m, 3))))).otherwise(none)
     found = F.transform(F.array_compact(F.concat(linked, plain, hidden)), lambda e: F.btrim(e, F.lit(".,;:")))
     return F.array_distinct(F.filter(found, lambda e: web.is_valid_email(e) & ~e.rlike(JUNK)))
 
 
+def may_hold_email(text: Column | str) -> Column:
+    """Does a text hold any sign of an address?"""
+    return F.col(text).contains("@") | F.col(text).rlike(HIDDEN_SIGN) if isinstance(text, str) else text.contains("@") | text.rlike(HIDDEN_SIGN)
+
+
 def phones(text: Column, direct: Column, region: str = "BE") -> Column:
     """Numbers of telephone links, then valid ones of the text."""
     linked = F.transform(F.filter(direct, lambda h: F.lower(h).startswith("tel:")), lambda h: codes.normalize_phone(F.substr(h, F.lit(5)), region))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.functions import codes, numbers, text, web
-from quarrymill.functions.text import let
+from quarrymill.functions.text import let, once_a_session
 from quarrymill.operators.records import FIELD_RANK, changed, filled, flag, noted, status, strings, value
 from quarrymill.schema import FieldDef, Schema
 
@@ -38,10 +38,10 @@ def quoted(v: Column, most: int = 60) -> Column:
     return F.when(start.contains("'") & ~start.contains('"'), F.concat(F.lit('"'), start, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(start, F.lit("'"), F.lit("\\'")), F.lit("'")))
 
 
-def normalize_table(records: DataFrame, schema: Schema, country: str = "BE") -> DataFrame:
-    """Every filled cell in its type's form. What can't be read becomes an empty invalid cell with the original among
-    its candidates, a note and a flag."""
-    cells, flags = {}, []
+@once_a_session
+def _normal_cells(schema: Schema, country: str) -> tuple[dict[str, Column], list[Column]]:
+    """New cells by column, and what is said of those that can't be read (of columns with __new)."""
+    cells, messages = {}, []
     for f in schema.fields:
         c = F.col(f.column)
         label = f.display.lower()
@@ -51,13 +51,16 @@ def normalize_table(records: DataFrame, schema: Schema, country: str = "BE") ->
             return let(normalize_value(c["value"], f, country), lambda v: F.when(v.isNull(), bad).otherwise(changed(c, value=v)))
 
         cells[f.column] = F.when(filled(c).isNull(), c).otherwise(let(c, normal))
-        flags.append((f, label))
-    out = records.withColumns({k + "__new": v for k, v in cells.items()})
-    messages = []
-    for f, label in flags:
         failed = filled(F.col(f.column)).isNotNull() & F.col(f"{f.column}__new.value").isNull()
         messages.append(F.when(failed, F.concat(F.lit(f"{label} value could not be interpreted: "), quoted(F.col(f"{f.column}.value")))))
-    out = flag(out, *messages)
+    return cells, messages
+
+
+def normalize_table(records: DataFrame, schema: Schema, country: str = "BE") -> DataFrame:
+    """Every filled cell in its type's form. What can't be read becomes an empty invalid cell with the original among
+    its candidates, a note and a flag."""
+    cells, messages = _normal_cells(schema, country)
+    out = flag(records.withColumns({k + "__new": v for k, v in cells.items()}), *messages)
     return out.select(*[F.col(f"{c}__new").alias(c) if c in cells else F.col(c) for c in records.columns])
 
 
@@ -121,9 +124,10 @@ def cross_field_checks(records: DataFrame, schema: Schema) -> DataFrame:
     return out
 
 
-def validate_table(records: DataFrame, schema: Schema, country: str = "BE", ignore_missing: Iterable[str] = ()) -> DataFrame:
-    """Adds ``problems`` (array), marks invalid cells and flags missing required fields and problems."""
-    ignored, problems, flags, cells = set(ignore_missing), [], [], {}
+@once_a_session
+def _checks(schema: Schema, country: str, ignored: frozenset[str]) -> tuple[dict[str, Column], list[Column], list[Column], dict[str, Column]]:
+    """Problems of values as columns __p_<field>; then, of those, problems, flags and new cells."""
+    problems, flags, cells = [], [], {}
     for f in schema.fields:
         label, v = f.display.lower(), value(f.name)
         problem = F.col(f"__p_{f.name}")
@@ -132,9 +136,14 @@ def validate_table(records: DataFrame, schema: Schema, country: str = "BE", igno
         flags.append(F.coalesce(missing, F.concat(F.lit(f"{label} "), problem)))
         c = F.col(f.column)
         cells[f.column] = F.when(problem.isNotNull(), changed(c, status="invalid", note=noted(c, problem))).otherwise(c)
-    out = records.withColumns({f"__p_{f.name}": let(value(f.name), lambda v, f=f: validate_field(f, v, country)) for f in schema.fields})
-    out = flag(out.withColumn("problems", strings(*problems)), *flags).withColumns(cells)
-    return cross_field_checks(out.drop(*[f"__p_{f.name}" for f in schema.fields]), schema)
+    return {f"__p_{f.name}": let(value(f.name), lambda v, f=f: validate_field(f, v, country)) for f in schema.fields}, problems, flags, cells
+
+
+def validate_table(records: DataFrame, schema: Schema, country: str = "BE", ignore_missing: Iterable[str] = ()) -> DataFrame:
+    """Adds ``problems`` (array), marks invalid cells and flags missing required fields and problems."""
+    found, problems, flags, cells = _checks(schema, country, frozenset(ignore_missing))
+    out = flag(records.withColumns(found).withColumn("problems", strings(*problems)), *flags).withColumns(cells)
+    return cross_field_checks(out.drop(*found), schema)
 
 
 def verify_phones(records: DataFrame, region: str = "BE") -> DataFrame:
@@ -160,10 +169,11 @@ def quality(schema: Schema) -> Column:
     return F.struct(count(lambda n: status(n) == "verified").alias("verified"), completeness(schema).alias("completeness"), count(lambda n: value(n).isNotNull()).alias("filled"))
 
 
-def assign_status(records: DataFrame, schema: Schema, ignore_missing: Iterable[str] = (), audit: bool = False) -> DataFrame:
-    """Adds ``status``; records without a name are flagged. In an audit nothing is excluded, only sent to review."""
-    ignored, name = set(ignore_missing), schema.name_field
-    merged = (F.coalesce("duplicate_of", F.lit("")) != "") if "duplicate_of" in records.columns else F.lit(False)
+@once_a_session
+def _status(schema: Schema, ignored: frozenset[str], audit: bool, merging: bool) -> tuple[Column, Column]:
+    """The status, and the flag of records without a name."""
+    name = schema.name_field
+    merged = (F.coalesce("duplicate_of", F.lit("")) != "") if merging else F.lit(False)
     nameless = value(name).isNull()
     some = lambda test, names=schema.names: F.exists(F.array(*[test(n) for n in names]), lambda x: x) if names else F.lit(False)
     has = lambda n, s: value(n).isNotNull() & (status(n) == s)
@@ -176,7 +186,13 @@ def assign_status(records: DataFrame, schema: Schema, ignore_missing: Iterable[s
         .when((contacts >= 2) | ((contacts >= 1) & has(name, "verified")), "VERIFIED").when(some(lambda n: has(n, "verified")), "PARTIALLY_VERIFIED").otherwise("UNVERIFIED")
     )
     label = schema.field(name).display.lower()
-    return flag(records.withColumn("status", out), F.when(~merged & nameless, F.lit(f"missing {label} - record unusable")))
+    return out, F.when(~merged & nameless, F.lit(f"missing {label} - record unusable"))
+
+
+def assign_status(records: DataFrame, schema: Schema, ignore_missing: Iterable[str] = (), audit: bool = False) -> DataFrame:
+    """Adds ``status``; records without a name are flagged. In an audit nothing is excluded, only sent to review."""
+    out, unusable = _status(schema, frozenset(ignore_missing), audit, "duplicate_of" in records.columns)
+    return flag(records.withColumn("status", out), unusable)
 
 
 def approval_blockers(schema: Schema) -> Column:

@@ -36,6 +36,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out evenly, where it has fewer partitions than the session has cores: a short file is one partition,
+    but long expressions over its rows are work for all cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def drop_stored(spark: SparkSession) -> int:
     """Delete what this driver has stored so far; results that still read it can't be read any more. Returns how many."""
     count = 0

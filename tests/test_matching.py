@@ -70,9 +70,11 @@ def test_bridge_is_refused(spark):
 def test_large_block_and_budget(spark):
     rows = [dict(company_name=f"Firm {i}", email="shared@x.be") for i in range(120)]
     own = matching.features(table(spark, rows), LEADS)
-    pairs = matching.block_pairs(own)
+    pairs = matching.block_pairs(own, part=50)
     assert pairs.count() == 120 * 119 // 2 and pairs.where("a_ord = 0 and b_ord = 119").count() == 1
-    with pytest.raises(ValueError):
+    whole = matching.block_pairs(own)
+    assert pairs.exceptAll(whole).isEmpty() and whole.exceptAll(pairs).isEmpty()
+    with pytest.raises(ValueError, match="email:shared@x.be .120."):
         matching.block_pairs(own, 1000)
 
 

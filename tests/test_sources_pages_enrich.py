@@ -86,6 +86,21 @@ def test_pages(spark):
     assert names[0] == 100 and names[1] < 90
 
 
+def test_deep_pages_and_implied_ends(spark):
+    html = "<p>" * 1200 + "x" + "<div>" * 3000 + "<a href='/y'>y</a><ul><li>a<li>b<li>c</ul>"
+    df = spark.createDataFrame([("http://a.be/", html), ("http://b.be/", None)], "url string, html string")
+    got = pages.html_items(df, "li", {"name": {}}).collect()
+    assert [(r.item, r.name) for r in sorted(got, key=lambda r: r.item)] == [(0, "a"), (1, "b"), (2, "c")]
+    assert pages.html_items(df, "ul > li:nth-of-type(2), a", {"name": {}}).count() == 2
+
+
+@pytest.mark.parametrize("selector", ["p:not(.b)", "a >", "", "a[b"])
+def test_unsupported_selectors_fail_at_once(spark, selector):
+    df = spark.createDataFrame([("u", "<p>")], "url string, html string")
+    with pytest.raises(ValueError, match="selector"):
+        pages.html_items(df, None, {"x": {"selector": selector or " , a"}})
+
+
 def test_phones_of_whole_texts(spark):
     text = "word " * 50_000 + "tel 0498 12 34 56"
     df = spark.createDataFrame([(text,)], "text string").select(pages.phones(F.col("text"), F.array().cast("array<string>")).alias("p"))
