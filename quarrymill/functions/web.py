@@ -32,10 +32,7 @@ PROFILE_STARTS = {
     "tiktok": "https://www.tiktok.com/@",
 }
 #: Paths that are no profiles.
-NO_PROFILE = (
-    "sharer", "share", "intent", "login", "policies", "privacy", "help", "dialog", "plugins", "hashtag", "explore", "home", "search",
-    "legal", r"tr\?", "about", "terms", "settings", "reel/", "watch", "groups/feed",
-)
+NO_PROFILE = r"sharer|share|intent|login|policies|privacy|help|dialog|plugins|hashtag|explore|home|search|legal|tr\?|about|terms|settings|reel/|watch|groups/feed"
 #: Parts of domains of directories, networks and review sites.
 DIRECTORY_MARKERS = (
     "facebook.com", "instagram.com", "linkedin.com", "twitter.com", "x.com", "youtube.com", "tiktok.com", "pinterest.",
@@ -150,7 +147,7 @@ def normalize_social(x: Column | str, network: Column | str) -> Column:
 
     def profile(url: Column) -> Column:
         path = _part(url, 3)
-        good = (social_network(url) == network) & ~url.rlike(f"(?i)/({'|'.join(NO_PROFILE)})") & ~path.isin("", "/")
+        good = (social_network(url) == network) & ~url.rlike(f"(?i)/({NO_PROFILE})") & ~path.isin("", "/")
         return F.when(good & ((network != "linkedin") | path.rlike("^/(company|in|school|showcase)/[^/]+")), url)
 
     def of(t: Column) -> Column:

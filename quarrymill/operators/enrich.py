@@ -61,7 +61,8 @@ def apply_vat_register(records: DataFrame, register: DataFrame, schema: Schema,
 def apply_org_profiles(records: DataFrame, profiles: DataFrame, schema: Schema, limit: int | None = None) -> DataFrame:
     """Organisation profiles by website domain: fill gaps, confirm equal LinkedIn pages, keep other values as candidates."""
     wanted = [n for n in ("linkedin", "industry", "employees", "founded", "description", "phone", "facebook", "subcategory") if schema.field(n)]
-    side = profiles.select(web.url_domain("website").alias("__domain"), *[F.col("industry" if n == "subcategory" else n).cast("string").alias(f"__{n}") for n in wanted]).dropDuplicates(["__domain"])
+    side = profiles.select(web.url_domain("website").alias("__domain"), *[F.col("industry" if n == "subcategory" else n).cast("string").alias(f"__{n}") for n in wanted]).where("__domain is not null")
+    side = side.groupBy("__domain").agg(F.min(F.struct(*[F.coalesce(f"__{n}", F.lit("")).alias(f"__{n}") for n in wanted])).alias("p")).select("__domain", "p.*")
     target = enrichment_target("profile", schema, wanted)
     out = records.withColumn("__domain", F.when(target, web.url_domain(value("website"))))
     if limit:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,6 +107,26 @@ def delivery_cells(records: DataFrame, schema: Schema, country: str = "BE") -> D
     return shown.select(*[csv_cell(f"`{c}`").alias(c) for c in shown.columns])
 
 
+def write_delivery_csv(records: DataFrame, schema: Schema, path: str, country: str = "BE") -> None:
+    """The delivered records as a folder of CSV files in UTF-8 with a byte order mark, names of columns as literal as cells."""
+    cells = delivery_cells(records, schema, country)
+    heads = cells.sparkSession.createDataFrame([(k, c) for k, c in enumerate(cells.columns)], "k int, c string").select("k", csv_cell("c").alias("c")).collect()
+    names = [r.c for r in sorted(heads, key=lambda r: r.k)]
+    names[0] = "\ufeff" + names[0]
+    cells.toDF(*names).write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+
+
+def write_evidence(records: DataFrame, groups: DataFrame, schema: Schema, report: dict, path: str) -> None:
+    """Everything about a run as JSON datasets below ``path``: records with the provenance of all cells, groups, schema, report."""
+    spark = records.sparkSession
+    fields = F.struct(*[F.col(f.column).alias(f.name) for f in schema.fields])
+    others = [c for c in records.columns if not c.startswith("f_") and c != "ord"]
+    records.select(*others, fields.alias("fields")).write.option("ignoreNullFields", False).json(f"{path}/records")
+    groups.select("group_id", "master_id", "member_ids", "reason", "similarity", "merged").write.json(f"{path}/groups")
+    for name, value_ in (("schema", schema.as_dict()), ("report", report)):
+        spark.createDataFrame([(json.dumps(value_, sort_keys=True),)], "value string").coalesce(1).write.text(f"{path}/{name}")
+
+
 def review_queue(records: DataFrame, schema: Schema) -> DataFrame:
     """Records that a person has to decide on, with their key fields and checks."""
     name = schema.name_field

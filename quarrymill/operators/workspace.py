@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from quarrymill.operators.rules import approval_blockers
 from quarrymill.schema import Schema
 
 EVENTS = "run_id string, record_id string, decision string, reviewer string, note string, revision int, created_at timestamp"
-RUNS = "run_id string, project string, created_at timestamp, input_name string, input_sha256 string, schema_json string"
+RUNS = "run_id string, project string, created_at timestamp, input_name string, input_sha256 string, schema_json string, report_json string"
 
 
 def fingerprint(spark: SparkSession, path: str) -> DataFrame:
@@ -25,19 +26,47 @@ def fingerprint(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
 
 
-def save_run(records: DataFrame, folder: str, run_id: str, project: str, schema: Schema, input_name: str = "", input_sha256: str = "") -> None:
-    """Append a run. Repeated record ids and blank or long project names are refused."""
+def _table(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
+    """A table of the workspace, None where nothing was written yet."""
+    try:
+        return spark.read.parquet(f"{folder}/{name}")
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def save_run(records: DataFrame, folder: str, run_id: str, project: str, schema: Schema, input_name: str = "", input_sha256: str = "", report: dict | None = None) -> None:
+    """Append a run. Runs don't change: a known run id is refused, as are repeated record ids and blank or long project names."""
     if not project.strip() or len(project) > 120:
         raise ValueError("a project name has 1 to 120 characters")
     if not records.groupBy("record_id").count().where("count > 1").isEmpty():
         raise ValueError("record ids must be unique within a run")
     spark = records.sparkSession
+    known = _table(spark, folder, "runs")
+    if known is not None and not known.where(F.col("run_id") == run_id).isEmpty():
+        raise ValueError(f"there is a run {run_id!r} already")
     records.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(f"{folder}/records")
-    row = [(run_id, project.strip(), input_name, input_sha256, json.dumps(schema.as_dict(), sort_keys=True))]
-    runs = spark.createDataFrame(row, "run_id string, project string, input_name string, input_sha256 string, schema_json string")
+    row = [(run_id, project.strip(), input_name, input_sha256, json.dumps(schema.as_dict(), sort_keys=True), json.dumps(report or {}, sort_keys=True))]
+    runs = spark.createDataFrame(row, "run_id string, project string, input_name string, input_sha256 string, schema_json string, report_json string")
     runs.withColumn("created_at", F.current_timestamp()).write.mode("append").partitionBy("run_id").parquet(f"{folder}/runs")
 
 
+def save_events(events: DataFrame, folder: str) -> None:
+    """Append accepted decisions."""
+    events.write.mode("append").partitionBy("run_id").parquet(f"{folder}/events")
+
+
+def delete_run(spark: SparkSession, folder: str, run_id: str) -> None:
+    """Remove a run with its records and decisions; raises where the workspace has none of it."""
+    runs = _table(spark, folder, "runs")
+    if runs is None or runs.where(F.col("run_id") == run_id).isEmpty():
+        raise ValueError("no such run in this workspace")
+    for name in ("events", "records", "runs"):  # the run itself goes last: until then the deletion can be done again
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}/run_id={run_id}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def load_run(spark: SparkSession, folder: str, run_id: str) -> DataFrame:
     """The records of one run: only its partition is read."""
     return spark.read.parquet(f"{folder}/records").where(F.col("run_id") == run_id)
@@ -122,6 +151,16 @@ def compare_runs(before: DataFrame, after: DataFrame, schema: Schema, key: str =
     return rows.select("key", kind.alias("change"), F.explode_outer("changes").alias("c")).select("key", "change", "c.*")
 
 
+def compare_saved(spark: SparkSession, folder: str, before: str, after: str, schema: Schema, key: str = "account_id") -> DataFrame:
+    """compare_runs() of two runs of a workspace; they must be of one project and have one schema."""
+    runs = spark.read.parquet(f"{folder}/runs").where(F.col("run_id").isin(before, after)).select("run_id", "project", "schema_json").collect()
+    if {r.run_id for r in runs} != {before, after}:
+        raise ValueError("no such run in this workspace")
+    if len({r.project for r in runs}) > 1 or len({r.schema_json for r in runs}) > 1:
+        raise ValueError("only runs of one project with one schema can be compared")
+    return compare_runs(load_run(spark, folder, before), load_run(spark, folder, after), schema, key)
+
+
 def key_differences(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """(key, side): keys of one side alone."""
     old, new = before.select(value(key).alias("key")), after.select(value(key).alias("key"))

@@ -12,27 +12,19 @@ from pyspark.sql import types as T
 from quarrymill.operators.records import to_records
 from quarrymill.schema import Schema
 
-#: Usual column names of exports and the fields that they stand for.
+#: Usual column names of exports, and the fields that they stand for.
 ALIASES = {
-    "company_name": ("company", "company name", "organisation", "organization", "account name", "name"),
-    "website": ("website", "web", "url", "domain", "company website"),
-    "email": ("email", "e-mail", "email address"),
-    "phone": ("phone", "telephone", "tel", "phone number", "company phone"),
-    "linkedin": ("linkedin", "linkedin url", "company linkedin url", "linkedin_url"),
-    "facebook": ("facebook", "facebook url"),
-    "instagram": ("instagram",),
-    "industry": ("industry",),
-    "category": ("category", "sector"),
-    "city": ("city", "town"),
-    "postcode": ("postcode", "postal code", "zip"),
-    "street": ("street", "address", "street address"),
-    "country": ("country",),
-    "vat_number": ("vat", "vat number", "btw", "kbo", "enterprise number"),
-    "employees": ("employees", "# employees"),
-    "founded": ("founded", "founded year"),
-    "description": ("description", "notes"),
-}
-_BY_ALIAS = {a: f for f, names in ALIASES.items() for a in names}
+    **dict.fromkeys(("company", "company name", "organisation", "organization", "account name", "name"), "company_name"),
+    **dict.fromkeys(("website", "web", "url", "domain", "company website"), "website"),
+    **dict.fromkeys(("email", "e-mail", "email address"), "email"),
+    **dict.fromkeys(("phone", "telephone", "tel", "phone number", "company phone"), "phone"),
+    **dict.fromkeys(("linkedin", "linkedin url", "company linkedin url", "linkedin_url"), "linkedin"),
+    **dict.fromkeys(("facebook", "facebook url"), "facebook"), "instagram": "instagram", "industry": "industry",
+    **dict.fromkeys(("category", "sector"), "category"), **dict.fromkeys(("city", "town"), "city"),
+    **dict.fromkeys(("postcode", "postal code", "zip"), "postcode"), **dict.fromkeys(("street", "address", "street address"), "street"), "country": "country",
+    **dict.fromkeys(("vat", "vat number", "btw", "kbo", "enterprise number"), "vat_number"),
+    **dict.fromkeys(("employees", "# employees"), "employees"), **dict.fromkeys(("founded", "founded year"), "founded"), **dict.fromkeys(("description", "notes"), "description"),
+}
 
 
 def check_headers(values: list[str]) -> list[str]:
@@ -47,7 +39,8 @@ def check_headers(values: list[str]) -> list[str]:
 def read_table(spark: SparkSession, path: str, separator: str | None = None, encoding: str = "UTF-8") -> DataFrame:
     """All columns as strings, without rows that are blank throughout. The separator is found from the first lines; the header is
     checked before Spark sees it, which would rename repeated names. A row with another number of cells fails the read."""
-    head = [r.value for r in spark.read.text(path).limit(20).collect()]
+    first = spark.read.schema("line string").options(sep="\x01", quote="", encoding=encoding, mode="PERMISSIVE").csv(path)
+    head = [r.line or "" for r in first.limit(20).collect()]
     if not head:
         raise ValueError("an empty file has no header")
     head[0] = head[0].removeprefix("﻿")
@@ -73,7 +66,7 @@ def map_columns(headers: list[str], schema: Schema, mapping: Mapping[str, str] |
     labels, names = {low(f.display): f.name for f in schema.fields}, {low(f.name): f.name for f in schema.fields}
     out: dict[str, str] = {}
     for header in headers:
-        field = next((m[low(header)] for m in (own, labels, names, _BY_ALIAS) if m.get(low(header))), None)
+        field = next((m[low(header)] for m in (own, labels, names, ALIASES) if m.get(low(header))), None)
         if field and schema.field(field):
             if field in out.values():
                 raise ValueError(f"several columns stand for {field}")
@@ -102,7 +95,7 @@ def ingest_rows(rows: DataFrame, schema: Schema, source: str, country: str | Non
     numbered = row_numbers(rows)
     own = numbered.select("line", *[F.nullif(F.col(f"`{h}`"), F.lit("")).alias(f) for h, f in fields.items()]).where(F.coalesce(*[F.col(f) for f in fields.values()]).isNotNull())
     if limit:
-        own = own.where(F.col("line") < limit + 2)
+        own = own.orderBy("line").limit(limit)
     if country and schema.field("country"):
         own = own.withColumn("country", F.coalesce("country", F.lit(country)) if "country" in own.columns else F.lit(country))
     line = F.col("line").cast("string")

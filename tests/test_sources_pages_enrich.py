@@ -66,10 +66,10 @@ def test_areas_and_graph(spark):
 
 def test_registry(spark):
     df = spark.createDataFrame([("a",), ("b",)], "company_name string")
-    out, warnings = registry.union_sources([(lambda: df, 1), (lambda: 1 / 0, None), (lambda: df.withColumn("city", F.lit("x")), None)], 2)
+    out, warnings = registry.union_sources([(lambda: df, 1), (lambda: 1 / 0, None), (lambda: df.withColumn("city", F.lit("x")), None)], 2, "company_name")
     assert out.count() == 2 and len(warnings) == 1
     with pytest.raises(ValueError):
-        registry.union_sources([(lambda: df.limit(0), None)])
+        registry.union_sources([(lambda: df.limit(0), None)], order="company_name")
     with pytest.raises(ValueError):
         registry.source(spark, "none such")
 
@@ -155,8 +155,9 @@ def test_workspace(spark, tmp_path):
     one = to_records(spark.createDataFrame([(1, "A1", "AC1", "Acme"), (2, "A2", "AC2", "B")], "ord long, record_id string, account_id string, company_name string"), ACCOUNTS, "l")
     one = one.withColumns({"status": F.lit("UNVERIFIED"), "duplicate_of": F.lit("")})
     workspace.save_run(one, folder, "r1", "p", ACCOUNTS)
-    with pytest.raises(ValueError):
-        workspace.save_run(one.union(one), folder, "r2", "p", ACCOUNTS)
+    for bad, run in ((one.union(one), "r2"), (one, "r1")):  # repeated ids; a known run
+        with pytest.raises(ValueError):
+            workspace.save_run(bad, folder, run, "p", ACCOUNTS)
     back = workspace.load_run(spark, folder, "r1")
     proposals = spark.createDataFrame([(1, "r1", "A1", "approved", "me", "", 0), (2, "r1", "A1", "approved", "you", "", 0), (3, "r1", "A2", "rejected", "me", "", 0), (4, "r1", "zz", "pending", "me", "", 0)], "proposal_id long, run_id string, record_id string, decision string, reviewer string, note string, expected_revision int").withColumn("created_at", F.current_timestamp())
     events, refused = workspace.apply_decisions(proposals, back, spark.createDataFrame([], workspace.EVENTS), ACCOUNTS)
@@ -170,3 +171,15 @@ def test_workspace(spark, tmp_path):
         workspace.compare_runs(one, one, ACCOUNTS, "city")
     with pytest.raises(ValueError):
         workspace.without_run(back, "zz")
+    workspace.save_run(one, folder, "r2", "p", ACCOUNTS, report={"records": 2})
+    workspace.save_run(one, folder, "r3", "other", ACCOUNTS)
+    workspace.save_events(events, folder)
+    assert {r.change for r in workspace.compare_saved(spark, folder, "r1", "r2", ACCOUNTS).collect()} == {"unchanged"}
+    for other in ("r3", "none"):
+        with pytest.raises(ValueError):
+            workspace.compare_saved(spark, folder, "r1", other, ACCOUNTS)
+    workspace.delete_run(spark, folder, "r1")
+    left = [{r.run_id for r in spark.read.parquet(f"{folder}/{t}").collect()} for t in ("runs", "records")]
+    assert left == [{"r2", "r3"}] * 2 and not list((tmp_path / "ws" / "events").glob("run_id=*"))
+    with pytest.raises(ValueError):
+        workspace.delete_run(spark, folder, "r1")
