@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarrymill.functions import codes, numbers, similarity, text, web
-from quarrymill.operators import enrich, matching, pages, reports, rules, workspace
-from quarrymill.operators.records import filled, to_records, value
-from quarrymill.plans import jobs
-from quarrymill.plans.registry import _NORMAL, account_records, account_rows, checked_accounts, query, rated_accounts, read
+from quarrymill.operators import enrich, pages, rules
+from quarrymill.operators.records import to_records, value
+from quarrymill.plans.registry import _NORMAL, account_rows, query, read
 from quarrymill.schema import ACCOUNTS, COMPANIES, LEADS, FieldDef, Schema
 from quarrymill.sources import delimited, landed, registry as sources
 from quarrymill.storage import fresh_path, spread, stored
@@ -175,7 +174,7 @@ def e7_contact_links(spark, sf_dir):
     return pages.contact_links(sites(spark, sf_dir))
 
 
-@query("""SELECT 'firm' || c_custkey || '.be' AS site, 'Firm ' || c_custkey AS title, 'info' || c_custkey || '@firm' || c_custkey || '.be,sales@firm' || c_custkey || '.be' AS ranked, 2 AS n_emails FROM customer""".replace("'info' || c_custkey || '@firm' || c_custkey || '.be,sales@firm' || c_custkey || '.be'", "'sales@firm' || c_custkey || '.be,info' || c_custkey || '@firm' || c_custkey || '.be'"))
+@query("""SELECT 'firm' || c_custkey || '.be' AS site, 'Firm ' || c_custkey AS title, 'sales@firm' || c_custkey || '.be,info' || c_custkey || '@firm' || c_custkey || '.be' AS ranked, 2 AS n_emails FROM customer""")
 def g13_w4_rank_emails(spark, sf_dir):
     content = sites(spark, sf_dir).withColumns({"site": web.url_domain("url"), "page_ord": F.col("c_custkey")})
     return pages.site_contacts(content).select("site", "title", F.array_join("emails", ",").alias("ranked"), F.size("emails").alias("n_emails"))

@@ -248,7 +248,7 @@ def e1_e4_e7_page_content(spark, sf_dir):
 
 @query()
 def a18_e7_contact_links(spark, sf_dir):
-    return pages.contact_links(pages.page_content(read(spark, sf_dir, "pages").dropDuplicates(["url"])))
+    return pages.contact_links(pages.page_content(read(spark, sf_dir, "pages")))
 
 
 @query()
@@ -370,10 +370,10 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    from quarrymill.plans import landed_queries  # noqa: F401  it adds its own
+    from quarrymill.plans import landed_queries, record_queries  # noqa: F401  they add their own
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from quarrymill.plans import landed_queries  # noqa: F401
+    from quarrymill.plans import landed_queries, record_queries  # noqa: F401
     return dict(SQL)

@@ -7,7 +7,8 @@ import pytest
 from quarrymill.plans import registry
 
 SF = "/root/testdata/sf0.001"
-QUICK = ["p1_p2_normalize_table", "s12_s13_p11_p12_urls", "s9_s10_s11_emails", "s17_s18_s19_phones", "s20_s21_s22_s23_codes", "s24_s26_s27_s28_numbers", "s1_s2_s3_s4_name_key", "a15_html_items", "a12_company_rollup", "g6_source_counts", "g7_record_completeness", "w1_record_ids", "w8_current_reviews", "u2_key_differences", "u3_key_intersection", "d8_compare_runs"]
+QUICK = ["p1_p2_normalize_table", "s12_s13_p11_p12_urls", "s9_s10_s11_emails", "s17_s18_s19_phones", "s20_s21_s22_s23_codes", "s24_s26_s27_s28_numbers", "s1_s2_s3_s4_name_key", "a15_html_items", "a12_company_rollup", "g6_source_counts", "g7_record_completeness", "w1_record_ids", "w8_current_reviews", "u2_key_differences", "u3_key_intersection", "d8_compare_runs",
+         "a7_a8_a9_map_elements", "a10_resolve_areas", "a13_places", "a18_search_results", "s5_s6_cells", "s29_s30_similarities", "d5_mail_domains", "d3_apply_site", "g12_quality"]
 
 
 @pytest.fixture(scope="module")
