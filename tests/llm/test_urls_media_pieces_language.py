@@ -126,7 +126,7 @@ def test_packed_pcm_is_lossless(native):
 
 
 def test_media(spark):
-    texts = ["abc", "", None, "ä" * 288, "x" * 577, "abc", *[f"text {k} " * 90 for k in range(60)]]
+    texts = ["abc", "", None, "ä" * 288, "x" * 577, "abc", *[f"text {k} " * 90 for k in range(160)]]
     docs = spark.createDataFrame([(i, t, b"z") for i, t in enumerate(texts)], "doc_id long, text string, media binary")
     got = {r.doc_id: r for r in telephony.store_text_audio(docs).collect()}
     media = {r.doc_id: bytes(r.media) for r in telephony.text_media(docs).collect()}
