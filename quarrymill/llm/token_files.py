@@ -146,10 +146,10 @@ def _write_partition(batches: Iterator[pa.RecordBatch], folder: str, tokenizer:
 
 
 def _sample(docs: DataFrame, tokenizer: str, width: int, end_id: int, rows: int) -> list[bytes]:
-    """Serialized ids of ``rows`` documents with the smallest hashes of their ids."""
-    order = F.xxhash64("doc_id")
-    ids = [r[0] for r in docs.where("doc_id is not null").select("doc_id").orderBy(order, "doc_id").limit(rows).collect()]
-    texts = [r[0] for r in docs.where(F.col("doc_id").isin(ids)).select(F.col("text")).limit(2 * rows).collect()] if ids else []
+    """Serialized ids of ``rows`` distinct documents with the smallest hashes of id and text."""
+    h = F.xxhash64("doc_id", "text")
+    chosen = [r[0] for r in docs.select(h.alias("h")).distinct().orderBy("h").limit(rows).collect()]
+    texts = [r[0] for r in docs.where(h.isin(chosen)).select("text").distinct().orderBy("text").collect()] if chosen else []
     end = np.array([end_id], "<u4").tobytes()
     return [serialize(np.frombuffer(x + end, "<u4"), width) for x in encoder(tokenizer).encode(texts)]
 
