@@ -274,7 +274,8 @@ def identify_languages(
     """The columns of ``keep`` (all of ``docs`` by default) with lang_pred, score and phrase_cost for every whole text.
 
     Columns of these names that ``docs`` has are replaced. A null text, an empty one and one without letters are ``und``
-    with score 0. Repeated rows are all judged. An empty table gives no rows.
+    with score 0. Repeated rows are all judged. Ties go to the first language by name. Texts of any length are parsed whole.
+    An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     new = {"lang_pred", "score", "phrase_cost"}

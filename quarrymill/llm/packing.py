@@ -2,9 +2,9 @@
 
 A sequence costs ``linear * length + quadratic * length ** 2`` summed over its pieces, as attention
 doesn't cross pieces. Documents go, in descending order of cost, to the lowest-cost sequence that has
-token capacity left for them; what fits nowhere whole is cut. The sequences of a window have exactly
-the window's tokens as their joint capacity (full ones, and for the rest powers of two), so that none
-needs padding.
+token capacity left for them; what fits nowhere whole is cut. A task packs window after window into full sequences and
+carries the shortest documents, for which there is no full one, to the next window. The sequences of its last window have
+exactly the window's tokens as their joint capacity (full ones, and for the rest powers of two), so that none needs padding.
 """
 
 from __future__ import annotations
@@ -33,18 +33,23 @@ def capacities(tokens: int, limit: int) -> list[int]:
     return [limit] * (tokens // limit) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def pack(lengths: list[int], limit: int, linear: float, quadratic: float) -> list[tuple[int, int, int, int]]:
-    """(document, start, length, sequence) of each piece, in the order in which a sequence takes them."""
+def pack(lengths: list[int], limit: int, linear: float, quadratic: float, last: bool = True) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
+    """(document, start, length, sequence) of each piece, in the order in which a sequence takes them; then (document, start) of
+    what is left for the next window: the shortest documents, less than a sequence of them. The last window leaves none."""
     whole, rest = [], []
     for i, n in enumerate(lengths):
         whole += [(i, at, limit) for at in range(0, n - limit + 1, limit)]
         if n % limit:
             rest.append((i, n - n % limit, n % limit))
-    out = [(i, at, n, k) for k, (i, at, n) in enumerate(whole)]
-    room = np.array(capacities(sum(n for *_, n in rest), limit), np.int64)
+    out, left = [(i, at, n, k) for k, (i, at, n) in enumerate(whole)], []
+    total = sum(n for *_, n in rest)
+    room = np.array(capacities(total, limit) if last else [limit] * (total // limit), np.int64)
     cost = np.zeros(len(room))
     for i, at, n in sorted(rest, key=lambda x: -x[2]):
         while n:
+            if not room.any():
+                left.append((i, at))
+                break
             fits = room >= n
             k = int(np.where(fits if fits.any() else room > 0, cost, np.inf).argmin())
             take = min(n, int(room[k]))
@@ -52,39 +57,41 @@ def pack(lengths: list[int], limit: int, linear: float, quadratic: float) -> lis
             room[k] -= take
             cost[k] += linear * take + quadratic * take * take
             at, n = at + take, n - take
-    return out
+    return out, left
 
 
-def _window(ids: list, docs: list[np.ndarray], first: int, limit: int, linear: float, quadratic: float) -> tuple[pa.RecordBatch, int]:
-    pieces = pack([len(x) for x in docs], limit, linear, quadratic)
+def _window(docs: list[tuple], first: int, limit: int, linear: float, quadratic: float, last: bool) -> tuple[pa.RecordBatch, int, list[tuple]]:
+    """The pieces of (id, ids of its tokens, start of what isn't packed yet), how many sequences they fill, and what is left."""
+    pieces, left = pack([len(x) - at for _, x, at in docs], limit, linear, quadratic, last)
     count = max((k for *_, k in pieces), default=-1) + 1
     used, cost, rows = [0] * count, [0.0] * count, []
     for i, at, n, k in pieces:
-        rows.append((ids[i], at, n, zlib.crc32(docs[i][at : at + n].tobytes()), len(docs[i]), first + k, used[k]))
+        doc_id, x, before = docs[i]
+        at += before
+        rows.append((doc_id, at, n, zlib.crc32(x[at : at + n].tobytes()), len(x), first + k, used[k]))
         used[k] += n
         cost[k] += linear * n + quadratic * n * n
-    cols = list(zip(*rows))
+    cols = list(zip(*rows)) or [()] * 7
     arrays = [pa.array(c, pa.int64()) for c in cols]
     arrays += [pa.array([used[k] for *_, k in pieces], pa.int64()), pa.array([cost[k] for *_, k in pieces], pa.float64())]
-    return pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in SCHEMA.split(", ")]), count
+    return pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in SCHEMA.split(", ")]), count, [(docs[i][0], docs[i][1], docs[i][2] + at) for i, at in left]
 
 
 def _pack_partition(batches: Iterator[pa.RecordBatch], path: str, limit: int, window: int, end_id: int, linear: float, quadratic: float) -> Iterator[pa.RecordBatch]:
-    ids, docs, tokens = [], [], 0
+    docs, tokens = [], 0
     first = TaskContext.get().partitionId() << 40
     end = np.array([end_id], "<u4").tobytes()
     for batch in batches:
         encode = encoder(path).encode
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            ids.append(doc_id)
-            docs.append(np.frombuffer(encode([text.as_py()])[0] + end, "<u4"))
-            tokens += len(docs[-1])
+            docs.append((doc_id, np.frombuffer(encode([text.as_py()])[0] + end, "<u4"), 0))
+            tokens += len(docs[-1][1])
             if tokens >= window:
-                out, used = _window(ids, docs, first, limit, linear, quadratic)
+                out, used, docs = _window(docs, first, limit, linear, quadratic, False)
                 yield out
-                ids, docs, tokens, first = [], [], 0, first + used
+                tokens, first = sum(len(x) - at for _, x, at in docs), first + used
     if docs:
-        yield _window(ids, docs, first, limit, linear, quadratic)[0]
+        yield _window(docs, first, limit, linear, quadratic, True)[0]
 
 
 def pack_documents(

@@ -45,7 +45,8 @@ def test_memo_equals_library(plain):
 def test_pack_fills_every_sequence():
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 9000, 300).tolist()
-    out = pack(lengths, 2048, 1.0, 1 / 2048)
+    out, left = pack(lengths, 2048, 1.0, 1 / 2048)
+    assert not left
     ids = {}
     for i, at, n, k in out:
         ids.setdefault(i, []).append((at, n))
@@ -62,8 +63,20 @@ def test_pack_fills_every_sequence():
     assert capacities(2048 * 2 + 5, 2048) == [2048, 2048, 4, 1] and capacities(0, 2048) == []
 
 
+def test_what_is_left_goes_to_the_next_window():
+    lengths = np.random.default_rng(2).integers(1, 3000, 100).tolist()
+    out, left = pack(lengths, 2048, 1.0, 1 / 2048, last=False)
+    used = {}
+    for *_, n, k in out:
+        used[k] = used.get(k, 0) + n
+    assert set(used.values()) == {2048}
+    rest = sum(lengths[i] - at for i, at in left)
+    assert left and rest == sum(lengths) % 2048 and sum(used.values()) + rest == sum(lengths)
+    assert pack([5, 7], 2048, 1.0, 1 / 2048, last=False) == ([], [(1, 0), (0, 0)])
+
+
 def test_cost_is_balanced():
-    out = pack([1000, 900, 800, 100, 100, 100, 48 + 1000, 48], 2048, 1.0, 1 / 2048)
+    out, _ = pack([1000, 900, 800, 100, 100, 100, 48 + 1000, 48], 2048, 1.0, 1 / 2048)
     cost = {}
     for *_, n, k in out:
         cost[k] = cost.get(k, 0) + n + n * n / 2048
