@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarrymill.functions import codes, numbers, similarity, text, web
-from quarrymill.operators import enrich, pages, rules
+from quarrymill.operators import enrich, pages, rules, workspace
 from quarrymill.operators.records import to_records, value
 from quarrymill.plans.registry import _NORMAL, account_rows, query, read
 from quarrymill.schema import ACCOUNTS, COMPANIES, LEADS, FieldDef, Schema
@@ -323,3 +323,52 @@ def d3_apply_site(spark, sf_dir):
     )
     out = enrich.apply_site(to_records(rows, LEADS), side, LEADS)
     return out.select("record_id", F.col("f_website.status").alias("website_state"), F.col("f_company_name.status").alias("name_state"), F.col("f_email.status").alias("email_state"), value("phone").alias("phone"))
+
+
+# --- forms of values
+
+
+def _choice(*values: str) -> str:
+    """One of SQL expressions by the customer's key."""
+    return f"element_at(array({', '.join(values)}), CAST(c_custkey % {len(values)} + 1 AS INT))"
+
+
+def _case(*values: str) -> str:
+    return f"CASE c_custkey % {len(values)} " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(values)) + " END"
+
+
+@query("SELECT c_custkey, " + _case("'http://www.firm' || c_custkey || 'x.be/a?b=1'", "'https://firm' || c_custkey || 'x.be/'", "NULL", "NULL", "NULL", "'https://firm' || c_custkey || 'x.be:8080/x'", "'https://facebook.com/firm' || c_custkey", "'http://10.0.0.1/'", "'https://x.local/'") + " AS url, " + _case("'firm' || c_custkey || 'x.be'", "'firm' || c_custkey || 'x.be'", "'nodot' || c_custkey", "'b.be'", "'x.be'", "'firm' || c_custkey || 'x.be'", "'facebook.com'", "'10.0.0.1'", "'x.local'") + " AS domain, "
+       + _case("true", "false", "false", "false", "false", "false", "true", "false", "false") + " AS public, c_custkey % 9 = 6 AS directory FROM customer")
+def s12_s13_p11_p12_url_forms(spark, sf_dir):
+    """Upper case, default and other ports, tracking, fragments, no scheme, no dot, mail addresses, other schemes, directories, private addresses and local names."""
+    forms = _choice(f"'HTTP://www.Firm' || {K} || 'x.be:80/a/?utm_source=x&b=1#t'", f"'Firm' || {K} || 'x.be'", f"'nodot' || {K}", "'a@b.be'", "'ftp://x.be/'", f"'https://firm' || {K} || 'x.be:8080/x/'", f"'https://facebook.com/firm' || {K}", "'http://10.0.0.1'", "'https://x.local'")
+    rows = customers(spark, sf_dir, "c_custkey", f"{forms} AS url")
+    u = F.col("url")
+    return rows.select("c_custkey", web.normalize_url(u).alias("url"), web.url_domain(u).alias("domain"), web.is_public_url(u).alias("public"), web.is_directory(u).alias("directory"))
+
+
+@query("SELECT c_custkey, " + _case("'1234 AB'", "'1234 AB'", "'ABCD'", "NULL") + " AS nl, " + _case("true", "true", "false", "false") + " AS nl_valid, " + _case("true", "false", "true", "false") + " AS us_valid, " + _case("NULL::BOOLEAN", "NULL::BOOLEAN", "NULL::BOOLEAN", "false") + " AS unknown, "
+       + _case("'NL123456789B01'", "'DE123456789'", "'FRAB123456789'", "'LU12345678'") + " AS vat, " + _case("true", "true", "true", "true") + " AS vat_valid, " + _case("false", "false", "NULL::BOOLEAN", "false") + " AS bad_vat FROM customer")
+def s20_s21_s22_s23_countries(spark, sf_dir):
+    """Postcodes and VAT numbers of other countries, with and without a known form."""
+    rows = customers(spark, sf_dir, "c_custkey", f"{_choice(*[repr(x) if x else 'NULL' for x in ('1234ab', ' 1234  AB', 'abcd', None)])} AS nl", f"{_choice(*[repr(x) if x else 'NULL' for x in ('12345-6789', '1234', '12345', None)])} AS us", f"{_choice(*map(repr, ('nl 123456789 b01', 'DE-123.456.789', 'vat FR AB 123456789', '12345678')))} AS vat", f"{_choice(*map(repr, ('NL12', 'DE12345678X', 'XX123456', 'LU1')))} AS bad")
+    nl = codes.normalize_postcode("nl", "NL")
+    vat = F.when(F.col("c_custkey") % 4 == 3, codes.normalize_vat("vat", "LU")).otherwise(codes.normalize_vat("vat", "BE"))
+    return rows.select("c_custkey", nl.alias("nl"), codes.is_valid_postcode(nl, "NL").alias("nl_valid"), codes.is_valid_postcode("us", "US").alias("us_valid"), codes.is_valid_postcode("us", "ZZ").alias("unknown"), vat.alias("vat"), codes.is_valid_vat(vat).alias("vat_valid"), codes.is_valid_vat("bad").alias("bad_vat"))
+
+
+@query("SELECT c_custkey, " + _case("'2024-03-05'", "'2024-03-05'", "'2024-03-05'", "'2024-03-05'", "'2024-03-05'", "'2024-03-05'", "'2024-13-45'", "NULL") + " AS day, " + _case("2024", "2024", "2024", "2024", "2024", "2024", "2024", "NULL") + "::INT AS year, " + _case("1234.5::DOUBLE", "1234.5", "1234567.0", "1234.0", "NULL", "1000.0", "-5.25", "NULL") + " AS number FROM customer")
+def s24_s26_s27_forms(spark, sf_dir):
+    """Seven forms of dates, and numbers with thousands, decimal commas, spaces, exponents, signs and no digits."""
+    days = _choice("'2024-3-5'", "'2024-03-05T10:11:12Z'", "'5/3/2024'", "'05-03-2024'", "'5.3.2024'", "'2024/3/5'", "'2024-13-45 x'", "'soon'")
+    amounts = _choice("'1.234,5'", "'1,234.50 EUR'", "'1 234 567'", "'1,234'", "'nan'", "'1e3'", "'-5,25'", "'x'")
+    rows = customers(spark, sf_dir, "c_custkey", f"{days} AS d", f"{amounts} AS a")
+    return rows.select("c_custkey", numbers.normalize_date("d").alias("day"), numbers.normalize_year("d").alias("year"), numbers.normalize_number("a").alias("number"))
+
+
+@query("SELECT sha256(string_agg('firm ' || c_custkey, chr(10) ORDER BY c_custkey) || chr(10)) AS sha256 FROM customer")
+def a29_fingerprint(spark, sf_dir):
+    """The SHA-256 of an input file's bytes: of a list of the customers."""
+    path = fresh_path(spark, "input")
+    customers(spark, sf_dir, "c_custkey", f"'firm ' || {K} AS value").orderBy("c_custkey").coalesce(1).select("value").write.text(path)
+    return workspace.fingerprint(spark, f"{path}/*.txt").select("sha256")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarrymill.operators import matching, reports, rules, workspace
-from quarrymill.operators.records import value
+from quarrymill.operators.records import to_records, value
 from quarrymill.plans import jobs
-from quarrymill.plans.registry import _NORMAL, account_copies, account_records, query, rated_accounts
+from quarrymill.plans.registry import _NORMAL, account_copies, account_records, account_rows, query, rated_accounts
 from quarrymill.schema import ACCOUNTS
 from quarrymill.storage import fresh_path, stored
 
@@ -221,3 +221,19 @@ def r1_stale_decisions(spark, sf_dir):
     proposals = records.where("ord % 2 = 0 or ord % 10 = 9").selectExpr("ord AS proposal_id", "'r1' AS run_id", "CASE WHEN ord % 2 = 1 THEN 'Z' ELSE '' END || record_id AS record_id", "'pending' AS decision", "'me' AS reviewer", "'again' AS note", "1 AS expected_revision", "timestamp'2024-02-01' AS created_at")
     _, refused = workspace.apply_decisions(proposals, records, events, ACCOUNTS)
     return refused.select("record_id", "reason")
+
+
+@query("""SELECT 'A' || c_custkey AS record_id, 'verified' AS phone_state, 'same value in a and b' AS phone_note, 'b' AS email_source, 'b@firm' || c_custkey || '.be' AS email, 'conflict' AS city_state, 'differs between sources: City A vs City B' AS city_note, 'City B' AS city_other,
+  'note: merged 1 duplicate record(s) - same phone; names 100% similar|merged duplicates disagree on: city: City A vs City B - review' AS flags FROM customer""")
+def g11_u4_merge_fields(spark, sf_dir):
+    """Two sources' records of each customer: an equal value is confirmed, a gap is filled, a difference is a conflict that keeps both."""
+    both = account_rows(spark, sf_dir).selectExpr("ord", "explode(array('a', 'b')) AS source").selectExpr(
+        "2 * ord + CASE source WHEN 'a' THEN 0 ELSE 1 END AS ord", "upper(source) || CAST(ord AS STRING) AS record_id", "source", "lpad(CAST(ord AS STRING), 6, '0') || ' firm' AS company_name", "'+324' || lpad(CAST(70000000 + ord AS STRING), 8, '0') AS phone",
+        "CASE source WHEN 'a' THEN 'https://firm' || CAST(ord AS STRING) || '.be/' END AS website", "CASE source WHEN 'b' THEN 'b@firm' || CAST(ord AS STRING) || '.be' END AS email", "'City ' || upper(source) AS city",
+    )
+    merged, _ = matching.dedupe(to_records(both, ACCOUNTS), ACCOUNTS)
+    out = merged.where("duplicate_of = ''")
+    return out.select(
+        "record_id", F.col("f_phone.status").alias("phone_state"), F.col("f_phone.note").alias("phone_note"), F.col("f_email.source").alias("email_source"), value("email").alias("email"), F.col("f_city.status").alias("city_state"), F.col("f_city.note").alias("city_note"),
+        F.array_join("f_city.candidates", ",").alias("city_other"), F.array_join("flags", "|").alias("flags"),
+    )
