@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarrymill.operators import matching, reports, rules, workspace
 from quarrymill.operators.records import to_records, value
 from quarrymill.plans import jobs
-from quarrymill.plans.registry import _NORMAL, account_copies, account_records, account_rows, query, rated_accounts
+from quarrymill.plans.registry import _NORMAL, SQL, account_copies, account_records, account_rows, query, rated_accounts
 from quarrymill.schema import ACCOUNTS
 from quarrymill.storage import fresh_path, stored
 
@@ -237,3 +237,10 @@ def g11_u4_merge_fields(spark, sf_dir):
         "record_id", F.col("f_phone.status").alias("phone_state"), F.col("f_phone.note").alias("phone_note"), F.col("f_email.source").alias("email_source"), value("email").alias("email"), F.col("f_city.status").alias("city_state"), F.col("f_city.note").alias("city_note"),
         F.array_join("f_city.candidates", ",").alias("city_other"), F.array_join("flags", "|").alias("flags"),
     )
+
+
+# --- SQL of queries that the registry has without any
+
+SQL["g4_flag_counts"] = SQL["g4_s7_flag_counts"]
+SQL["g8_problem_counts"] = SQL["g8_problem_totals"]
+SQL["x5_audit"] = _NORMAL + _AUDITED + "SELECT d.status, count(x.record_id)::BIGINT AS n FROM (SELECT unnest(['VERIFIED','PARTIALLY_VERIFIED','UNVERIFIED','NEEDS_REVIEW','EXCLUDED']) AS status) d LEFT JOIN x ON x.status = d.status GROUP BY 1"
