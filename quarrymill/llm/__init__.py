@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality", "packing", "url_filter", "token_files", "fixity", "language", "recurrent_lm", "telephony", "pieces", "rtree_join", "collocations", "alignment")
+MODULES = ("quality", "packing", "url_filter", "token_files", "fixity", "language", "recurrent_lm", "telephony", "pieces", "rtree_join", "mixing", "collocations", "alignment")
 
 
 def queries() -> dict:
