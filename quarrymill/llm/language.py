@@ -12,7 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrymill.llm.common import documents, map_arrow, small_batches, table
@@ -214,8 +214,14 @@ def _chosen(own: DataFrame, docs_per_language: int) -> DataFrame:
     return own.join(F.broadcast(ids), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
 
 
+#: Languages to learn at most, the most frequent ones; characters to read of a text to learn from; characters from which on a text's cost is certain.
+MOST_LANGUAGES, MOST_CHARS, CERTAIN = 64, 200_000, 200
+
+
 def _labelled(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    """doc_id, lang and text; of texts to learn from the first MOST_CHARS characters are enough."""
+    text = F.substring(F.col(text_col).cast("string"), 1, MOST_CHARS)
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), text.alias("text"))
     return own.where("lang is not null and doc_id is not null")
 
 
@@ -234,17 +240,28 @@ def labelled_text(docs: DataFrame, docs_per_language: int, chars_per_language: i
     return tuple(sorted(texts.items()))
 
 
-def cost_limits(docs: DataFrame, docs_per_language: int, chars_per_language: int, least_chars: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """lang_pred and cost_limit of each language: halfway from what 90 % of its held-out documents (a fifth, of at least
-    ``least_chars`` characters) need at most to what letters cost that are phrases of their own. Languages without
-    such documents have none."""
+def cost_limits(docs: DataFrame, docs_per_language: int, chars_per_language: int, max_languages: int | None, id_col: str, text_col: str, lang_col: str) -> dict[str, tuple[float, float]]:
+    """For each language what 90 % of its held-out documents (a fifth) of CERTAIN characters or more need at most, and what letters cost that
+    are phrases of their own. Languages without such documents have none."""
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    labelled = labelled_text(docs, docs_per_language, chars_per_language, None, id_col, text_col, lang_col, ~held)
-    own = _chosen(_labelled(docs, id_col, text_col, lang_col).where(held & (F.length("text") >= least_chars)), docs_per_language)
+    labelled = labelled_text(docs, docs_per_language, chars_per_language, max_languages, id_col, text_col, lang_col, ~held)
+    most = {name: float(np.log2(len(text) + 1)) for name, text in labelled}
+    known = F.col("lang").isin(list(most))
+    own = _chosen(_labelled(docs, id_col, text_col, lang_col).where(held & known & (F.length("text") >= CERTAIN)), docs_per_language)
     judged = identify_languages(own, labelled, ["lang"]).where("lang_pred = lang")
     rows = judged.groupBy("lang").agg(F.percentile("phrase_cost", 0.9).alias("cost")).collect()
-    most = {name: float(np.log2(len(text) + 1)) for name, text in labelled}
-    return docs.sparkSession.createDataFrame([(r.lang, (r.cost + most[r.lang]) / 2) for r in rows], "lang_pred string, cost_limit double")
+    return {r.lang: (r.cost, most[r.lang]) for r in rows}
+
+
+def within_limit(limits: dict[str, tuple[float, float]], lang: Column, cost: Column, length: Column) -> Column:
+    """Is a text's cost below its language's limit? That is halfway from the first of cost_limits() to the second for a text of CERTAIN characters or
+    more, and goes on towards the second with the root of how many times shorter a text is. No language is without a limit but those
+    without held-out documents."""
+    wide = F.least(F.lit(1.0), 0.5 * F.sqrt(F.lit(float(CERTAIN)) / F.greatest(F.least(length, F.lit(CERTAIN)), F.lit(1))))
+    cases = F.lit(None).cast("double")
+    for name, (own, most) in sorted(limits.items()):
+        cases = F.when(lang == name, F.lit(own) + F.lit(most - own) * wide).otherwise(cases)
+    return F.coalesce(cost < cases, F.lit(True))
 
 
 def _mix(x: int) -> int:
@@ -287,8 +304,8 @@ def identify_languages(
 
 def op6_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    labelled = labelled_text(docs, 64, 24_000, None, "doc_id", "text", "lang", ~held_out)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    labelled = labelled_text(docs, 64, 24_000, MOST_LANGUAGES, "doc_id", "text", "lang", ~held_out)
     rows = documents(docs).withColumn("held_out", held_out)
     return identify_languages(rows, labelled, ["doc_id", "held_out"])
 

@@ -1,9 +1,9 @@
 """Quality rules by cross-document line frequency (operator 1), in DataFrame operations only.
 
 Lines are normalised and hashed. For each host the distinct documents that hold a line are counted (exact copies
-count once); lines above the limit are removed from the texts, and documents of which too little is left are rejected. One
-document keeps such a line: the first of its documents by hash of the text. So of near copies, which share most lines and
-would all be depleted, one stays whole.
+count once); lines above the limit are removed from all texts, and documents of which too little is left are rejected. Near copies
+share most of their lines and would all be depleted: of the depleted documents of a host that lose the same line first, one (the first by hash
+of its text, then by id) is spared and stays whole; exact copies of it are not.
 """
 
 from __future__ import annotations
@@ -111,56 +111,89 @@ def document_lines(docs: DataFrame, host_col: str, text_col: str) -> DataFrame:
 
 
 def frequent_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", floor: float = 3.0, slope: float = 0.5) -> DataFrame:
-    """__host, __line, and __first, the text hash of the document that keeps the line, of the lines above the limit: lines that
-    more than ``floor`` + ``slope`` * sqrt(n) distinct documents hold of a host with n of them. Stored."""
+    """__host and __line of the lines above the limit: lines that more than ``floor`` + ``slope`` * sqrt(n) distinct documents hold of a
+    host with n of them. Stored."""
     held = document_lines(docs, host_col, text_col).distinct()  # exact copies on one host count once
-    often = held.groupBy("__host", "__line").agg(F.count("*").alias("documents"), F.min("__text_hash").alias("__first")).where(F.col("documents") > floor)
+    often = held.groupBy("__host", "__line").agg(F.count("*").alias("documents")).where(F.col("documents") > floor)
     hosts = docs.select(*document_key(host_col, text_col)).distinct().groupBy("__host").agg(F.count("*").alias("host_documents"))
     limit = F.lit(floor) + F.lit(slope) * F.sqrt(F.col("host_documents").cast("double"))
-    return stored(often.join(hosts, "__host").where(F.col("documents") > limit).select("__host", "__line", "__first"), "frequent-lines")
+    return stored(often.join(hosts, "__host").where(F.col("documents") > limit).select("__host", "__line"), "frequent-lines")
 
 
 def with_clean_text(docs: DataFrame, removed: DataFrame, host_col: str, text_col: str) -> DataFrame:
-    """``docs`` with KEY and __clean: a struct of the text without its removed lines and the words that are left of it; null
-    where the text holds none.
+    """``docs`` with KEY and __clean: a struct of the text without its removed lines, the words that are left of it, and the
+    line that goes first (normalised); null where the text holds none.
 
     The other lines, blank ones included, stay as they are and in order.
     """
     keyed = docs.select("*", *document_key(host_col, text_col))
     if removed.count() <= BROADCAST_LINES:
-        chosen = F.broadcast(removed.groupBy("__host").agg(F.collect_list(F.struct("__line", "__first")).alias("__removed")))
+        chosen = F.broadcast(removed.groupBy("__host").agg(F.collect_list("__line").alias("__removed")))
         rows = keyed.join(chosen, "__host", "left")
-        mine = F.transform(F.filter("__removed", lambda r: r["__first"] != F.col("__text_hash")), lambda r: r["__line"])
     else:
-        places = document_lines(docs, host_col, text_col).join(removed, ["__host", "__line"]).where("__text_hash != __first")
+        places = document_lines(docs, host_col, text_col).join(removed, ["__host", "__line"])
         rows = keyed.join(places.groupBy(*KEY).agg(F.collect_set("__line").alias("__removed")), KEY, "left")
-        mine = F.col("__removed")
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
 
     def clean(z: Column) -> Column:
         # blank lines have no hash, as document_lines leaves them out
         hashes = F.transform(z["lines"], lambda x: _let(normal_line(x), lambda n: F.when(n != "", F.xxhash64(n))))
         rest = lambda h, hit: F.concat_ws("\n", F.filter(z["lines"], lambda x, i: ~F.coalesce(F.array_contains(hit, F.get(h, i)), F.lit(False))))
-        sized = lambda t: F.struct(t.alias("text"), F.size(words_of(t)).cast("long").alias("words"))
-        return _let(hashes, lambda h: _let(F.array_intersect(h, z["mine"]), lambda hit: F.when(F.size(hit) > 0, _let(rest(h, hit), sized))))
+        first = lambda h, hit: normal_line(F.get(z["lines"], F.array_position(h, F.get(hit, F.lit(0))).cast("int") - 1))
+        sized = lambda f: lambda t: F.struct(t.alias("text"), F.size(words_of(t)).cast("long").alias("words"), f.alias("first"))
+        return _let(hashes, lambda h: _let(F.array_intersect(h, z["mine"]), lambda hit: F.when(F.size(hit) > 0, _let(rest(h, hit), sized(first(h, hit))))))
 
-    own = _let(F.struct(F.split(text, "\n").alias("lines"), mine.alias("mine")), clean)
+    own = _let(F.struct(F.split(text, "\n").alias("lines"), F.col("__removed").alias("mine")), clean)
     return rows.withColumn("__clean", F.when(F.col("__removed").isNotNull(), own)).drop("__removed")
 
 
-def judge_quality(docs: DataFrame, host_col: str = "source", text_col: str = "text", keep_share: float = 0.4, **limits) -> DataFrame:
+def _row_id(docs: DataFrame, id_col: str) -> Column:
+    return (F.col(f"`{id_col}`") if id_col in docs.columns else F.lit(None)).cast("string").alias("__id")
+
+
+def spared_documents(docs: DataFrame, removed: DataFrame, host_col: str, text_col: str, id_col: str, keep_share: float) -> DataFrame:
+    """KEY and __id of the depleted documents that stay whole: one of those of a host that lose the same line first. Stored."""
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    own = with_clean_text(docs.where(good_base(text)), removed, host_col, text_col)
+    least = _let(words_of(text), lambda w: F.size(w) * F.lit(keep_share))
+    # by an exploded array, as in keep_good()
+    depleted = own.select(*KEY, _row_id(docs, id_col), F.explode(F.filter(F.array("__clean"), lambda c: c["words"] < least)).alias("c"))
+    first = depleted.groupBy("__host", F.col("c.first").alias("line")).agg(F.min(F.struct("__text_hash", "__text_length", "__id")).alias("d"))
+    return stored(first.select("__host", "d.*").distinct(), "spared-documents")
+
+
+def good_base(text: Column) -> Column:
+    return _let(words_of(text), lambda w: (F.size(w) >= 50) & (100 * repeated_words(w) <= 50 * F.size(w)))
+
+
+def _with_spared(own: DataFrame, spared: DataFrame, id_col: str) -> DataFrame:
+    """``own`` (with KEY) where __clean is null for the spared documents."""
+    count = spared.count()
+    if count == 0:
+        return own
+    names = {c: f"{c}_spared" for c in (*KEY, "__id")}
+    mine = spared.select(*[F.col(c).alias(n) for c, n in names.items()], F.lit(True).alias("__spared"))
+    mine = F.broadcast(mine) if count <= BROADCAST_LINES else mine
+    met = own.withColumn("__id", _row_id(own, id_col))
+    on = [met[c] == mine[n] for c, n in names.items() if c != "__id"] + [met["__id"].eqNullSafe(mine[names["__id"]])]
+    met = met.join(mine, on, "left")
+    return met.withColumn("__clean", F.when(F.col("__spared").isNull(), F.col("__clean"))).drop("__spared", "__id", *names.values())
+
+
+def judge_quality(docs: DataFrame, host_col: str = "source", text_col: str = "text", keep_share: float = 0.4, id_col: str = "doc_id", **limits) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_share, kept and
     clean_text (the text without its removed lines). A document is depleted, and not kept, if less than ``keep_share`` of its
-    words is left; ``limits``: see frequent_lines().
+    words is left, unless it is spared; ``limits``: see frequent_lines().
 
-    Columns of these names in ``docs`` are replaced. A null text counts as empty (no words: base_failed); a null
-    host counts as the empty one; repeated rows get the same verdict; ties of the hash by which a line is kept, and lines of
-    any length, are told by hashes alone; an empty table gives no rows.
+    Columns of these names in ``docs`` are replaced; those whose names start with two underscores must not be this module's. A null text counts as empty
+    (no words: base_failed); a null host counts as the empty one; repeated rows get the same verdict; of ties of the hash the smaller id is spared; lines of
+    any length are told by hashes alone; an empty table gives no rows.
     """
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     removed = frequent_lines(docs, host_col, text_col, **limits)
+    spared = spared_documents(docs, removed, host_col, text_col, id_col, keep_share)
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in {*names, "removed_share", "kept", "clean_text"}]
-    own = base_rules(with_clean_text(docs.select(*keep), removed, host_col, text_col), text_col)
+    own = base_rules(_with_spared(with_clean_text(docs.select(*keep), removed, host_col, text_col), spared, id_col), text_col)
     own = own.select(*keep, "__clean", *[F.col(f"__{c}").alias(c) for c in names])
     left = F.coalesce("__clean.words", "n_words")
     own = own.withColumn("removed_share", F.when(F.col("n_words") > 0, (F.col("n_words") - left) / F.col("n_words")).otherwise(F.lit(0.0)))
@@ -168,21 +201,24 @@ def judge_quality(docs: DataFrame, host_col: str = "source", text_col: str = "te
     return own.withColumn("clean_text", F.coalesce("__clean.text", F.col(f"`{text_col}`").cast("string"))).drop("__clean")
 
 
-def keep_good(docs: DataFrame, host_col: str = "source", text_col: str = "text", length_col: str = "n_chars", keep_share: float = 0.4, **limits) -> DataFrame:
+def keep_good(docs: DataFrame, host_col: str = "source", text_col: str = "text", length_col: str = "n_chars", keep_share: float = 0.4, id_col: str = "doc_id", **limits) -> DataFrame:
     """The rows of ``docs`` that judge_quality keeps, with the columns of ``docs``: texts without their removed lines,
-    and their length where ``docs`` has ``length_col``. No document is shuffled unless the removed lines are too many to
-    broadcast. Nulls, ties and repeated rows as in judge_quality()."""
-    removed = frequent_lines(docs, host_col, text_col, **limits)
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    good = _let(words_of(text), lambda w: (F.size(w) >= 50) & (100 * repeated_words(w) <= 50 * F.size(w)))
-    own = with_clean_text(docs.where(good), removed, host_col, text_col)
+    and their length where ``docs`` has ``length_col``. No document is shuffled unless the removed lines, or the spared documents, are too many to
+    broadcast. Columns of any name stay as they are. Nulls, ties and repeated rows as in judge_quality()."""
+    types = dict(docs.dtypes)
+    plain = lambda c, out: (F.col(f"`{c}`").cast("string") if c in types else F.lit(None).cast("string")).alias(out)
+    packed = docs.select(plain(host_col, "host"), plain(text_col, "text"), plain(id_col, "id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    narrow = packed.select("host", "text", "id")
+    removed = frequent_lines(narrow, "host", "text", **limits)
+    spared = spared_documents(narrow, removed, "host", "text", "id", keep_share)
+    text = F.coalesce("text", F.lit(""))
+    own = _with_spared(with_clean_text(packed.where(good_base(text)), removed, "host", "text"), spared, "id")
     # a row is kept by exploding an array of one item or none: a filter would compute the clean text a second time
     enough = lambda c: c["words"].isNull() | (c["words"] >= F.size(words_of(text)) * F.lit(keep_share))
-    own = own.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.filter(F.array("__clean"), enough)).alias("__clean"))
-    new = {text_col: F.col("__clean.text"), length_col: F.length("__clean.text")}
-    types = dict(docs.dtypes)
-    changed = {c: F.when(F.col("__clean").isNotNull(), v.cast(types[c])).otherwise(F.col(f"`{c}`")).alias(c) for c, v in new.items() if c in types}
-    return own.select(*[changed.get(c, F.col(f"`{c}`")) for c in docs.columns])
+    own = own.select("doc", F.explode(F.filter(F.array("__clean"), enough)).alias("clean"))
+    new = {text_col: F.col("clean.text"), length_col: F.length("clean.text")}
+    part = lambda c: F.col("doc").getField(c)
+    return own.select(*[(F.when(F.col("clean").isNotNull(), new[c].cast(types[c])).otherwise(part(c)) if c in new else part(c)).alias(c) for c in docs.columns])
 
 
 def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,16 +238,18 @@ base AS (SELECT doc_id, host, text, len(w) AS n_words, length(regexp_replace(tex
            len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(n, 0) AS n_repeat_words,
            list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
          FROM docs JOIN split USING (doc_id) LEFT JOIN marked USING (doc_id)),
-raw AS (SELECT doc_id, host, text, unnest(l) AS line FROM base),
-lines AS (SELECT doc_id, host, text, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM raw),
+raw AS (SELECT doc_id, host, text, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS place FROM base),
+lines AS (SELECT doc_id, host, text, place, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM raw),
 sized AS (SELECT *, len(string_split(line, ' ')) AS words FROM lines),
 hosts AS (SELECT host, count(DISTINCT text) AS total FROM docs GROUP BY host),
-often AS (SELECT host, line, count(DISTINCT text) AS n, min(md5(text)) AS first FROM lines GROUP BY host, line),
-frequent AS (SELECT host, line, first FROM often JOIN hosts USING (host) WHERE n > 3.0::DOUBLE + 0.5::DOUBLE * sqrt(total)),
-gone AS (SELECT doc_id, sum(words) AS words FROM sized JOIN frequent USING (host, line) WHERE md5(text) <> first GROUP BY doc_id),
-judged AS (SELECT doc_id, n_words, word_chars, n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, n_repeat_words,
-             n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(words, 0) AS gone
-           FROM base LEFT JOIN gone USING (doc_id))
+often AS (SELECT host, line, count(DISTINCT text) AS n FROM lines GROUP BY host, line),
+frequent AS (SELECT host, line FROM often JOIN hosts USING (host) WHERE n > 3.0::DOUBLE + 0.5::DOUBLE * sqrt(total)),
+gone AS (SELECT doc_id, sum(words) AS words, min_by(line, place) AS first FROM sized JOIN frequent USING (host, line) GROUP BY doc_id),
+all_judged AS (SELECT doc_id, n_words, word_chars, n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, n_repeat_words,
+             n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(words, 0) AS gone, first, host, md5(text) AS h
+           FROM base LEFT JOIN gone USING (doc_id)),
+spared AS (SELECT min_by(doc_id, h || ' ' || doc_id::VARCHAR) AS doc_id FROM all_judged WHERE NOT base_failed AND n_words - gone < n_words * 0.4::DOUBLE GROUP BY host, first),
+judged AS (SELECT * REPLACE (CASE WHEN doc_id IN (SELECT doc_id FROM spared) THEN 0 ELSE gone END AS gone) FROM all_judged)
 """
 
 SQL_JUDGED = _SQL_BASE + """

@@ -27,7 +27,7 @@ def normal(line):
 
 
 def plain_kept(rows, floor=3.0, slope=0.5, keep_share=0.4):
-    """kept, and the text without its removed lines, of each row."""
+    """kept, and the text without its removed lines, of each row; the id of a row is its place."""
     hosts, lines = defaultdict(set), defaultdict(set)
     for host, text in rows:
         hosts[host].add(text)
@@ -35,12 +35,17 @@ def plain_kept(rows, floor=3.0, slope=0.5, keep_share=0.4):
             if normal(x):
                 lines[host, normal(x)].add(text)
     frequent = {k for k, v in lines.items() if len(v) > floor + slope * math.sqrt(len(hosts[k[0]]))}
-    first = {k: min(lines[k], key=lambda t: hashlib.md5(t.encode()).hexdigest()) for k in frequent}
-    out = []
-    for host, text in rows:
-        clean = "\n".join(x for x in text.split("\n") if (host, normal(x)) not in frequent or first[host, normal(x)] == text)
+    out, depleted = [], defaultdict(list)
+    for i, (host, text) in enumerate(rows):
+        gone = [normal(x) for x in text.split("\n") if (host, normal(x)) in frequent]
+        clean = "\n".join(x for x in text.split("\n") if (host, normal(x)) not in frequent)
         n, left = len(WORD.findall(text)), len(WORD.findall(clean))
         out.append((not plain_base(text)[5] and left >= keep_share * n, clean))
+        if not plain_base(text)[5] and left < keep_share * n:
+            depleted[host, gone[0]].append((hashlib.md5(text.encode()).hexdigest()[:15], len(text), str(i), i))
+    for own in depleted.values():
+        i = min(own)[-1]
+        out[i] = (True, rows[i][1])
     return out
 
 
@@ -110,7 +115,7 @@ def test_removed_lines_leave_the_texts(spark, monkeypatch, most):
     rows += [("a", own[k]) for k in range(14, 18)] + [("a", rows[0][1])]
     docs = spark.createDataFrame([(i, h, t, len(t)) for i, (h, t) in enumerate(rows)], "doc_id int, source string, text string, n_chars long")
     want = {i: c for i, (_, c) in enumerate(plain_kept(rows))}
-    assert sum(want[i] == f"\n{own[i]}" for i in range(12)) == 11
+    assert sum(want[i] == f"\n{own[i]}" for i in range(12)) == 12
     kept = keep_good(docs)
     assert {r.doc_id: (r.text, r.n_chars) for r in kept.collect()} == {i: (t, len(t)) for i, t in want.items()}
     assert {r.doc_id: r.clean_text for r in judge_quality(docs).collect()} == want
@@ -147,7 +152,7 @@ def test_stages(spark, docs):
     third = corpus_pipeline.one_of_each_group(spark, docs, "")
     assert third.columns == docs.columns
     got = sorted(str(r.doc_id) for r in third.collect())
-    assert got == sorted(map(str, [*range(40), 52, 53, 54, 55, None]))
+    assert got == sorted(map(str, [*range(40), 52, 53, 54, 55]))
     fourth = corpus_pipeline.packing(spark, third, "").groupBy("sequence_id").sum("length").collect()
     assert all(r[1] <= 2048 for r in fourth)
 
@@ -162,6 +167,69 @@ def test_language_stage_keeps_wide_alphabets(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()) == list(range(80))
 
 
+CLASHING = "id long, gone string, cost_limit double, score int, lang_pred string, phrase_cost string, __removed string, __clean int, stage_row string, member long, component_id int"
+
+
+def test_columns_of_any_name_stay(spark, docs):
+    names = [c.split() for c in CLASHING.split(", ")]
+    wide = docs.selectExpr("*", *[f"cast(length(coalesce(text, '')) as {t}) as {c}" for c, t in names])
+    key = lambda rows: sorted(map(repr, rows))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, "")
+        assert out.columns == wide.columns
+        assert key(out.collect()) == key(stage(spark, docs, "").selectExpr("*", *[f"cast(length(coalesce(text, '')) as {t}) as {c}" for c, t in names]).collect())
+
+
+def plain_groups(rows, width=5):
+    """Rows that stay when one of each group of near duplicates does, every pair compared."""
+    sets = []
+    for _, text in rows:
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets.append({tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set())
+    of = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                of = [of[j] if x == of[i] else x for x in of]
+    first = {}
+    for i, (doc_id, text) in enumerate(rows):
+        first.setdefault(of[i], []).append((doc_id is None, doc_id or 0, hashlib.md5((text or "").encode()).hexdigest(), i))
+    return sorted(repr(rows[min(v)[-1]]) for v in first.values())
+
+
+def test_rows_that_repeat_an_id_are_told_apart(spark):
+    rng = random.Random(11)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(6)]
+    rows = [(0, texts[0]), (1, texts[0]), (1, texts[1]), (2, texts[1] + " x"), (2, texts[2]), (2, texts[2]), (None, texts[3]), (None, texts[3] + " y"), (None, texts[1])]
+    rows += [(5, texts[4] + " b"), (5, texts[4] + " a"), (6, ""), (6, None), (None, None)]
+    for k in range(40):
+        words = texts[rng.randrange(6)].split()
+        words[rng.randrange(60)] = f"v{k}"
+        rows.append((rng.choice([None, 3, 7, 50 + k]), " ".join(words[: rng.choice([60, 60, 40])])))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for n in (1, 5):
+        got = corpus_pipeline.one_of_each_group(spark, table.repartition(n), "").collect()
+        assert sorted(repr((r.doc_id, r.text)) for r in got) == plain_groups(rows)
+    assert {r.text for r in got} >= {texts[0], texts[2]} and any(r.text in (texts[1], texts[1] + " x") or r.doc_id == 1 for r in got)
+
+
+def test_stages_of_empty_tables(spark, docs):
+    none = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, "").count() == 0
+
+
+def test_short_texts_are_judged_too(spark):
+    from quarrymill.llm.language import within_limit
+    from pyspark.sql import functions as F
+
+    rows = [(n, c) for n in (1, 20, 50, 80, 200, 5000) for c in (3.9, 4.0, 6.9, 7.1, 8.5, 9.9, 10.0)]
+    got = {(r.n, r.c): r.ok for r in spark.createDataFrame(rows, "n int, c double").select("n", "c", within_limit({"en": (4.0, 10.0)}, F.lit("en"), F.col("c"), F.col("n")).alias("ok")).collect()}
+    for n, c in rows:
+        assert got[n, c] == (c < 4 + 6 * min(1, 0.5 * math.sqrt(200 / min(n, 200)))), (n, c)
+    assert spark.range(1).select(within_limit({}, F.lit("en"), F.lit(99.0), F.lit(5))).first()[0]
+
+
 def test_run(spark):
     assert len(corpus_pipeline.STAGES) == 4
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
