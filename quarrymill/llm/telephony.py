@@ -8,6 +8,7 @@ WAV, or packed without loss, with the phases that the filter adds as differences
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -33,6 +34,10 @@ IMA_STEPS = np.array([
 IMA_MOVES = np.array([-1, -1, -1, -1, 2, 4, 6, 8] * 2, np.int32)
 
 
+#: Samples that are filtered or summed up at a time, and bytes of media (or texts) that a task decodes (or makes) at a time.
+BLOCK_SAMPLES, BATCH_BYTES = 1 << 20, 2_000_000
+
+
 def mu_law_table() -> np.ndarray:
     code = 255 - np.arange(256)
     size = (((code & 15) << 3) + 132 << (code >> 4 & 7)) - 132
@@ -152,65 +157,56 @@ def resample(pcm: np.ndarray, rate: int, to: int, taps: int = 8) -> np.ndarray:
     for phase in range(up):  # outputs at phase, phase + up, ...: one short filter each
         first = (middle + phase) % up
         own, skip = h[first::up], (middle + phase - first) // up
-        x = np.concatenate([np.zeros(len(own), np.int32), pcm.astype(np.int32), np.zeros(len(own), np.int32)])
-        total = np.full(len(pcm), 1 << 13, np.int32)
-        for k in np.flatnonzero(own).tolist():
-            at = len(own) + skip - k
-            total += own[k] * x[at : at + len(pcm)]
-        full[phase::up] = np.clip(total >> 14, -32768, 32767)
+        pad = len(own)
+        for lo in range(0, len(pcm), BLOCK_SAMPLES):
+            size = min(BLOCK_SAMPLES, len(pcm) - lo)
+            x = np.zeros(size + 2 * pad, np.int32)
+            a, b = max(lo - pad, 0), min(lo + size + pad, len(pcm))
+            x[a - lo + pad : b - lo + pad] = pcm[a:b]
+            total = np.full(size, 1 << 13, np.int32)
+            for k in np.flatnonzero(own).tolist():
+                at = pad + skip - k
+                total += own[k] * x[at : at + size]
+            full[phase + lo * up : phase + (lo + size) * up : up] = np.clip(total >> 14, -32768, 32767)
     return full[::down][:n]
 
 
-def pack_pcm(pcm: np.ndarray, rate: int, native: int, source: np.ndarray | None = None) -> bytes:
-    """Samples at ``rate`` in little-endian 16-bit words: rate, the number of phases, samples, then the phases one after the
-    other. All but the first hold differences (modulo 2 ** 16) from the first resampled. For a ``native`` rate that
-    doesn't divide ``rate`` there is one phase. ``source``: samples at the native rate of which ``pcm`` is known to be made."""
-    up = rate // native if rate % native == 0 else 1
-    parts = [pcm[::up]]
-    if up > 1:
-        known = source is not None and np.array_equal(source, pcm[::up])
-        guess = pcm if known else resample(pcm[::up], native, rate)[: len(pcm)]
-        parts += [(pcm - guess)[k::up] for k in range(1, up)]
-    return struct.pack("<III", rate, up, len(pcm)) + np.concatenate(parts).astype("<i2").tobytes()
-
-
-def unpack_pcm(packed: bytes) -> tuple[int, np.ndarray]:
-    """Rate and samples of pack_pcm()."""
-    rate, up, n = struct.unpack("<III", packed[:12])
-    x = np.frombuffer(packed[12:], "<i2").astype(np.int16)
-    if up < 2:
-        return rate, x
-    at = -(-n // up)
-    out = resample(x[:at], rate // up, rate)[:n]
-    for k in range(1, up):
-        size = len(out[k::up])
-        out[k::up] += x[at : at + size]
-        at += size
-    return rate, out
+def to_planes(pcm: np.ndarray) -> bytes:
+    """Samples (int16) as the low bytes of all, then the high bytes of all."""
+    return pcm.astype("<i2").view(np.uint8).reshape(-1, 2).T.tobytes()
+
+
+def from_planes(stored: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(stored, np.uint8).reshape(2, -1).T).view("<i2").reshape(-1)
 
 
 def describe(pcm: np.ndarray) -> str:
-    """Loudness, peak, zero crossings and roughness, as whole numbers."""
-    x = pcm.astype(np.int64)
-    rms = int(np.sqrt((x * x).sum() / max(1, len(x))))
-    crossings = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
-    rough = int(np.abs(np.diff(x)).sum() // max(1, len(x) - 1))
-    return f"n={len(x)};rms={rms};peak={int(np.abs(x).max(initial=0))};zc={crossings};rough={rough}"
+    """Loudness, peak, zero crossings and roughness, as whole numbers; block by block, each with the sample before it."""
+    n = len(pcm)
+    power = crossings = rough = peak = 0
+    for lo in range(0, n, BLOCK_SAMPLES):
+        x = pcm[max(lo - 1, 0) : lo + BLOCK_SAMPLES].astype(np.int64)
+        own = x[1:] if lo else x
+        power += int((own * own).sum())
+        peak = max(peak, int(np.abs(own).max()))
+        crossings += int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
+        rough += int(np.abs(np.diff(x)).sum())
+    return f"n={n};rms={math.isqrt(power // max(1, n))};peak={peak};zc={crossings};rough={rough // max(1, n - 1)}"
 
 
 #: Payload bytes of an ADPCM block of text_media(): half of the unit by which texts are filled up.
 _BLOCK = 288
 
 
-def as_media(payload: bytes, adpcm: bool = False) -> bytes:
-    """A WAV file whose samples are the payload's bytes: mu-law or A-law codes by turns of the payload's CRC, or, for one in 32,
+def as_media(payload: bytes) -> bytes:
+    """A WAV file whose samples are the payload's bytes, in one of the three formats by turns of the payload's CRC: mu-law codes, A-law codes, or
     the codes of ADPCM blocks that start from 0."""
-    crc = zlib.crc32(payload)
-    if adpcm or crc % 32 == 0:
+    tag = (MU_LAW, A_LAW, IMA_ADPCM)[zlib.crc32(payload) % 3]
+    if tag == IMA_ADPCM:
         blocks = np.zeros((len(payload) // _BLOCK, 4 + _BLOCK), np.uint8)
         blocks[:, 4:] = np.frombuffer(payload, np.uint8).reshape(-1, _BLOCK)
         return wav(blocks.tobytes(), IMA_ADPCM, block=4 + _BLOCK, bits=4, samples=len(blocks) * (2 * _BLOCK + 1))
-    return wav(payload, MU_LAW if crc % 2 else A_LAW)
+    return wav(payload, tag)
 
 
 def payload_of(parsed: dict) -> bytes:
@@ -222,13 +218,21 @@ def payload_of(parsed: dict) -> bytes:
 
 
 def _encode(batches: Iterator[pa.RecordBatch], unit: int) -> Iterator[pa.RecordBatch]:
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        ids, sizes, media = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+
     for batch in batches:
-        sizes, media = [], []
-        for text in batch.column(1):
+        rows, size = [], 0
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             raw = (text.as_py() or "").encode()
-            sizes.append(len(raw))
-            media.append(as_media(raw.ljust(max(1, -(-len(raw) // unit)) * unit, b"\xff")))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+            rows.append((doc_id, len(raw), as_media(raw.ljust(max(1, -(-len(raw) // unit)) * unit, b"\xff"))))
+            size += len(rows[-1][2])
+            if size >= BATCH_BYTES:
+                yield made(rows)
+                rows, size = [], 0
+        if rows:
+            yield made(rows)
 
 
 def text_media(docs: DataFrame, unit: int = 576, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -253,13 +257,26 @@ def _parsed(media: bytes | None) -> tuple[dict | None, str | None]:
         return None, str(e)
 
 
-def _decode(batches: Iterator[pa.RecordBatch], rate: int, packed: bool, step: int = 256) -> Iterator[pa.RecordBatch]:
+def _spans(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Runs of rows of BATCH_BYTES together, or of one row that is larger."""
+    first = total = 0
+    for k, n in enumerate(sizes):
+        if k > first and total + n > BATCH_BYTES:
+            yield first, k
+            first, total = k, 0
+        total += n
+    if first < len(sizes):
+        yield first, len(sizes)
+
+
+def _decode(batches: Iterator[pa.RecordBatch], rate: int, planes: bool) -> Iterator[pa.RecordBatch]:
     """Columns of DECODED for the last column (media), after the others of a batch as they are."""
     names = [x.split()[0] for x in DECODED.split(", ")]
     types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
     for batch in batches:
-        for at in range(0, batch.num_rows, step):
-            part = batch.slice(at, step)
+        column = batch.column(batch.num_columns - 1)
+        for lo, hi in _spans([len(x.as_buffer()) if x.is_valid else 0 for x in column]):
+            part = batch.slice(lo, hi - lo)
             media = part.column(part.num_columns - 1).to_pylist()
             parsed, errors = zip(*map(_parsed, media))
             good = [k for k, p in enumerate(parsed) if p]
@@ -269,28 +286,37 @@ def _decode(batches: Iterator[pa.RecordBatch], rate: int, packed: bool, step: in
                 if p is None:
                     rows.append((None,) * 6 + (None if m is None else len(m), None, None, errors[k]))
                     continue
-                x, data = resample(pcm[k], p["rate"], rate), payload_of(p)
-                out = pack_pcm(x, rate, p["rate"], pcm[k]) if packed else wav(x.astype("<i2").tobytes(), PCM, rate, 2, 16)
-                rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(pcm[k]), out, describe(x), len(m), hashlib.sha256(m).hexdigest(), rate, None))
+                n, x, data = len(pcm[k]), resample(pcm.pop(k), p["rate"], rate), payload_of(p)
+                out = to_planes(x) if planes else wav(x.astype("<i2").tobytes(), PCM, rate, 2, 16)
+                feature = None if planes else describe(x)  # planes are read back for it
+                rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), n, out, feature, len(m), hashlib.sha256(m).hexdigest(), rate, None))
             cols = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
             rest = part.schema.names[:-1]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), *cols], [*rest, *names])
 
 
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The feature of stored planes (the first column), with the others as they are."""
+    for batch in batches:
+        features = [None if x is None else describe(from_planes(x)) for x in (v.as_py() for v in batch.column(0))]
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(features, pa.string())], [*batch.schema.names[1:], "feature"])
+
+
 DECODED = (
     "payload_bytes long, payload_sha256 string, tail_crc32 long, n_samples long, pcm binary, feature string, "
     "media_bytes long, media_sha256 string, rate long, error string"
 )
 
 
-def decode_media(media: DataFrame, rate: int = 16_000, id_col: str = "doc_id", media_col: str = "media", packed: bool = False) -> DataFrame:
-    """PCM at ``rate`` (as 16-bit WAV, or by pack_pcm()), digests and a feature string of each WAV file in ``media_col``.
+def decode_media(media: DataFrame, rate: int = 16_000, id_col: str = "doc_id", media_col: str = "media", planes: bool = False) -> DataFrame:
+    """PCM at ``rate`` (as 16-bit WAV with its feature, or by to_planes() without), digests and a feature string of each WAV file in ``media_col``.
 
     mu-law, A-law, IMA ADPCM and 16-bit PCM files with one channel are read. Null or unreadable media give null
-    results and the reason in ``error``; null ids stay; repeated rows give repeated rows; an empty table none.
+    results and the reason in ``error``; null ids stay; repeated rows give repeated rows; an empty table none; a task decodes some
+    2 MB of media at a time, or one longer file.
     """
     own = media.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"cast(`{media_col}` as binary) as media")
-    return map_arrow(own, _decode, f"doc_id long, {DECODED}", rate=rate, packed=packed)
+    return map_arrow(own, _decode, f"doc_id long, {DECODED}", rate=rate, planes=planes)
 
 
 def write_dense(df: DataFrame, label: str) -> DataFrame:
@@ -300,19 +326,22 @@ def write_dense(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def store_text_audio(docs: DataFrame, rate: int = 16_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The media of texts are stored and read back, their PCM at ``rate`` is stored (packed) with all digests: the columns
-    doc_id, n_bytes and those of DECODED. Nulls and repeated rows as in text_media()."""
+def store_text_audio(docs: DataFrame, rate: int = 16_000, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The media of texts are stored and read back, their PCM at ``rate`` is stored (to_planes()) with all digests and read back in turn for its
+    feature: the columns doc_id, n_bytes and those of DECODED (of ``keep`` alone, if given). Nulls and repeated rows as in text_media()."""
     media = write_dense(text_media(docs, id_col=id_col, text_col=text_col), "media")
-    audio = map_arrow(media, _decode, f"doc_id long, n_bytes long, {DECODED}", rate=rate, packed=True)
+    audio = map_arrow(media, _decode, f"doc_id long, n_bytes long, {DECODED}", rate=rate, planes=True)
     digests = ["payload_sha256", "media_sha256"]
-    audio = write_dense(audio.withColumns({c: F.unhex(c) for c in digests}), "audio")
-    return audio.withColumns({c: F.lower(F.hex(c)) for c in digests})
+    audio = write_dense(audio.drop("feature").withColumns({c: F.unhex(c) for c in digests}), "audio")
+    audio = audio.withColumns({c: F.lower(F.hex(c)) for c in digests})
+    rest = audio.select(*[c for c in audio.columns if keep is None or c in keep])
+    own = audio.select(F.col("pcm").alias("planes"), *rest.columns)
+    return map_arrow(own, _described, rest.schema.add("feature", "string"))
 
 
 def op8_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    audio = store_text_audio(table(spark, sf_dir, "documents"))
-    return audio.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    keep = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
+    return store_text_audio(table(spark, sf_dir, "documents"), keep=keep).select(*keep, "feature")
 
 
 QUERIES = {"op8_telephony_audio": op8_telephony_audio}

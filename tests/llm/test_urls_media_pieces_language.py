@@ -116,19 +116,38 @@ def test_resample_keeps_a_tone():
     assert len(telephony.resample(x[:0], 8000, 16000)) == 0
 
 
-@pytest.mark.parametrize("native", [8000, 16_000, 11_025])
-def test_packed_pcm_is_lossless(native):
+def plain_resample(x, rate, to, taps=8):
+    """Zeros between the samples, the whole filter over all of them, every ``down``-th of the sums."""
+    g = math.gcd(rate, to)
+    up, down = to // g, rate // g
+    h = telephony._filter(up, down, taps).astype(np.int64)
+    wide = np.zeros(len(x) * up, np.int64)
+    wide[::up] = x
+    full = np.convolve(wide, h)[len(h) // 2 :][: len(wide)]
+    return np.clip((full + (1 << 13)) >> 14, -32768, 32767)[::down][: -(-len(x) * up // down)]
+
+
+@pytest.mark.parametrize("block", [1, 7, 1 << 20])
+def test_blocks_change_nothing(monkeypatch, block):
+    monkeypatch.setattr(telephony, "BLOCK_SAMPLES", block)
     rng = np.random.default_rng(4)
-    for n in (0, 1, 2, 577, 1000):
-        own = rng.integers(-32768, 32768, n).astype(np.int16)
-        x = telephony.resample(own, native, 16_000)
-        packed = telephony.pack_pcm(x, 16_000, native)
-        rate, back = telephony.unpack_pcm(packed)
-        assert rate == 16_000 and (back == x).all()
-        if native == 8000:
-            assert (x[::2] == own).all() and not any(packed[12 + 2 * n :])
-        other = rng.integers(-32768, 32768, n).astype(np.int16)  # not resampled at all
-        assert (telephony.unpack_pcm(telephony.pack_pcm(other, 16_000, native))[1] == other).all()
+    for n in (1, 2, 3, 50, 400):
+        x = rng.integers(-3000, 3000, n).astype(np.int16)
+        for native in (8000, 11_025):
+            assert telephony.resample(x, native, 16_000).tolist() == plain_resample(x, native, 16_000).tolist()
+        assert (telephony.from_planes(telephony.to_planes(x)) == x).all()
+        y = x.astype(object)
+        rough = sum(abs(p - q) for p, q in zip(y, y[1:])) // max(1, n - 1)
+        crossings = sum((p < 0) != (q < 0) for p, q in zip(y, y[1:]))
+        assert telephony.describe(x) == f"n={n};rms={math.isqrt(sum(v * v for v in y) // n)};peak={max(map(abs, y))};zc={crossings};rough={rough}"
+    assert telephony.describe(x[:0]) == "n=0;rms=0;peak=0;zc=0;rough=0"
+
+
+def test_a_very_long_text(spark):
+    """50 MB beside short ones: tasks go by bytes, not by rows."""
+    docs = spark.createDataFrame([(1, "short"), (2, "a text of some length, "), (3, None)], "doc_id long, text string").selectExpr("doc_id", "case when doc_id = 2 then repeat(text, 2200000) else text end as text")
+    got = {r.doc_id: r for r in telephony.store_text_audio(docs, keep=["doc_id", "n_bytes", "payload_bytes", "n_samples"]).collect()}
+    assert got[2].n_bytes == 23 * 2_200_000 and got[2].feature.startswith(f"n={2 * got[2].n_samples};") and got[1].n_bytes == 5 and got[3].n_bytes == 0
 
 
 def test_media(spark):
@@ -150,8 +169,9 @@ def test_media(spark):
         else:
             blocks = [b"\0" * 4 + want[k : k + 288] for k in range(0, len(want), 288)]
             assert pcm.tolist() == sum(map(scalar_ima, blocks), [])
-        rate, back = telephony.unpack_pcm(bytes(r.pcm))
-        assert rate == 16_000 and (back == telephony.resample(pcm, 8000, 16_000)).all() and r.feature == telephony.describe(back)
+        back = telephony.from_planes(bytes(r.pcm))  # as it is stored: every sample at 16 kHz
+        assert r.rate == 16_000 and len(back) == 2 * len(pcm) == 2 * r.n_samples
+        assert back.tolist() == plain_resample(pcm, 8000, 16_000).tolist() and r.feature == telephony.describe(back)
         tags.add(parsed["tag"])
     assert got[0][1:] == got[5][1:] and got[0].feature != got[4].feature
     assert tags == {telephony.MU_LAW, telephony.A_LAW, telephony.IMA_ADPCM}
