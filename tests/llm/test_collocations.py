@@ -2,7 +2,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
-from quarrymill.llm.collocations import StripeCounter, mine_phrases, score_of, stripes
+from quarrymill.llm.collocations import StripeCounter, hot_words, merged_stripes, mine_phrases, score_of
+from quarrymill.llm import collocations
 
 
 def plain(rows, least=10, share=50, top=2000):
@@ -45,7 +46,7 @@ def test_equals_definition(spark):
     rows = [*made(1, 150), ("en", None), ("en", ""), ("de", "one two three"), (None, "of the " * 50), ("en", "ha " * 3000), ("en", "ha " * 3000)]
     wanted = plain(rows)
     assert len({r[0] for r in wanted}) == 3
-    for options in ({}, {"tokens": 50}, {"slices": 1}):
+    for options in ({}, {"tokens": 50}):
         assert sorted(tuple(r) for r in mine_phrases(frame(spark, rows), **options).collect()) == wanted, options
     assert sorted(tuple(r) for r in mine_phrases(frame(spark, rows), least=3, share=80, top=7).collect()) == plain(rows, 3, 80, 7)
 
@@ -53,17 +54,24 @@ def test_equals_definition(spark):
 def test_long_text_in_parts():
     text = " ".join(t for _, t in made(5, 60))
 
-    def counted(**options):
-        counter, out = StripeCounter(**options), Counter()
+    def counted(width, **options):
+        counter, out = StripeCounter(width, **options), Counter()
         for batch in [*counter.add("en", text), *counter.add("fr", text), *counter.flush()]:
             for r in batch.to_pylist():
                 for w, c in zip(r["next"], r["counts"]):
                     out[r["lang"], r["w1"], r["w2"], w] += c
         return out
 
-    whole = counted(tokens=10**9, slices=4)
-    assert whole == counted(tokens=30, slices=4, part=70) == counted(tokens=1, slices=1, part=1)
-    assert sum(whole.values()) == 2 * sum(len(re.findall(r"[^\x20\x09]+", p)) for p in re.split(r"[.,;:!?\x0A-\x0D]", text))
+    pieces = [re.findall(r"[^\x20\x09]+", p) for p in re.split(r"[.,;:!?\x0A-\x0D]", re.sub("[A-Z]", lambda m: m[0].lower(), text))]
+    for width in (1, 2):
+        want = Counter()
+        for w in pieces:
+            for lang in ("en", "fr"):
+                for i in range(len(w) - width + 1):
+                    if width == 1 or i + 2 < len(w):
+                        want[lang, w[i], w[i + 1] if width == 2 else None, w[i + width] if i + width < len(w) else None] += 1
+        hot = frozenset({("en", b"the")})
+        assert want == counted(width, tokens=10**9) == counted(width, tokens=30, part=70, hot=hot) == counted(width, tokens=1, part=1)
 
 
 def test_exact_scores(spark):
@@ -75,7 +83,17 @@ def test_exact_scores(spark):
 def test_empty_table_and_one_prefix(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert mine_phrases(none).count() == 0
-    # everything follows one prefix: its stripe lies in many slices, and the total is that of all
-    rows = [("en", " ".join(f"a b w{i % 700}x" for i in range(k, k + 2000))) for k in range(4)]
-    merged = stripes(frame(spark, rows)).where("w1 = 'a' and w2 = 'b'")
+    # everything follows one word: its stripe lies in many slices, and the total is that of all
+    texts = frame(spark, [("en", " ".join(f"a w{i % 700}x" for i in range(k, k + 2000))) for k in range(4)]).select("lang", "text")
+    merged = merged_stripes(texts, 1, 10, 3_000_000, frozenset({("en", b"a")})).where("w1 = 'a'")
     assert merged.count() > 30 and merged.selectExpr("sum(total)").first()[0] == 8000
+    assert merged_stripes(texts, 1, 10, 3_000_000, frozenset()).where("w1 = 'a'").count() == 1
+
+
+def test_layout_and_filter_change_nothing(spark, monkeypatch):
+    rows = made(3, 120)
+    wanted = plain(rows)
+    assert hot_words(frame(spark, rows * 3).select("lang", "text")) is not None
+    monkeypatch.setattr(collocations, "hot_words", lambda texts: frozenset((c, w) for c in ("en", "fr", "und") for w in (b"the", b"of", b"a")))
+    monkeypatch.setattr(collocations, "pair_filter", lambda two: b"\xff" * (collocations.FILTER_BITS // 8))
+    assert sorted(tuple(r) for r in mine_phrases(frame(spark, rows)).collect()) == wanted
