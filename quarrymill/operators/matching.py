@@ -118,55 +118,120 @@ REFUSED = "transitive duplicate group contains conflicting locations or legal id
 
 
 def _replay(edges: pd.DataFrame) -> pd.DataFrame:
-    """Joins the records of one component by its edges in order; a join that would bring differing identities together is refused."""
+    """Joins the clusters x, y of one component by its edges in order; a join that would bring differing identities together is refused."""
     root: dict[int, int] = {}
     known: dict[int, dict[str, str]] = {}
 
     def find(x: int) -> int:
-        while root[x] != x:
-            x = root[x]
+        while (up := root[x]) != x:
+            root[x] = x = root[up]
         return x
 
     edges = edges.sort_values("place", kind="stable")
     accepted = []
-    for a, b, ka, kb in zip(edges.a_ord, edges.b_ord, edges.a_identity, edges.b_identity):
+    for a, b, ka, kb in zip(edges.x, edges.y, edges.a_identity, edges.b_identity):
         for x, k in ((a, ka), (b, kb)):
             if x not in root:
-                root[x], known[x] = x, {n: v for n, v in k.items() if v is not None}
+                root[x], known[x] = x, {n: v for n, v in dict(k).items() if v is not None}
         x, y = find(a), find(b)
         fits = all(known[y].get(n, v) == v for n, v in known[x].items())
         accepted.append(fits)
         if fits and x != y:
             root[y] = x
             known[x] |= known[y]
-    edges = edges.assign(accepted=accepted)
-    lowest: dict[int, int] = {}
-    for x in root:
-        lowest[find(x)] = min(lowest.get(find(x), x), x)
-    edges["a_cluster"] = [lowest[find(a)] for a in edges.a_ord]
-    edges["b_cluster"] = [lowest[find(b)] for b in edges.b_ord]
-    return edges[["a_ord", "b_ord", "accepted", "a_cluster", "b_cluster"]]
+    return edges.assign(accepted=accepted)[["a_ord", "b_ord", "accepted"]]
 
 
-def cluster(rows: DataFrame, matches: DataFrame) -> DataFrame:
+#: The most undecided matches that are replayed component by component in tasks; with more, they are decided in rounds.
+REPLAYED_AT_ONCE = 200_000
+
+
+def _identity_of(keys: list[str], x: str, y: str) -> tuple[Column, Column, Column]:
+    """(clash, x within y, y within x) of the identities of clusters x and y."""
+    clash, in_y, in_x = F.lit(False), F.lit(True), F.lit(True)
+    for k in keys:
+        a, b = F.col(f"{x}.{k}"), F.col(f"{y}.{k}")
+        clash = clash | F.coalesce(a != b, F.lit(False))
+        in_y, in_x = in_y & (a.isNull() | a.eqNullSafe(b)), in_x & (b.isNull() | b.eqNullSafe(a))
+    return clash, in_y, in_x
+
+
+def decide(edges: DataFrame, identities: DataFrame, keys: list[str], at_once: int = REPLAYED_AT_ONCE) -> DataFrame:
+    """``edges`` (a_ord, b_ord, place) with ``accepted``: what joining the nodes edge by edge in the order of ``place`` gives, where an edge that
+    would bring two values of one of ``keys`` into a cluster is refused. ``identities``: node and the keys' values. Stored.
+
+    Rounds decide many edges at once, each as its turn would:
+
+    * ends in one cluster: accepted; clusters that clash: refused, as clusters only grow, and with them what they clash with;
+    * an edge that is the first open one at both its clusters: accepted, as nothing changes the two before its turn;
+    * an edge that is the first open one at a cluster whose identity is part of the other's: accepted, as the other's will hold it still at its turn,
+      and isn't changed by it.
+
+    Clusters that are joined become one (connected components of the round's edges), and its identity is that of both. So a star or a chain of records
+    of one identity takes a round, and a cluster changes its identity as often as there are keys. When ``at_once`` edges are left, at most, their
+    components are replayed in tasks.
+    """
+    nodes = stored(identities.select(F.col("node").alias("id"), F.struct(*keys).alias("known")), "identities")
+    left = stored(edges.select("a_ord", "b_ord", "place", F.col("a_ord").alias("x"), F.col("b_ord").alias("y")), "open-edges")
+    done: list[DataFrame] = []
+    while left.count() > at_once:
+        of = lambda end: nodes.select(F.col("id").alias(end), F.col("known").alias(f"known_{end}"))
+        clash, in_y, in_x = _identity_of(keys, "known_x", "known_y")
+        seen = left.join(of("x"), "x").join(of("y"), "y").select("a_ord", "b_ord", "place", "x", "y", clash.alias("clash"), in_y.alias("in_y"), in_x.alias("in_x"))
+        seen = stored(seen, "seen-edges")
+        settled = seen.where("x = y or clash").select("a_ord", "b_ord", (F.col("x") == F.col("y")).alias("accepted"))
+        rest = seen.where("x <> y and not clash")
+        ends = rest.select(F.col("x").alias("id"), "place", F.col("y").alias("other"), F.col("in_y").alias("within")).unionByName(rest.select(F.col("y").alias("id"), "place", F.col("x").alias("other"), F.col("in_x").alias("within")))
+        first = ends.groupBy("id").agg(F.min(F.struct("place", "other", "within")).alias("e")).select("id", "e.*")
+        now = first.groupBy("place").agg(F.count("*").alias("sides"), F.max("within").alias("within"), F.min("id").alias("x"), F.max(F.greatest("id", "other")).alias("y"), F.min(F.least("id", "other")).alias("low"))
+        now = stored(now.where("sides = 2 or within").select("place", F.col("low").alias("x"), "y"), "decided-edges")
+        labels = stored(connected_components(now, "x", "y").withColumnRenamed("component", "label"), "joined-clusters")
+        done.append(stored(settled.unionByName(rest.join(now.select("place"), "place", "left_semi").select("a_ord", "b_ord", F.lit(True).alias("accepted"))), "decisions"))
+        to = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
+        open_ = rest.join(now.select("place"), "place", "left_anti").join(to("x"), "x", "left").join(to("y"), "y", "left")
+        left = stored(open_.select("a_ord", "b_ord", "place", F.coalesce("x_label", "x").alias("x"), F.coalesce("y_label", "y").alias("y")), "open-edges")
+        merged = nodes.join(labels, nodes["id"] == labels["node"], "left").groupBy(F.coalesce("label", "id").alias("id")).agg(*[F.max(f"known.{k}").alias(k) for k in keys])
+        nodes = stored(merged.select("id", F.struct(*keys).alias("known")), "identities")
+    own = left.join(nodes.select(F.col("id").alias("x"), F.col("known").alias("a_identity")), "x").join(nodes.select(F.col("id").alias("y"), F.col("known").alias("b_identity")), "y")
+    components = connected_components(left, "x", "y", at_once).withColumnRenamed("node", "x")
+    own = own.join(components, "x", "left").withColumn("component", F.coalesce("component", "x"))
+    as_map = lambda c: F.create_map(*[v for k in keys for v in (F.lit(k), F.col(f"{c}.{k}"))])
+    text = F.to_json(F.array(*[F.format_string("%020d", c) for c in (F.col("place.block.ord"), F.col("place.block.pos"), F.col("place.a_ord"), F.col("place.b_ord"))]))
+    again = own.select("component", "a_ord", "b_ord", "x", "y", text.alias("place"), as_map("a_identity").alias("a_identity"), as_map("b_identity").alias("b_identity"))
+    done.append(again.groupBy("component").applyInPandas(_replay, "a_ord long, b_ord long, accepted boolean"))
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return stored(out, "decided")
+
+
+def cluster(rows: DataFrame, matches: DataFrame, at_once: int = REPLAYED_AT_ONCE) -> DataFrame:
     """``matches`` with accepted (it joined its records) and a_cluster, b_cluster (the smallest ord of a record's cluster).
 
-    Components of confident matches whose records don't contradict each other are clusters. In the others the matches are
-    replayed in order, component by component; such a component has to fit a task.
+    Components of confident matches whose records don't contradict each other are clusters. In the others the matches are decided in
+    order; see decide(). No component has to fit a task.
     """
     sure = matches.where("confident")
-    components = connected_components(sure, "a_ord", "b_ord")
+    components = stored(connected_components(sure, "a_ord", "b_ord"), "components")
     distinct = [F.count_distinct(F.col(f"identity.{k}")).alias(k) for k in IDENTITY]
     members = rows.join(components, rows["ord"] == components["node"])
-    odd = members.groupBy("component").agg(*distinct).where(" or ".join(f"{k} > 1" for k in IDENTITY)).select("component")
-    placed = sure.join(components.withColumnRenamed("node", "a_ord"), "a_ord")
-    simple = placed.join(odd, "component", "left_anti").select("a_ord", "b_ord", F.lit(True).alias("accepted"), F.col("component").alias("a_cluster"), F.col("component").alias("b_cluster"))
-    keys = lambda x: rows.select(F.col("ord").alias(f"{x}_ord"), F.create_map(*[v for k in IDENTITY for v in (F.lit(k), F.col(f"identity.{k}"))]).alias(f"{x}_identity"))
-    place = F.to_json(F.array(*[F.format_string("%020d", c) for c in (F.col("edge_ord.block.ord"), F.col("edge_ord.block.pos"), F.col("a_ord"), F.col("b_ord"))]))
-    again = placed.join(odd, "component", "left_semi").withColumn("place", place).join(keys("a"), "a_ord").join(keys("b"), "b_ord")
-    again = again.select("component", "a_ord", "b_ord", "place", "a_identity", "b_identity").groupBy("component")
-    replayed = again.applyInPandas(_replay, "a_ord long, b_ord long, accepted boolean, a_cluster long, b_cluster long")
-    out = matches.join(simple.unionByName(replayed), ["a_ord", "b_ord"], "left")
+    odd = stored(members.groupBy("component").agg(*distinct).where(" or ".join(f"{k} > 1" for k in IDENTITY)).select("component"), "odd-components")
+    if odd.isEmpty():
+        placed = components
+        decided = sure.select("a_ord", "b_ord", F.lit(True).alias("accepted"))
+    else:
+        of = components.withColumnRenamed("node", "a_ord")
+        edges = stored(sure.join(of, "a_ord").join(odd, "component", "left_semi").select("a_ord", "b_ord", F.col("edge_ord").alias("place")), "odd-edges")
+        nodes = members.join(odd, "component", "left_semi").select("node", *[F.col(f"identity.{k}").alias(k) for k in IDENTITY])
+        ruled = decide(edges, nodes, list(IDENTITY), at_once)
+        plain = sure.join(of, "a_ord").join(odd, "component", "left_anti").select("a_ord", "b_ord", F.lit(True).alias("accepted"))
+        decided = stored(plain.unionByName(ruled), "decisions")
+        placed = connected_components(decided.where("accepted"), "a_ord", "b_ord")
+    placed = stored(placed.select("node", "component"), "clusters")
+    out = matches.join(decided, ["a_ord", "b_ord"], "left")
+    for x in ("a", "b"):
+        of = placed.select(F.col("node").alias(f"{x}_ord"), F.col("component").alias(f"{x}_cluster"))
+        out = out.join(of, f"{x}_ord", "left").withColumn(f"{x}_cluster", F.when(F.col("accepted").isNotNull(), F.coalesce(f"{x}_cluster", f"{x}_ord")))
     refused = F.col("confident") & ~F.col("accepted")
     return out.withColumns({"reason": F.when(refused, F.lit(REFUSED)).otherwise(F.col("reason")), "accepted": F.coalesce("accepted", F.lit(False)), "confident": F.col("confident") & F.coalesce("accepted", F.lit(False))})
 

@@ -109,6 +109,75 @@ def test_clusters_equal_replay(spark, seed):
         assert want and all(got[a, b] == ok for a, b, ok in want)
 
 
+def plain_decisions(edges, identities):
+    """Edge by edge, with the clusters as sets."""
+    cluster = {n: {n} for n in identities}
+    out = {}
+    for place, a, b in sorted(edges):
+        left, right = cluster[a], cluster[b]
+        fits = not any(identities[x][k] and identities[y][k] and identities[x][k] != identities[y][k] for x in left for y in right for k in range(3))
+        out[place] = fits
+        if fits and left is not right:
+            both = left | right
+            for x in both:
+                cluster[x] = both
+    return out
+
+
+def graph(kind, rng):
+    n = 40
+    identities = {i: tuple(rng.choice([None, None, "p", "q", "r"][: rng.choice([3, 4, 5])]) for _ in range(3)) for i in range(n)}
+    if kind == "star":
+        pairs = [(0, i) for i in range(1, n)]
+    elif kind == "chain":
+        pairs = [(i, i + 1) for i in range(n - 1)]
+    elif kind == "clique":
+        pairs = [(i, j) for i in range(14) for j in range(i)]
+    else:
+        pairs = [tuple(rng.sample(range(n), 2)) for _ in range(90)]
+    if kind != "chain":
+        rng.shuffle(pairs)
+    return [(p, a, b) for p, (a, b) in enumerate(pairs)], identities
+
+
+@pytest.mark.parametrize("kind", ["star", "chain", "clique", "random"])
+def test_rounds_equal_replay(spark, kind):
+    """Many graphs of a kind side by side, decided in rounds until 25 edges are left, and in tasks alone."""
+    rng = random.Random(kind)
+    edges, nodes, want = [], [], {}
+    for g in range(4):
+        own, identities = graph(kind, rng)
+        for place, ok in plain_decisions(own, identities).items():
+            want[g * 1000 + place] = ok
+        edges += [(g * 100 + a, g * 100 + b, ((g * 1000 + p, 0), g * 100 + a, g * 100 + b)) for p, a, b in own]
+        nodes += [(g * 100 + i, *v) for i, v in identities.items()]
+    assert 0 < sum(want.values()) < len(want)
+    e = spark.createDataFrame(edges, "a_ord long, b_ord long, place struct<block: struct<ord: long, pos: int>, a_ord: long, b_ord: long>")
+    n = spark.createDataFrame(nodes, "node long, k0 string, k1 string, k2 string")
+    place = {(a, b, p[0][0]) for a, b, p in edges}
+    for at_once in (25, 10**6):
+        got = matching.decide(e, n, ["k0", "k1", "k2"], at_once)
+        seen = {}
+        for r in got.collect():
+            seen.setdefault((r.a_ord, r.b_ord), []).append(r.accepted)
+        by_pair = {}
+        for a, b, p in sorted(place):
+            by_pair.setdefault((a, b), []).append(want[p])
+        assert {k: sorted(v) for k, v in seen.items()} == {k: sorted(v) for k, v in by_pair.items()}, at_once
+
+
+def test_a_large_component_takes_few_rounds(spark, monkeypatch):
+    """A star of 3,000 records around one without an address, which five towns share: no task replays it."""
+    rounds = []
+    whole = matching.connected_components
+    monkeypatch.setattr(matching, "connected_components", lambda *a: rounds.append(1) or whole(*a))
+    edges = [(0, i, ((i, 0), 0, i)) for i in range(1, 3000)]
+    e = spark.createDataFrame(edges, "a_ord long, b_ord long, place struct<block: struct<ord: long, pos: int>, a_ord: long, b_ord: long>")
+    n = spark.createDataFrame([(0, None, None, None)] + [(i, f"t{i % 5}", f"s{i % 2}" if i % 3 else None, None) for i in range(1, 3000)], "node long, k0 string, k1 string, k2 string")
+    got = {r.b_ord: r.accepted for r in matching.decide(e, n, ["k0", "k1", "k2"], 10).collect()}
+    assert got == {i: i % 5 == 1 and (i % 3 == 0 or i % 2 == 1) for i in range(1, 3000)} and len(rounds) < 8
+
+
 def test_rules_on_records(spark):
     rows = [
         dict(company_name=" Acme  NV ", phone="056 20 55 88", email="info@acme.be", website="acme.be", postcode="8500", vat_number="BE0629985405"),
