@@ -76,8 +76,10 @@ def block_pairs(rows: DataFrame, pair_budget: int | None = None, part: int = PAR
 
 def compare(a: Column, b: Column, threshold: int = 90) -> Column:
     """(similarity, reason, confident) of two feature rows, null for no match. The first rule that holds decides."""
-    similarity = F.when((a["name"] != "") & (b["name"] != ""), token_set_ratio(a["name"], b["name"])).otherwise(0.0)
     shared = F.transform(F.filter(a["ids"], lambda x: F.array_contains(b["ids"], x)), lambda x: x["kind"])
+    # names of records that share no identifier count from the threshold on alone
+    needed = F.when(F.arrays_overlap(a["ids"], b["ids"]), 0.0).otherwise(float(threshold))
+    similarity = F.when((a["name"] != "") & (b["name"] != ""), token_set_ratio(a["name"], b["name"], needed)).otherwise(0.0)
     conflict = F.lit(False)
     for k in IDENTITY:
         conflict = conflict | F.coalesce(a["identity"][k] != b["identity"][k], F.lit(False))

@@ -1,3 +1,4 @@
+import random
 import unicodedata
 
 import pytest
@@ -108,6 +109,46 @@ def test_token_set_ratio(spark):
     assert got == pytest.approx([plain_token_set(*p) for p in PAIRS])
 
 
+def random_text(rng, most, letters="ab c"):
+    return "".join(rng.choice(letters) for _ in range(rng.randrange(most)))
+
+
+def test_lanes_equal_the_definition():
+    rng = random.Random(1)
+    pairs = [(random_text(rng, most), random_text(rng, most)) for most in (3, 20, 64, 65, 66, 130, 300) for _ in range(12)]
+    pairs += [("x" * 64, "x" * 64), ("x" * 128, "x" * 200), ("ab" * 64, "ba" * 70), ("\U0001f600é\0", "é\0"), ("a" * 63 + "b", "b" + "a" * 63)]
+    assert similarity.lcs_lengths(*map(list, zip(*pairs))).tolist() == [plain_lcs(a, b) for a, b in pairs]
+    assert similarity.lcs_lengths([], []).tolist() == []
+
+
+def test_bounds_change_no_score(spark):
+    rng = random.Random(2)
+    pairs = [(random_text(rng, 40, "abcd  "), random_text(rng, 40, "abcd  ")) for _ in range(150)] + PAIRS + [("a\u2003b", "b a"), (None, "x"), ("x", None)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string").orderBy("i")
+    want = [plain_token_set(*p) if None not in p else 0.0 for p in pairs]
+    got = df.select(similarity.token_set_ratio(F.col("a"), F.col("b")).alias("x"), similarity.token_set_ratio(F.col("a"), F.col("b"), 70.0).alias("y")).collect()
+    assert [r.x for r in got] == pytest.approx(want)
+    assert all(y == pytest.approx(w) if w >= 70 else y < 70 for y, w in zip([r.y for r in got], want))
+
+
+def plain_partial(a, b):
+    if not a or not b:
+        return 100.0 if a == b else 0.0
+    s, t = (a, b) if len(a) <= len(b) else (b, a)
+    out = 0
+    for s, t in [(s, t)] + [(t, s)] * (len(a) == len(b)):
+        out = max([out, *(200 * plain_lcs(s, w) / (len(s) + len(w)) for w in {t[max(0, k) : k + len(s)] for k in range(1 - len(s), len(t))})])
+    return out
+
+
+def test_windows_equal_the_definition(monkeypatch):
+    rng = random.Random(3)
+    pairs = [(random_text(rng, n, "abc"), random_text(rng, m, "abcdef")) for n, m in ((4, 9), (9, 9), (20, 60), (70, 90)) for _ in range(8)] + [("", ""), ("", "x")]
+    for lanes in (7, 4096):
+        monkeypatch.setattr(similarity, "LANES", lanes)
+        assert similarity.partial_scores(*map(list, zip(*pairs))).tolist() == pytest.approx([plain_partial(a, b) for a, b in pairs])
+
+
 def test_partial_ratio(spark):
     def plain(a, b):
         if not a or not b:
