@@ -276,8 +276,8 @@ def numbered(df: DataFrame, order: list[str]) -> DataFrame:
     return ranged.join(F.broadcast(starts), "__part").withColumn("number", F.col("__start") + F.row_number().over(within)).drop("__part", "__at", "__start")
 
 
-def merge_cell(master: Column, other: Column, name: str) -> Column:
-    """(cell, conflict) after ``other`` came to the cell ``master``."""
+def merge_cell(master: Column, other: Column, name: Column, cosmetic: Column) -> Column:
+    """(cell, conflict) after ``other`` came to the cell ``master`` of the field ``name``."""
     c, o = master, other
     state = lambda cell, conflict: F.struct(cell.alias("cell"), conflict.alias("conflict"))
     none = F.lit(None).cast("string")
@@ -285,52 +285,69 @@ def merge_cell(master: Column, other: Column, name: str) -> Column:
     higher = rank(o["status"]) > rank(c["status"])
     two = (c["status"] == "unverified") & (o["status"] == "unverified") & (c["source"] != o["source"])
     equal = F.when(higher, changed(c, status=o["status"], note=o["note"], source=o["source"])).when(two, changed(c, status="verified", note=F.concat(F.lit("same value in "), c["source"], F.lit(" and "), o["source"]))).otherwise(c)
-    added = with_candidates(c, F.array(o["value"]))
-    if name in COSMETIC:
-        differ = state(added, none)
-    else:
-        won = lambda a: with_candidates(set_value(a, o["value"], o["source"], o["status"], o["note"]), F.array(a["value"]))
-        best = let(added, lambda a: F.when(higher, won(a)).otherwise(a))
-        text = lambda b: F.concat(b["value"], F.lit(" vs "), o["value"])
-        differ = let(best, lambda b: state(changed(b, status="conflict", note=noted(b, F.concat(F.lit("differs between sources: "), text(b)))), F.concat(F.lit(f"{name}: "), text(b))))
+    won = lambda a: with_candidates(set_value(a, o["value"], o["source"], o["status"], o["note"]), F.array(a["value"]))
+    text = lambda b: F.concat(b["value"], F.lit(" vs "), o["value"])
+    clash = lambda b: state(changed(b, status="conflict", note=noted(b, F.concat(F.lit("differs between sources: "), text(b)))), F.concat(name, F.lit(": "), text(b)))
+    differ = let(with_candidates(c, F.array(o["value"])), lambda a: F.when(cosmetic, state(a, none)).otherwise(let(F.when(higher, won(a)).otherwise(a), clash)))
     taken = set_value(c, o["value"], o["source"], o["status"], o["note"])
     return F.when(filled(o).isNull(), state(c, none)).when(filled(c).isNull(), state(taken, none)).when(same, state(equal, none)).otherwise(differ)
 
 
-def _bound(fold, f, k):
-    return lambda state, row: fold(f, k, state, row)
+#: Conflicts of a cluster that its flag names.
+NAMED_CONFLICTS = 4
+#: Equal cells in a row that can still change a merged cell: it first differs, then is replaced, then takes the other's status, and stays so.
+EFFECTIVE_RUN = 4
+
+
+def effective_cells(each: DataFrame, block: int = 1000) -> DataFrame:
+    """``each`` (group_id, k, place, cell) without the cells that change nothing: empty ones but the master's, and what goes on in a run of equal cells.
+    Runs are looked for in blocks of places, so that no cluster is sorted in one place."""
+    o = F.struct(*[F.col(f"cell.{c}") for c in ("value", "source", "status", "note")])
+    own = each.where((F.col("place") == 0) | filled(F.col("cell")).isNotNull())
+    order = Window.partitionBy("group_id", "k", F.floor(F.col("place") / block)).orderBy("place")
+    repeated = F.lit(True)
+    for n in range(1, EFFECTIVE_RUN + 1):
+        repeated = repeated & F.coalesce(F.lag(F.struct("place", o.alias("o")), n).over(order)["o"].eqNullSafe(o), F.lit(False))
+    return own.withColumn("__repeated", repeated).where("not __repeated or place = 0").drop("__repeated")
 
 
-def merge_fields(records: DataFrame, membership: DataFrame, schema: Schema) -> DataFrame:
+def merge_fields(records: DataFrame, membership: DataFrame, schema: Schema, block: int = 1000) -> DataFrame:
     """One row per cluster: record_id of the master, its merged cells, and merge_flags.
 
-    The members' cells are folded into the master's in order; a cluster's records meet in one row.
+    The members' cells are merged into the master's in order, field by field: a row is a field of a cluster with the cells that change it, not
+    the cluster's records. Flags are those of the members, each once, where it comes first.
     """
-    cells = [f.column for f in schema.fields]
+    cells, names = [f.column for f in schema.fields], [f.name for f in schema.fields]
     clusters = membership.where("part = 0")
-    rows = clusters.join(records.select("record_id", "flags", *cells), "record_id")
-    gathered = rows.groupBy("group_id", "master_id", "reason").agg(F.array_sort(F.collect_list(F.struct("place", "record_id", "flags", *cells))).alias("rows"))
+    rows = clusters.select("group_id", "place", "record_id").join(records.select("record_id", "flags", *cells), "record_id")
     empty = F.lit(None).cast("string")
-    out = {}
-    for k, f in enumerate(schema.fields):
-        blank = lambda c: F.coalesce(c, F.struct(empty.alias("value"), F.lit("").alias("source"), F.lit("missing").alias("status"), F.lit("").alias("note"), strings().alias("candidates")))
-
-        def fold(f, k, state: Column, row: Column) -> Column:
-            def took(new: Column) -> Column:
-                more = F.when(new["conflict"].isNotNull(), F.array(F.struct(row["place"].alias("place"), F.lit(k).alias("k"), new["conflict"].alias("text")))).otherwise(F.array().cast("array<struct<place:int,k:int,text:string>>"))
-                return F.struct(new["cell"].alias("cell"), F.concat(state["conflicts"], more).alias("conflicts"))
-
-            return let(blank(row[f.column]), lambda other: let(merge_cell(state["cell"], other, f.name), took))
-
-        start = F.struct(blank(F.col("rows")[0][f.column]).alias("cell"), F.array().cast("array<struct<place:int,k:int,text:string>>").alias("conflicts"))
-        out[f.column] = F.aggregate(F.slice("rows", F.lit(2), F.size("rows")), start, _bound(fold, f, k))
-    merged = gathered.select("group_id", F.col("master_id").alias("record_id"), "reason", "rows", *[v.alias(k) for k, v in out.items()])
-    conflicts = F.transform(F.slice(F.array_sort(F.concat(*[F.col(f"{c}.conflicts") for c in cells])), 1, 4), lambda x: x["text"])
-    others = F.filter(F.flatten(F.transform("rows", lambda r: r["flags"])), lambda x: ~x.startswith("missing"))
-    note = F.concat(F.lit("note: merged "), (F.size("rows") - 1).cast("string"), F.lit(" duplicate record(s) - "), F.col("reason"))
-    clash = F.when(F.size(conflicts) > 0, F.concat(F.lit("merged duplicates disagree on: "), F.array_join(conflicts, "; "), F.lit(" - review")))
-    flags = F.array_distinct(F.concat(F.col("rows")[0]["flags"], others, strings(note, clash)))
-    return merged.select("record_id", flags.alias("merge_flags"), *[F.when(filled(F.col(f"{c}.cell")).isNotNull() | (F.col(f"{c}.cell.status") != "missing"), F.col(f"{c}.cell")).alias(c) for c in cells])
+    blank = lambda c: F.coalesce(c, F.struct(empty.alias("value"), F.lit("").alias("source"), F.lit("missing").alias("status"), F.lit("").alias("note"), strings().alias("candidates")))
+    spread_out = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("cell")) for k, c in enumerate(cells)])).alias("x")
+    each = rows.select("group_id", "place", spread_out).select("group_id", "place", "x.k", blank(F.col("x.cell")).alias("cell"))
+    gathered = effective_cells(each, block).groupBy("group_id", "k").agg(F.array_sort(F.collect_list(F.struct("place", "cell"))).alias("rows"))
+    gathered = stored(gathered.withColumns({"name": F.element_at(F.array(*[F.lit(n) for n in names]), F.col("k") + 1), "cosmetic": F.col("k").isin([k for k, n in enumerate(names) if n in COSMETIC])}), "merged-runs")
+    no_conflicts = F.array().cast("array<struct<place:int,k:int,text:string>>")
+
+    def fold(state: Column, row: Column) -> Column:
+        def took(new: Column) -> Column:
+            more = (new["conflict"].isNotNull()) & (F.size(state["conflicts"]) < NAMED_CONFLICTS)
+            found = F.when(more, F.array(F.struct(row["place"].cast("int").alias("place"), F.col("k").alias("k"), new["conflict"].alias("text")))).otherwise(no_conflicts)
+            return F.struct(new["cell"].alias("cell"), F.concat(state["conflicts"], found).alias("conflicts"))
+
+        return let(merge_cell(state["cell"], row["cell"], F.col("name"), F.col("cosmetic")), took)
+
+    start = F.struct(F.col("rows")[0]["cell"].alias("cell"), no_conflicts.alias("conflicts"))
+    merged = stored(gathered.select("group_id", "k", F.aggregate(F.slice("rows", F.lit(2), F.size("rows")), start, fold).alias("m")).select("group_id", "k", "m.*"), "merged-cells")
+    own = lambda k, c: F.first(F.when((F.col("k") == k) & (filled(F.col("cell")).isNotNull() | (F.col("cell.status") != "missing")), F.col("cell")), ignorenulls=True).alias(c)
+    wide = merged.groupBy("group_id").agg(*[own(k, c) for k, c in enumerate(cells)], F.slice(F.array_sort(F.flatten(F.collect_list("conflicts"))), 1, NAMED_CONFLICTS).alias("conflicts"))
+    first = rows.select("group_id", "place", F.posexplode("flags").alias("at", "flag")).where((F.col("place") == 0) | ~F.col("flag").startswith("missing")).groupBy("group_id", "flag").agg(F.min(F.struct("place", "at")).alias("seen"))
+    said = first.groupBy("group_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seen", "flag"))), lambda x: x["flag"]).alias("own_flags"))
+    base = clusters.where("place = 0").select("group_id", F.col("master_id").alias("record_id"), "reason", F.col("size").alias("members"))
+    conflicts = F.transform("conflicts", lambda x: x["text"])
+    note = F.concat(F.lit("note: merged "), (F.col("members") - 1).cast("string"), F.lit(" duplicate record(s) - "), F.col("reason"))
+    clash = F.when(F.size("conflicts") > 0, F.concat(F.lit("merged duplicates disagree on: "), F.array_join(conflicts, "; "), F.lit(" - review")))
+    flags = F.array_distinct(F.concat(F.coalesce("own_flags", strings()), strings(note, clash)))
+    return base.join(wide, "group_id").join(said, "group_id", "left").select("record_id", flags.alias("merge_flags"), *cells)
 
 
 def dedupe(records: DataFrame, schema: Schema, threshold: int = 90, merge: bool = True, pair_budget: int | None = None) -> tuple[DataFrame, DataFrame]:

@@ -178,6 +178,80 @@ def test_a_large_component_takes_few_rounds(spark, monkeypatch):
     assert got == {i: i % 5 == 1 and (i % 3 == 0 or i % 2 == 1) for i in range(1, 3000)} and len(rounds) < 8
 
 
+RANK = {"verified": 3, "unverified": 2, "conflict": 1, "invalid": 0, "missing": -1}
+
+
+def plain_merge(cells, name):
+    """The ordered fold over (value, source, status, note); candidates are kept in order."""
+    value, source, status, note = cells[0]
+    seen, conflicts = [], []
+
+    def add(v):
+        if v is not None and v != value and v not in seen:
+            seen.append(v)
+
+    for v, s, st, n in cells[1:]:
+        if not (v or "").strip():
+            continue
+        if not (value or "").strip():
+            value, source, status, note = v, s, st, n
+        elif value.lower().strip() == v.lower().strip():
+            if RANK[st] > RANK[status]:
+                status, note, source = st, n, s
+            elif status == st == "unverified" and source != s:
+                status, note = "verified", f"same value in {source} and {s}"
+        else:
+            add(v)
+            if name not in matching.COSMETIC:
+                if RANK[st] > RANK[status]:
+                    old, value, source, status, note = value, v, s, st, n
+                    if old not in seen:
+                        seen.append(old)
+                    seen = [x for x in dict.fromkeys(seen)]
+                text = f"{value} vs {v}"
+                conflicts.append(f"{name}: {text}")
+                status, note = "conflict", f"{note}; differs between sources: {text}" if note else f"differs between sources: {text}"
+    return value, source, status, note, conflicts
+
+
+def test_merge_equals_the_fold_and_runs_are_short(spark):
+    rng = random.Random(4)
+    values = {"city": ["Gent", "gent ", "Brugge", None, " "], "description": ["x", "y", None]}
+    rows, members, want = [], [], {}
+    for g, n in enumerate([2, 3, 9, 40, 40, 3000]):
+        own = []
+        for place in range(n):
+            rare = rng.random() < (0.004 if n > 1000 else 0.5)
+            made = {k: (rng.choice(v) if rare or place == 0 else v[0], rng.choice("ab") if rare else "a", rng.choice(["unverified", "unverified", "verified", "invalid"]) if rare else "unverified", rng.choice(["", "n"]) if rare else "") for k, v in values.items()}
+            own.append(made)
+            rows.append((f"g{g}r{place}", *[tuple(made[k]) for k in values], [f"f{rng.randrange(3)}", f"missing {place}"] if rare else []))
+            members.append((f"G{g}", 0, g, "why", f"g{g}r0", n, place, f"g{g}r{place}"))
+        want[f"g{g}r0"] = {k: plain_merge([m[k] for m in own], k) for k in values}
+    cell = "struct<value:string,source:string,status:string,note:string>"
+    names = [f.column for f in LEADS.fields]
+    raw = spark.createDataFrame(rows, f"record_id string, f_city {cell}, f_description {cell}, flags array<string>")
+    full = "struct<value:string,source:string,status:string,note:string,candidates:array<string>>"
+    as_cell = lambda c: f"CAST(named_struct('value', {c}.value, 'source', {c}.source, 'status', {c}.status, 'note', {c}.note, 'candidates', array()) AS {full}) AS {c}"
+    records = raw.selectExpr("record_id", "flags", *[as_cell(c) if c in ("f_city", "f_description") else f"CAST(NULL AS {full}) AS {c}" for c in names])
+    membership = spark.createDataFrame(members, "group_id string, part int, number int, reason string, master_id string, size int, place int, record_id string")
+    for block in (7, 1000):
+        got = {r.record_id: r for r in matching.merge_fields(records, membership, LEADS, block).collect()}
+        assert set(got) == set(want)
+        for k, fields in want.items():
+            for name, (value, source, status, note, conflicts) in fields.items():
+                c = got[k][f"f_{name}"]
+                if (value or "").strip():
+                    assert (c.value, c.source, c.status, c.note) == (value, source, status, note), (k, name)
+            wanted = fields["city"][4][:4]
+            clash = [f for f in got[k].merge_flags if f.startswith("merged duplicates")]
+            assert clash == ([f"merged duplicates disagree on: {'; '.join(wanted)} - review"] if wanted else [])
+    # what a field of the cluster of 3,000 comes down to
+    from pyspark.sql import functions as F
+
+    each = membership.join(records, "record_id").select("group_id", "place", F.lit(0).alias("k"), F.col("f_city").alias("cell"))
+    assert matching.effective_cells(each).where("group_id = 'G5'").count() < 300
+
+
 def test_rules_on_records(spark):
     rows = [
         dict(company_name=" Acme  NV ", phone="056 20 55 88", email="info@acme.be", website="acme.be", postcode="8500", vat_number="BE0629985405"),
