@@ -48,6 +48,41 @@ def features(records: DataFrame, schema: Schema) -> DataFrame:
 PART = 512
 
 
+#: What pairs of records are compared by: records that agree in all of it are a class.
+COMPARED = ("name", "ids", "address", "postcode", "identity")
+
+
+def record_classes(rows: DataFrame) -> DataFrame:
+    """Membership of feature rows in classes: ord, class_ord (the smallest ord of the class) and size. Copies count once in the tasks before they are
+    dealt out, and a class of any size is counted, not gathered. Stored."""
+    keyed = rows.select("ord", F.xxhash64(*COMPARED).alias("digest"), *COMPARED)
+    classes = keyed.groupBy("digest", *COMPARED).agg(F.min("ord").alias("class_ord"), F.count("*").alias("size"))
+    same = [keyed["digest"] == classes["digest"], *[keyed[c].eqNullSafe(classes[c]) for c in COMPARED]]
+    return stored(keyed.join(classes, same).select("ord", "class_ord", "size"), "record-classes")
+
+
+def class_pairs(rows: DataFrame, pair_budget: int | None = None, part: int = PART) -> tuple[DataFrame, DataFrame]:
+    """(pairs, membership): block_pairs() of the classes' first records, and record_classes(). The budget counts pairs of classes, so that a mailbox or
+    postcode that thousands of like records share is no reason to stop. What holds for a pair holds for all pairs of their members, and each class
+    of two records or more is a pair with itself (see class_matches())."""
+    membership = record_classes(rows)
+    first = rows.join(membership.where("ord = class_ord").select("ord"), "ord", "left_semi")
+    return block_pairs(first, pair_budget, part), membership
+
+
+def class_matches(rows: DataFrame, pairs: DataFrame, membership: DataFrame, threshold: int = 90) -> DataFrame:
+    """Matches of classes: a_ord, b_ord (first records; equal for matches within a class), similarity, reason, confident, and record_pairs: how many
+    pairs of records the match stands for. Every pair of classes is compared once, whatever their sizes."""
+    sizes = membership.where("ord = class_ord").select("ord", "size")
+    within = sizes.where("size > 1").select(F.col("ord").alias("a_ord"), F.col("ord").alias("b_ord"))
+    own = lambda x: rows.select(F.col("ord").alias(f"{x}_ord"), F.struct("*").alias(x))
+    both = pairs.select("a_ord", "b_ord").unionByName(within).join(own("a"), "a_ord").join(own("b"), "b_ord")
+    met = both.withColumn("m", compare(F.col("a"), F.col("b"), threshold)).where("m is not null").select("a_ord", "b_ord", "m.*")
+    of = lambda x: sizes.select(F.col("ord").alias(f"{x}_ord"), F.col("size").alias(f"{x}_size"))
+    stands = F.when(F.col("a_ord") == F.col("b_ord"), F.expr("a_size * (a_size - 1) div 2")).otherwise(F.expr("a_size * b_size"))
+    return met.join(of("a"), "a_ord").join(of("b"), "b_ord").withColumn("record_pairs", stands.cast("long")).drop("a_size", "b_size")
+
+
 def block_pairs(rows: DataFrame, pair_budget: int | None = None, part: int = PART) -> DataFrame:
     """(a_ord, b_ord, edge_ord) of the records that share an identifier, a postcode or the first six letters of the name; each
     pair once, with the order in which blocks and records give it.
