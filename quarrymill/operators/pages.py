@@ -221,25 +221,48 @@ def html_items(pages: DataFrame, item_selector: str | None, fields: Mapping[str,
     return rows.select("page_url", "item", *[finished_field(F.col(n), s).alias(n) for n, s in specs.items()], *[F.lit(v).alias(k) for k, v in (constants or {}).items()])
 
 
-def follow_pages(pages: DataFrame, start_url: str, next_selector: str, max_pages: int = 10) -> DataFrame:
-    """The pages reached from ``start_url`` by next links, with page_no: until there is none, one was seen, or isn't landed."""
+def next_links(pages: DataFrame, next_selector: str) -> DataFrame:
+    """url and next_url of the pages that have a next link. Stored."""
     links = html_items(pages, None, {"next_url": {"selector": next_selector, "attr": "href", "absolute": True}}).select(F.col("page_url").alias("url"), "next_url")
-    links = stored(links.dropDuplicates(["url"]), "next-links")
-    at = links.where(F.col("url") == start_url).select("url", "next_url", F.lit(1).alias("page_no"))
-    out = at
-    for n in range(2, max_pages + 1):
-        at = stored(at.select(F.col("next_url").alias("url")).join(links, "url").join(out.select("url"), "url", "left_anti").select("url", "next_url", F.lit(n).alias("page_no")), "page")
-        if at.isEmpty():
+    return stored(links.dropDuplicates(["url"]), "next-links")
+
+
+def reached_pages(links: DataFrame, start_url: str, max_pages: int | None = None) -> DataFrame:
+    """url and page_no of the pages that a walk along ``links`` meets, ``start_url`` being the first: until there is no next page, one was seen, or
+    isn't among the links' pages. Stored.
+
+    Pointers double: after k joins every page knows its 2^k-th successor, and twice as many pages are reached. A cycle gives each of its pages
+    the number at which the walk first came there.
+    """
+    pages = links.select("url").distinct()
+    jump = stored(links.where("next_url is not null").join(pages.withColumnRenamed("url", "next_url"), "next_url", "left_semi").select("url", F.col("next_url").alias("to")), "jumps")
+    reached = stored(pages.where(F.col("url") == start_url).select("url", F.lit(1).cast("long").alias("page_no")), "reached")
+    step, count = 1, reached.count()
+    while count and (max_pages is None or step < max_pages):
+        more = reached.join(jump, "url").select(F.col("to").alias("url"), (F.col("page_no") + step).alias("page_no"))
+        more = more if max_pages is None else more.where(F.col("page_no") <= max_pages)
+        reached = stored(reached.unionByName(more).groupBy("url").agg(F.min("page_no").alias("page_no")), "reached")
+        if (grown := reached.count()) == count:
             break
-        out = out.unionByName(at)
-    return pages.join(out.select("url", "page_no"), "url")
+        step, count = 2 * step, grown
+        jump = stored(jump.join(jump.select(F.col("url").alias("to"), F.col("to").alias("on")), "to").select("url", F.col("on").alias("to")), "jumps")
+    return reached
+
+
+def follow_pages(pages: DataFrame, start_url: str, next_selector: str, max_pages: int | None = 10) -> DataFrame:
+    """The pages reached from ``start_url`` by next links, with page_no; see reached_pages()."""
+    reached = reached_pages(next_links(pages, next_selector), start_url, max_pages)
+    return pages.join(reached.select("url", F.col("page_no").cast("int").alias("page_no")), "url")
 
 
 def detail_join(items: DataFrame, pages: DataFrame, url_field: str, fields: Mapping[str, Mapping | str], root_selector: str | None = None) -> DataFrame:
-    """Items with fields of their detail pages; ``detail_error`` where the page isn't there."""
-    details = html_items(pages, root_selector, fields).where("item = 0").drop("item").withColumnRenamed("page_url", url_field).withColumn("__there", F.lit(True))
-    landed = pages.select(F.col("url").alias(url_field), F.lit(True).alias("__landed")).distinct()
-    out = items.join(details.drop("__there"), url_field, "left").join(landed, url_field, "left")
+    """Items with fields of their detail pages; ``detail_error`` where the page isn't there. Pages that no item names are left out before they are
+    parsed."""
+    wanted = stored(items.select(F.col(url_field).alias("url")).where("url is not null").distinct(), "wanted-urls")
+    own = pages.join(wanted, "url", "left_semi")
+    details = html_items(own, root_selector, fields).where("item = 0").drop("item").withColumnRenamed("page_url", url_field)
+    landed = own.select(F.col("url").alias(url_field), F.lit(True).alias("__landed")).distinct()
+    out = items.join(details, url_field, "left").join(landed, url_field, "left")
     return out.withColumn("detail_error", F.when(F.col("__landed").isNull(), "page not landed")).drop("__landed")
 
 

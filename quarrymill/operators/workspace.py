@@ -16,6 +16,7 @@ from quarrymill.functions.text import csv_cell
 from quarrymill.operators.records import status, value
 from quarrymill.operators.rules import approval_blockers
 from quarrymill.schema import Schema
+from quarrymill.storage import stored
 
 EVENTS = "run_id string, record_id string, decision string, reviewer string, note string, revision int, created_at timestamp"
 RUNS = "run_id string, project string, created_at timestamp, input_name string, input_sha256 string, schema_json string, report_json string"
@@ -37,7 +38,8 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
 
 
 def save_run(records: DataFrame, folder: str, run_id: str, project: str, schema: Schema, input_name: str = "", input_sha256: str = "", report: dict | None = None) -> None:
-    """Append a run. Runs don't change: a known run id is refused, as are repeated record ids and blank or long project names."""
+    """Append a run. Runs don't change: a known run id is refused, as are repeated record ids and blank or long project names. The run's row
+    comes last: records that a crash left without it are no run, and saving again replaces them."""
     if not project.strip() or len(project) > 120:
         raise ValueError("a project name has 1 to 120 characters")
     if not records.groupBy("record_id").count().where("count > 1").isEmpty():
@@ -46,7 +48,8 @@ def save_run(records: DataFrame, folder: str, run_id: str, project: str, schema:
     known = _table(spark, folder, "runs")
     if known is not None and not known.where(F.col("run_id") == run_id).isEmpty():
         raise ValueError(f"there is a run {run_id!r} already")
-    records.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(f"{folder}/records")
+    own = records.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    own.partitionBy("run_id").parquet(f"{folder}/records")
     row = [(run_id, project.strip(), input_name, input_sha256, json.dumps(schema.as_dict(), sort_keys=True), json.dumps(report or {}, sort_keys=True))]
     runs = spark.createDataFrame(row, "run_id string, project string, input_name string, input_sha256 string, schema_json string, report_json string")
     runs.withColumn("created_at", F.current_timestamp()).write.mode("append").partitionBy("run_id").parquet(f"{folder}/runs")
@@ -68,7 +71,11 @@ def delete_run(spark: SparkSession, folder: str, run_id: str) -> None:
 
 
 def load_run(spark: SparkSession, folder: str, run_id: str) -> DataFrame:
-    """The records of one run: only its partition is read."""
+    """The records of one run: only its partition is read. Raises where the workspace has no such run, even if it has records of one that was
+    cut off."""
+    runs = _table(spark, folder, "runs")
+    if runs is None or runs.where(F.col("run_id") == run_id).isEmpty():
+        raise ValueError("no such run in this workspace")
     return spark.read.parquet(f"{folder}/records").where(F.col("run_id") == run_id)
 
 
@@ -141,14 +148,21 @@ def _keyed(records: DataFrame, schema: Schema, key: str) -> DataFrame:
 
 def compare_runs(before: DataFrame, after: DataFrame, schema: Schema, key: str = "account_id") -> DataFrame:
     """(key, change, field, before, after, status_before, status_after) of added, removed and changed records, and unchanged
-    ones with a null field. A field has changed if its value or its status differs."""
-    both = _keyed(before, schema, key).withColumnRenamed("cells", "old").join(_keyed(after, schema, key).withColumnRenamed("cells", "new"), "key", "full_outer")
+    ones with a null field. A field has changed if its value or its status differs.
+
+    Keys and 128-bit digests of all cells meet first; the cells themselves are fetched for the keys alone whose digests differ.
+    """
+    old, new = _keyed(before, schema, key), _keyed(after, schema, key)
+    digest = lambda df, name: df.select("key", F.md5(F.to_json("cells")).alias(name))
+    kind = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a") != F.col("b"), "changed").otherwise("unchanged")
+    kinds = stored(digest(old, "a").join(digest(new, "b"), "key", "full_outer").select("key", kind.alias("change")), "changed-keys")
+    changed = kinds.where("change = 'changed'").select("key")
+    cells = lambda df, name: df.join(changed, "key", "left_semi").withColumnRenamed("cells", name)
     one = lambda n: F.struct(F.lit(n).alias("field"), F.col(f"old.{n}.value").alias("before"), F.col(f"new.{n}.value").alias("after"), F.col(f"old.{n}.status").alias("status_before"), F.col(f"new.{n}.status").alias("status_after"))
     changes = F.filter(F.array(*[one(n) for n in schema.names]), lambda x: ~x["before"].eqNullSafe(x["after"]) | ~x["status_before"].eqNullSafe(x["status_after"]))
-    there = F.col("old").isNotNull() & F.col("new").isNotNull()
-    kind = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.size("changes") > 0, "changed").otherwise("unchanged")
-    rows = both.withColumn("changes", F.filter(changes, lambda x: there))
-    return rows.select("key", kind.alias("change"), F.explode_outer("changes").alias("c")).select("key", "change", "c.*")
+    fields = cells(old, "old").join(cells(new, "new"), "key").select("key", F.lit("changed").alias("change"), F.explode(changes).alias("c")).select("key", "change", "c.*")
+    rest = kinds.where("change <> 'changed'").select("key", "change", *[F.lit(None).cast("string").alias(c) for c in fields.columns[2:]])
+    return rest.unionByName(fields)
 
 
 def compare_saved(spark: SparkSession, folder: str, before: str, after: str, schema: Schema, key: str = "account_id") -> DataFrame:

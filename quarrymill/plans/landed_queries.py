@@ -141,6 +141,12 @@ def a15_a16_a17_s16_x3_listing(spark, sf_dir):
     return pages.detail_join(items, landed_pages, "product_url", {"upc": "table tr:nth-of-type(1) td"})
 
 
+@query("SELECT DISTINCT 'http://shop.be/list/' || (c_custkey // 10) AS url, (c_custkey // 10 + 1)::BIGINT AS page_no FROM customer")
+def a16_whole_listing(spark, sf_dir):
+    """All pages of the listing in order, however many, in as many joins as their number has binary digits."""
+    return pages.reached_pages(pages.next_links(listing(spark, sf_dir), "a.next"), "http://shop.be/list/0")
+
+
 @query("""SELECT 'http://s/' || c_custkey AS page_url, 'http://firm' || c_custkey || '.be/a b' AS url, 'Firm ' || c_custkey AS title, 'about ' || c_custkey AS snippet FROM customer WHERE c_custkey % 5 <> 0
 UNION ALL SELECT 'http://s/' || c_custkey, 'https://plain.be/' || c_custkey, 'Plain', '' FROM customer""")
 def a18_search_results(spark, sf_dir):

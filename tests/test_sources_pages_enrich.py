@@ -129,6 +129,46 @@ def test_listing(spark):
     assert (out["T1"].upc, out["T1"].detail_error, out["T2"].detail_error) == ("abc", None, "page not landed")
 
 
+def test_pointers_double(spark):
+    """A chain, a chain into a cycle, a gap, and a start that isn't there."""
+    links = [(f"c{i}", f"c{i + 1}") for i in range(150)] + [("c150", None)] + [(f"r{i}", f"r{i + 1}") for i in range(20)] + [("r20", "r7"), ("g0", "g1"), ("g1", "g2"), ("s", "s")]
+    df = spark.createDataFrame(links, "url string, next_url string")
+    walk = lambda start, most=None: {r.url: r.page_no for r in pages.reached_pages(df, start, most).collect()}
+    assert walk("c0") == {f"c{i}": i + 1 for i in range(151)}
+    assert walk("c3", 10) == {f"c{i + 3}": i + 1 for i in range(10)}
+    assert walk("r2") == {f"r{i}": i - 1 for i in range(2, 21)}
+    assert walk("r9") == {f"r{i}": (i - 9) % 14 + 1 for i in range(7, 21)}
+    assert walk("g0") == {"g0": 1, "g1": 2} and walk("s") == {"s": 1} and walk("none") == {}
+
+
+def test_pages_that_no_item_names_are_not_parsed(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(f"u{i}", f"<b>{i}</b>") for i in range(30)], "url string, html string")
+    items = spark.createDataFrame([("u1",), ("u2",), ("gone",), (None,)], "link string")
+    out = pages.detail_join(items, df, "link", {"title": "b"})
+    assert sorted(map(str, ((r.link, r.title, r.detail_error) for r in out.collect()))) == sorted(map(str, [("u1", "1", None), ("u2", "2", None), ("gone", None, "page not landed"), (None, None, "page not landed")]))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("LeftSemi")  # the semi-join lies below the parser
+    assert out.select(F.count("*")).first()[0] == 4
+
+
+def test_a_run_that_was_cut_off_is_saved_again(spark, tmp_path):
+    from quarrymill.operators import workspace
+    from quarrymill.operators.records import to_records
+
+    folder = f"file://{tmp_path}/w"
+    records = to_records(spark.createDataFrame([("R1", "A"), ("R2", "B")], "record_id string, company_name string"), COMPANIES)
+    records.withColumn("run_id", F.lit("r1")).write.partitionBy("run_id").parquet(f"{folder}/records")  # and no row of the run
+    with pytest.raises(ValueError, match="no such run"):
+        workspace.load_run(spark, folder, "r1")
+    for run in ("r1", "r2"):
+        workspace.save_run(records, folder, run, "p", COMPANIES)
+    assert [workspace.load_run(spark, folder, run).count() for run in ("r1", "r2")] == [2, 2]
+    with pytest.raises(ValueError, match="already"):
+        workspace.save_run(records, folder, "r1", "p", COMPANIES)
+
+
 def test_enrichment(spark):
     rows = [("R1", "Acme Brugge", "https://acme.be/", "info@acme.be", "+3256205588", "BE0629985405", "8500"), ("R2", "Zebra", "https://zebra.be/", "x@dead.be", None, "BE0629985404", None), ("R3", "Koen Bakkerij", None, None, None, None, None)]
     base = to_records(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "ord long, record_id string, company_name string, website string, email string, phone string, vat_number string, postcode string"), COMPANIES, "list")
