@@ -4,8 +4,9 @@ The model is a GRU over the most frequent words, trained in numpy by truncated b
 factored into a class and a word of the class. All other words are one symbol of the model, and share its probability by
 their counts in all training documents. Documents are scored whole: the state is carried from window to window.
 
-Training grows with the input: in each of some rounds every task trains a copy of the model on a share of its training
-documents, of all lengths, and the copies' parameters are averaged by tokens, group by group, before the next round.
+All training documents train the model, each in one of some rounds: they are dealt to groups by hash, of about as many tokens each at every size of
+the input; in a round every group trains a copy of the model, and the copies' parameters are averaged by tokens before the next. So neither the
+cluster nor the order of the input changes the model. Its vocabulary grows with the root (the third) of the number of tokens.
 
 Counts grow with the corpus, so only those of the most frequent words go to every worker (a bounded number); the
 others are joined by word.
@@ -13,6 +14,7 @@ others are joined by word.
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 from collections.abc import Iterator
 from copy import copy
@@ -34,6 +36,23 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def in_lanes(docs: list[np.ndarray], lanes: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(symbols, does a document start here) of each lane, the longest lane first: documents go, by descending length, to the lane with the fewest
+    symbols."""
+    heap = [(0, k) for k in range(min(lanes, len(docs)))]
+    own: list[list[np.ndarray]] = [[] for _ in heap]
+    for d in sorted(docs, key=lambda d: -len(d)):
+        size, k = heapq.heappop(heap)
+        own[k].append(d)
+        heapq.heappush(heap, (size + len(d), k))
+    out = []
+    for row in own:
+        start = np.zeros(sum(map(len, row)), bool)
+        start[np.cumsum([0, *map(len, row)])[:-1]] = True
+        out.append((np.concatenate(row), start))
+    return sorted(out, key=lambda r: -len(r[0]))
+
+
 class Gru:
     """A GRU with a class-factored softmax; symbols 0 .. size - 1, class = symbol // width."""
 
@@ -128,18 +147,20 @@ class Gru:
                 dh[own] += error @ p["w"][c].T
         return log, dh
 
-    def loss_and_gradient(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, h: np.ndarray) -> tuple[float, dict, np.ndarray]:
+    def loss_and_gradient(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, h: np.ndarray, start: np.ndarray | None = None) -> tuple[float, dict, np.ndarray]:
         """Mean loss over a window (steps x lanes), its gradient, and the last state; x[t] is read after y[t] is
-        foretold, and the state before the window is taken as given (truncation)."""
+        foretold, and the state before the window is taken as given (truncation). Where ``start`` holds, a document begins, with the state zero."""
         steps, k, p = len(x), self.hidden, self.p
-        states, saved = [h], []
+        states, saved, whole = [], [], mask.all(1)
         for t in range(steps):
-            new, *rest = self.step(x[t], states[-1])
-            new = np.where(mask[t][:, None], new, states[-1])
-            states.append(new)
+            if start is not None and start[t].any():
+                h = np.where(start[t][:, None], np.float32(0), h)
+            states.append(h)
+            new, *rest = self.step(x[t], h)
+            h = new if whole[t] else np.where(mask[t][:, None], new, h)
             saved.append(rest)
         grad = {n: np.zeros_like(v) for n, v in p.items()}
-        before = np.concatenate(states[:-1])
+        before = np.concatenate(states)
         on = mask.ravel()
         scale = 1 / max(1, int(on.sum()))
         log, dh = self.output(before[on], y.ravel()[on], grad, scale)
@@ -150,7 +171,7 @@ class Gru:
         for t in range(steps - 1, -1, -1):
             r, z, n, vn = saved[t]
             before = states[t]
-            d = carry * mask[t][:, None]
+            d = carry if whole[t] else carry * mask[t][:, None]
             dn = d * (1 - z) * (1 - n * n)
             dz = d * (before - n) * z * (1 - z)
             dr = dn * vn * r * (1 - r)
@@ -158,50 +179,50 @@ class Gru:
             dv = np.concatenate([dr, dz, dn * r], 1)
             moved[t] = dg
             grad["u"] += before.T @ dv
-            carry = carry * ~mask[t][:, None] + d * z + dv @ p["u"].T + outer[t]
+            own = d * z + dv @ p["u"].T + outer[t]
+            carry = own if whole[t] else carry * ~mask[t][:, None] + own
+            if start is not None and start[t].any():
+                carry[start[t]] = 0
         moved, order = moved.reshape(-1, 3 * k), np.argsort(x, axis=None, kind="stable")
         symbol = x.ravel()[order]
         first = np.flatnonzero(np.r_[True, symbol[1:] != symbol[:-1]])
         grad["x"][symbol[first]] = np.add.reduceat(moved[order], first, axis=0)
         grad["b"] += moved.sum(0)
-        return -float(log.sum()) * scale, grad, states[-1]
+        return -float(log.sum()) * scale, grad, h
 
-    def train(self, docs: list[np.ndarray], window: int = 24, lanes: int = 32, epochs: int = 1, rate: float = 0.01, seed: int = 6) -> list[float]:
-        """Adam over windows of documents of like lengths side by side; the mean loss of each epoch. Further calls go on
-        from the moments of the last."""
-        rng, losses = np.random.default_rng(seed), []
+    def train(self, docs: list[np.ndarray], window: int = 24, lanes: int = 128, epochs: int = 1, rate: float = 0.015) -> list[float]:
+        """Adam over windows of lanes, in which documents follow each other; the mean loss of each epoch. Further calls go on from the moments
+        of the last. What stays in memory is a window, besides the documents."""
+        losses = []
         zeros = lambda: {n: np.zeros_like(v) for n, v in self.p.items()}
         m, s, count = self.moments or (zeros(), zeros(), 0)
-        docs = sorted(docs, key=len)
-        groups = [docs[i : i + lanes] for i in range(0, len(docs), lanes)]
+        rows = in_lanes(docs, lanes)
+        sizes = np.array([len(x) for x, _ in rows])
         for _ in range(epochs):
             total = tokens = 0
-            for g in rng.permutation(len(groups)).tolist():
-                own = groups[g]
-                long = max(map(len, own))
-                y = np.zeros((-(-long // window) * window, len(own)), np.int64)
-                mask = np.zeros(y.shape, bool)
-                for j, d in enumerate(own):
-                    y[: len(d), j], mask[: len(d), j] = d, True
-                h = np.zeros((len(own), self.hidden), np.float32)
-                for at in range(0, len(y), window):
-                    live = mask[at]  # documents that go on
-                    part, on, h = y[at : at + window, live], mask[at : at + window, live], h[live]
-                    y, mask = y[:, live], mask[:, live]
-                    loss, grad, h = self.loss_and_gradient(part, part, on, h)
-                    total, tokens, count = total + loss * on.sum(), tokens + on.sum(), count + 1
-                    # only what the window has touched has a gradient
-                    cls = np.unique(part[on] // self.width)
-                    touched = {"x": np.unique(part[on]), "w": cls, "wb": cls}
-                    grad = {n: v[touched[n]] if n in touched else v for n, v in grad.items()}
-                    norm = np.sqrt(sum(float(np.vdot(v, v)) for v in grad.values()))
-                    for n, v in grad.items():
-                        rows = touched.get(n, slice(None))
-                        v *= min(1.0, 1.0 / (norm + 1e-9))
-                        first, second = m[n][rows], s[n][rows]
-                        m[n][rows] = first = first + 0.1 * (v - first)
-                        s[n][rows] = second = second + 0.01 * (v * v - second)
-                        self.p[n][rows] -= rate * (first / (1 - 0.9**count)) / (np.sqrt(second / (1 - 0.99**count)) + 1e-6)
+            h = np.zeros((len(rows), self.hidden), np.float32)
+            for at in range(0, int(sizes.max(initial=0)), window):
+                live = int(np.searchsorted(-sizes, -at, "left"))  # lanes that go on, the longest first
+                steps = min(window, int(sizes[0]) - at)
+                y, on, start = np.zeros((steps, live), np.int64), np.zeros((steps, live), bool), np.zeros((steps, live), bool)
+                for j in range(live):
+                    part = rows[j][0][at : at + window]
+                    y[: len(part), j], on[: len(part), j], start[: len(part), j] = part, True, rows[j][1][at : at + window]
+                loss, grad, h = self.loss_and_gradient(y, y, on, h[:live], start)
+                total, tokens, count = total + loss * on.sum(), tokens + on.sum(), count + 1
+                # only what the window has touched has a gradient
+                seen = np.unique(y[on])
+                cls = np.unique(seen // self.width)
+                touched = {"x": seen, "w": cls, "wb": cls}
+                grad = {n: v[touched[n]] if n in touched else v for n, v in grad.items()}
+                norm = np.sqrt(sum(float(np.vdot(v, v)) for v in grad.values()))
+                for n, v in grad.items():
+                    own = touched.get(n, slice(None))
+                    v *= min(1.0, 1.0 / (norm + 1e-9))
+                    first, second = m[n][own], s[n][own]
+                    m[n][own] = first = first + 0.1 * (v - first)
+                    s[n][own] = second = second + 0.01 * (v * v - second)
+                    self.p[n][own] -= rate * (first / (1 - 0.9**count)) / (np.sqrt(second / (1 - 0.99**count)) + 1e-6)
             losses.append(float(total / max(1, tokens)))
         self.moments, self.tame = (m, s, count), self.tamed()
         return losses
@@ -288,52 +309,77 @@ def symbols_of(words: list[bytes], place: dict, vocabulary: int) -> np.ndarray:
     return np.r_[np.where(at >= vocabulary, OTHER, at + 2), END]
 
 
-def _train(batches: Iterator[pa.RecordBatch], shared, chunk: int = 150_000) -> Iterator[pa.RecordBatch]:
-    """Tokens, and the parameters of the shared model after it was trained on a task's documents, some at a time."""
-    model, place, vocabulary = (shared.value[k] for k in ("model", "place", "vocabulary"))
-    model, docs, size, total = model.with_vector(model.vector()), [], 0, 0
+def _symbols(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """turn, group and key of documents as they are, and their symbols."""
+    place, vocabulary = shared.value["place"], shared.value["vocabulary"]
     for batch in batches:
-        for text in batch.column(1):
-            docs.append(symbols_of(words_of(text.as_py()), place, vocabulary))
-            size += len(docs[-1])
+        own = [symbols_of(words_of(text.as_py()), place, vocabulary).astype("<i4").tobytes() for text in batch.column(3)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(own, pa.binary())], ["turn", "group", "key", "symbols"])
+
+
+def _train(batches: Iterator[pa.RecordBatch], shared, chunk: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Tokens, and the parameters of the shared model after it was trained on a group's documents, all together (some millions of tokens at a time, should
+    a group have more). Groups come one after the other."""
+    group, model, docs, size, total = None, None, [], 0, 0
+
+    def learnt() -> pa.RecordBatch:
+        model.train(docs)
+        return pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), pa.array([0], pa.int64()), pa.array([total + size], pa.int64()), pa.array([model.vector().tobytes()], pa.binary())], ["part", "at", "tokens", "parameters"])
+
+    for batch in batches:
+        for g, symbols in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if g != group:
+                if group is not None:
+                    yield learnt()
+                group, model, docs, size, total = g, shared.value["model"].with_vector(shared.value["model"].vector()), [], 0, 0
             if size >= chunk:
                 model.train(docs)
                 docs, size, total = [], 0, total + size
-    if docs:
-        model.train(docs)
-        total += size
-    if total:
-        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([model.vector().tobytes()], pa.binary())], ["tokens", "parameters"])
+            docs.append(np.frombuffer(symbols.as_py(), "<i4").astype(np.int64))
+            size += len(docs[-1])
+    if group is not None:
+        yield learnt()
 
 
 def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tokens, total = 0, None
+    """One row for each part, whose rows come one after the other."""
+    part, tokens, total = None, 0, None
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([0], pa.int64()), pa.array([tokens], pa.int64()), pa.array([(total / tokens).astype(np.float32).tobytes()], pa.binary())], ["part", "at", "tokens", "parameters"])
+
     for batch in batches:
-        for n, p in zip(batch.column(0).to_pylist(), batch.column(1)):
-            own = np.frombuffer(p.as_py(), np.float32).astype(np.float64) * n
-            tokens, total = tokens + n, own if total is None else total + own
+        for p, n, v in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+            if p != part:
+                if tokens:
+                    yield out()
+                part, tokens, total = p, 0, 0.0
+            tokens, total = tokens + n, total + np.frombuffer(v.as_py(), np.float32).astype(np.float64) * n
     if tokens:
-        yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([(total / tokens).astype(np.float32).tobytes()], pa.binary())], ["tokens", "parameters"])
+        yield out()
 
 
-def train_in_rounds(model: Gru, train: DataFrame, place: dict, vocabulary: int, share: float, rounds: int, most: int = 8) -> Gru:
-    """``rounds`` rounds, each on another ``share`` of the documents by hash of id and text. The driver gets the averages of
-    at most ``most`` groups of tasks."""
-    spark, schema = train.sparkSession, "tokens long, parameters binary"
-    bucket = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20))
+def train_in_rounds(model: Gru, train: DataFrame, place: dict, vocabulary: int, tokens: int, rounds: int, group_tokens: int, most: int = 8) -> Gru:
+    """Each document trains in one of ``rounds`` rounds, in a group of about ``group_tokens``, by hash of id and text. The driver gets the averages of
+    at most ``most`` parts of the groups."""
+    spark, schema = train.sparkSession, "part long, at long, tokens long, parameters binary"
+    groups = max(1, -(-tokens // (rounds * group_tokens)))
+    words = spark.sparkContext.broadcast({"place": place, "vocabulary": vocabulary})
+    key = F.xxhash64("doc_id", "text")
+    dealt = train.select(F.pmod(key, F.lit(rounds)).alias("turn"), F.pmod(F.shiftright(key, 8), F.lit(groups)).alias("group"), key.alias("key"), "text")
+    dealt = stored(map_arrow(dealt, _symbols, "turn long, group long, key long, symbols binary", shared=words), "symbols")
     for turn in range(rounds):
-        shared = spark.sparkContext.broadcast({"model": model, "place": place, "vocabulary": vocabulary})
-        low = turn * share % 1.0
-        own = train.where(((bucket >= int(low * (1 << 20))) & (bucket < int((low + share) * (1 << 20)))))
+        shared = spark.sparkContext.broadcast({"model": model})
+        own = dealt.where(F.col("turn") == turn).repartition(groups, "group").sortWithinPartitions("group", "key").select("group", "symbols")
         found = stored(map_arrow(own, _train, schema, shared=shared), "trained")
-        parts = found.count()
-        while parts > most:
-            parts = -(-parts // most)
-            found = stored(map_arrow(found.repartition(parts), _average, schema), "averages")
-        rows = [(r.tokens, np.frombuffer(r.parameters, np.float32).astype(np.float64)) for r in found.collect()]
+        while found.count() > most:
+            found = found.select(F.floor(F.col("part") / most).alias("part"), F.col("part").alias("at"), "tokens", "parameters")
+            found = stored(map_arrow(found.repartition(-(-groups // most), "part").sortWithinPartitions("part", "at"), _average, schema), "averages")
+        rows = [(r.tokens, np.frombuffer(r.parameters, np.float32).astype(np.float64)) for r in found.orderBy("part").collect()]
         shared.unpersist()
         if rows:
             model = model.with_vector((sum(n * p for n, p in rows) / sum(n for n, _ in rows)).astype(np.float32))
+    words.unpersist()
     return model
 
 
@@ -383,18 +429,17 @@ def score_documents(
     training: Column,
     id_col: str = "doc_id",
     text_col: str = "text",
-    vocabulary: int = 4094,
+    vocabulary: int | None = None,
     hidden: int = 16,
-    share: float = 0.02,
-    least_tokens: int = 100_000,
     rounds: int = 3,
+    group_tokens: int = 2_500_000,
     shared_words: int = 400_000,
 ) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row.
 
-    ``training``: a condition on doc_id; rows for which it is null don't train. All of them are counted; each of the
-    ``rounds`` trains the GRU on another ``share`` of them, or as much more as ``least_tokens`` are about (all, if there
-    are no more). At most ``shared_words`` words and counts go to the workers, and ``vocabulary`` are symbols of the model.
+    ``training``: a condition on doc_id; rows for which it is null don't train. All of them are counted, and
+    each trains the GRU in one of the ``rounds``; see train_in_rounds(). At most ``shared_words`` words and counts go to the workers, and as many words
+    are symbols of the model as twelve times the cube root of the number of training tokens (or ``vocabulary``, if given).
 
     A null text counts as empty: the end token alone. Repeated rows are all scored. Without training documents every
     token has the base probability 1 and the model's is uniform over its symbols. An empty table gives no rows.
@@ -406,19 +451,19 @@ def score_documents(
     ends = train.count()
     n, v = sums[0] + ends, sums[1] + bool(ends)
     top = frequent_words(counts, shared_words)
-    vocabulary = min(vocabulary, len(top))
+    symbols = min(int(12 * n ** (1 / 3)) if vocabulary is None else vocabulary, len(top))
     place = {w: k for k, (w, _) in enumerate(top)}
-    inside = sum(c for _, c in top[:vocabulary])
-    model = Gru(np.array([sums[0] - inside, ends, *[c for _, c in top[:vocabulary]]], np.float64), hidden)
+    inside = sum(c for _, c in top[:symbols])
+    model = Gru(np.array([sums[0] - inside, ends, *[c for _, c in top[:symbols]]], np.float64), hidden)
     if n:
-        model = train_in_rounds(model, train, {w: k for w, k in place.items() if k < vocabulary}, vocabulary, min(1.0, max(share, least_tokens / n)), rounds)
-    shared = spark.sparkContext.broadcast({"model": model, "place": place, "log_counts": np.log10(np.array([c for _, c in top], np.float64) + 1), "vocabulary": vocabulary})
+        model = train_in_rounds(model, train, {w: k for w, k in place.items() if k < symbols}, symbols, n, rounds, group_tokens)
+    shared = spark.sparkContext.broadcast({"model": model, "place": place, "log_counts": np.log10(np.array([c for _, c in top], np.float64) + 1), "vocabulary": symbols})
     scored = stored(map_arrow(own, _score, SCORED, shared=shared), "scored")
     rare = scored.select("row", F.explode("rare").alias("word")).join(counts, "word")
     rare = rare.groupBy("row").agg(F.count("*").alias("n_rare"), F.sum(F.log10(F.col("c") + 1)).alias("log_rare"))
     out = scored.drop("rare").join(rare, "row", "left").fillna(0, ["n_rare", "log_rare"])
     known_end = int(ends > 0)
-    rest = sums[0] - inside + (v - bool(ends) - vocabulary) + 1  # what words outside the model's vocabulary share
+    rest = sums[0] - inside + (v - bool(ends) - symbols) + 1  # what words outside the model's vocabulary share
     return out.select(
         "doc_id", "n_tokens", (F.col("n_frequent") + F.col("n_rare") + known_end).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("log_frequent") + F.col("log_rare") + float(np.log10(ends + 1)) - F.col("n_tokens") * float(np.log10(n + v + 1))).alias("base_score"),
