@@ -154,10 +154,11 @@ def _row_id(docs: DataFrame, id_col: str) -> Column:
 def spared_documents(docs: DataFrame, removed: DataFrame, host_col: str, text_col: str, id_col: str, keep_share: float) -> DataFrame:
     """KEY and __id of the depleted documents that stay whole: one of those of a host that lose the same line first. Stored."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    own = with_clean_text(docs.where(good_base(text)), removed, host_col, text_col)
+    own = with_clean_text(docs, removed, host_col, text_col)
     least = _let(words_of(text), lambda w: F.size(w) * F.lit(keep_share))
-    # by an exploded array, as in keep_good()
-    depleted = own.select(*KEY, _row_id(docs, id_col), F.explode(F.filter(F.array("__clean"), lambda c: c["words"] < least)).alias("c"))
+    # by an exploded array, as in keep_good(); the base rules, which cost most, are asked of depleted documents alone
+    worse = lambda c: F.when(c["words"] < least, good_base(text)).otherwise(F.lit(False))
+    depleted = own.select(*KEY, _row_id(docs, id_col), F.explode(F.filter(F.array("__clean"), worse)).alias("c"))
     first = depleted.groupBy("__host", F.col("c.first").alias("line")).agg(F.min(F.struct("__text_hash", "__text_length", "__id")).alias("d"))
     return stored(first.select("__host", "d.*").distinct(), "spared-documents")
 
