@@ -269,6 +269,40 @@ def p14_verify_phones(spark, sf_dir):
     return out.select("record_id", F.coalesce(c["status"], F.lit("none")).alias("state"), F.coalesce(c["note"], F.lit("")).alias("note"), F.array_contains("flags", "phone number is not valid for its region").alias("flagged"))
 
 
+# --- raw answers
+
+
+_RAW_URL = f"CASE WHEN c_custkey % 9 < 5 THEN 'https://map.example/api/interpreter' WHEN c_custkey % 9 < 8 THEN 'https://register.example/vies/rest-api/ms/BE/vat/' || {K} ELSE 'https://other.example/' END"
+_RAW_BODY = f"""CASE c_custkey % 9
+  WHEN 0 THEN '{{"elements":[{{"type":"node","id":' || {K} || ',"lat":50.5,"lon":3.5,"tags":{{"name":"Shop ' || {K} || '","amenity":"bar"}}}},{{"type":"way","id":"odd","tags":{{"name":"no id"}}}},{{"type":"way","id":' || {K} || ',"center":{{"lat":1.5,"lon":2.5}},"tags":{{"brand":"B"}}}}]}}'
+  WHEN 1 THEN '{{"elements":[],"remark":"Runtime Error: timed out"}}' WHEN 2 THEN '{{"elements":[{{"type":"node","id":' || {K} || ',"tags":{{"name":"Half ' || {K} || '"}}}}],"remark":"nearly all"}}'
+  WHEN 3 THEN '{{"elements":[],"remark":"come later"}}' WHEN 4 THEN '{{"elements":[' WHEN 5 THEN '{{"vatNumber":"' || {K} || '","isValid":true,"userError":"VALID","name":"N","address":"---"}}'
+  WHEN 6 THEN '{{"vatNumber":"' || {K} || '","isValid":false,"userError":"MS_UNAVAILABLE"}}' WHEN 7 THEN '{{"vatNumber":"' || {K} || '","errorWrappers":[{{"error":"TIMEOUT"}}]}}' ELSE 'not json' END"""
+
+
+def raw_answers(spark, sf_dir):
+    return customers(spark, sf_dir, "c_custkey", f"{_RAW_URL} AS url", f"{_RAW_BODY} AS body")
+
+
+@query("""SELECT c_custkey, c_custkey % 9 IN (0, 2, 5, 8) AS usable, CASE c_custkey % 9 WHEN 1 THEN 'Runtime Error: timed out' WHEN 3 THEN 'come later' WHEN 4 THEN 'unreadable' WHEN 6 THEN 'MS_UNAVAILABLE' WHEN 7 THEN 'TIMEOUT' ELSE '' END AS why FROM customer""")
+def p15_usable_answers(spark, sf_dir):
+    """Raw answers of a map and a register: whole ones, such with a remark or an error, and such that are cut off."""
+    return landed.judged_answers(raw_answers(spark, sf_dir)).select("c_custkey", "usable", "why")
+
+
+@query("""SELECT 'node/' || c_custkey AS source_id, CASE c_custkey % 9 WHEN 0 THEN 'Shop ' ELSE 'Half ' END || c_custkey AS company_name, CASE WHEN c_custkey % 9 = 0 THEN '50.5' END AS latitude FROM customer WHERE c_custkey % 9 IN (0, 2)
+UNION ALL SELECT 'way/' || c_custkey, 'B', '1.5' FROM customer WHERE c_custkey % 9 = 0""")
+def a7_p15_raw_map_answers(spark, sf_dir):
+    """Elements of raw map answers; one of three in an answer has an odd id."""
+    return landed.map_elements(landed.elements_of(landed.judged_answers(raw_answers(spark, sf_dir)))).select("source_id", "company_name", "latitude")
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS vat, CASE WHEN c_custkey % 9 = 5 THEN true END AS valid, CASE WHEN c_custkey % 9 = 5 THEN 'N' ELSE '' END AS name, CASE c_custkey % 9 WHEN 6 THEN 'MS_UNAVAILABLE' WHEN 7 THEN 'TIMEOUT' ELSE '' END AS error, c_custkey % 9 = 5 AS usable FROM customer WHERE c_custkey % 9 IN (5, 6, 7)""")
+def p15_raw_register_answers(spark, sf_dir):
+    judged = landed.judged_answers(raw_answers(spark, sf_dir)).where(F.col("url").contains(landed.REGISTER_URL))
+    return landed.register_answers(landed.register_rows(judged)).select("vat", "valid", "name", "error", "usable")
+
+
 # --- side tables
 
 

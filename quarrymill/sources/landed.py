@@ -145,6 +145,52 @@ def organisations(items: DataFrame) -> DataFrame:
     )
 
 
+#: Parts of the URLs of a map's and a register's answers, and what a register says that has an answer.
+MAP_URL, REGISTER_URL, ANSWERED = "/api/interpreter", "vies/rest-api", ("", "VALID", "INVALID")
+
+
+def judged_answers(raw: DataFrame, url_col: str = "url", body_col: str = "body") -> DataFrame:
+    """``raw`` with answer (the body as VARIANT, null where it is no JSON), usable, and why not: the one place that tells answers from transient
+    errors, which services give with status 200 too.
+
+    A map's answer with a remark is none if the remark tells of a runtime error or no elements came; a register's is none with errors or a user error but
+    those of an answer; either is none if it can't be read. Other services' answers are usable as they are. A null URL is another service's.
+    Unusable rows stay, with their reason: a caller that asks for ``usable`` alone knows what it leaves out.
+    """
+    url, answer = F.coalesce(url_col, F.lit("")), F.try_parse_json(body_col)
+    of = lambda path, kind="string": F.try_variant_get("answer", path, kind)
+    is_map, is_register = url.contains(MAP_URL), url.contains(REGISTER_URL)
+    remark = F.coalesce(of("$.remark"), F.lit(""))
+    empty = F.size(F.coalesce(of("$.elements", "array<variant>"), F.expr("cast(array() as array<variant>)"))) == 0
+    errors = F.size(F.coalesce(of("$.errorWrappers", "array<variant>"), F.expr("cast(array() as array<variant>)"))) > 0
+    user = F.upper(F.coalesce(of("$.userError"), F.lit("")))
+    first = F.coalesce(of("$.errorWrappers[0].error"), F.lit("error"))
+    why = (
+        F.when((is_map | is_register) & F.col("answer").isNull(), F.lit("unreadable"))
+        .when(is_map & (F.lower(remark).contains("runtime error") | (empty & (remark != ""))), remark)
+        .when(is_register & errors, first).when(is_register & ~user.isin(*ANSWERED), user).otherwise(F.lit(""))
+    )
+    return raw.withColumn("answer", answer).withColumn("why", why).withColumn("usable", F.col("why") == "")
+
+
+def elements_of(judged: DataFrame) -> DataFrame:
+    """The elements of usable map answers, as map_elements() takes them. Parts of another type than they should have are null: an element without
+    a type, an id or tags is left out by what reads it."""
+    own = judged.where("usable").select(F.explode(F.try_variant_get("answer", "$.elements", "array<variant>")).alias("e"))
+    of = lambda path, kind: F.try_variant_get("e", path, kind)
+    center = F.struct(of("$.center.lat", "double").alias("lat"), of("$.center.lon", "double").alias("lon"))
+    rows = own.select(of("$.type", "string").alias("type"), of("$.id", "long").alias("id"), of("$.lat", "double").alias("lat"), of("$.lon", "double").alias("lon"), center.alias("center"), of("$.tags", "map<string,string>").alias("tags"))
+    return rows.where("type is not null and id is not null")
+
+
+def register_rows(judged: DataFrame) -> DataFrame:
+    """Register answers as register_answers() takes them; unusable ones too, as their error is shown."""
+    of = lambda path, kind="string": F.try_variant_get("answer", path, kind)
+    errors = F.transform(of("$.errorWrappers", "array<variant>"), lambda e: F.struct(F.try_variant_get(e, "$.error", "string").alias("error")))
+    rows = judged.where(F.col("answer").isNotNull())
+    return rows.select(of("$.vatNumber").alias("vatNumber"), of("$.isValid", "boolean").alias("isValid"), of("$.name").alias("name"), of("$.address").alias("address"), of("$.userError").alias("userError"), errors.alias("errorWrappers"))
+
+
 #: Codes of a register that is busy, not of an answer.
 BUSY = ("MS_MAX_CONCURRENT_REQ", "MS_UNAVAILABLE", "SERVICE_UNAVAILABLE", "TIMEOUT", "GLOBAL_MAX_CONCURRENT_REQ", "MS_MAX_CONCURRENT_REQ_TIME")
 

@@ -52,6 +52,21 @@ def test_map_elements(spark):
     assert landed.select_elements(df, ["amenity=fast_food|cafe", "shop"]).count() == 2 and landed.select_elements(df, ["shop=no"]).count() == 0 and landed.select_elements(df, ["shop", "amenity"], (50.85, 3, 51, 4)).count() == 1
 
 
+def test_answers_that_are_none(spark):
+    """The map's and the register's transient errors, broken and odd bodies, nulls."""
+    m, r = "https://m/api/interpreter", "https://r/vies/rest-api/x"
+    rows = [
+        (m, '{"elements": [], "remark": "runtime error: x"}', False), (m, '{"elements": [{"id": 1}], "remark": "RUNTIME ERROR"}', False), (m, '{"elements": [{"id": 1}]}', True), (m, '{"elements": []}', True), (m, '{"elements": "odd", "remark": "no"}', False),
+        (m, "", False), (m, None, False), (m, '[1]', True), (r, '{"userError": "valid"}', True), (r, '{"userError": ""}', True), (r, '{}', True), (r, '{"userError": "MS_UNAVAILABLE"}', False), (r, '{"userError": "VALID", "errorWrappers": [{"error": "E"}]}', False),
+        (r, '{"errorWrappers": []}', True), (r, "<html>", False), ("https://x/", "<html>", True), (None, None, True),
+    ]
+    df = spark.createDataFrame([(i, u, b) for i, (u, b, _) in enumerate(rows)], "i int, url string, body string")
+    got = {x.i: (x.usable, x.why) for x in landed.judged_answers(df).select("i", "usable", "why").collect()}
+    assert [got[i][0] for i in range(len(rows))] == [ok for *_, ok in rows]
+    assert got[12][1] == "E" and got[14][1] == "unreadable" and all((why == "") == ok for ok, why in got.values())
+    assert landed.elements_of(landed.judged_answers(df)).count() == 0  # no element has a type
+
+
 def test_areas_and_graph(spark):
     rows = [("Kortrijk", "node", 9, "place", "city", 0.9, "city", "Kortrijk"), ("Kortrijk", "relation", 5, "boundary", "administrative", 0.4, "city", "Kortrijk"), ("Kortrijk", "way", 7, "boundary", "administrative", 0.8, "state", "Other")]
     df = spark.createDataFrame(rows, "query string, osm_type string, osm_id long, category string, type string, importance double, addresstype string, name string")
