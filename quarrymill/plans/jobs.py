@@ -9,19 +9,22 @@ from pyspark.sql import functions as F
 
 from quarrymill.operators import enrich, matching, reports, rules
 from quarrymill.operators.records import value
+from quarrymill.operators.run_log import RunLog
 from quarrymill.schema import Schema
-from quarrymill.storage import stored
 
 
-def audit(records: DataFrame, schema: Schema, country: str = "BE", threshold: int = 90, optional: Iterable[str] = (), pair_budget: int | None = None) -> dict[str, DataFrame]:
-    """Normalise, validate, find duplicates (flags only) and rate a list; nothing is left out. Gives records, groups, and reports."""
+def audit(records: DataFrame, schema: Schema, country: str = "BE", threshold: int = 90, optional: Iterable[str] = (), pair_budget: int | None = None) -> dict:
+    """Normalise, validate, find duplicates (flags only) and rate a list; nothing is left out. Gives records, groups, reports, and the log of the run."""
     own = schema.optional(optional) if optional else schema
-    checked = stored(rules.validate_table(stored(rules.normalize_table(records, own, country), "normal"), own, country), "checked")
+    log = RunLog()
+    normal = log.stage("load & normalise", rules.normalize_table(records, own, country))
+    checked = log.stage("validate", rules.validate_table(normal, own, country), warnings={"there are values that are not in their form": F.size("problems") > 0})
     found, groups = matching.dedupe(checked, own, threshold, merge=False, pair_budget=pair_budget)
-    out = stored(rules.assign_status(found, own, audit=True), "audited")
+    found = log.stage("duplicates", found, "flagged, not merged")
+    out = log.stage("status", rules.assign_status(found, own, audit=True))
     return {
         "records": out, "groups": groups, "status_counts": reports.status_counts(out), "problem_counts": reports.problem_counts(out), "field_completeness": reports.field_completeness(out, own),
-        "flag_counts": reports.flag_counts(out), "stages": reports.stage_counts({"load": records, "normalise & validate": checked, "duplicates": found, "status": out}),
+        "flag_counts": reports.flag_counts(out), "stages": log.table(records.sparkSession), "log": log,
     }
 
 
@@ -35,26 +38,26 @@ def record_ids(records: DataFrame, schema: Schema, project: str, prefix: str | N
     return out.withColumns({"record_id": F.concat(F.lit(f"{start}-"), F.lpad(number, F.greatest(F.lit(4), F.length(number)), F.lit("0"))), "ord": F.col("number")}).drop("number", "__by")
 
 
-def run_pipeline(records: DataFrame, schema: Schema, project: str, country: str = "BE", sites: DataFrame | None = None, hits: DataFrame | None = None, profiles: DataFrame | None = None, register: DataFrame | None = None, mail_domains: DataFrame | None = None, threshold: int = 90, merge: bool = True) -> dict[str, DataFrame]:
+def run_pipeline(records: DataFrame, schema: Schema, project: str, country: str = "BE", sites: DataFrame | None = None, hits: DataFrame | None = None, profiles: DataFrame | None = None, register: DataFrame | None = None, mail_domains: DataFrame | None = None, threshold: int = 90, merge: bool = True) -> dict:
     """A project run over extracted records; enrichment stages without a landed table are left out (all of them: an offline run).
 
     ``sites`` is a function of records to site rows, as it depends on the websites found so far.
     """
-    stages = {"extract": records}
-    out = stages["normalise"] = record_ids(stored(rules.normalize_table(records, schema, country), "normal"), schema, project)
+    log = RunLog()
+    out = log.stage("extract & normalise", rules.normalize_table(records, schema, country))
+    out = log.stage("number", record_ids(out, schema, project))
     if sites is not None:
-        out = stages["sites"] = stored(enrich.apply_site(out, sites(out), schema), "sites")
+        out = log.stage("sites", enrich.apply_site(out, sites(out), schema))
     if hits is not None:
-        out = stages["search"] = enrich.find_missing_websites(out, hits, schema)
+        out = log.stage("search", enrich.find_missing_websites(out, hits, schema))
     if profiles is not None:
-        out = stages["profiles"] = enrich.apply_org_profiles(out, profiles, schema)
+        out = log.stage("profiles", enrich.apply_org_profiles(out, profiles, schema))
     if register is not None:
-        out = stages["vat"] = enrich.apply_vat_register(out, register, schema, country)
-    out = stored(out, "enriched")
+        out = log.stage("vat", enrich.apply_vat_register(out, register, schema, country))
     if mail_domains is not None:
-        out = enrich.apply_mail_domains(out, mail_domains)
-    out = stages["verify"] = stored(rules.verify_phones(out, country), "verified") if schema.field("phone") else out
-    out = stages["validate"] = stored(rules.validate_table(out, schema, country), "validated")
+        out = log.stage("mail domains", enrich.apply_mail_domains(out, mail_domains))
+    out = log.stage("verify", rules.verify_phones(out, country)) if schema.field("phone") else out
+    out = log.stage("validate", rules.validate_table(out, schema, country), warnings={"there are values that are not in their form": F.size("problems") > 0})
     out, groups = matching.dedupe(out, schema, threshold, merge)
-    out = stages["status"] = stored(rules.assign_status(out, schema), "rated")
-    return {"records": reports.in_delivery_order(out, schema), "groups": groups, "summary": reports.summary_table(out, groups, schema), "stages": reports.stage_counts(stages), "review_queue": reports.review_queue(out, schema), "delivery": reports.delivery_cells(out, schema, country)}
+    out = log.stage("status", rules.assign_status(out, schema))
+    return {"records": reports.in_delivery_order(out, schema), "groups": groups, "summary": reports.summary_table(out, groups, schema), "stages": log.table(records.sparkSession), "log": log, "review_queue": reports.review_queue(out, schema), "delivery": reports.delivery_cells(out, schema, country)}

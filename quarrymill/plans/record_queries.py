@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarrymill.operators import matching, reports, rules, workspace
-from quarrymill.operators.records import to_records, value
+from quarrymill.operators.records import strings, to_records, value
 from quarrymill.plans import jobs
 from quarrymill.plans.registry import _NORMAL, SQL, account_copies, account_records, account_rows, query, rated_accounts, read
-from quarrymill.schema import ACCOUNTS
+from quarrymill.schema import ACCOUNTS, COMPANIES
 from quarrymill.storage import fresh_path, spread, stored
 
 # --- reports
@@ -164,6 +164,45 @@ def x4_w1_run_pipeline(spark, sf_dir):
     return jobs.run_pipeline(account_records(spark, sf_dir), ACCOUNTS, "Customers")["records"].select(value("account_id").alias("account_id"), "status")
 
 
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS k, CASE c_custkey % 3 WHEN 0 THEN 'verified' WHEN 1 THEN 'unverified' ELSE 'missing' END AS website_state, CASE WHEN c_custkey % 3 = 1 THEN 'https://' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') || 'firm.be/' WHEN c_custkey % 3 = 0 THEN 'https://firm' || c_custkey || '.be/' END AS website,
+  CASE WHEN c_custkey % 5 = 0 THEN 'invalid' WHEN c_custkey % 3 = 0 THEN 'verified' ELSE 'unverified' END AS email_state, CASE WHEN c_custkey % 2 = 0 THEN 'verified' ELSE 'unverified' END AS vat_state,
+  CASE WHEN c_custkey % 2 = 0 THEN 'Legal ' || c_custkey END AS legal_name, CASE WHEN c_custkey % 3 = 0 THEN '5' END AS employees FROM customer""")
+def x4_all_stages(spark, sf_dir):
+    """A project run with all five side tables: sites of every third record, hits for every third without a website, profiles, a register that
+    knows every second number, and mail domains of which every fifth is dead."""
+    return _whole_run(spark, sf_dir)["records"].select(
+        F.regexp_extract("f_company_name.value", "^0*([0-9]+)", 1).alias("k"), F.coalesce("f_website.status", F.lit("missing")).alias("website_state"), value("website").alias("website"), F.col("f_email.status").alias("email_state"),
+        F.col("f_vat_number.status").alias("vat_state"), value("legal_name").alias("legal_name"), value("employees").alias("employees"),
+    )
+
+
+def _whole_run(spark, sf_dir):
+    own = read(spark, sf_dir, "customer")
+    vat = "'BE' || lpad(CAST(4000000 + c_custkey AS STRING), 8, '0') || lpad(CAST(97 - (4000000 + c_custkey) % 97 AS STRING), 2, '0')"
+    name, site = "lpad(CAST(c_custkey AS STRING), 6, '0') || ' firm'", "'firm' || CAST(c_custkey AS STRING) || '.be'"
+    raw = own.selectExpr("c_custkey AS ord", "'list' AS source", "CAST(c_custkey AS STRING) AS source_id", f"{name} AS company_name", f"CASE WHEN c_custkey % 3 = 0 THEN 'https://' || {site} || '/' END AS website", f"'info@' || {site} AS email", f"{vat} AS vat_number")
+
+    def sites(records):
+        there = records.where(value("website").isNotNull())
+        return there.select(
+            "record_id", F.lit("live").alias("outcome"), F.lit(200).alias("http_status"), value("website").alias("final_url"), F.lit("").alias("error"), F.lit(100.0).alias("name_score"), F.array(value("email")).alias("emails"), strings().alias("phones"), strings().alias("vat_numbers"),
+            F.expr("cast(map() as map<string,string>)").alias("socials"), F.lit("").alias("description"),
+        )
+
+    # keys count from 0, and ids, by name, from 1
+    hits = own.where("c_custkey % 3 = 1").selectExpr("'LEA-' || lpad(CAST(c_custkey + 1 AS STRING), greatest(4, length(CAST(c_custkey + 1 AS STRING))), '0') AS record_id", "0 AS place", "'https://' || lpad(CAST(c_custkey AS STRING), 6, '0') || 'firm.be/' AS url", f"{name} AS title", "'' AS snippet")
+    profiles = own.where("c_custkey % 3 = 0").selectExpr(f"'https://' || {site} AS website", "5 AS employees", *[f"CAST(NULL AS STRING) AS {n}" for n in ("linkedin", "industry", "founded", "description", "phone", "facebook")])
+    register = own.where("c_custkey % 2 = 0").selectExpr(f"{vat} AS vat", "true AS valid", "'Legal ' || CAST(c_custkey AS STRING) AS name", "'' AS address", "'' AS error")
+    domains = own.selectExpr(f"{site} AS domain", "c_custkey % 5 <> 0 AS deliverable")
+    return jobs.run_pipeline(to_records(raw, COMPANIES), COMPANIES, "Leads", sites=sites, hits=hits, profiles=profiles, register=register, mail_domains=domains)
+
+
+@query("SELECT u.place::INT AS place, u.stage, (SELECT count(*) FROM customer)::BIGINT AS rows_in, (SELECT count(*) FROM customer)::BIGINT AS rows, '' AS note FROM (SELECT unnest(range(0, 10)) AS place, unnest(['extract & normalise', 'number', 'sites', 'search', 'profiles', 'vat', 'mail domains', 'verify', 'validate', 'status']) AS stage) u")
+def g15_run_log(spark, sf_dir):
+    """The log of a run with all stages: none of them loses or doubles a record, and each is counted as it is stored."""
+    return _whole_run(spark, sf_dir)["stages"].select("place", "stage", "rows_in", "rows", "note")
+
+
 # --- runs and reviews
 
 
