@@ -79,10 +79,16 @@ def apply_org_profiles(records: DataFrame, profiles: DataFrame, schema: Schema,
     return out.withColumns(new).select(*records.columns)
 
 
-def best_websites(records: DataFrame, hits: DataFrame, schema: Schema) -> DataFrame:
-    """(record_id, url, title, score): the best search hit of each record without a website. Hits: record_id, place, url, title, snippet."""
+def search_targets(records: DataFrame, schema: Schema, max_queries: int | None = None) -> DataFrame:
+    """The records that a search may look up: those without a website, at most the first ``max_queries`` of them."""
+    own = records.where(enrichment_target("search", schema))
+    return own if max_queries is None else own.orderBy("ord", "record_id").limit(max_queries)
+
+
+def best_websites(records: DataFrame, hits: DataFrame, schema: Schema, max_queries: int | None = None) -> DataFrame:
+    """(record_id, url, title, score): the best search hit of each record without a website (see search_targets()). Hits: record_id, place, url, title, snippet."""
     key = name_key("__name")
-    rows = records.where(enrichment_target("search", schema)).select("record_id", value(schema.name_field).alias("__name")).join(hits, "record_id")
+    rows = search_targets(records, schema, max_queries).select("record_id", value(schema.name_field).alias("__name")).join(hits, "record_id")
     rows = rows.withColumns({"url": web.normalize_url("url"), "__key": key}).where(F.col("url").isNotNull() & ~web.is_directory("url"))
     rows = rows.withColumn("__domain", web.url_domain("url")).withColumn("__hay", name_key(F.concat_ws(" ", "title", "snippet", "__domain")))
     words = F.filter(F.split("__key", " "), lambda t: F.length(t) > 2)
@@ -93,9 +99,9 @@ def best_websites(records: DataFrame, hits: DataFrame, schema: Schema) -> DataFr
     return rows.withColumn("score", score).where("score > 0").withColumn("n", F.row_number().over(order)).where("n = 1").select("record_id", "url", "title", "score")
 
 
-def find_missing_websites(records: DataFrame, hits: DataFrame, schema: Schema) -> DataFrame:
+def find_missing_websites(records: DataFrame, hits: DataFrame, schema: Schema, max_queries: int | None = None) -> DataFrame:
     """Records with the website that a search found, unverified and flagged."""
-    best = best_websites(records, hits, schema).select("record_id", F.col("url").alias("__url"), F.substring("title", 1, 80).alias("__title"))
+    best = best_websites(records, hits, schema, max_queries).select("record_id", F.col("url").alias("__url"), F.substring("title", 1, 80).alias("__title"))
     out = records.join(best, "record_id", "left")
     found = F.col("__url").isNotNull()
     cell = set_value(F.col("f_website"), F.col("__url"), "search", "unverified", F.concat(F.lit("found via web search: "), F.col("__title")))

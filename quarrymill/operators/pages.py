@@ -268,11 +268,20 @@ def detail_join(items: DataFrame, pages: DataFrame, url_field: str, fields: Mapp
 
 def search_results(pages: DataFrame) -> DataFrame:
     """Hits of landed result pages: page_url, place, url, title, snippet. Ads are left out and redirects unwrapped."""
-    fields = {"class": {"attr": "class"}, "href": {"selector": "a.result__a, a.result-link", "attr": "href"}, "title": "a.result__a, a.result-link", "snippet": {"selector": ".result__snippet", "default": ""}}
-    first = html_items(pages, "div.result", fields).where(~F.coalesce(F.col("class"), F.lit("")).contains("result--ad"))
-    second = html_items(pages, "a.result-link", {"href": {"attr": "href"}, "title": {}}).withColumn("snippet", F.lit(""))
-    second = second.join(first.where("href is not null").select("page_url").distinct(), "page_url", "left_anti")
-    rows = first.select("page_url", "item", "href", "title", "snippet").unionByName(second)
+    fields = {
+        "class": {"attr": "class", "default": ""}, "href": {"selector": "a.result__a, a.result-link", "attr": "href"}, "title": "a.result__a, a.result-link", "snippet": {"selector": ".result__snippet", "default": ""},
+        "own_href": {"attr": "href"}, "own_title": {},
+    }
+    items = html_items(pages, "div.result, a.result-link", fields)  # both layouts in one parse
+    link = F.array_contains(F.split("class", r"\s+"), "result-link")
+    order = Window.partitionBy("page_url", "link").orderBy("item")
+    own = items.withColumn("link", link).withColumn("place", (F.row_number().over(order) - 1).cast("int"))
+    shown = ~F.col("link") & ~F.col("class").contains("result--ad")
+    # the second layout counts where the first gives no hit
+    first = F.max(shown & F.col("href").isNotNull()).over(Window.partitionBy("page_url"))
+    own = own.withColumn("first", first).where(F.when(F.col("link"), ~F.col("first")).otherwise(shown))
+    pick = lambda mine, other: F.when(F.col("link"), F.col(mine)).otherwise(F.col(other))
+    rows = own.select("page_url", F.col("place").alias("item"), pick("own_href", "href").alias("href"), pick("own_title", "title").alias("title"), F.when(F.col("link"), "").otherwise(F.col("snippet")).alias("snippet"))
     full = F.when(F.col("href").startswith("//"), F.concat(F.lit("https:"), F.col("href"))).otherwise(F.col("href"))
     target = F.try_url_decode(F.nullif(F.regexp_extract(full, r"[?&]uddg=([^&]+)", 1), F.lit("")))
     url = F.when(full.rlike(r"^https?://([^/]*\.)?duckduckgo\.com/l/"), target).otherwise(full)

@@ -38,10 +38,11 @@ def record_ids(records: DataFrame, schema: Schema, project: str, prefix: str | N
     return out.withColumns({"record_id": F.concat(F.lit(f"{start}-"), F.lpad(number, F.greatest(F.lit(4), F.length(number)), F.lit("0"))), "ord": F.col("number")}).drop("number", "__by")
 
 
-def run_pipeline(records: DataFrame, schema: Schema, project: str, country: str = "BE", sites: DataFrame | None = None, hits: DataFrame | None = None, profiles: DataFrame | None = None, register: DataFrame | None = None, mail_domains: DataFrame | None = None, threshold: int = 90, merge: bool = True) -> dict:
+def run_pipeline(records: DataFrame, schema: Schema, project: str, country: str = "BE", sites: DataFrame | None = None, hits: DataFrame | None = None, profiles: DataFrame | None = None, register: DataFrame | None = None, mail_domains: DataFrame | None = None, threshold: int = 90, merge: bool = True, max_queries: int | None = None) -> dict:
     """A project run over extracted records; enrichment stages without a landed table are left out (all of them: an offline run).
 
-    ``sites`` is a function of records to site rows, as it depends on the websites found so far.
+    ``sites`` is a function of records to site rows, as it depends on the websites found so far; it is asked again for the websites that the search
+    finds. ``max_queries`` limits the records that are searched for, the others are told of in a warning.
     """
     log = RunLog()
     out = log.stage("extract & normalise", rules.normalize_table(records, schema, country))
@@ -49,7 +50,14 @@ def run_pipeline(records: DataFrame, schema: Schema, project: str, country: str
     if sites is not None:
         out = log.stage("sites", enrich.apply_site(out, sites(out), schema))
     if hits is not None:
-        out = log.stage("search", enrich.find_missing_websites(out, hits, schema))
+        wanted = out.where(rules.enrichment_target("search", schema)).count() if max_queries is not None else 0
+        if wanted > (max_queries or 0):
+            log.warn(f"{wanted} records have no website; searching for the first {max_queries} only")
+        before = out.select("record_id", value("website").isNull().alias("__lacked"))
+        out = log.stage("search", enrich.find_missing_websites(out, hits, schema, max_queries))
+        if sites is not None:
+            found = out.join(before, "record_id").where(F.col("__lacked") & value("website").isNotNull()).drop("__lacked")
+            out = log.stage("sites of hits", enrich.apply_site(out, sites(found), schema))
     if profiles is not None:
         out = log.stage("profiles", enrich.apply_org_profiles(out, profiles, schema))
     if register is not None:

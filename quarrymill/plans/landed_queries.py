@@ -352,6 +352,14 @@ def d7_w5_missing_websites(spark, sf_dir):
     return out.select("record_id", value("website").alias("website"), F.array_contains("flags", "website found via web search - verify").alias("flagged"))
 
 
+@query("""WITH t AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS n FROM customer WHERE c_custkey % 4 <> 0) SELECT 'C' || c.c_custkey AS record_id, CASE WHEN c.c_custkey % 4 = 0 THEN 'https://own.be/' WHEN n <= 25 THEN 'https://bakery' || c.c_custkey || '.be/' END AS website FROM customer c LEFT JOIN t USING (c_custkey)""")
+def t2_search_cap(spark, sf_dir):
+    """A search that may look up 25 records takes the first of those without a website."""
+    rows = customers(spark, sf_dir, "c_custkey AS ord", f"'C' || {K} AS record_id", f"'Bakery ' || {K} AS company_name", "CASE WHEN c_custkey % 4 = 0 THEN 'https://own.be/' END AS website")
+    hits = customers(spark, sf_dir, f"'C' || {K} AS record_id", "0 AS place", f"'bakery' || {K} || '.be' AS url", f"'Bakery ' || {K} AS title", "'' AS snippet")
+    return enrich.find_missing_websites(to_records(rows, LEADS), hits, LEADS, max_queries=25).select("record_id", value("website").alias("website"))
+
+
 @query("""SELECT 'C' || c_custkey AS record_id, CASE c_custkey % 4 WHEN 0 THEN 'verified' WHEN 1 THEN 'unverified' WHEN 2 THEN 'invalid' ELSE 'unverified' END AS website_state, CASE c_custkey % 4 WHEN 0 THEN 'verified' ELSE 'unverified' END AS name_state, CASE WHEN c_custkey % 8 = 0 THEN 'conflict' WHEN c_custkey % 4 = 0 THEN 'verified' ELSE 'unverified' END AS email_state,
   CASE WHEN c_custkey % 4 = 0 THEN '+32470' || c_custkey END AS phone FROM customer""")
 def d3_apply_site(spark, sf_dir):
