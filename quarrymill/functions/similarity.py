@@ -16,7 +16,7 @@ from quarrymill.functions.text import let
 #: Lanes that are computed together.
 LANES = 4096
 #: White space between words, as Unicode has it, and the separators of ASCII.
-_BLANK = r"(?U)[\s\x1c-\x1f]+"
+BLANK = r"(?U)[\s\x1c-\x1f]+"
 
 
 def lcs_lanes(a: np.ndarray, lengths: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -114,7 +114,7 @@ def _lcs(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
 def _word_sets(a: Column, b: Column) -> Column:
     """Of the words of both sides: left and right (the words of one side alone, sorted), known (the best score that needs no subsequence), most (what a
     subsequence could give) and total (its denominator)."""
-    words = lambda c: F.array_sort(F.array_distinct(F.filter(F.split(c, _BLANK), lambda w: w != "")))
+    words = lambda c: F.array_sort(F.array_distinct(F.filter(F.split(c, BLANK), lambda w: w != "")))
     ratio = lambda distance, total: F.lit(100.0) * (1.0 - distance / F.nullif(total, F.lit(0)))
     within = lambda x, y: F.length(x) - F.length(F.call_function("translate", x, y, F.lit("")))  # noqa: E731  letters of x that y has
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymill.functions import web
-from quarrymill.functions.similarity import token_set_ratio
+from quarrymill.functions.similarity import BLANK, token_set_ratio
 from quarrymill.functions.text import let, name_key
 from quarrymill.operators.graph import connected_components
 from quarrymill.operators.records import changed, filled, flag, noted, set_value, strings, value, with_candidates
@@ -83,28 +83,72 @@ def class_matches(rows: DataFrame, pairs: DataFrame, membership: DataFrame, thre
     return met.join(of("a"), "a_ord").join(of("b"), "b_ord").withColumn("record_pairs", stands.cast("long")).drop("a_size", "b_size")
 
 
-def block_pairs(rows: DataFrame, pair_budget: int | None = None, part: int = PART) -> DataFrame:
+def _letters(name: Column) -> Column:
+    """What bounds the similarity of names without a look at them: n (length of their different words, a space between each two) and low and high, 128 bits
+    set by hash for each letter and how many like it come before."""
+    words = F.array_distinct(F.filter(F.split(F.coalesce(name, F.lit("")), BLANK), lambda w: w != ""))
+
+    def bits(s: Column) -> Column:
+        at = F.transform(s, lambda c, i: F.pmod(F.xxhash64(c, i + 1 - F.array_position(s, c).cast("int")), F.lit(128)).cast("int"))
+        mask = lambda own: F.aggregate(F.filter(at, own), F.lit(0).cast("long"), lambda m, k: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(k, F.lit(64)))))
+        return F.struct(mask(lambda k: k < 64).alias("low"), mask(lambda k: k >= 64).alias("high")).cast("struct<low:bigint,high:bigint>")
+
+    letters = let(F.array_sort(F.filter(F.split(F.array_join(words, ""), ""), lambda c: c != "")), bits)
+    return F.struct(F.length(F.array_join(words, " ")).alias("n"), letters["low"].alias("low"), letters["high"].alias("high")).cast("struct<n:int,low:bigint,high:bigint>")
+
+
+def may_be_alike(x: Column, y: Column, threshold: float) -> Column:
+    """False only where the names of _letters() x and y have a token_set_ratio() below ``threshold``.
+
+    Letters of one name that the other lacks lie in its words of its own, and cost a step each on the way to the other's. So a score is reached by few of
+    them in one name (its own words are no more than the common ones allow) or by few in both.
+    """
+    t = threshold / 100
+    q = 2 * (1 - t) / t
+    lacking = lambda a, b: F.bit_count(a["low"].bitwiseAND(F.bitwise_not(b["low"]))) + F.bit_count(a["high"].bitwiseAND(F.bitwise_not(b["high"])))
+    spare = lambda a: F.greatest((q * (a["n"] - 1) - 1) / (1 + q), F.lit(0.0)) + 1e-6
+    few = (lacking(x, y) <= spare(x)) | (lacking(y, x) <= spare(y)) | (lacking(x, y) + lacking(y, x) <= (1 - t) * (x["n"] + y["n"]) + 1e-6)
+    return (x["n"] > 0) & (y["n"] > 0) & few
+
+
+def block_pairs(rows: DataFrame, pair_budget: int | None = None, part: int = PART, threshold: int | None = None, identifiers_only: bool = False) -> DataFrame:
     """(a_ord, b_ord, edge_ord) of the records that share an identifier, a postcode or the first six letters of the name; each
     pair once, with the order in which blocks and records give it.
 
+    With a ``threshold`` pairs are left out, before they are shuffled, that no rule of compare() can match: those without a common identifier whose letters
+    rule out names so similar. With ``identifiers_only`` postcodes and names make no blocks.
+
     More pairs than the budget raise an error before any is made; the default is 250,000, or 50 a record where that is
-    more: a block that many records share (a mailbox, a dummy postcode) has pairs by the square of its size. The pairs of a large
+    more: a block that many records share (a mailbox, a dummy postcode) has pairs by the square of its size. With a threshold the default counts the
+    pairs with a common identifier alone, as these are matches; the others are only looked at. The pairs of a large
     block are made part by part, in as many tasks as there are pairs of parts.
     """
     kinds = F.transform("ids", lambda x: F.concat(x["kind"], F.lit(":"), x["id"]))
     others = strings(F.concat(F.lit("pc:"), F.col("postcode")), F.when(F.col("name") != "", F.concat(F.lit("name:"), F.substring("name", 1, 6))))
-    keyed = stored(rows.select("ord", F.posexplode(F.concat(kinds, others)).alias("pos", "key")), "block-keys")
-    first = keyed.groupBy("key").agg(F.min(F.struct("ord", "pos")).alias("block"), F.count("*").alias("members")).where("members > 1")
+    pruned = threshold is not None and threshold > 0
+    # ids as hashes, and a bit for each, which tells most records without a common one apart
+    hashed = F.transform("ids", lambda x: F.xxhash64(x["kind"], x["id"]))
+    mask = F.aggregate(hashed, F.lit(0).cast("long"), lambda m, h: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))))
+    seen = F.struct(mask.alias("mask"), hashed.alias("ids"), _letters(F.col("name")).alias("letters")).cast("struct<mask:bigint,ids:array<bigint>,letters:struct<n:int,low:bigint,high:bigint>>") if pruned else F.lit(0)
+    keyed = rows.select("ord", F.size("ids").alias("n_ids"), seen.alias("seen"), F.posexplode(kinds if identifiers_only else F.concat(kinds, others)).alias("pos", "key"))
+    keyed = stored(keyed.select("ord", "pos", "key", (F.col("pos") < F.col("n_ids")).alias("by_id"), "seen"), "block-keys")
+    first = keyed.groupBy("key").agg(F.min(F.struct("ord", "pos")).alias("block"), F.count("*").alias("members"), F.first("by_id").alias("by_id")).where("members > 1")
     first = stored(first.withColumn("parts", F.ceil(F.col("members") / part).cast("int")), "blocks")
-    total = first.agg(F.sum(F.expr("members * (members - 1) / 2"))).first()[0] or 0
+    counted = first.where("by_id") if pruned and pair_budget is None else first
+    total = counted.agg(F.sum(F.expr("members * (members - 1) / 2"))).first()[0] or 0
     budget = max(250_000, 50 * rows.count()) if pair_budget is None else pair_budget
     if total > budget:
-        worst = [f"{r.key} ({r.members})" for r in first.orderBy(F.desc("members"), "key").limit(3).collect()]
+        worst = [f"{r.key} ({r.members})" for r in counted.orderBy(F.desc("members"), "key").limit(3).collect()]
         raise ValueError(f"{total:.0f} pairs to compare, but the budget is {budget}: split the input or mend the most shared values, {', '.join(worst)}")
-    own = keyed.join(first, "key").withColumn("mine", F.pmod(F.xxhash64("ord"), F.col("parts")).cast("int"))
-    left = own.select("key", "block", F.col("ord").alias("a"), F.col("mine").alias("p"), F.explode(F.sequence("mine", F.col("parts") - 1)).alias("q"))
-    right = own.select("key", F.col("ord").alias("b"), F.col("mine").alias("q"), F.explode(F.sequence(F.lit(0), "mine")).alias("p"))
-    met = left.join(right, ["key", "p", "q"]).where("(p < q and a <> b) or (p = q and a < b)")
+    own = keyed.drop("by_id").join(first, "key").withColumn("mine", F.pmod(F.xxhash64("ord"), F.col("parts")).cast("int"))
+    left = own.select("key", "block", "by_id", F.col("ord").alias("a"), F.col("seen").alias("x"), F.col("mine").alias("p"), F.explode(F.sequence("mine", F.col("parts") - 1)).alias("q"))
+    right = own.select("key", F.col("ord").alias("b"), F.col("seen").alias("y"), F.col("mine").alias("q"), F.explode(F.sequence(F.lit(0), "mine")).alias("p"))
+    which = F.expr("(p < q and a <> b) or (p = q and a < b)")
+    if pruned:
+        x, y = F.col("x"), F.col("y")
+        shared = (x["mask"].bitwiseAND(y["mask"]) != 0) & F.arrays_overlap(x["ids"], y["ids"])
+        which = which & (F.col("by_id") | may_be_alike(x["letters"], y["letters"], threshold) | shared)
+    met = left.join(right, ["key", "p", "q"]).where(which)
     pairs = met.select(F.least("a", "b").alias("a_ord"), F.greatest("a", "b").alias("b_ord"), "block").where("a_ord < b_ord")
     return pairs.groupBy("a_ord", "b_ord").agg(F.min(F.struct("block", "a_ord", "b_ord")).alias("edge_ord"))
 
@@ -389,7 +433,7 @@ def dedupe(records: DataFrame, schema: Schema, threshold: int = 90, merge: bool
     """(records, groups): records with duplicate_group, duplicate_of and flags; with ``merge`` the masters hold merged cells."""
     records = stored(records, "records")
     rows = stored(features(records, schema), "features")
-    matches = stored(cluster(rows, stored(score_pairs(rows, block_pairs(rows, pair_budget), threshold), "matches")), "clustered")
+    matches = stored(cluster(rows, stored(score_pairs(rows, block_pairs(rows, pair_budget, threshold=threshold), threshold), "matches")), "clustered")
     groups, membership = group_rows(records, matches, schema, merge)
     membership = stored(membership, "membership")
     text = F.when(F.col("part") == 0, F.concat(F.lit("duplicate group "), F.col("group_id"), F.lit(": "), F.col("reason"), F.lit(" - review"))).otherwise(

@@ -283,7 +283,7 @@ def d1_s31_block_pairs(spark, sf_dir):
 @query()
 def d2_s29_s32_s33_score_pairs(spark, sf_dir):
     rows = stored(matching.features(account_copies(spark, sf_dir), ACCOUNTS), "features")
-    return matching.score_pairs(rows, matching.block_pairs(rows)).select("a", "b", "similarity", "reason", "confident")
+    return matching.score_pairs(rows, matching.block_pairs(rows, threshold=90)).select("a", "b", "similarity", "reason", "confident")
 
 
 @query()

@@ -269,3 +269,34 @@ def test_rules_on_records(spark):
     assert d.status == "NEEDS_REVIEW" and d.problems == ["e-mail domain (else.com) differs from website domain (c.be) - review"]
     assert rules.assign_status(df, LEADS, audit=True).where("status = 'EXCLUDED'").count() == 0
     assert df.select(rules.completeness(LEADS).alias("c"), "record_id").orderBy("record_id").first().c == 39.1  # two required fields count twice: 9 of 23
+
+
+def test_pruned_pairs_hold_all_matches(spark):
+    rng = random.Random(5)
+    words = ["bakker", "baker", "jansen", "janssen", "de", "x", "gent", "12345", "12354", "2345", "été", "aa", "restaurant"]
+    rows = [dict(company_name=" ".join(rng.choices(words, k=rng.randint(1, 4))), email=rng.choice([None, None, "a@x.be", f"m{k % 9}@y.be"]), postcode=rng.choice(["8500", "9000", None])) for k in range(150)]
+    feats = matching.features(table(spark, rows), LEADS)
+    for threshold in (90, 75):
+        want = matching.score_pairs(feats, matching.block_pairs(feats), threshold)
+        pruned = matching.block_pairs(feats, part=40, threshold=threshold)
+        got = matching.score_pairs(feats, pruned, threshold)
+        assert want.count() > 300 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+        assert pruned.count() < 0.8 * matching.block_pairs(feats).count()
+
+
+def test_hot_postcode_is_compared(spark):
+    """As many share a postcode that all pairs are beyond the budget: those that can be matches are found."""
+    rows = [dict(company_name=f"{(k * 7919) % 100003:05d} {'abcdefghij'[k % 10] * 9}", postcode="8500") for k in range(900)] + [dict(company_name="Brug zeven", postcode="8500"), dict(company_name="Brug zevem", postcode="8500")]
+    feats = matching.features(table(spark, rows), LEADS)
+    with pytest.raises(ValueError, match="pc:8500"):
+        matching.block_pairs(feats)
+    found = matching.score_pairs(feats, matching.block_pairs(feats, threshold=90)).select("a", "b").collect()
+    assert ("R900", "R901") in {(r.a, r.b) for r in found}
+    records, _ = matching.dedupe(table(spark, rows), LEADS)
+    assert records.where("record_id in ('R900', 'R901') and duplicate_group <> ''").count() == 2
+
+
+def test_identifiers_only(spark):
+    rows = [dict(company_name="Acme", phone="+3256205588", postcode="8500"), dict(company_name="Acme", phone="+3256205588"), dict(company_name="Acme", postcode="8500")]
+    feats = matching.features(table(spark, rows), LEADS)
+    assert [(r.a_ord, r.b_ord) for r in matching.block_pairs(feats, identifiers_only=True).collect()] == [(0, 1)]
