@@ -234,7 +234,7 @@ def e3_e5_contacts(spark, sf_dir):
     return rows.where("size(phones) + size(vat_numbers) > 0")
 
 
-@query("""SELECT page_id, replace(replace(replace(replace(trim(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '\\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS heading FROM pages WHERE regexp_matches(html, '<h1')""")
+@query("""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '\\s+', ' ', 'g')), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g') AS heading FROM pages WHERE regexp_matches(html, '<h1')""")
 def a15_html_items(spark, sf_dir):
     own = read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("url"), "html")
     return pages.html_items(own, "h1", {"heading": {}}).select(F.col("page_url").cast("long").alias("page_id"), "heading")

@@ -33,3 +33,17 @@ def test_query_equals_sql(spark, db, name):
 
 def test_every_sql_has_its_query():
     assert set(registry.oracle_sql()) <= set(registry.queries())
+
+
+def differences(spark, name, folder):
+    """Rows of a query and of its SQL over the tables in a folder."""
+    con = duckdb.connect()
+    for table in folder.glob("*.parquet"):
+        con.execute(f"create view {table.stem} as select * from '{table}'")
+    return rows(registry.queries()[name](spark, str(folder)).toPandas()), rows(con.execute(registry.oracle_sql()[name]).df())
+
+
+def test_entities_without_a_semicolon(spark, tmp_path):
+    pd.DataFrame({"page_id": [1, 2], "url": ["http://a.be/", "http://b.be/"], "html": ["<h1>A &amp;&amp</h1>", "<h1>1 &lt 2 &quot;x&quot</h1>"]}).to_parquet(tmp_path / "pages.parquet")
+    got, want = differences(spark, "a15_html_items", tmp_path)
+    assert got == want == [('1 < 2 "x"', "2"), ("A &&", "1")]
