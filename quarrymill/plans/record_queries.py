@@ -115,50 +115,74 @@ def a23_review_queue(spark, sf_dir):
 # --- duplicates
 
 
-_COPIES = _NORMAL + """, t AS (SELECT *, 'same ' || concat_ws(', ', CASE WHEN phone IS NOT NULL THEN 'phone' END, CASE WHEN email IS NOT NULL THEN 'email' END, CASE WHEN vat_number IS NOT NULL THEN 'vat_number' END) AS which FROM s WHERE ord % 20 = 0),
-m AS (SELECT ord, record_id, 'D' || record_id AS copy_id, CASE WHEN company_name IS NULL THEN 'same website domain but different name/address (branch or chain?) - names 0% similar' ELSE which || '; names 100% similar' END AS reason, company_name IS NOT NULL AS confident FROM t),
-w AS (SELECT ord, record_id, email FROM s WHERE ord % 6 = 5),
-p AS (SELECT a.record_id AS a, b.record_id AS b FROM w a JOIN w b ON a.email = b.email AND a.ord < b.ord)
+def _matches(records: str) -> str:
+    """SQL rows ``mt`` (a, b, a_ord, b_ord, reason, confident) of the matches of ``records``, by the rules of matching.compare(): who shares an identifier, a
+    postcode or six letters of the name; conflict first, then identifiers with names of 60 % and more, then a site, then names of 90 % and more. The
+    similarity is the token set ratio: the best of the common words and of either side's, by longest common subsequences (names up to 60 letters)."""
+    key = "coalesce(trim(regexp_replace(regexp_replace(lower(strip_accents(company_name)), '\\b(nv)\\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')), '')"
+    ratio = "100.0::DOUBLE * (1.0::DOUBLE - ({0})::DOUBLE / nullif({1}, 0))"
+    within = "(length({0}) - length(translate({0}, {1}, '')))"
+    return f"""
+, fe AS (SELECT ord, record_id, phone, email, CASE WHEN website IS NOT NULL THEN 'firm' || ord % 1000000000 || '.be' END AS site, vat_number, postcode, lower(street) AS street, house_number, {key} AS name,
+    trim(concat_ws('|', coalesce(postcode, ''), coalesce(lower(street), ''), house_number), '|') AS address, list_sort(list_distinct(list_filter(string_split({key}, ' '), lambda w: w <> ''))) AS words FROM {records}),
+bk AS (SELECT ord, 'p' || phone AS key FROM fe UNION ALL SELECT ord, 'e' || email FROM fe UNION ALL SELECT ord, 'w' || site FROM fe UNION ALL SELECT ord, 'v' || vat_number FROM fe UNION ALL SELECT ord, 'c' || postcode FROM fe
+  UNION ALL SELECT ord, 'n' || substr(name, 1, 6) FROM fe WHERE name <> ''),
+bp AS (SELECT DISTINCT a.ord AS a_ord, b.ord AS b_ord FROM bk a JOIN bk b ON a.key = b.key AND a.ord < b.ord),
+b0 AS (SELECT a_ord, b_ord, a.record_id AS a, b.record_id AS b, a.name <> '' AND b.name <> '' AS named, concat_ws(', ', CASE WHEN a.phone = b.phone THEN 'phone' END, CASE WHEN a.email = b.email THEN 'email' END, CASE WHEN a.vat_number = b.vat_number THEN 'vat_number' END) AS hard,
+    coalesce(a.site = b.site, false) AS site, coalesce(a.postcode <> b.postcode, false) OR coalesce(a.street <> b.street, false) OR coalesce(a.house_number <> b.house_number, false) OR coalesce(a.vat_number <> b.vat_number, false) AS conflict,
+    a.address = b.address AND contains(a.address, '|') AS address, coalesce(a.postcode = b.postcode, false) AS near, a.postcode IS NULL AND b.postcode IS NULL AS nowhere, array_to_string(list_filter(a.words, lambda w: list_contains(b.words, w)), ' ') AS common,
+    array_to_string(list_filter(a.words, lambda w: NOT list_contains(b.words, w)), ' ') AS l, array_to_string(list_filter(b.words, lambda w: NOT list_contains(a.words, w)), ' ') AS r FROM bp JOIN fe a ON a.ord = a_ord JOIN fe b ON b.ord = b_ord),
+b1 AS (SELECT *, length(common) AS i, CASE WHEN common = '' THEN 0 ELSE 1 END AS gap FROM b0),
+b2 AS (SELECT *, 2 * (i + gap) + length(l) + length(r) AS total, CASE WHEN NOT named THEN 0.0 WHEN i > 0 AND (l = '' OR r = '') THEN 100.0 WHEN i > 0 THEN greatest({ratio.format("gap + length(l)", "2 * i + gap + length(l)")}, {ratio.format("gap + length(r)", "2 * i + gap + length(r)")}) ELSE 0.0 END::DOUBLE AS known FROM b1),
+b3 AS (SELECT *, named AND known < 100 AND {ratio.format(f"length(l) + length(r) - 2 * least({within.format('l', 'r')}, {within.format('r', 'l')})", "total")} >= CASE WHEN hard <> '' OR site THEN 0 ELSE 90 END AS open FROM b2),
+b4 AS (SELECT *, CASE WHEN open THEN length(l) - bit_count(list_reduce(list_transform(string_split(r, ''), lambda c: coalesce(list_sum(list_transform(range(length(l)), lambda k: CASE WHEN l[k + 1] = c THEN (1::BIGINT << k::INT) ELSE 0 END)), 0)::BIGINT),
+    lambda v, h: ((v + (v & h)) | (v - (v & h))) & ((1::BIGINT << length(l)::INT) - 1), (1::BIGINT << length(l)::INT) - 1)) END AS lcs FROM b3),
+b5 AS (SELECT *, CASE WHEN open THEN greatest(known, {ratio.format("length(l) + length(r) - 2 * lcs", "total")}) ELSE known END AS sim FROM b4),
+b6 AS (SELECT *, round_even(sim, 0)::INT || '% similar' AS percent, sim >= 90 AS alike, CASE WHEN address THEN 'same address' WHEN near THEN 'same postcode' ELSE 'no address on either record' END AS place FROM b5),
+b7 AS (SELECT *, CASE WHEN conflict AND (hard <> '' OR site OR alike) THEN 1 WHEN hard <> '' AND sim >= 60 THEN 2 WHEN site AND alike AND address THEN 3 WHEN alike AND (address OR near OR nowhere) THEN 4 WHEN site THEN 5 WHEN hard <> '' THEN 6 END AS rule FROM b6),
+mt AS (SELECT a, b, a_ord, b_ord, CASE rule WHEN 1 THEN 'conflicting location or legal identifier (branch or chain?) - review' WHEN 2 THEN 'same ' || hard || '; names ' || percent WHEN 3 THEN 'same website domain and address; names ' || percent
+    WHEN 4 THEN 'names ' || percent || '; ' || place WHEN 5 THEN 'same website domain but different name/address (branch or chain?) - names ' || percent ELSE 'same ' || hard || ' but different names - review' END AS reason, rule IN (2, 3) OR rule = 4 AND address AS confident FROM b7 WHERE rule IS NOT NULL)
 """
 
 
-@query(_COPIES + """SELECT record_id AS a, copy_id AS b, reason, confident FROM m UNION ALL SELECT a, b, 'conflicting location or legal identifier (branch or chain?) - review', false FROM p""")
+_COPIES = _NORMAL + """, u AS (SELECT ord, record_id, company_name, phone, email, website, vat_number, street, house_number, postcode FROM s
+  UNION ALL SELECT ord + 1000000000, 'D' || record_id, upper(company_name), phone, email, website, vat_number, street, house_number, CASE WHEN ord % 40 = 0 THEN postcode END FROM s WHERE ord % 20 = 0)
+""" + _matches("u")
+
+
+@query(_COPIES + "SELECT a, b, reason, confident FROM mt")
 def d2_s29_s32_s33_matches(spark, sf_dir):
-    """Copies with an account's identifiers, and accounts that share a mailbox but neither house nor postcode. (The rows that share no more than
-    a postcode at larger scale have names of a similarity that SQL can't tell.)"""
+    """Copies with an account's identifiers, and accounts that share a mailbox but neither house nor postcode; in a larger list also accounts
+    of a postcode whose names are alike."""
     rows = stored(matching.features(account_copies(spark, sf_dir), ACCOUNTS), "features")
     return matching.score_pairs(rows, matching.block_pairs(rows, threshold=90)).select("a", "b", "reason", "confident")
 
 
-@query(_COPIES + """SELECT record_id, CASE WHEN record_id IN (SELECT a FROM p UNION ALL SELECT b FROM p UNION ALL SELECT record_id FROM m) THEN 1 ELSE 0 END AS grouped, '' AS duplicate_of FROM s
-UNION ALL SELECT copy_id, 1, CASE WHEN confident THEN record_id ELSE '' END FROM m""")
+@query(_COPIES + """SELECT record_id, CASE WHEN record_id IN (SELECT a FROM mt UNION ALL SELECT b FROM mt) THEN 1 ELSE 0 END AS grouped, coalesce(m.a, '') AS duplicate_of FROM u LEFT JOIN mt m ON m.confident AND m.b = u.record_id""")
 def x6_d10_w3_w7_merged(spark, sf_dir):
     """Copies with the account's name are merged into it, as it is seen first and no less complete; others are only possible duplicates."""
     records, _ = matching.dedupe(account_copies(spark, sf_dir), ACCOUNTS)
     return records.select("record_id", (F.col("duplicate_group") != "").cast("int").alias("grouped"), "duplicate_of")
 
 
-@query(_COPIES + """SELECT CASE WHEN confident THEN 'merged automatically' ELSE 'POSSIBLE duplicate - decide' END AS action, record_id AS kept_id, copy_id AS other_ids, reason FROM m
-UNION ALL SELECT 'POSSIBLE duplicate - decide', a, b, 'conflicting location or legal identifier (branch or chain?) - review' FROM p""")
+@query(_COPIES + "SELECT CASE WHEN confident THEN 'merged automatically' ELSE 'POSSIBLE duplicate - decide' END AS action, a AS kept_id, b AS other_ids, reason FROM mt")
 def a24_g9_g10_duplicates_table(spark, sf_dir):
     records = account_copies(spark, sf_dir)
     _, groups = matching.dedupe(records, ACCOUNTS)
     return matching.duplicates_table(groups, records, ACCOUNTS).select("action", "kept_id", "other_ids", "reason")
 
 
-_AUDITED = """, shared AS (SELECT email FROM s WHERE ord % 6 = 5 GROUP BY email HAVING count(*) > 1),
-x AS (SELECT record_id, CASE WHEN status = 'EXCLUDED' OR email IN (SELECT email FROM shared) THEN 'NEEDS_REVIEW' ELSE status END AS status FROM s)
+_AUDITED = _matches("s") + """, x AS (SELECT record_id, CASE WHEN status = 'EXCLUDED' OR record_id IN (SELECT a FROM mt UNION ALL SELECT b FROM mt) THEN 'NEEDS_REVIEW' ELSE status END AS status FROM s)
 """
 
 
 @query(_NORMAL + _AUDITED + "SELECT record_id, status FROM x")
 def x5_p10_audit_records(spark, sf_dir):
-    """In an audit nothing is excluded; who shares a mailbox is a possible duplicate and goes to review."""
+    """In an audit nothing is excluded; who shares a mailbox, or a postcode and much of the name, is a possible duplicate and goes to review."""
     return jobs.audit(account_records(spark, sf_dir), ACCOUNTS)["records"].select("record_id", "status")
 
 
-@query(_NORMAL + """, shared AS (SELECT email FROM s WHERE ord % 6 = 5 GROUP BY email HAVING count(*) > 1), x AS (SELECT account_id, CASE WHEN status <> 'EXCLUDED' AND email IN (SELECT email FROM shared) THEN 'NEEDS_REVIEW' ELSE status END AS status FROM s)
-SELECT account_id, status FROM x""")
+@query(_NORMAL + _matches("s") + "SELECT account_id, CASE WHEN status <> 'EXCLUDED' AND record_id IN (SELECT a FROM mt UNION ALL SELECT b FROM mt) THEN 'NEEDS_REVIEW' ELSE status END AS status FROM s")
 def x4_w1_run_pipeline(spark, sf_dir):
     """An offline project run over the list: ids, phones, rules, duplicates and status."""
     return jobs.run_pipeline(account_records(spark, sf_dir), ACCOUNTS, "Customers")["records"].select(value("account_id").alias("account_id"), "status")
