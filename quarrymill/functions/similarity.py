@@ -135,16 +135,25 @@ def _word_sets(a: Column, b: Column) -> Column:
     return let(F.struct(words(a).alias("x"), words(b).alias("y")), sets)
 
 
-def token_set_ratio(a: Column, b: Column, at_least: Column | float = 0.0) -> Column:
-    """The best similarity of the common words and of either side's words, 0 to 100; 0 where a side has no words or is null. Scores below ``at_least`` need
-    not be exact: what can't reach it gets a score below it."""
-    p = _word_sets(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))
+def word_sets(a: Column, b: Column) -> Column:
+    """What set_ratio() needs of two texts; a null one has no words."""
+    return _word_sets(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))
+
+
+def set_ratio(p: Column, at_least: Column | float = 0.0) -> Column:
+    """The token_set_ratio() of word_sets(): it names them a dozen times, so that over many rows they are best a stored column."""
     open_ = (p["most"] > p["known"]) & (p["most"] >= at_least)
     common = _lcs(F.when(open_, p["left"]), F.when(open_, p["right"]))
     computed = 100.0 * (1.0 - (F.length(p["left"]) + F.length(p["right"]) - 2 * common) / F.nullif(p["total"], F.lit(0)))
     return F.when(open_, F.greatest(p["known"], computed)).otherwise(p["known"])
 
 
+def token_set_ratio(a: Column, b: Column, at_least: Column | float = 0.0) -> Column:
+    """The best similarity of the common words and of either side's words, 0 to 100; 0 where a side has no words or is null. Scores below ``at_least`` need
+    not be exact: what can't reach it gets a score below it."""
+    return set_ratio(word_sets(a, b), at_least)
+
+
 @F.pandas_udf(T.DoubleType())
 def _partial(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     yield from _batched(parts, partial_scores, "float64")

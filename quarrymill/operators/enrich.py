@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymill.functions import codes, web
-from quarrymill.functions.similarity import token_set_ratio
+from quarrymill.functions.similarity import set_ratio, word_sets
 from quarrymill.functions.text import let, name_key
 from quarrymill.operators.pages import GENERIC_MAILBOXES
 from quarrymill.operators.records import flag, marked, set_value, status, strings, value, with_candidates
 from quarrymill.operators.rules import enrichment_target
 from quarrymill.schema import Schema
+from quarrymill.storage import stored
 
 
 def apply_mail_domains(records: DataFrame, domains: DataFrame) -> DataFrame:
@@ -40,10 +41,13 @@ def apply_vat_register(records: DataFrame, register: DataFrame, schema: Schema,
     why = F.when(F.length("__vat") < 4, "malformed").when(local, "format/checksum invalid").otherwise(F.nullif(F.col("__error"), F.lit("")))
     out = out.withColumns({"__ok": valid, "__why": F.coalesce(why, F.lit("not registered")), "__there": value("vat_number").isNotNull(), "__legal": F.when(valid, F.nullif(F.col("__name"), F.lit(""))), "__unknown": F.coalesce(why, F.lit("no answer"))})
     ok, there = F.col("__ok"), F.col("__there")
-    alike = token_set_ratio(name_key(value(name)), name_key("__legal")) >= 70
+    # what is named in many places is stored, as each place would repeat its expression: the keys, their words, and what comes of them
+    out = out.withColumns({"__key": F.when(F.col("__legal").isNotNull(), name_key(value(name))), "__legal_key": name_key("__legal")})
+    out = out.withColumns({"__pc": codes.vat_address_part("__address", "postcode"), "__town": codes.vat_address_part("__address", "city"), "__words": word_sets(F.col("__key"), F.col("__legal_key"))})
+    out = stored(out.drop("__key", "__legal_key"), "register-answers")
+    alike = set_ratio(F.col("__words"), 70.0) >= 70
     out = out.withColumn("__alike", F.coalesce(F.when(value(name).isNotNull() & F.col("__legal").isNotNull(), alike), F.lit(False)))
-    place, town = codes.vat_address_part("__address", "postcode"), codes.vat_address_part("__address", "city")
-    out = out.withColumns({"__pc": place, "__town": town})
+    out = stored(out.drop("__words"), "register-names")
     c = F.when(F.col("__vat") != value("vat_number"), set_value(F.col("f_vat_number"), F.col("__vat"), F.col("f_vat_number.source"), F.col("f_vat_number.status"))).otherwise(F.col("f_vat_number"))
     cell = let(c, lambda c: F.when(~there, c).when(ok, marked(c, "verified", F.concat(F.lit("valid in VIES"), F.coalesce(F.concat(F.lit(" - registered to "), F.col("__legal")), F.lit(""))), False)).when(~ok, marked(c, "invalid", F.concat(F.lit("rejected by VIES ("), F.col("__why"), F.lit(")")))).otherwise(marked(c, "unverified", F.concat(F.lit("could not be checked ("), F.col("__unknown"), F.lit(")")))))
     new = {"f_vat_number": F.when(there, cell).otherwise(F.col("f_vat_number"))}
@@ -89,8 +93,9 @@ def best_websites(records: DataFrame, hits: DataFrame, schema: Schema, max_queri
     """(record_id, url, title, score): the best search hit of each record without a website (see search_targets()). Hits: record_id, place, url, title, snippet."""
     key = name_key("__name")
     rows = search_targets(records, schema, max_queries).select("record_id", value(schema.name_field).alias("__name")).join(hits, "record_id")
-    rows = rows.withColumns({"url": web.normalize_url("url"), "__key": key}).where(F.col("url").isNotNull() & ~web.is_directory("url"))
-    rows = rows.withColumn("__domain", web.url_domain("url")).withColumn("__hay", name_key(F.concat_ws(" ", "title", "snippet", "__domain")))
+    # stored: the filters would repeat the forms of the URL, and the score those of the names
+    rows = stored(rows.withColumns({"url": web.normalize_url("url"), "__key": key}), "hit-urls").where(F.col("url").isNotNull())
+    rows = stored(rows.withColumn("__domain", web.url_domain("url")).withColumn("__directory", web.is_directory("url")).withColumn("__hay", name_key(F.concat_ws(" ", "title", "snippet", "__domain"))), "hit-texts").where("not __directory")
     words = F.filter(F.split("__key", " "), lambda t: F.length(t) > 2)
     compact = F.replace(F.col("__key"), F.lit(" "), F.lit(""))
     host = F.translate(F.col("__domain"), "-.", "")

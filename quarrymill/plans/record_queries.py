@@ -201,7 +201,7 @@ def x4_all_stages(spark, sf_dir):
 
 
 def _whole_run(spark, sf_dir):
-    own = read(spark, sf_dir, "customer")
+    own = spread(read(spark, sf_dir, "customer"))
     vat = "'BE' || lpad(CAST(4000000 + c_custkey AS STRING), 8, '0') || lpad(CAST(97 - (4000000 + c_custkey) % 97 AS STRING), 2, '0')"
     name, site = "lpad(CAST(c_custkey AS STRING), 6, '0') || ' firm'", "'firm' || CAST(c_custkey AS STRING) || '.be'"
     raw = own.selectExpr("c_custkey AS ord", "'list' AS source", "CAST(c_custkey AS STRING) AS source_id", f"{name} AS company_name", f"CASE WHEN c_custkey % 3 = 0 THEN 'https://' || {site} || '/' END AS website", f"'info@' || {site} AS email", f"{vat} AS vat_number")

@@ -30,3 +30,21 @@ def test_empty_run(spark):
     with pytest.raises(Exception, match="(?i)divide|zero"):  # a stage that fails is not in the log
         log.stage("bad", spark.range(3).select(F.expr("id / 0")))
     assert len(log.stages) == 1
+
+
+def test_a_whole_run_is_dealt_to_all_cores_and_names_no_key_twice(spark, tmp_path, monkeypatch):
+    from quarrymill.operators import enrich
+    from quarrymill.operators.records import to_records
+    from quarrymill.plans import jobs, record_queries
+    from quarrymill.schema import COMPANIES
+
+    spark.range(50).selectExpr("id AS c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    monkeypatch.setattr(jobs, "run_pipeline", lambda records, *_, **more: {"records": records} | more)
+    run = record_queries._whole_run(spark, str(tmp_path))
+    for table in (run["records"], run["hits"], run["profiles"], run["register"], run["mail_domains"]):  # a short file is one partition
+        assert table.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    own = to_records(spark.createDataFrame([("R", "Firm één", "BE0403170701")], "record_id string, company_name string, vat_number string"), COMPANIES)
+    register = spark.createDataFrame([("BE0403170701", True, "FIRM EEN NV", "", "")], "vat string, valid boolean, name string, address string, error string")
+    out = enrich.apply_vat_register(own, register, COMPANIES)
+    assert out.select("f_company_name.status", "f_legal_name.value").collect() == [("verified", "FIRM EEN NV")]
+    assert "gmbh" not in out._jdf.queryExecution().optimizedPlan().toString()  # keys of names are stored, not repeated
