@@ -61,6 +61,14 @@ class Node:
                 yield at
                 todo += at.children[::-1]
 
+    def release(self) -> None:
+        """Takes the tree apart. Nodes name their parents, so that trees would otherwise stay until the next collection."""
+        todo = [self]
+        while todo:
+            at = todo.pop()
+            todo += (c for c in at.children if isinstance(c, Node))
+            at.children, at.parent = [], None
+
     def text(self) -> str:
         parts, todo = [], [self]
         while todo:
@@ -184,14 +192,42 @@ def raw_field(node: Node, spec: Mapping, base: str) -> str | None:
     return urljoin(base, got) if got and spec.get("absolute") else got or None
 
 
+#: Bytes of pages, and pages, that a task parses at a time.
+PARSED_BYTES, PARSED_PAGES = 2_000_000, 500
+
+
+def _bounded(pages: DataFrame) -> DataFrame:
+    """Pages reach tasks PARSED_PAGES at a time where the session leaves Spark's 10,000 rows: long ones would not fit otherwise."""
+    conf, key = pages.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(PARSED_PAGES))
+    return pages
+
+
+def _few(batches: Iterator[pa.RecordBatch], html: int = 1) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of PARSED_BYTES or PARSED_PAGES, at most, or of one page that is larger: what is made of a run is given out before the
+    next is parsed, so that memory does not grow with the rows of a batch."""
+    for batch in batches:
+        first = size = 0
+        for k, page in enumerate(batch.column(html)):
+            own = len(page.as_buffer()) if page.is_valid else 0
+            if k > first and (size + own > PARSED_BYTES or k - first >= PARSED_PAGES):
+                yield batch.slice(first, k - first)
+                first, size = k, 0
+            size += own
+        if first < batch.num_rows:
+            yield batch.slice(first)
+
+
 def _items(batches: Iterator[pa.RecordBatch], item: str | None, fields: dict) -> Iterator[pa.RecordBatch]:
     names = ["page_url", "item", *fields]
-    for batch in batches:
+    for batch in _few(batches):
         rows = []
         for url, html in zip(batch.column(0).to_pylist(), batch.column(1)):
             root = parse(html.as_py())
             for k, node in enumerate(select(root, item) if item else [root]):
                 rows.append((url, k, *[raw_field(node, spec, url or "") for spec in fields.values()]))
+            root.release()
         cols = list(zip(*rows)) or [()] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "item" else pa.string()) for n, c in zip(names, cols)], names)
 
@@ -217,7 +253,7 @@ def html_items(pages: DataFrame, item_selector: str | None, fields: Mapping[str,
     for selector in filter(None, [item_selector, *(s.get("selector") for s in specs.values())]):
         _steps(selector)  # an unsupported one fails here, not in a task
     schema = "page_url string, item int, " + ", ".join(f"`{n}` string" for n in specs)
-    rows = pages.select(F.col(url_col).cast("string"), F.col(html_col).cast("string")).where(F.col(html_col).isNotNull()).mapInArrow(partial(_items, item=item_selector, fields=specs), schema)
+    rows = _bounded(pages).select(F.col(url_col).cast("string"), F.col(html_col).cast("string")).where(F.col(html_col).isNotNull()).mapInArrow(partial(_items, item=item_selector, fields=specs), schema)
     return rows.select("page_url", "item", *[finished_field(F.col(n), s).alias(n) for n, s in specs.items()], *[F.lit(v).alias(k) for k, v in (constants or {}).items()])
 
 
@@ -293,7 +329,7 @@ def search_results(pages: DataFrame) -> DataFrame:
 
 def _contacts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     links = pa.list_(pa.struct([("href", pa.string()), ("label", pa.string())]))
-    for batch in batches:
+    for batch in _few(batches):
         rows = []
         for url, html in zip(batch.column(0).to_pylist(), batch.column(1)):
             root = parse(html.as_py())
@@ -302,6 +338,7 @@ def _contacts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             about = next((m.get("content", "") for m in metas if m.get("name", "").lower() == "description"), "") or next((m.get("content", "") for m in metas if m.get("property") == "og:description"), "")
             own = [{"href": n.attrs["href"].strip(), "label": n.text()} for n in root.walk() if n.tag == "a" and "href" in n.attrs]
             rows.append((root.text(), title[:200], about.strip()[:500], own, [_joined(url, a["href"]) for a in own], [unquote(a["href"]) for a in own if a["href"].lower().startswith(("mailto:", "tel:"))]))
+            root.release()
         types = [pa.string(), pa.string(), pa.string(), links, pa.list_(pa.string()), pa.list_(pa.string())]
         cols = [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 6, types)]
         yield pa.RecordBatch.from_arrays([*batch.columns[:1], *cols, *batch.columns[2:]], ["url", "text", "title", "description", "links", "hrefs", "direct", *batch.schema.names[2:]])
@@ -316,7 +353,7 @@ def _joined(url: str | None, href: str) -> str:
 
 def page_content(pages: DataFrame, *others: str) -> DataFrame:
     """url, visible text, title, description, links (href and label), hrefs (absolute) and direct (mailto: and tel: links, decoded)."""
-    own = pages.select("url", "html", *others)
+    own = _bounded(pages).select("url", "html", *others)
     schema = "url string, text string, title string, description string, links array<struct<href:string,label:string>>, hrefs array<string>, direct array<string>"
     more = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[2:])
     return own.mapInArrow(_contacts, schema + (f", {more}" if more else ""))

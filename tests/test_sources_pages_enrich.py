@@ -238,3 +238,25 @@ def test_workspace(spark, tmp_path):
     assert left == [{"r2", "r3"}] * 2 and not list((tmp_path / "ws" / "events").glob("run_id=*"))
     with pytest.raises(ValueError):
         workspace.delete_run(spark, folder, "r1")
+
+
+def test_pages_are_parsed_in_runs_and_leave_no_trees():
+    import gc
+
+    import pyarrow as pa
+
+    html = "<html><body><p>text <b>bold</b></p>" + "x" * 5000 + "<a href='mailto:a@b.be'>m</a></body></html>"
+    batch = pa.RecordBatch.from_pydict({"url": [f"http://s/{k}" for k in range(2000)], "html": [html] * 1999 + [None]})
+    trees = lambda: sum(isinstance(x, pages.Node) for x in gc.get_objects())
+    gc.collect()
+    gc.disable()
+    try:
+        before = trees()
+        for made in (pages._contacts, lambda b: pages._items(b, "p", {"t": {}})):
+            sizes, most = [], 0
+            for out in made(iter([batch])):
+                sizes.append(out.num_rows)
+                most = max(most, trees() - before)
+            assert sum(sizes) in (1999, 2000) and max(sizes) <= 500 and most < 50
+    finally:
+        gc.enable()
