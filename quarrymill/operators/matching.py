@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymill.functions import web
-from quarrymill.functions.similarity import BLANK, token_set_ratio
+from quarrymill.functions.similarity import BLANK, set_ratio, word_sets
 from quarrymill.functions.text import let, name_key
 from quarrymill.operators.graph import connected_components
 from quarrymill.operators.records import changed, filled, flag, noted, set_value, strings, value, with_candidates
@@ -153,12 +153,13 @@ def block_pairs(rows: DataFrame, pair_budget: int | None = None, part: int = PAR
     return pairs.groupBy("a_ord", "b_ord").agg(F.min(F.struct("block", "a_ord", "b_ord")).alias("edge_ord"))
 
 
-def compare(a: Column, b: Column, threshold: int = 90) -> Column:
-    """(similarity, reason, confident) of two feature rows, null for no match. The first rule that holds decides."""
+def compare(a: Column, b: Column, threshold: int = 90, words: Column | None = None) -> Column:
+    """(similarity, reason, confident) of two feature rows, null for no match. The first rule that holds decides. ``words``: a column with the word_sets()
+    of the names, where there is one."""
     shared = F.transform(F.filter(a["ids"], lambda x: F.array_contains(b["ids"], x)), lambda x: x["kind"])
     # names of records that share no identifier count from the threshold on alone
     needed = F.when(F.arrays_overlap(a["ids"], b["ids"]), 0.0).otherwise(float(threshold))
-    similarity = F.when((a["name"] != "") & (b["name"] != ""), token_set_ratio(a["name"], b["name"], needed)).otherwise(0.0)
+    similarity = F.when((a["name"] != "") & (b["name"] != ""), set_ratio(word_sets(a["name"], b["name"]) if words is None else words, needed)).otherwise(0.0)
     conflict = F.lit(False)
     for k in IDENTITY:
         conflict = conflict | F.coalesce(a["identity"][k] != b["identity"][k], F.lit(False))
@@ -191,8 +192,11 @@ def score_pairs(rows: DataFrame, pairs: DataFrame, threshold: int = 90) -> DataF
     """Matches: a, b (record ids), similarity, reason, confident, edge_ord."""
     own = lambda x: rows.select(F.col("ord").alias(f"{x}_ord"), F.struct("*").alias(x))
     both = pairs.join(own("a"), "a_ord").join(own("b"), "b_ord")
-    out = both.withColumn("m", compare(F.col("a"), F.col("b"), threshold)).where("m is not null")
-    return out.select(F.col("a.record_id").alias("a"), F.col("b.record_id").alias("b"), "a_ord", "b_ord", "m.*", "edge_ord")
+    both = both.withColumn("__words", word_sets(F.col("a.name"), F.col("b.name")))
+    out = both.withColumn("m", compare(F.col("a"), F.col("b"), threshold, F.col("__words")))
+    out = out.select(F.col("a.record_id").alias("a"), F.col("b.record_id").alias("b"), "a_ord", "b_ord", "m", "edge_ord")
+    # stored, as the filter would compare every pair once more
+    return stored(out, "compared-pairs").where("m is not null").select("a", "b", "a_ord", "b_ord", "m.*", "edge_ord")
 
 
 REFUSED = "transitive duplicate group contains conflicting locations or legal identifiers - review"

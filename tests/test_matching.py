@@ -300,3 +300,14 @@ def test_identifiers_only(spark):
     rows = [dict(company_name="Acme", phone="+3256205588", postcode="8500"), dict(company_name="Acme", phone="+3256205588"), dict(company_name="Acme", postcode="8500")]
     feats = matching.features(table(spark, rows), LEADS)
     assert [(r.a_ord, r.b_ord) for r in matching.block_pairs(feats, identifiers_only=True).collect()] == [(0, 1)]
+
+
+def test_pairs_are_compared_once(spark):
+    from quarrymill.operators.records import to_records
+    from quarrymill.schema import ACCOUNTS
+
+    raw = spark.createDataFrame([(1, "R1", "acme steel", "1000"), (2, "R2", "acme steeel", "1000"), (3, "R3", "other", "1000")], "ord long, record_id string, company_name string, postcode string")
+    rows = matching.features(to_records(raw, ACCOUNTS), ACCOUNTS)
+    got = matching.score_pairs(rows, matching.block_pairs(rows))
+    assert [(r.a, r.b) for r in got.select("a", "b").collect()] == [("R1", "R2")]
+    assert "_lcs" not in got._jdf.queryExecution().optimizedPlan().toString()  # stored: the filter on matches compares none again
