@@ -7,6 +7,8 @@ each weighted by log2 of the length of its labelled text (the cost of pointing i
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -240,16 +242,135 @@ def labelled_text(docs: DataFrame, docs_per_language: int, chars_per_language: i
     return tuple(sorted(texts.items()))
 
 
-def cost_limits(docs: DataFrame, docs_per_language: int, chars_per_language: int, max_languages: int | None, id_col: str, text_col: str, lang_col: str) -> dict[str, tuple[float, float]]:
-    """For each language what 90 % of its held-out documents (a fifth) of CERTAIN characters or more need at most, and what letters cost that
-    are phrases of their own. Languages without such documents have none."""
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    labelled = labelled_text(docs, docs_per_language, chars_per_language, max_languages, id_col, text_col, lang_col, ~held)
+#: Letters of scripts that set no spaces between words: each is a token. Other tokens are words, of which long ones are cut.
+_ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_TOKEN, _NO_LETTERS = re.compile(f" ?[{_ALONE}]| ?[^ {_ALONE}]{{1,40}}"), re.compile(r"[\W\d_]+")
+
+
+def tokens_of(text: str | None) -> list[str]:
+    """Words and letters of a whole text, each with the space before it, if there is one."""
+    return _TOKEN.findall(" " + _NO_LETTERS.sub(" ", (text or "").lower()).strip())
+
+
+def _count_tokens(batches: Iterator[pa.RecordBatch], limit: int = 400_000) -> Iterator[pa.RecordBatch]:
+    """(lang, token, count) of a task's texts, given out whenever ``limit`` have gathered."""
+    seen: dict[str, Counter] = {}
+
+    def out() -> pa.RecordBatch:
+        arrays = [pa.array([lang for lang, own in seen.items() for _ in own], pa.string()), pa.array([t for own in seen.values() for t in own], pa.string())]
+        return pa.RecordBatch.from_arrays([*arrays, pa.array([c for own in seen.values() for c in own.values()], pa.int64())], ["lang", "token", "c"])
+
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            seen.setdefault(lang, Counter()).update(tokens_of(text.as_py()))
+            if sum(map(len, seen.values())) >= limit:
+                yield out()
+                seen.clear()
+    if any(seen.values()):
+        yield out()
+
+
+def _count_pairs(batches: Iterator[pa.RecordBatch], shared, limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """(lang, first, second, count) of neighbouring tokens of a task's texts, both among the shared ones, as their numbers; a last one stands before
+    number -1, so that texts of one word count too. Given out whenever ``limit`` have gathered."""
+    places, found, size = shared.value, {}, 0
+
+    def out() -> pa.RecordBatch:
+        rows = [(lang, *np.unique(np.concatenate(own), return_counts=True)) for lang, own in found.items()]
+        codes = np.concatenate([r[1] for r in rows])
+        langs = pa.array([lang for lang, own, _ in rows for _ in range(len(own))], pa.string())
+        return pa.RecordBatch.from_arrays([langs, pa.array((codes >> 32)), pa.array((codes & (1 << 32) - 1) - 1), pa.array(np.concatenate([r[2] for r in rows]).astype(np.int64))], ["lang", "first", "second", "c"])
+
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            get = places[lang].get if lang in places else {}.get
+            at = np.array([*[get(t, -1) for t in tokens_of(text.as_py())], -2], np.int64)
+            first, second = at[:-1], np.maximum(at[1:], -1)
+            codes = (first << 32 | second + 1)[(first >= 0) & (at[1:] != -1)]
+            if len(codes):
+                found.setdefault(lang, []).append(codes)
+                size += len(codes)
+            if size >= limit:
+                yield out()
+                found, size = {}, 0
+    if size:
+        yield out()
+
+
+def _highest(counts: DataFrame, by: list[str], most: int, parts: int = 64) -> DataFrame:
+    """The ``most`` rows of each language with the highest sums of ``c``, equal ones by hash, and their rank from 1: first of each of some parts by hash of ``by``."""
+    key = F.xxhash64(*by)
+    dealt = counts.withColumn("key", key).withColumn("part", F.pmod(key, F.lit(parts))).groupBy("lang", "part", "key", *by).agg(F.sum("c").alias("c"))
+    for own in (["lang", "part"], ["lang"]):
+        order = Window.partitionBy(*own).orderBy(F.desc("c"), "key", *by)
+        dealt = dealt.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    return dealt.select("lang", "rank", *by)
+
+
+def chained(pairs: list[tuple[str, str]], letters: int) -> str:
+    """A folded text of at most ``letters`` that holds the pairs of tokens, the most frequent first: those for which there is surely room
+    follow each other wherever one ends as another begins."""
+    room, after = 0, {}
+    for k, (first, second) in enumerate(pairs):
+        room += len(second) or len(first)
+        if room > 0.8 * letters:
+            break
+        after.setdefault(first, []).append(k)
+    after = {first: own[::-1] for first, own in after.items()}
+    out, size, used = [], 0, set()
+    for k, (first, second) in enumerate(pairs):
+        if k in used:
+            continue
+        out.append(first)
+        size += len(first)
+        while k is not None and size < letters:
+            used.add(k)
+            out.append(pairs[k][1])
+            size += len(out[-1])
+            own = after.get(out[-1], [])
+            while own and own[-1] in used:
+                own.pop()
+            k = own[-1] if own else None
+        if size >= letters:
+            break
+    return fold("".join(out))[:letters].strip()
+
+
+def learnt_text(docs: DataFrame, chars_per_language: int, max_languages: int | None, text_col: str, lang_col: str, train: Column | None = None) -> tuple[tuple[str, str], ...]:
+    """Text for each language's automaton, by name, learnt from all its documents: tokens of every whole text are counted, then neighbouring ones of
+    the most frequent (one for each six letters of the text to make), and the most frequent pairs make a text of ``chars_per_language`` letters and spaces; see
+    chained(). Only the ``max_languages`` with the most documents, unless that is None. The driver sees one pair for each three letters at most.
+
+    Null and empty texts teach nothing, rows without a language neither; repeated rows count each."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    own = docs if train is None else docs.where(train)
+    own = own.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null")
+    if max_languages is not None:
+        own = own.where(F.col("lang").isin([r[0] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]))
+    tokens: dict[str, list[str]] = {}
+    for r in sorted(_highest(map_arrow(own, _count_tokens, "lang string, token string, c long"), ["token"], -(-chars_per_language // 6)).toArrow().to_pylist(), key=lambda r: (r["lang"], r["rank"])):
+        tokens.setdefault(r["lang"], []).append(r["token"])
+    shared = spark.sparkContext.broadcast({lang: {t: k for k, t in enumerate(known)} for lang, known in tokens.items()})
+    counts = map_arrow(own, _count_pairs, "lang string, first long, second long, c long", shared=shared)
+    pairs: dict[str, list[tuple[str, str]]] = {}
+    for r in sorted(_highest(counts, ["first", "second"], -(-chars_per_language // 3)).toArrow().to_pylist(), key=lambda r: (r["lang"], r["rank"])):
+        known = tokens[r["lang"]]
+        pairs.setdefault(r["lang"], []).append((known[r["first"]], known[r["second"]] if r["second"] >= 0 else ""))
+    shared.unpersist()
+    texts = {lang: chained(own, chars_per_language) for lang, own in pairs.items()}
+    return tuple(sorted((lang, text) for lang, text in texts.items() if text))
+
+
+def cost_limits(docs: DataFrame, labelled: tuple[tuple[str, str], ...], text_col: str, lang_col: str, held: Column) -> dict[str, tuple[float, float]]:
+    """For each language what 90 % of all its documents for which ``held`` holds need at most, of those with CERTAIN characters or more (to a thousandth), and
+    what letters cost that are phrases of their own. Languages without such documents have none."""
     most = {name: float(np.log2(len(text) + 1)) for name, text in labelled}
-    known = F.col("lang").isin(list(most))
-    own = _chosen(_labelled(docs, id_col, text_col, lang_col).where(held & known & (F.length("text") >= CERTAIN)), docs_per_language)
+    own = docs.where(held).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    own = own.where(F.col("lang").isin(list(most)) & (F.length("text") >= CERTAIN))
     judged = identify_languages(own, labelled, ["lang"]).where("lang_pred = lang")
-    rows = judged.groupBy("lang").agg(F.percentile("phrase_cost", 0.9).alias("cost")).collect()
+    costs = judged.groupBy("lang", F.round("phrase_cost", 3).alias("cost")).agg(F.count("*").alias("n"))
+    rows = costs.groupBy("lang").agg(F.percentile("cost", 0.9, F.col("n")).alias("cost")).collect()
     return {r.lang: (r.cost, most[r.lang]) for r in rows}
 
 

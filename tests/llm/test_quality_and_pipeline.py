@@ -167,6 +167,31 @@ def test_language_stage_keeps_wide_alphabets(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()) == list(range(80))
 
 
+def test_language_stage_learns_from_all_documents(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(13)
+    held = F.crc32(F.col("id").cast("string").cast("binary")) % 5 == 0
+    order = [(r.id, r.held) for r in spark.range(400).select("id", held.alias("held")).orderBy(F.xxhash64("id")).collect()]
+    first = {i for h in (True, False) for i in [i for i, own in order if own == h][:64]}
+    words = {True: ["ab", "abba", "baa", "bab", "aab"], False: ["ox", "oxo", "xoo", "xx", "oo"]}  # no common letter
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words[i in first]) for _ in range(150)), "en") for i, _ in order], "doc_id long, text string, lang string")
+    assert corpus_pipeline.language_id(spark, docs, "").count() == 400
+
+
+def test_learnt_text_counts_every_pair(spark):
+    from quarrymill.llm import language
+
+    rows = [(1, "a b " * 500, "en"), (2, None, "en"), (3, "", "en"), (4, "x y", None), (5, "lone", "fr"), (6, "中文中文", "zh"), (7, "1 2", "de")]
+    rows += [(k, f"c d w{chr(97 + k % 26)}{chr(97 + k // 26)}", "en") for k in range(10, 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [dict(language.learnt_text(docs.repartition(n), 24, None, "text", "lang")) for n in (1, 4)]
+    assert got[0] == got[1] and got[0].keys() == {"en", "fr", "zh"} and got[0]["fr"] == "lone" and "中文" in got[0]["zh"]
+    assert "a b" in got[0]["en"] and "c d" in got[0]["en"] and len(got[0]["en"]) <= 24
+    assert language.chained([(" a", " b"), (" c", " d"), (" b", " c")], 100) == "a b c d"
+    assert dict(language.learnt_text(docs, 1000, 1, "text", "lang")).keys() == {"en"}
+
+
 CLASHING = "id long, gone string, cost_limit double, score int, lang_pred string, phrase_cost string, __removed string, __clean int, stage_row string, member long, component_id int"
 
 
