@@ -15,9 +15,11 @@ others are joined by word.
 from __future__ import annotations
 
 import heapq
+import math
 from collections import Counter
 from collections.abc import Iterator
 from copy import copy
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,21 +38,39 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def in_lanes(docs: list[np.ndarray], lanes: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(symbols, does a document start here) of each lane, the longest lane first: documents go, by descending length, to the lane with the fewest
-    symbols."""
-    heap = [(0, k) for k in range(min(lanes, len(docs)))]
-    own: list[list[np.ndarray]] = [[] for _ in heap]
-    for d in sorted(docs, key=lambda d: -len(d)):
+def dealt_to_lanes(sizes: list[int], lanes: int) -> list[list[int]]:
+    """The documents of each lane, the longest lane first: by descending size, each goes to the lane that has the fewest symbols."""
+    heap = [(0, k) for k in range(min(lanes, len(sizes)))]
+    own: list[list[int]] = [[] for _ in heap]
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
         size, k = heapq.heappop(heap)
-        own[k].append(d)
-        heapq.heappush(heap, (size + len(d), k))
+        own[k].append(i)
+        heapq.heappush(heap, (size + sizes[i], k))
+    return sorted(own, key=lambda row: -sum(sizes[i] for i in row))
+
+
+def in_lanes(docs: list[np.ndarray], lanes: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(symbols, does a document start here) of each lane; see dealt_to_lanes()."""
     out = []
-    for row in own:
-        start = np.zeros(sum(map(len, row)), bool)
-        start[np.cumsum([0, *map(len, row)])[:-1]] = True
-        out.append((np.concatenate(row), start))
-    return sorted(out, key=lambda r: -len(r[0]))
+    for row in dealt_to_lanes([len(d) for d in docs], lanes):
+        start = np.zeros(sum(len(docs[i]) for i in row), bool)
+        start[np.cumsum([0, *(len(docs[i]) for i in row)])[:-1]] = True
+        out.append((np.concatenate([docs[i] for i in row]), start))
+    return out
+
+
+def windows(rows: list[tuple[np.ndarray, np.ndarray]], window: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """symbols, mask, start and place (in all lanes, one after the other) of each window of ``window`` steps, as steps x lanes. Lanes that have ended leave."""
+    if not rows:
+        return
+    sizes = np.array([len(x) for x, _ in rows])
+    symbols, starts, first = np.concatenate([x for x, _ in rows]), np.concatenate([s for _, s in rows]), np.cumsum(sizes) - sizes
+    for at in range(0, int(sizes[0]), window):
+        live = int(np.searchsorted(-sizes, -at, "left"))  # lanes that go on, the longest first
+        step = np.arange(at, min(at + window, int(sizes[0])))[:, None]
+        mask = step < sizes[:live]
+        place = first[:live] + np.where(mask, step, 0)
+        yield np.where(mask, symbols[place], 0), mask, starts[place] & mask, place
 
 
 class Gru:
@@ -68,9 +88,9 @@ class Gru:
         small = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
         self.p = {
             "x": small(n, 3 * hidden), "u": small(hidden, 3 * hidden) + np.tile(np.eye(hidden, dtype=np.float32) * 0.3, 3), "b": np.r_[np.zeros(hidden), np.ones(hidden), np.zeros(hidden)].astype(np.float32),
-            "c": np.zeros((hidden, self.classes), np.float32), "cb": mass.astype(np.float32),
-            "w": np.zeros((self.classes, hidden, self.width), np.float32), "wb": words - mass[:, None],
+            "c": np.zeros((hidden + 1, self.classes), np.float32), "w": np.zeros((self.classes, hidden + 1, self.width), np.float32),
         }
+        self.p["c"][hidden], self.p["w"][:, hidden] = mass, words - mass[:, None]  # the last weights, of a unit that is always 1, are biases
         self.tame = False
         self.moments: tuple[dict, dict, int] | None = None
 
@@ -90,105 +110,164 @@ class Gru:
     def tamed(self) -> bool:
         """Can no logit leave the range of float32's exp? (States lie between -1 and 1.)"""
         p = self.p
-        most = max(np.abs(p["c"]).sum(0).max() + np.abs(p["cb"]).max(), np.abs(p["w"]).sum(1).max() + np.abs(p["wb"]).max())
+        most = max(np.abs(p["c"]).sum(0).max(), np.abs(p["w"]).sum(1).max())
         return bool(most < 80)
 
-    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """One symbol for each lane: the new state, then what the backward pass needs."""
+    def advance(self, g: np.ndarray, h: np.ndarray, v: np.ndarray, rz: np.ndarray, n: np.ndarray, new: np.ndarray) -> None:
+        """One symbol for each lane, all arrays rows x lanes: from what the symbols give to the gates (``g``) and the states ``h``, to the states ``new`` and
+        what the backward pass needs."""
         k = self.hidden
-        g = self.p["x"].take(x, 0)
-        g += self.p["b"]
-        v = h @ self.p["u"]
-        rz = g[:, : 2 * k] + v[:, : 2 * k]
+        np.matmul(self.p["u"].T, h, out=v)
+        np.add(g[: 2 * k], v[: 2 * k], out=rz)
         np.negative(rz, out=rz)
         np.exp(rz, out=rz)
         rz += 1
         np.reciprocal(rz, out=rz)
-        r, z = rz[:, :k], rz[:, k:]
-        n = np.tanh(g[:, 2 * k :] + r * v[:, 2 * k :])
-        return n + z * (h - n), r, z, n, v[:, 2 * k :]
-
-    def output(self, h: np.ndarray, y: np.ndarray, grad: dict | None = None, scale: float = 1.0) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log probabilities of ``y`` after states ``h``; with ``grad``, also the gradient of h."""
-        cls, p = y // self.width, self.p
+        np.multiply(rz[:k], v[2 * k :], out=n)
+        n += g[2 * k :]
+        np.tanh(n, out=n)
+        np.subtract(h, n, out=new)
+        new *= rz[k:]
+        new += n
+
+    def forward(self, x: np.ndarray, mask: np.ndarray, start: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """States (before each step, and after the last) of a window's symbols (steps x lanes), and v, rz and n of advance(), each as steps x rows x lanes."""
+        (steps, lanes), k = x.shape, self.hidden
+        g = self.p["x"].take(x, 0)
+        g += self.p["b"]
+        g = np.ascontiguousarray(g.transpose(0, 2, 1))
+        states, v, rz, n = (np.empty((steps + more, rows, lanes), g.dtype) for more, rows in ((1, k), (0, 3 * k), (0, 2 * k), (0, k)))
+        states[0] = h
+        whole, begins = mask.all(1).tolist(), start.any(1).tolist()
+        for t in range(steps):
+            if begins[t]:
+                states[t] *= ~start[t]
+            self.advance(g[t], states[t], v[t], rz[t], n[t], states[t + 1])
+            if not whole[t]:
+                np.copyto(states[t + 1], states[t], where=~mask[t])
+        return states, v, rz, n
 
-        def soft(logits: np.ndarray, bias: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            logits += bias
+    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """One symbol for each lane: the new state (lanes x units), then what the backward pass needs."""
+        on = np.ones((1, len(x)), bool)
+        states, v, rz, n = self.forward(x[None], on, ~on, h.T)
+        return tuple(a.T for a in (states[1], rz[0], n[0], v[0]))
+
+    def output(self, h: np.ndarray, y: np.ndarray, grad: dict | None = None, scale: float = 1.0, few: int = 32) -> tuple[np.ndarray, np.ndarray | None]:
+        """Natural log probabilities of ``y`` after states ``h``; with ``grad``, also the gradient of h, and in ``grad`` those of the output. Classes
+        with at most ``few`` rows are multiplied together, the others one by one."""
+        p, k, kind = self.p, self.hidden, np.result_type(h, self.p["c"])
+        order = np.argsort((y // self.width).astype(np.uint16 if self.classes < 1 << 16 else np.int64), kind="stable")
+        own = y[order]
+        cls = own // self.width
+        one = np.ones((len(own), k + 1), kind)
+        one[:, :k] = h.take(order, 0)
+        rows, to_2 = np.arange(len(own)), kind.type(1 / np.log(2))
+
+        def soft(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+            """Binary log probabilities of ``at`` from binary logits; with ``grad``, these become the gradient of natural ones."""
             if not self.tame:
                 logits -= logits.max(1, keepdims=True)
-            rows = np.arange(len(at))
-            out = logits[rows, at]
-            e = np.exp(logits, out=logits)
-            total = e.sum(1)
-            out -= np.log(total)
+            flat, at = logits.reshape(-1), at + rows * logits.shape[1]
+            out = flat.take(at)
+            np.exp2(logits, out=logits)
+            total = logits @ np.ones(logits.shape[1], kind)
             if grad is not None:
-                e /= total[:, None]
-                e[rows, at] -= 1
-            return out, e
+                logits *= (scale / total)[:, None]
+                flat[at] -= scale
+            return out - np.log2(total)
 
-        log, error = soft(h @ p["c"], p["cb"], cls)
-        dh = None
+        error = one @ (p["c"] * to_2)
+        log = soft(error, cls)
         if grad is not None:
-            error *= scale
-            grad["c"] += h.T @ error
-            grad["cb"] += error.sum(0)
-            dh = error @ p["c"].T
-        order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for c in np.flatnonzero(np.diff(ends)).tolist():
-            own = order[ends[c] : ends[c + 1]]
-            hc = h[own]
-            more, error = soft(hc @ p["w"][c], p["wb"][c], y[own] - c * self.width)
-            log[own] += more
-            if grad is not None:
-                error *= scale
-                grad["w"][c] += hc.T @ error
-                grad["wb"][c] += error.sum(0)
-                dh[own] += error @ p["w"][c].T
-        return log, dh
+            grad["c"], dh = one.T @ error, error @ p["c"][:k].T
+        ends = np.searchsorted(cls, np.arange(self.classes + 1))
+        count, first = np.diff(ends), ends[:-1]
+        small, spans = np.flatnonzero((count > 0) & (count <= few)), [(c, slice(ends[c], ends[c + 1])) for c in np.flatnonzero(count > few).tolist()]
+        inside = np.arange(few) < count[small][:, None]
+        slots, held = np.flatnonzero(inside), (first[small][:, None] + np.arange(few))[inside]  # where rows of small classes are, and which rows
+        padded = np.zeros((len(small) * few, k + 1), kind)
+        padded[slots] = one[held]
+        padded = padded.reshape(len(small), few, k + 1)
+        words, error = p["w"] * to_2, np.empty((len(own), self.width), kind)
+        for c, span in spans:
+            np.matmul(one[span], words[c], out=error[span])
+        error[held] = (padded @ words[small]).reshape(len(small) * few, self.width)[slots]
+        log += soft(error, own - cls * self.width)
+        out = np.empty_like(log)
+        out[order] = log / to_2
+        if grad is None:
+            return out, None
+        more, grad["w"] = np.empty_like(dh), np.zeros(words.shape, kind)
+        for c, span in spans:
+            np.matmul(one[span].T, error[span], out=grad["w"][c])
+            np.matmul(error[span], p["w"][c, :k].T, out=more[span])
+        wide = np.zeros((len(small) * few, self.width), kind)
+        wide[slots] = error[held]
+        wide = wide.reshape(len(small), few, self.width)
+        grad["w"][small] = padded.transpose(0, 2, 1) @ wide
+        more[held] = (wide @ p["w"][small, :k].transpose(0, 2, 1)).reshape(len(small) * few, k)[slots]
+        dh += more
+        place = np.empty_like(order)
+        place[order] = rows
+        return out, dh.take(place, 0)
+
+    def window_gradient(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, start: np.ndarray, h: np.ndarray) -> tuple[float, dict, np.ndarray]:
+        """As loss_and_gradient(), with states as units x lanes; the gradient of x is of the ``symbols`` that occur."""
+        (steps, lanes), k = x.shape, self.hidden
+        states, v, rz, n = self.forward(x, mask, start, h)
+        before, whole, begins = states[:-1], mask.all(1).tolist(), start.any(1).tolist()
+        on, full, grad = mask.ravel(), bool(mask.all()), {}
+        scale = 1 / max(1, int(on.sum()))
+        flat = before.transpose(0, 2, 1).reshape(-1, k)
+        if full:
+            log, outer = self.output(flat, y.ravel(), grad, scale)
+        else:
+            outer = np.zeros_like(flat)
+            log, outer[on] = self.output(flat[on], y.ravel()[on], grad, scale)
+        outer = np.ascontiguousarray(outer.reshape(steps, lanes, k).transpose(0, 2, 1))
+        # what a change of the state after a step does to its gates, for all steps at once
+        r, z, factor = rz[:, :k], rz[:, k:], np.empty((steps, 3, k, lanes), states.dtype)
+        stay = 1 - z
+        new = stay * (1 - n * n)
+        np.multiply(new * v[:, 2 * k :], r * (1 - r), out=factor[:, 0])
+        np.multiply((before - n) * z, stay, out=factor[:, 1])
+        np.multiply(new, r, out=factor[:, 2])
+        changes, dv, carry = np.empty_like(outer), np.empty_like(factor), np.zeros_like(states[0])
+        for t in range(steps - 1, -1, -1):
+            d = changes[t]
+            np.multiply(carry, mask[t], out=d)
+            np.multiply(d, factor[t], out=dv[t])
+            own = self.p["u"] @ dv[t].reshape(3 * k, lanes)
+            own += outer[t]
+            if not whole[t]:
+                own += carry * ~mask[t]
+            d = d * z[t]
+            own += d
+            if begins[t]:
+                own *= ~start[t]
+            carry = own
+        dv = dv.reshape(steps, 3 * k, lanes)
+        grad["u"] = np.matmul(before, dv.transpose(0, 2, 1)).sum(0)
+        np.multiply(changes, new, out=dv[:, 2 * k :])
+        moved, symbols = dv.transpose(0, 2, 1).reshape(-1, 3 * k), x.ravel()
+        if not full:
+            moved, symbols = moved[on], symbols[on]
+        order = np.argsort(symbols.astype(np.uint16) if self.size < 1 << 16 else symbols, kind="stable")
+        symbols = symbols[order]
+        first = np.flatnonzero(np.r_[True, symbols[1:] != symbols[:-1]])
+        grad["symbols"], grad["x"] = symbols[first], np.add.reduceat(moved.take(order, 0), first, axis=0)
+        grad["b"] = grad["x"].sum(0)
+        return -float(log.sum()) * scale, grad, states[-1]
 
     def loss_and_gradient(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, h: np.ndarray, start: np.ndarray | None = None) -> tuple[float, dict, np.ndarray]:
-        """Mean loss over a window (steps x lanes), its gradient, and the last state; x[t] is read after y[t] is
+        """Mean loss over a window (steps x lanes), its gradient, and the last state (lanes x units); x[t] is read after y[t] is
         foretold, and the state before the window is taken as given (truncation). Where ``start`` holds, a document begins, with the state zero."""
-        steps, k, p = len(x), self.hidden, self.p
-        states, saved, whole = [], [], mask.all(1)
-        for t in range(steps):
-            if start is not None and start[t].any():
-                h = np.where(start[t][:, None], np.float32(0), h)
-            states.append(h)
-            new, *rest = self.step(x[t], h)
-            h = new if whole[t] else np.where(mask[t][:, None], new, h)
-            saved.append(rest)
-        grad = {n: np.zeros_like(v) for n, v in p.items()}
-        before = np.concatenate(states)
-        on = mask.ravel()
-        scale = 1 / max(1, int(on.sum()))
-        log, dh = self.output(before[on], y.ravel()[on], grad, scale)
-        outer = np.zeros_like(before)
-        outer[on] = dh
-        outer = outer.reshape(steps, -1, k)
-        carry, moved = np.zeros_like(h), np.zeros((*x.shape, 3 * k), np.float32)
-        for t in range(steps - 1, -1, -1):
-            r, z, n, vn = saved[t]
-            before = states[t]
-            d = carry if whole[t] else carry * mask[t][:, None]
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (before - n) * z * (1 - z)
-            dr = dn * vn * r * (1 - r)
-            dg = np.concatenate([dr, dz, dn], 1)
-            dv = np.concatenate([dr, dz, dn * r], 1)
-            moved[t] = dg
-            grad["u"] += before.T @ dv
-            own = d * z + dv @ p["u"].T + outer[t]
-            carry = own if whole[t] else carry * ~mask[t][:, None] + own
-            if start is not None and start[t].any():
-                carry[start[t]] = 0
-        moved, order = moved.reshape(-1, 3 * k), np.argsort(x, axis=None, kind="stable")
-        symbol = x.ravel()[order]
-        first = np.flatnonzero(np.r_[True, symbol[1:] != symbol[:-1]])
-        grad["x"][symbol[first]] = np.add.reduceat(moved[order], first, axis=0)
-        grad["b"] += moved.sum(0)
-        return -float(log.sum()) * scale, grad, h
+        loss, found, h = self.window_gradient(x, y, mask, np.zeros_like(mask) if start is None else start, h.T)
+        grad = {n: np.zeros_like(v) for n, v in self.p.items()}
+        for n, v in grad.items():
+            v[found["symbols"] if n == "x" else slice(None)] = found[n]
+        return loss, grad, h.T
 
     def train(self, docs: list[np.ndarray], window: int = 24, lanes: int = 128, epochs: int = 1, rate: float = 0.015) -> list[float]:
         """Adam over windows of lanes, in which documents follow each other; the mean loss of each epoch. Further calls go on from the moments
@@ -197,64 +276,58 @@ class Gru:
         zeros = lambda: {n: np.zeros_like(v) for n, v in self.p.items()}
         m, s, count = self.moments or (zeros(), zeros(), 0)
         rows = in_lanes(docs, lanes)
-        sizes = np.array([len(x) for x, _ in rows])
         for _ in range(epochs):
             total = tokens = 0
-            h = np.zeros((len(rows), self.hidden), np.float32)
-            for at in range(0, int(sizes.max(initial=0)), window):
-                live = int(np.searchsorted(-sizes, -at, "left"))  # lanes that go on, the longest first
-                steps = min(window, int(sizes[0]) - at)
-                y, on, start = np.zeros((steps, live), np.int64), np.zeros((steps, live), bool), np.zeros((steps, live), bool)
-                for j in range(live):
-                    part = rows[j][0][at : at + window]
-                    y[: len(part), j], on[: len(part), j], start[: len(part), j] = part, True, rows[j][1][at : at + window]
-                loss, grad, h = self.loss_and_gradient(y, y, on, h[:live], start)
-                total, tokens, count = total + loss * on.sum(), tokens + on.sum(), count + 1
-                # only what the window has touched has a gradient
-                seen = np.unique(y[on])
-                cls = np.unique(seen // self.width)
-                touched = {"x": seen, "w": cls, "wb": cls}
-                grad = {n: v[touched[n]] if n in touched else v for n, v in grad.items()}
-                norm = np.sqrt(sum(float(np.vdot(v, v)) for v in grad.values()))
+            h = np.zeros((self.hidden, len(rows)), np.float32)
+            for y, on, start, _ in windows(rows, window):
+                loss, grad, h = self.window_gradient(y, y, on, start, h[:, : y.shape[1]])
+                own_tokens = int(on.sum())
+                total, tokens, count = total + loss * own_tokens, tokens + own_tokens, count + 1
+                # only what the window has touched changes
+                seen = grad.pop("symbols")
+                others = np.flatnonzero(np.bincount(seen // self.width, minlength=self.classes) == 0)
+                kept = [a["w"][others] for a in (m, s, self.p)]
+                norm, spread = math.sqrt(sum(float(np.vdot(v, v)) for v in grad.values())), math.sqrt(1 - 0.99**count)
                 for n, v in grad.items():
-                    own = touched.get(n, slice(None))
-                    v *= min(1.0, 1.0 / (norm + 1e-9))
+                    own = seen if n == "x" else slice(None)
+                    v *= 0.1 * min(1.0, 1.0 / (norm + 1e-9))  # a tenth of the clipped gradient, whose square is a hundredth
                     first, second = m[n][own], s[n][own]
-                    m[n][own] = first = first + 0.1 * (v - first)
-                    s[n][own] = second = second + 0.01 * (v * v - second)
-                    self.p[n][own] -= rate * (first / (1 - 0.9**count)) / (np.sqrt(second / (1 - 0.99**count)) + 1e-6)
+                    first *= 0.9
+                    first += v
+                    v *= v
+                    second *= 0.99
+                    second += v
+                    if n == "x":
+                        m[n][own], s[n][own] = first, second
+                    np.sqrt(second, out=v)
+                    v += 1e-6 * spread
+                    np.divide(first, v, out=v)
+                    v *= rate * spread / (1 - 0.9**count)
+                    self.p[n][own] -= v
+                for a, rows_kept in zip((m, s, self.p), kept):
+                    a["w"][others] = rows_kept
             losses.append(float(total / max(1, tokens)))
         self.moments, self.tame = (m, s, count), self.tamed()
         return losses
 
-    def score(self, docs: list[np.ndarray], lanes: int = 2048, window: int = 64) -> np.ndarray:
-        """Natural log probability of each document; documents go side by side, the longest first, and those that
-        have ended leave."""
+    def score(self, docs: list[np.ndarray], lanes: int = 512, window: int = 8) -> np.ndarray:
+        """Natural log probability of each document (of one symbol or more); documents follow each other in lanes, a window of which is worked on at a time.
+        Where one document would outlast the others, lanes are fewer and windows longer."""
+        total, longest = sum(map(len, docs)), max(map(len, docs), default=1)
+        fewer = min(lanes, max(64, total // longest))
+        lanes, window = fewer, window * lanes // fewer
+        own = dealt_to_lanes([len(d) for d in docs], lanes)
+        order = [i for row in own for i in row]
+        rows = in_lanes(docs, lanes)
+        logs = np.zeros(total)
+        h = np.zeros((self.hidden, len(rows)), np.float32)
+        for y, on, start, place in windows(rows, window):
+            states = self.forward(y, on, start, h[:, : y.shape[1]])[0]
+            h = states[-1]
+            logs[place[on]] = self.output(states[:-1].transpose(0, 2, 1)[on], y[on])[0]
         out = np.zeros(len(docs))
-        order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
-        for first in range(0, len(order), lanes):
-            own = order[first : first + lanes]
-            sizes = np.array([len(docs[i]) for i in own])
-            h = np.zeros((len(own), self.hidden), np.float32)
-            total = np.zeros(len(own))
-            for at in range(0, int(sizes[0]), window):
-                live = int(np.searchsorted(-sizes, -at, "left"))  # documents longer than ``at``
-                y = np.zeros((live, window), np.int64)
-                for j, i in enumerate(own[:live]):
-                    part = docs[i][at : at + window]
-                    y[j, : len(part)] = part
-                states, targets, lane = [], [], []
-                for t in range(window):
-                    k = int(np.searchsorted(-sizes[:live], -(at + t), "left"))
-                    if not k:
-                        break
-                    states.append(h[:k].copy())
-                    targets.append(y[:k, t])
-                    lane.append(np.arange(k))
-                    h[:k] = self.step(y[:k, t], h[:k])[0]
-                log, _ = self.output(np.concatenate(states), np.concatenate(targets))
-                total += np.bincount(np.concatenate(lane), log, len(own))
-            out[own] = total
+        if order:
+            out[order] = np.add.reduceat(logs, np.cumsum([0, *(len(docs[i]) for i in order)])[:-1])
         return out
 
 
@@ -305,7 +378,7 @@ def frequent_words(counts: DataFrame, most: int) -> list:
 
 def symbols_of(words: list[bytes], place: dict, vocabulary: int) -> np.ndarray:
     """The model's symbols of a document."""
-    at = np.array([place.get(w, vocabulary) for w in words], np.int64)
+    at = np.fromiter(map(place.get, words, repeat(vocabulary)), np.int64, len(words))
     return np.r_[np.where(at >= vocabulary, OTHER, at + 2), END]
 
 
@@ -335,7 +408,7 @@ def _train(batches: Iterator[pa.RecordBatch], shared, chunk: int = 4_000_000) ->
             if size >= chunk:
                 model.train(docs)
                 docs, size, total = [], 0, total + size
-            docs.append(np.frombuffer(symbols.as_py(), "<i4").astype(np.int64))
+            docs.append(np.frombuffer(symbols.as_py(), "<i4"))
             size += len(docs[-1])
     if group is not None:
         yield learnt()
@@ -402,23 +475,23 @@ def _score(batches: Iterator[pa.RecordBatch], shared, parts: int = 4_000_000) ->
         row += len(ids)
         return pa.RecordBatch.from_arrays(arrays, names)
 
+    ids, symbols, rows, size = [], [], [], 0
     for batch in batches:
-        ids, symbols, rows, size = [], [], [], 0
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             words = words_of(text.as_py())
-            at = np.array([get(w, -1) for w in words], np.int64)
+            at = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
             rare = np.flatnonzero(at < 0).tolist()
             logs = log_counts[at[at >= 0]]
             outside = at >= vocabulary
             ids.append(doc_id)
-            symbols.append(np.r_[np.where((at < 0) | outside, OTHER, at + 2), end])
+            symbols.append(np.r_[np.where((at < 0) | outside, OTHER, at + 2), end].astype(np.int32))
             rows.append((len(words) + 1, len(words) - len(rare), float(logs.sum()), float(log_counts[at[outside]].sum()), int(outside.sum()) + len(rare), [words[k] for k in rare]))
             size += len(words)
             if size >= parts:
                 yield out(ids, symbols, rows)
                 ids, symbols, rows, size = [], [], [], 0
-        if ids:
-            yield out(ids, symbols, rows)
+    if ids:
+        yield out(ids, symbols, rows)
 
 
 SCORED = "row long, doc_id long, n_tokens long, n_frequent long, log_frequent double, log_outside double, n_outside long, rare array<binary>, model_log double"

@@ -197,3 +197,52 @@ def test_every_training_document_trains(spark, monkeypatch):
     train_in_rounds(Gru(np.ones(5), 4), df, place, 3, 450, 3, 50)
     found = [spark.read.parquet(p) for p in storage._written if p not in before and "/trained-" in p]
     assert sum(r.tokens for f in found for r in f.collect()) == 5 * 90
+
+
+def test_classes_together_or_one_by_one():
+    rng = np.random.default_rng(9)
+    model = Gru(np.arange(1.0, 300), 5)
+    model.p = {n: (v + rng.normal(0, 0.3, v.shape)).astype(np.float64) for n, v in model.p.items()}
+    h, y = rng.normal(0, 0.5, (400, 5)), np.minimum(rng.zipf(1.4, 400) - 1, 298)
+    found = []
+    for few in (0, 4, 32, 400):
+        grad = {}
+        found.append((*model.output(h, y, grad, 0.5, few=few), grad["c"], grad["w"]))
+    for other in found[1:]:
+        assert all(np.allclose(a, b, atol=1e-9) for a, b in zip(found[0], other))
+    want = [math.log(softmax[k]) for softmax, k in ((np.exp(row) / np.exp(row).sum(), k) for row, k in zip(h @ model.p["c"][:5] + model.p["c"][5], y // model.width))]
+    inner = [h[i] @ model.p["w"][k, :5] + model.p["w"][k, 5] for i, k in enumerate(y // model.width)]
+    assert np.allclose(found[0][0], [a + row[k % model.width] - math.log(np.exp(row).sum()) for a, row, k in zip(want, inner, y)])
+
+
+def test_only_what_a_window_touches_changes():
+    model = Gru(np.ones(100), 4)
+    before = {n: v.copy() for n, v in model.p.items()}
+    for _ in range(3):
+        model.train([np.array([2, 3, 2, 35, END])])
+    moved = np.flatnonzero((model.p["x"] != before["x"]).any(1))
+    assert set(moved.tolist()) <= {1, 2, 3, 35} and 2 in moved
+    assert np.flatnonzero((model.p["w"] != before["w"]).any((1, 2))).tolist() == [0, 3]
+
+
+def test_work_goes_by_windows_not_by_classes():
+    """CPU of training: calls of a window of 24 steps don't go with the 75 classes that it touches, nor with its 128 lanes."""
+    import cProfile
+    import pstats
+
+    rng = np.random.default_rng(10)
+    docs = [np.r_[np.minimum(rng.zipf(1.2, 240) + 1, 5599), END] for _ in range(128)]
+    model, profile = Gru(np.ones(5600), 16), cProfile.Profile()
+    profile.runcall(model.train, docs)
+    assert pstats.Stats(profile).total_calls / 11 < 900
+
+
+def test_one_long_document_beside_others():
+    """As many lanes as the longest document leaves work for, so that steps aren't spent on it alone."""
+    model, rng = small_model(), np.random.default_rng(11)
+    docs = [np.r_[rng.integers(2, 11, n), END] for n in (3000, *[15] * 300)]
+    seen, forward = [], model.forward
+    model.forward = lambda *a: (seen.append(a[0].shape), forward(*a))[1]
+    both = model.score(docs)
+    assert sum(s for s, _ in seen) < 3100 and max(w for _, w in seen) == 64
+    assert np.allclose(both, [model.score([d])[0] for d in docs[:3]] + both[3:].tolist(), atol=1e-3) and len(model.score([])) == 0
