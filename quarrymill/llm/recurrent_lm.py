@@ -16,13 +16,13 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import Counter
 from collections.abc import Iterator
 from copy import copy
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +38,40 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def by_bytes(batches: Iterator[pa.RecordBatch], column: int, most: int = 16_000_000) -> Iterator[pa.RecordBatch]:
+    """Batches cut to ``most`` bytes of text, or one longer text."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        lo = 0
+        while lo < len(size):
+            hi = max(lo + 1, int(np.searchsorted(size, most + (size[lo - 1] if lo else 0), "right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
+def flat_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, see words_of(), one after the other, and how many each text has."""
+    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    count, flat = pc.list_value_length(words).to_numpy(zero_copy_only=False), words.flatten()
+    empty = pc.binary_length(flat).to_numpy(zero_copy_only=False) == 0  # beside white space at the ends of a text
+    if empty.any():
+        count = count - np.bincount(np.repeat(np.arange(len(count)), count)[empty], minlength=len(count))
+        flat = flat.filter(pa.array(~empty))
+    return flat.cast(pa.binary()), count
+
+
+def places(words: pa.Array, among: pa.Array) -> np.ndarray:
+    """Where each word is in ``among``; -1 if it isn't there."""
+    return pc.fill_null(pc.index_in(words, among), -1).to_numpy(zero_copy_only=False)
+
+
+def with_ends(symbols: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
+    """The symbols of each document, whose words' symbols follow each other, with its end."""
+    out = np.full(len(symbols) + len(count), END, np.int32)
+    out[np.arange(len(symbols)) + np.repeat(np.arange(len(count)), count)] = symbols
+    return np.split(out, np.cumsum(count + 1)[:-1])
+
+
 def dealt_to_lanes(sizes: list[int], lanes: int) -> list[list[int]]:
     """The documents of each lane, the longest lane first: by descending size, each goes to the lane that has the fewest symbols."""
     heap = [(0, k) for k in range(min(lanes, len(sizes)))]
@@ -334,20 +368,21 @@ class Gru:
 # --- counts
 
 
-def _count(batches: Iterator[pa.RecordBatch], limit: int = 400_000) -> Iterator[pa.RecordBatch]:
-    """(word, count) of a task's texts, given out whenever ``limit`` distinct words have gathered."""
-    seen: Counter = Counter()
+def _count(batches: Iterator[pa.RecordBatch], limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """(word, count) of a task's texts, given out whenever ``limit`` words have gathered."""
+    held, size = [], 0
 
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], ["word", "c"])
-
-    for batch in batches:
-        for text in batch.column(1):
-            seen.update(words_of(text.as_py()))
-            if len(seen) >= limit:
-                yield out()
-                seen.clear()
-    if seen:
+        found = pc.value_counts(pa.chunked_array(held, pa.binary()))
+        return pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["word", "c"])
+
+    for batch in by_bytes(batches, 1):
+        held.append(flat_words(batch.column(1))[0])
+        size += len(held[-1])
+        if size >= limit:
+            yield out()
+            held, size = [], 0
+    if size:
         yield out()
 
 
@@ -384,9 +419,11 @@ def symbols_of(words: list[bytes], place: dict, vocabulary: int) -> np.ndarray:
 
 def _symbols(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     """turn, group and key of documents as they are, and their symbols."""
-    place, vocabulary = shared.value["place"], shared.value["vocabulary"]
-    for batch in batches:
-        own = [symbols_of(words_of(text.as_py()), place, vocabulary).astype("<i4").tobytes() for text in batch.column(3)]
+    among, numbers = pa.array(shared.value["place"].keys(), pa.binary()), np.array([*shared.value["place"].values(), shared.value["vocabulary"]])
+    numbers = np.where(numbers < shared.value["vocabulary"], numbers + 2, OTHER)  # the last is that of words without a place
+    for batch in by_bytes(batches, 3):
+        words, count = flat_words(batch.column(3))
+        own = [x.astype("<i4").tobytes() for x in with_ends(numbers[places(words, among)], count)]
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(own, pa.binary())], ["turn", "group", "key", "symbols"])
 
 
@@ -460,38 +497,38 @@ def train_in_rounds(model: Gru, train: DataFrame, place: dict, vocabulary: int,
 
 
 def _score(batches: Iterator[pa.RecordBatch], shared, parts: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """For each document its tokens, what the model says, and the words that are outside the frequent ones."""
-    model, place, log_counts, vocabulary = shared.value["model"], shared.value["place"], shared.value["log_counts"], shared.value["vocabulary"]
-    row = TaskContext.get().partitionId() << 36
-    get, end = place.get, np.array([END])
+    """For each document its tokens, what the model says, and the words that are outside the frequent ones. Some ``parts`` tokens are scored together."""
+    model, log_counts, vocabulary = shared.value["model"], shared.value["log_counts"], shared.value["vocabulary"]
+    row, among = TaskContext.get().partitionId() << 36, pa.array(shared.value["top"], pa.binary())
     names = [c.split()[0] for c in SCORED.split(", ")]
+    held, symbols, size = [], [], 0
 
-    def out(ids: list, symbols: list, rows: list) -> pa.RecordBatch:
+    def out() -> Iterator[pa.RecordBatch]:
         nonlocal row
-        log = model.score(symbols) / np.log(10)
-        cols = list(zip(*rows))
-        types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.binary())]
-        arrays = [pa.array(range(row, row + len(ids)), pa.int64()), pa.array(ids, pa.int64()), *[pa.array(c, t) for c, t in zip(cols, types)], pa.array(log)]
-        row += len(ids)
-        return pa.RecordBatch.from_arrays(arrays, names)
-
-    ids, symbols, rows, size = [], [], [], 0
-    for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            words = words_of(text.as_py())
-            at = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
-            rare = np.flatnonzero(at < 0).tolist()
-            logs = log_counts[at[at >= 0]]
-            outside = at >= vocabulary
-            ids.append(doc_id)
-            symbols.append(np.r_[np.where((at < 0) | outside, OTHER, at + 2), end].astype(np.int32))
-            rows.append((len(words) + 1, len(words) - len(rare), float(logs.sum()), float(log_counts[at[outside]].sum()), int(outside.sum()) + len(rare), [words[k] for k in rare]))
-            size += len(words)
-            if size >= parts:
-                yield out(ids, symbols, rows)
-                ids, symbols, rows, size = [], [], [], 0
-    if ids:
-        yield out(ids, symbols, rows)
+        log, at = model.score(symbols) / np.log(10), 0
+        for cols in held:
+            n = len(cols[0])
+            yield pa.RecordBatch.from_arrays([pa.array(range(row, row + n), pa.int64()), *cols, pa.array(log[at : at + n])], names)
+            row, at = row + n, at + n
+
+    for batch in by_bytes(batches, 1):
+        words, count = flat_words(batch.column(1))
+        at = places(words, among)
+        rare, outside = at < 0, at >= vocabulary
+        logs, owner = np.where(rare, 0.0, log_counts[at]) if len(log_counts) else np.zeros(len(at)), np.repeat(np.arange(len(count)), count)
+        sums = lambda x: np.bincount(owner, x, len(count)).astype(np.float64)  # noqa: E731 (of no words, they are whole numbers)
+        n_rare = sums(rare).astype(np.int64)
+        held.append([
+            batch.column(0), pa.array(count + 1, pa.int64()), pa.array(count - n_rare, pa.int64()), pa.array(sums(logs)), pa.array(sums(np.where(outside, logs, 0.0))),
+            pa.array(sums(outside).astype(np.int64) + n_rare), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n_rare]), pa.int32()), words.filter(pa.array(rare))),
+        ])
+        symbols += with_ends(np.where(rare | outside, OTHER, at + 2), count)
+        size += len(at)
+        if size >= parts:
+            yield from out()
+            held, symbols, size = [], [], 0
+    if held:
+        yield from out()
 
 
 SCORED = "row long, doc_id long, n_tokens long, n_frequent long, log_frequent double, log_outside double, n_outside long, rare array<binary>, model_log double"
@@ -525,12 +562,11 @@ def score_documents(
     n, v = sums[0] + ends, sums[1] + bool(ends)
     top = frequent_words(counts, shared_words)
     symbols = min(int(12 * n ** (1 / 3)) if vocabulary is None else vocabulary, len(top))
-    place = {w: k for k, (w, _) in enumerate(top)}
     inside = sum(c for _, c in top[:symbols])
     model = Gru(np.array([sums[0] - inside, ends, *[c for _, c in top[:symbols]]], np.float64), hidden)
     if n:
-        model = train_in_rounds(model, train, {w: k for w, k in place.items() if k < symbols}, symbols, n, rounds, group_tokens)
-    shared = spark.sparkContext.broadcast({"model": model, "place": place, "log_counts": np.log10(np.array([c for _, c in top], np.float64) + 1), "vocabulary": symbols})
+        model = train_in_rounds(model, train, {w: k for k, (w, _) in enumerate(top[:symbols])}, symbols, n, rounds, group_tokens)
+    shared = spark.sparkContext.broadcast({"model": model, "top": [w for w, _ in top], "log_counts": np.log10(np.array([c for _, c in top], np.float64) + 1), "vocabulary": symbols})
     scored = stored(map_arrow(own, _score, SCORED, shared=shared), "scored")
     rare = scored.select("row", F.explode("rare").alias("word")).join(counts, "word")
     rare = rare.groupBy("row").agg(F.count("*").alias("n_rare"), F.sum(F.log10(F.col("c") + 1)).alias("log_rare"))

@@ -4,11 +4,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quarrymill import storage
-from quarrymill.llm.recurrent_lm import END, Gru, _average, frequent_words, in_lanes, score_documents, symbols_of, train_in_rounds, word_counts, words_of
+from quarrymill.llm.recurrent_lm import END, Gru, _average, by_bytes, flat_words, frequent_words, in_lanes, score_documents, symbols_of, train_in_rounds, with_ends, word_counts, words_of
 
 
 def plain_words(text):
@@ -246,3 +247,19 @@ def test_one_long_document_beside_others():
     both = model.score(docs)
     assert sum(s for s, _ in seen) < 3100 and max(w for _, w in seen) == 64
     assert np.allclose(both, [model.score([d])[0] for d in docs[:3]] + both[3:].tolist(), atol=1e-3) and len(model.score([])) == 0
+
+
+def test_words_of_a_batch():
+    texts = ["Ab  ÉC\x0bd\x85e\x1cf g\xa0h", "", None, " \n", " a ", "b\t", "\r\nc  D", "\x00 \x1f x"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    for most in (1, 9, 10**6):
+        cut = list(by_bytes(iter([batch, batch.slice(3, 3)]), 0, most))
+        assert [t for b in cut for t in b.column(0).to_pylist()] == texts + texts[3:6] and all(b.num_rows for b in cut)
+        for b in cut:
+            words, count = flat_words(b.column(0))
+            assert [w.decode() for w in words.to_pylist()] == [w for t in b.column(0).to_pylist() for w in plain_words(t)]
+            assert count.tolist() == [len(plain_words(t)) for t in b.column(0).to_pylist()]
+    place = {b"a": 0, b"d": 1, b"x": 2}
+    words, count = flat_words(batch.column(0))
+    got = with_ends(np.array([place.get(w, 9) + 2 if place.get(w, 9) < 2 else 0 for w in words.to_pylist()]), count)
+    assert [g.tolist() for g in got] == [symbols_of(words_of(t), place, 2).tolist() for t in texts]
