@@ -354,7 +354,7 @@ def g9_refused_bridges(spark, sf_dir):
     """Three records of each customer with one telephone: one in a town, one without a place, one in another town. The second joins the first and can't
     bring the third in. Decided in rounds, as the limit for tasks is set to 100 matches. Only records that share the telephone are compared: a town holds
     a third of all records, and its postcode alone would pair each with each."""
-    raw = read(spark, sf_dir, "customer").selectExpr("c_custkey", "explode(array('a', 'b', 'c')) AS part").selectExpr(
+    raw = spread(read(spark, sf_dir, "customer")).selectExpr("c_custkey", "explode(array('a', 'b', 'c')) AS part").selectExpr(
         "3 * c_custkey + ascii(part) - 97 AS ord", "'X' || CAST(c_custkey AS STRING) || part AS record_id", "'list' AS source", "lpad(CAST(c_custkey AS STRING), 6, '0') || ' firm' AS company_name",
         "'+324' || lpad(CAST(70000000 + c_custkey AS STRING), 8, '0') AS phone", "CASE part WHEN 'a' THEN '8500' WHEN 'c' THEN '3000' END AS postcode",
     )

@@ -5,10 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[str] = []
 
+#: Unpacked bytes beyond which a stored table is not broadcast, whatever the size of its files: rows by the width that Spark expects of their types and
+#: what a place in a hash table takes.
+UNPACKED_TO_BROADCAST, PLACE = 32 << 20, 64
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``. Where a session sets none, one on this machine alone (as in tests) gets a temporary
@@ -30,10 +35,16 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` and read it back: it is computed once, and lost executors lose none of it."""
-    path = fresh_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` and read it back: it is computed once, and lost executors lose none of it.
+
+    Spark decides on broadcasts by the size of files, but a few megabytes of compressed keys and nulls can be millions of rows, which the driver
+    would gather. So the rows are counted as they are written, and a table that is large unpacked asks for joins by shuffle.
+    """
+    path, seen = fresh_path(df.sparkSession, label), Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    unpacked = seen.get.get("rows", 0) * (PLACE + out._jdf.schema().defaultSize())
+    return out.hint("merge") if unpacked > UNPACKED_TO_BROADCAST else out
 
 
 def spread(df: DataFrame) -> DataFrame:
