@@ -38,13 +38,22 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` and read it back: it is computed once, and lost executors lose none of it.
 
     Spark decides on broadcasts by the size of files, but a few megabytes of compressed keys and nulls can be millions of rows, which the driver
-    would gather. So the rows are counted as they are written, and a table that is large unpacked asks for joins by shuffle.
+    would gather. So the rows are counted as they are written, and a table that is large unpacked is not broadcast; what it is joined with may be.
     """
     path, seen = fresh_path(df.sparkSession, label), Observation()
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     unpacked = seen.get.get("rows", 0) * (PLACE + out._jdf.schema().defaultSize())
-    return out.hint("merge") if unpacked > UNPACKED_TO_BROADCAST else out
+    return _not_broadcast(out) if unpacked > UNPACKED_TO_BROADCAST else out
+
+
+def _not_broadcast(df: DataFrame) -> DataFrame:
+    """``df`` with Spark's own hint against broadcasts of this side of a join, which has no name in SQL (the hint MERGE would be one against both sides)."""
+    jvm = df.sparkSession._jvm
+    logical = jvm.org.apache.spark.sql.catalyst.plans.logical
+    hint = logical.HintInfo(jvm.scala.Some(getattr(getattr(logical, "NO_BROADCAST_HASH$"), "MODULE$")))
+    plan = logical.ResolvedHint(df._jdf.queryExecution().analyzed(), hint)
+    return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(df._jdf.sparkSession(), plan), df.sparkSession)
 
 
 def spread(df: DataFrame) -> DataFrame:

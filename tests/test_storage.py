@@ -16,7 +16,8 @@ def test_a_table_that_is_large_unpacked_is_not_broadcast(spark):
     own = spark.range(2_000_000)
     assert "Broadcast" not in plan(own.join(many.withColumnRenamed("id", "x"), F.col("id") == F.col("x"), "left"))
     assert "Broadcast" not in plan(own.join(many.where("known is null").groupBy("id").count(), "id"))
-    assert "BroadcastHashJoin" in plan(own.join(few, "id")) and "BroadcastHashJoin" in plan(many.join(F.broadcast(few), "id"))
+    assert all("BroadcastHashJoin" in plan(x) for x in (own.join(few, "id"), many.join(few, "id"), few.join(many, "id"), many.join(F.broadcast(few), "id")))
+    assert "Broadcast" not in plan(many.alias("x").join(many.alias("y"), "id", "full"))
     assert many.join(few, "id").count() == own.join(many, "id", "left_semi").join(few, "id").count() == 1000
 
 
