@@ -333,7 +333,8 @@ def group_rows(records: DataFrame, matches: DataFrame, schema: Schema, merge: bo
         F.min("edge_ord").alias("first"), F.array_sort(F.collect_set("reason")).alias("reasons"), F.max("similarity").alias("similarity")
     )
     ends = sure.select(F.col("a_cluster").alias("cluster"), F.col("a_ord").alias("ord"), "edge_ord", F.lit(0).alias("side")).union(sure.select("b_cluster", "b_ord", "edge_ord", F.lit(1)))
-    seen = ends.groupBy("cluster", "ord").agg(F.min(F.struct("edge_ord", "side")).alias("seen"))
+    # stored, as three joins use it, and as Spark would take it for small by the files of the matches
+    seen = stored(ends.groupBy("cluster", "ord").agg(F.min(F.struct("edge_ord", "side")).alias("seen")), "cluster-members")
     rated = seen.join(records.select("ord", "record_id", quality(schema).alias("quality")), "ord")
     best = Window.partitionBy("cluster").orderBy(F.desc("quality"), "seen")
     rated = rated.withColumn("place", F.row_number().over(best) - 1)
