@@ -11,6 +11,7 @@ from quarrymill.operators import enrich, matching, reports, rules
 from quarrymill.operators.records import value
 from quarrymill.operators.run_log import RunLog
 from quarrymill.schema import Schema
+from quarrymill.storage import stored
 
 
 def audit(records: DataFrame, schema: Schema, country: str = "BE", threshold: int = 90, optional: Iterable[str] = (), pair_budget: int | None = None) -> dict:
@@ -45,6 +46,9 @@ def run_pipeline(records: DataFrame, schema: Schema, project: str, country: str
     finds. ``max_queries`` limits the records that are searched for, the others are told of in a warning.
     """
     log = RunLog()
+    # side tables are stored, as their rows decide on a broadcast, which the size of the files they come from says little of
+    side = {k: v if v is None else stored(v, k) for k, v in (("hits", hits), ("profiles", profiles), ("register", register), ("mail-domains", mail_domains))}
+    hits, profiles, register, mail_domains = side.values()
     out = log.stage("extract & normalise", rules.normalize_table(records, schema, country))
     out = log.stage("number", record_ids(out, schema, project))
     if sites is not None:
